@@ -55,7 +55,7 @@ def _spans(kind: str, pattern: str, keep: str = "true") -> str:
     p = _literal(pattern)
     return f"""
   SELECT row_no, {secrets.KINDS.index(kind)} AS kind_no, '{kind}' AS kind, found,
-         list_sum(list_transform(gaps[:i], x -> length(x))) + coalesce(list_sum(list_transform(hits[:i - 1], x -> length(x))), 0) AS start
+         list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[:i - 1], lambda x: length(x))), 0) AS start
   FROM (SELECT row_no, hits, gaps, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS found
         FROM (SELECT row_no, regexp_extract_all(t, {p}) AS hits, string_split_regex(t, {p}) AS gaps FROM d))
   WHERE {keep}"""
@@ -73,7 +73,7 @@ def _op4() -> str:
         f"""
   SELECT row_no, kind_no, kind, start AS run_start, start + p AS start, start + p + {c.window} AS stop
   FROM (SELECT *, unnest(range(0, length(found) - {c.window} + 1)) AS p FROM runs WHERE kind = '{c.kind}')
-  WHERE list_sum(list_transform(map_values(list_histogram(string_split(found[p + 1:p + {c.window}], ''))), n -> {c.terms}[n + 1])) <= {c.limit}"""
+  WHERE list_sum(list_transform(map_values(list_histogram(string_split(found[p + 1:p + {c.window}], ''))), lambda n: {c.terms}[n::BIGINT + 1])) <= {c.limit}"""
         for c in secrets.CLASSES
     )
     return f"""

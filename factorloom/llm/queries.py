@@ -7,13 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, secrets
+from . import bpe, exact_dedup, language_id, mixing, secrets
 from .common import table
 from .oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 
+TOKENIZERS = "/opt/tokenizers"
+BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+PIECES = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = bpe.encode_decode(docs, BYTE_BPE, keep_text=False)
+    return tokens.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.learn(docs, PIECES)
+    found = language_id.identify(docs.select("doc_id", language_id.held_out().alias("held_out"), "text"), model, drop_text=True)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -28,4 +49,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_secret_scan, op8_exact_dedup, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_language_id, op4_secret_scan, op8_exact_dedup, op10_mixing)}
