@@ -245,3 +245,10 @@ def identify(docs: DataFrame, model: Model, drop_text: bool = False) -> DataFram
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*names, "lang_pred", "score"])
 
     return docs.mapInArrow(scored, schema)
+
+
+def keep_identified(docs: DataFrame, vocabulary_path: str, least_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language can be told, with all their columns: not ``und``, score ``least_score`` or more."""
+    model = learn(docs, vocabulary_path)
+    found = identify(docs.withColumn("__at", F.struct(*[F.col(c) for c in docs.columns])).select("text", "__at"), model, drop_text=True)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("__at.*")

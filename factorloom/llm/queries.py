@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, mixing, secrets
+from . import bpe, exact_dedup, language_id, mixing, near_dedup, secrets
 from .common import table
 from .oracles import ORACLE_SQL
 
@@ -39,6 +39,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "text_id")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = exact_dedup.DigestIndex.fresh(spark).add(table(spark, sf_dir, "documents"))
     return report.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
@@ -49,4 +54,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_language_id, op4_secret_scan, op8_exact_dedup, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_language_id, op4_secret_scan, op5_near_dedup, op8_exact_dedup, op10_mixing)}
