@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import secrets
+from . import substring_dedup as spans
 from .common import WORD
 from .exact_dedup import LOWER, UPPER
 
@@ -98,4 +99,26 @@ FROM d LEFT JOIN b USING (row_no) LEFT JOIN a USING (row_no)
 
 OP4 = _op4()
 
-ORACLE_SQL = {"op4_secret_scan": OP4, "op8_exact_dedup": OP8, "op10_mixing": OP10}
+OP9 = f"""
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
+parts AS (SELECT row_no, doc_id, regexp_extract_all(text, '{spans.SENTENCE}') AS p, text FROM d),
+sentences AS (
+  SELECT row_no, doc_id, i AS place, trim(regexp_replace(lower(p[i + 1]), '{spans.SPACES}', ' ', 'g')) AS plain
+  FROM (SELECT *, unnest(range(0, len(p))) AS i FROM parts)),
+counted AS (SELECT *, len(regexp_extract_all(plain, '{WORD}')) AS words FROM sentences),
+paired AS (
+  SELECT *, lead(plain) OVER w AS next_plain, lead(words) OVER w AS next_words FROM counted
+  WINDOW w AS (PARTITION BY row_no ORDER BY place)),
+runs AS (
+  SELECT row_no, doc_id, place, 2 AS n, plain, next_plain FROM paired WHERE next_plain IS NOT NULL AND words + next_words >= {spans.LEAST_WORDS}
+  UNION ALL SELECT row_no, doc_id, place, 1, plain, NULL FROM paired WHERE words >= {spans.ALONE_WORDS}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n, plain, next_plain ORDER BY doc_id, place) AS k FROM runs),
+covered AS (SELECT DISTINCT row_no, place + j AS place FROM (SELECT row_no, place, unnest(range(0, n)) AS j FROM ranked WHERE k > 1)),
+gone AS (SELECT row_no, list(place::INTEGER ORDER BY place) AS removed FROM covered GROUP BY row_no)
+SELECT doc_id, len(p)::BIGINT AS n_sentences, coalesce(len(removed), 0)::BIGINT AS n_removed,
+       coalesce(array_to_string(removed, ','), '') AS removed,
+       coalesce(array_to_string(list_filter(p, lambda x, i: NOT list_contains(coalesce(removed, []), (i - 1)::INTEGER)), ''), '') AS text
+FROM parts LEFT JOIN gone USING (row_no)
+"""
+
+ORACLE_SQL = {"op9_substring_dedup": OP9, "op4_secret_scan": OP4, "op8_exact_dedup": OP8, "op10_mixing": OP10}

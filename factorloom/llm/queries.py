@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, mixing, near_dedup, secrets
+from . import bpe, exact_dedup, language_id, mixing, near_dedup, secrets, substring_dedup
 from .common import table
 from .oracles import ORACLE_SQL
 
@@ -49,9 +49,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.fair_queue(table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_repeats=3, share=1.0, seed=0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_language_id, op4_secret_scan, op5_near_dedup, op8_exact_dedup, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_language_id, op4_secret_scan, op5_near_dedup, op8_exact_dedup, op9_substring_dedup, op10_mixing)}
