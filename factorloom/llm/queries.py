@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, mixing, near_dedup, secrets, substring_dedup
+from . import bpe, exact_dedup, language_id, mixing, near_dedup, secrets, substring_dedup, topk
 from .common import table
 from .oracles import ORACLE_SQL
 
@@ -44,6 +44,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "text_id")
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors.where(F.pmod("id", F.lit(100)) == 0), vectors, k=10)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = exact_dedup.DigestIndex.fresh(spark).add(table(spark, sf_dir, "documents"))
     return report.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
@@ -59,4 +64,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_language_id, op4_secret_scan, op5_near_dedup, op8_exact_dedup, op9_substring_dedup, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_language_id, op4_secret_scan, op5_near_dedup, op6_exact_topk, op8_exact_dedup, op9_substring_dedup, op10_mixing)}
