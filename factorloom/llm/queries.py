@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, mixing, near_dedup, secrets, substring_dedup, topk
+from . import bpe, exact_dedup, html_text, language_id, mixing, near_dedup, secrets, substring_dedup, topk, warc
 from .common import table
 from .oracles import ORACLE_SQL
 
@@ -19,6 +19,12 @@ BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 PIECES = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.captures(table(spark, sf_dir, "pages")))
+    merged = F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat_ws(": ", e["key"], e["value"])), "; ")
+    return found.select("record_id", "canonical_url", "ts", "outcome", "resolved_id", merged.alias("headers"), "digest")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tokens = bpe.encode_decode(docs, BYTE_BPE, keep_text=False)
@@ -49,6 +55,11 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where(F.pmod("id", F.lit(100)) == 0), vectors, k=10)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_text.extract(table(spark, sf_dir, "pages"))
+    return text.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = exact_dedup.DigestIndex.fresh(spark).add(table(spark, sf_dir, "documents"))
     return report.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
@@ -64,4 +75,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_language_id, op4_secret_scan, op5_near_dedup, op6_exact_topk, op8_exact_dedup, op9_substring_dedup, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_revisits, op2_bpe, op3_language_id, op4_secret_scan, op5_near_dedup, op6_exact_topk, op7_html_text, op8_exact_dedup, op9_substring_dedup, op10_mixing)}
