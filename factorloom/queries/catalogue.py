@@ -1,0 +1,201 @@
+"""Queries on a factor catalogue made from the parts table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import catalog
+from ..plans.compiler import compute_long
+from ..sources.bars import events_panel
+from . import query
+from .sql import EVENTS_PANEL
+
+FIELDS, OPS = ["close", "volume", "open", "high"], ["Mean", "Std", "Ref", "Ts_Max", "EMA"]
+FACTORS_SQL = f"""factors AS (
+  SELECT p_partkey AS id, p_name AS name, lower(p_brand) AS name_cn, {OPS}[(p_partkey % 5 + 1)::INTEGER] || '(' || {FIELDS}[(p_partkey % 4 + 1)::INTEGER] || ', ' || p_size || ')' AS formula,
+         CASE WHEN p_partkey % 4 = p_partkey % 3 THEN [{FIELDS}[(p_partkey % 4 + 1)::INTEGER]] ELSE [{FIELDS}[(p_partkey % 4 + 1)::INTEGER], {FIELDS}[(p_partkey % 3 + 1)::INTEGER]] END AS fields, lower(p_type) AS style,
+         CASE WHEN p_partkey % 3 = 0 THEN 'ready' ELSE 'draft' END AS status, (p_partkey % 3) || '.' || (p_partkey % 7) || '.' || (p_partkey % 11) AS version,
+         [lower(p_brand), lower(p_type)] AS tags, p_partkey % 50 AS report_id, p_partkey AS created_at, p_retailprice / 10000 AS ic FROM part)"""
+
+
+def factors(spark, sf_dir):
+    k = F.col("p_partkey")
+
+    def pick(items, m):
+        return F.element_at(F.array(*[F.lit(x) for x in items]), (k % m + 1).cast("int"))
+
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        k.alias("id"), F.col("p_name").alias("name"), F.lower("p_brand").alias("name_cn"), F.concat(pick(OPS, 5), F.lit("("), pick(FIELDS, 4), F.lit(", "), F.col("p_size"), F.lit(")")).alias("formula"),
+        F.array_distinct(F.array(pick(FIELDS, 4), pick(FIELDS, 3))).alias("fields"), F.lower("p_type").alias("style"), F.when(k % 3 == 0, "ready").otherwise("draft").alias("status"),
+        F.concat_ws(".", (k % 3).cast("string"), (k % 7).cast("string"), (k % 11).cast("string")).alias("version"), F.array(F.lower("p_brand"), F.lower("p_type")).alias("tags"),
+        (k % 50).alias("report_id"), k.alias("created_at"), (F.col("p_retailprice") / 10000).alias("ic"),
+    )
+
+
+HASH = "sha256(formula || '|' || array_to_string(list_sort(fields), ','))"
+
+
+@query("catalog_identity", f"WITH {FACTORS_SQL} SELECT id, {HASH} AS dedup_hash FROM factors")
+def identity(spark, sf_dir):
+    return factors(spark, sf_dir).select("id", catalog.identity(F.col("formula"), F.col("fields")).alias("dedup_hash"))
+
+
+@query(
+    "catalog_versions",
+    f"""WITH {FACTORS_SQL}, v AS (SELECT id, list_transform(string_split(version, '.'), lambda x: x::INTEGER) AS v FROM factors)
+SELECT id, (v[1] + 1) || '.0.0' AS major, v[1] || '.' || (v[2] + 1) || '.0' AS minor, v[1] || '.' || v[2] || '.' || (v[3] + 1) AS patch FROM v""",
+)
+def versions(spark, sf_dir):
+    return factors(spark, sf_dir).select("id", *[catalog.bumped(F.col("version"), p).alias(p) for p in ("major", "minor", "patch")])
+
+
+@query(
+    "catalog_register",
+    f"""WITH {FACTORS_SQL}, h AS (SELECT *, {HASH} AS hash FROM factors), known AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY id) AS k FROM h WHERE id % 2 = 0) WHERE k = 1),
+fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY created_at DESC, id DESC) AS k FROM h WHERE id % 2 = 1) WHERE k = 1)
+SELECT id, hash AS dedup_hash, version FROM known WHERE hash NOT IN (SELECT hash FROM fresh)
+UNION ALL SELECT coalesce(k.id, f.id), f.hash, CASE WHEN k.id IS NULL THEN '1.0.0' ELSE split_part(k.version, '.', 1) || '.' || split_part(k.version, '.', 2) || '.' || (split_part(k.version, '.', 3)::INTEGER + 1) END
+FROM fresh f LEFT JOIN known k ON f.hash = k.hash""",
+)
+def register(spark, sf_dir):
+    every = factors(spark, sf_dir).drop("ic")
+    even = every.where("id % 2 = 0").withColumn("h", catalog.identity(F.col("formula"), F.col("fields")))
+    first = even.groupBy("h").agg(F.min("id").alias("id")).select("id")
+    known = even.drop("h").join(first, "id", "left_semi")
+    return catalog.register(known, every.where("id % 2 = 1")).select("id", "dedup_hash", "version")
+
+
+STYLE_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(t, {w!r})' for w in words)} THEN '{name}'" for name, words in catalog.STYLES) + " ELSE 'other' END"
+MECHANISM_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(t, {w!r})' for w in words)} THEN '{name}'" for name, words in catalog.MECHANISMS) + " ELSE 'other' END"
+
+
+@query("catalog_styles", f"WITH {FACTORS_SQL}, x AS (SELECT id, lower(name || ' ' || name_cn || ' ' || formula) AS t FROM factors) SELECT id, {STYLE_SQL} AS style, {MECHANISM_SQL} AS mechanism FROM x")
+def styles(spark, sf_dir):
+    texts = [F.col(c) for c in ("name", "name_cn", "formula")]
+    return factors(spark, sf_dir).select("id", catalog.style_of(*texts).alias("style"), catalog.mechanism_of(*texts).alias("mechanism"))
+
+
+@query(
+    "catalog_eligibility",
+    "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 IN (2, 3) AND p_partkey % 2 = 0 THEN 'drop' WHEN p_partkey % 4 = 3 THEN 'keep' ELSE 'keep' END AS decision FROM part",
+)
+def eligibility(spark, sf_dir):
+    k = F.col("p_partkey")
+    types = F.when(k % 4 == 0, F.array().cast("array<string>")).when(k % 4 == 1, F.array(F.lit("price"), F.lit("volume"))).when(k % 4 == 2, F.array(F.lit("price"), F.lit("macro"))).otherwise(F.array(F.lit("fundamental")))
+    source = F.when(k % 2 == 0, "local").otherwise("remote")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("id"), catalog.eligibility(types, source).alias("decision"))
+
+
+@query("catalog_filter", f"WITH {FACTORS_SQL} SELECT id FROM factors WHERE status = 'ready' AND style = 'economy' AND list_has_all(tags, ['brand#2', 'economy']) AND report_id IN (SELECT range FROM range(0, 50, 2))")
+def filtered(spark, sf_dir):
+    reports = spark.range(50).select("id", F.when(F.col("id") % 2 == 0, "north").otherwise("south").alias("broker"))
+    return catalog.filtered(factors(spark, sf_dir), "ready", "economy", ["brand#2", "economy"], "north", reports).select("id")
+
+
+@query("catalog_search", f"WITH {FACTORS_SQL} SELECT id FROM factors WHERE contains(lower(name), 'ring') OR contains(lower(name_cn), 'ring') OR contains(lower(style), 'ring')")
+def search(spark, sf_dir):
+    return catalog.search(factors(spark, sf_dir), "RING").select("id")
+
+
+@query("catalog_counts", f"WITH {FACTORS_SQL} SELECT style, count(*) AS n FROM factors GROUP BY style")
+def counts(spark, sf_dir):
+    return catalog.counts(factors(spark, sf_dir))
+
+
+@query("catalog_queue", f"WITH {FACTORS_SQL} SELECT id, created_at FROM factors WHERE status = 'draft' ORDER BY created_at, id LIMIT 1")
+def queue(spark, sf_dir):
+    waiting = factors(spark, sf_dir).withColumn("status", F.when(F.col("status") == "draft", "pending").otherwise("done"))
+    return catalog.next_in_queue(waiting).select("id", "created_at")
+
+
+@query("catalog_upsert", "SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey")
+def upsert(spark, sf_dir):
+    return catalog.latest(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+TEMPLATE = r"regexp_replace(regexp_replace(formula, '\b[0-9]+\b', 'N', 'g'), '\s+', '', 'g')"
+KEY = "substr(sha256(template || '|' || array_to_string(fields, ',')), 1, 16)"
+
+
+@query(
+    "catalog_experience",
+    f"""WITH {FACTORS_SQL}, x AS (SELECT {TEMPLATE} AS template, list_sort(fields) AS fields, ic, report_id FROM factors)
+SELECT {KEY} AS key, template, array_to_string(fields, ',') AS fields, round(avg(ic), 8) AS avg_ic, count(*) AS n_successes, count(DISTINCT report_id) AS n_reports FROM x GROUP BY template, x.fields""",
+)
+def experience(spark, sf_dir):
+    found = catalog.experience(factors(spark, sf_dir))
+    return found.select("key", "template", F.array_join("fields", ",").alias("fields"), F.round("avg_ic", 8).alias("avg_ic"), "n_successes", F.size("report_ids").cast("long").alias("n_reports"))
+
+
+@query(
+    "catalog_similar",
+    f"""WITH {FACTORS_SQL}, x AS (SELECT DISTINCT {TEMPLATE} AS template, list_sort(fields) AS fields FROM factors),
+s AS (SELECT {KEY} AS key, 0.6::DOUBLE * CASE WHEN template = 'Mean(close,N)' THEN 1 WHEN contains(template, 'Mean(close,N)') OR contains('Mean(close,N)', template) THEN 0.7 ELSE 0 END
+  + 0.4::DOUBLE * len(list_intersect(fields, ['close', 'volume'])) / len(list_distinct(list_concat(fields, ['close', 'volume']))) AS score FROM x)
+SELECT key, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY s.score DESC, key LIMIT 5""",
+)
+def similar(spark, sf_dir):
+    return catalog.similar(catalog.experience(factors(spark, sf_dir)), "Mean(close, 7)", ["close", "volume"]).select("key", F.round("score", 6).alias("score"))
+
+
+@query(
+    "catalog_merged_specs",
+    f"""WITH {FACTORS_SQL}, s AS (SELECT *, regexp_replace(lower(name), '\\s+', '', 'g') AS key, (id % 4) / 4.0::DOUBLE AS confidence FROM factors)
+SELECT id, key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY confidence DESC, length(formula) DESC, id) AS k FROM s) WHERE k = 1""",
+)
+def merged_specs(spark, sf_dir):
+    specs = factors(spark, sf_dir).withColumns({"seq": F.col("id"), "confidence": (F.col("id") % 4) / F.lit(4.0)})
+    return catalog.merged_specs(specs).select("id", "key")
+
+
+@query(
+    "catalog_articles",
+    r"""WITH a AS (SELECT doc_id AS id, sha1(substr(regexp_replace(coalesce(text, ''), '\s+', '', 'g'), 1, 1200)) AS fingerprint FROM documents)
+SELECT fingerprint, min(id) AS id, count(*) AS n_copies FROM a GROUP BY fingerprint""",
+)
+def articles(spark, sf_dir):
+    return catalog.distinct_articles(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query(
+    "catalog_archetypes",
+    f"""WITH {FACTORS_SQL}, f AS (SELECT style, report_id, created_at, unnest(fields) AS field, unnest(range(1, len(fields) + 1)) AS p FROM factors),
+a AS (SELECT style, field, min(row(created_at, p)) AS place FROM f GROUP BY style, field), b AS (SELECT style, report_id, min(created_at) AS place FROM factors GROUP BY style, report_id)
+SELECT style, string_agg(field, ',' ORDER BY place) AS fields, (SELECT string_agg(report_id, ',' ORDER BY place) FROM b WHERE b.style = a.style) AS reports FROM a GROUP BY style""",
+)
+def archetypes(spark, sf_dir):
+    rows = factors(spark, sf_dir).withColumn("reports", F.array(F.col("report_id").cast("string")))
+    merged = catalog.merged_lists(rows, "style", "created_at", "fields", "reports")
+    return merged.select("style", F.array_join("fields", ",").alias("fields"), F.array_join("reports", ",").alias("reports"))
+
+
+@query(
+    "catalog_terms",
+    "SELECT lower(p_name) AS term, arg_min(p_brand, p_partkey) AS canonical, max(p_size / 100.0::DOUBLE) AS confidence, count(*) AS n FROM part GROUP BY 1",
+)
+def terms(spark, sf_dir):
+    seen = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("term"), F.col("p_brand").alias("canonical"), (F.col("p_size") / F.lit(100.0)).alias("confidence"))
+    return catalog.term_mappings(seen)
+
+
+NEW = {"momentum": "close / Ref(close, 5) - 1", "level": "Rank(close)", "activity": "amount"}
+KNOWN = {"short_momentum": "close / Ref(close, 4) - 1", "high_level": "Rank(high)", "volume": "volume"}
+A = "OVER (PARTITION BY asset ORDER BY date)"
+
+
+def _ranked(x):
+    return f"(rank() OVER (PARTITION BY date ORDER BY {x}) + (count(*) OVER (PARTITION BY date, {x}) - 1) / 2.0::DOUBLE) / count({x}) OVER (PARTITION BY date)"
+
+
+@query(
+    "catalog_redundancy",
+    f"""WITH {EVENTS_PANEL}, w AS (SELECT date, asset, close / lag(close, 5) {A} - 1 AS momentum, {_ranked('close')} AS level, amount AS activity, close / lag(close, 4) {A} - 1 AS short_momentum, {_ranked('high')} AS high_level, volume FROM panel),
+a AS (UNPIVOT (SELECT date, asset, momentum, level, activity FROM w) ON momentum, level, activity INTO NAME factor VALUE v),
+b AS (UNPIVOT (SELECT date, asset, short_momentum, high_level, volume FROM w) ON short_momentum, high_level, volume INTO NAME known_factor VALUE u),
+p AS (SELECT factor, known_factor, count(*) AS n, abs(corr(v, u)) AS correlation FROM a JOIN b USING (date, asset) GROUP BY 1, 2)
+SELECT factor, known_factor, n, round(correlation, 6) AS correlation, correlation > 0.7 AS redundant FROM (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY correlation DESC, known_factor) AS k FROM p WHERE n >= 10) WHERE k = 1""",
+)
+def redundancy(spark, sf_dir):
+    panel = events_panel(spark, sf_dir)
+    found = catalog.redundancy(compute_long(panel, NEW), compute_long(panel, KNOWN))
+    return found.withColumn("correlation", F.round("correlation", 6))

@@ -1,0 +1,215 @@
+"""Queries on texts: the documents table, its lines as blocks of pages, and tables made from its rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import documents as d
+from . import query
+
+
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+#: Three lines of a document are a page; every page ends with a running title and a page number.
+PAGES = r"""lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents),
+pages AS (SELECT doc_id, (n // 3 + 1)::INTEGER AS page_num, string_agg(line, chr(10) ORDER BY n) || chr(10) || 'Report of unit ' || doc_id % 7 || chr(10) || '- ' || (n // 3 + 1) || ' -' AS text FROM lines GROUP BY doc_id, n // 3)"""
+
+
+def pages(spark, sf_dir):
+    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    grouped = lines.groupBy("doc_id", (F.floor(F.col("n") / 3) + 1).cast("int").alias("page_num")).agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
+    text = F.concat_ws("\n", F.array_join("l.line", "\n"), F.concat(F.lit("Report of unit "), F.col("doc_id") % 7), F.concat(F.lit("- "), "page_num", F.lit(" -")))
+    return grouped.select("doc_id", "page_num", text.alias("text"))
+
+
+@query(
+    "text_quality",
+    r"""WITH t AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN ' 营业收入增长' ELSE '' END AS text FROM documents),
+c AS (SELECT doc_id, length(regexp_replace(text, '\s', '', 'g')) AS solid, len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')) AS cjk FROM t)
+SELECT doc_id, round(CASE WHEN solid > 0 THEN cjk / solid::DOUBLE ELSE 0 END, 6) AS cjk_ratio, CASE WHEN solid > 0 THEN cjk > 0 AND cjk / solid::DOUBLE < 0.3 ELSE false END AS garbled FROM c""",
+)
+def text_quality(spark, sf_dir):
+    text = F.concat("text", F.when(F.col("doc_id") % 5 == 0, " 营业收入增长").otherwise(""))
+    return docs(spark, sf_dir).select("doc_id", F.round(d.cjk_ratio(text), 6).alias("cjk_ratio"), d.is_garbled(text).alias("garbled"))
+
+
+@query(
+    "text_page_class",
+    r"""WITH t AS (SELECT doc_id, trim(coalesce(text, '')) AS text, doc_id % 3 = 0 AS images, doc_id % 4 = 0 AS ocr FROM documents),
+h AS (SELECT *, length(text) AS n, len(regexp_extract_all(text, '\|')) AS pipes, len(list_filter(string_split(text, chr(10)), lambda s: length(s) > 5 AND len(regexp_extract_all(s, '\d')) > length(s) * 0.3)) AS heavy,
+       contains(lower(text), 'figure') OR contains(lower(text), 'chart') OR contains(text, '图表') AS chart FROM t)
+SELECT doc_id, CASE WHEN n = 0 AND NOT images THEN 'blank' WHEN images AND (ocr OR n = 0) THEN 'scanned' WHEN pipes > 5 OR heavy > 3 THEN 'table_candidate'
+  WHEN images AND (n < 200 OR chart) THEN 'chart_candidate' WHEN n > 200 AND NOT ocr AND NOT images THEN 'text_rich' ELSE 'mixed' END AS page_class FROM h""",
+)
+def page_class(spark, sf_dir):
+    images, ocr = F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0), F.col("doc_id") % 4 == 0
+    return docs(spark, sf_dir).select("doc_id", d.page_class(F.col("text"), images, ocr).alias("page_class"))
+
+
+@query("text_page_route")
+def page_route(spark, sf_dir):
+    images, ocr = F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0), F.col("doc_id") % 4 == 0
+    return docs(spark, sf_dir).select("doc_id", d.page_route(F.col("text"), images, ocr).alias("r")).select("doc_id", "r.*")
+
+
+@query(
+    "text_repeated_lines",
+    f"WITH {PAGES}" + r""", n AS (SELECT doc_id, count(DISTINCT page_num) AS n FROM pages GROUP BY doc_id),
+l AS (SELECT doc_id, page_num, trim(unnest(string_split(text, chr(10)))) AS line FROM pages),
+k AS (SELECT DISTINCT doc_id, page_num, regexp_replace(regexp_replace(line, '\s', '', 'g'), '\d+$', '') AS line_key FROM l WHERE length(line) BETWEEN 1 AND 80)
+SELECT doc_id, line_key, count(*) AS n_pages FROM k JOIN n USING (doc_id) WHERE line_key <> '' GROUP BY doc_id, line_key, n.n HAVING count(*) >= greatest(2, least(3, CASE WHEN n.n // 4 > 0 THEN n.n // 4 ELSE 2 END))""",
+)
+def repeated_lines(spark, sf_dir):
+    return d.repeated_lines(pages(spark, sf_dir))
+
+
+@query(
+    "text_without_boilerplate",
+    f"""WITH {PAGES} SELECT doc_id, page_num, trim(array_to_string(list_filter(string_split(text, chr(10)), lambda s: NOT (regexp_matches(trim(s), '^[-—–\\s]*\\d{{1,3}}[-—–\\s]*$') OR regexp_matches(trim(s), '^\\d+\\s*/\\s*\\d+\\s*$')
+  OR (length(trim(s)) <= 24 AND regexp_matches(trim(s), '^[A-Z][A-Z\\s.]+$')))), chr(10))) AS text FROM pages""",
+)
+def without_boilerplate(spark, sf_dir):
+    return pages(spark, sf_dir).select("doc_id", "page_num", d.without_boilerplate(F.col("text")).alias("text"))
+
+
+@query("text_hard_split", "SELECT doc_id, unnest(range(0, length(text), 1600)) // 1600 AS piece_no, substr(text, unnest(range(0, length(text), 1600)) + 1, 2000) AS piece FROM documents WHERE length(text) > 0")
+def hard_split(spark, sf_dir):
+    pieces = docs(spark, sf_dir).select("doc_id", F.posexplode(d.hard_split(F.col("text"), 2000, 400)).alias("piece_no", "piece"))
+    return pieces.withColumn("piece_no", F.col("piece_no").cast("long"))
+
+
+@query("text_chunks")
+def chunks(spark, sf_dir):
+    return d.chunks(docs(spark, sf_dir), 10_000, 400)
+
+
+@query("text_number_spans")
+def number_spans(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.explode(d.number_spans(F.col("text"))).alias("n")).select("doc_id", "n.*")
+
+
+#: A sentence of a report from a customer's number. A change that is said later, here the fall of profit, replaces an earlier one.
+SENTENCE = ("2023年营业收入", "亿元，同比增长", "%，归母净利润下降", "万元")
+
+
+@query(
+    "text_metrics",
+    """WITH c AS (SELECT c_custkey AS id, (c_custkey % 500) / 10.0::DOUBLE AS a, (c_custkey % 37) / 4.0::DOUBLE AS b, c_custkey % 90 AS c FROM customer)
+SELECT id, '营收' AS name, '营业收入' AS raw_name, a AS value, '亿元' AS unit, -c::DOUBLE + 0.0 AS yoy, NULL::DOUBLE AS qoq FROM c UNION ALL SELECT id, '归母净利润', '归母净利润', CASE WHEN c = 0 THEN 0 ELSE -c END, '万元', NULL, NULL FROM c""",
+)
+def metric_items(spark, sf_dir):
+    k = F.col("c_custkey")
+    text = F.concat(F.lit(SENTENCE[0]), (k % 500) / 10, F.lit(SENTENCE[1]), (k % 37) / 4, F.lit(SENTENCE[2]), k % 90, F.lit(SENTENCE[3]))
+    found = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("id"), F.explode(d.metric_items(text)).alias("m")).select("id", "m.*")
+    return found.withColumns({c: F.col(c) + F.lit(0.0) for c in ("value", "yoy")})
+
+
+@query("text_terms", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '营收' WHEN 1 THEN 'ROE' WHEN 2 THEN 'PE' ELSE trim(p_name) END AS term FROM part")
+def terms(spark, sf_dir):
+    k = F.col("p_partkey")
+    term = F.when(k % 4 == 0, " 营业收入 ").when(k % 4 == 1, "净资产收益率").when(k % 4 == 2, "市盈率").otherwise(F.col("p_name"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("id"), d.canonical_term(term).alias("term"))
+
+
+def tables(spark, sf_dir):
+    """One pipe table for each supplier: three rows, a total that is off for some, an empty cell for some."""
+    k = F.col("s_suppkey")
+    a, b = k % 10, k % 7
+    total = a + b + F.when(k % 5 == 0, 1).otherwise(0)
+    cell = F.when(k % 3 == 0, F.lit("")).otherwise(b.cast("string"))
+    text = F.concat(F.lit("| 项目 | 2023年 | note |\n|---|---|---|\n| 货币资金 | "), a, F.lit(" | "), F.lit("x |\n| 存货 | "), cell, F.lit(" | y |\n| 合计 | "), total, F.lit(" | z |"))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("table_id"), text.alias("text"))
+
+
+TABLE_SQL = "s AS (SELECT s_suppkey AS k, s_suppkey % 10 AS a, s_suppkey % 7 AS b, s_suppkey % 3 = 0 AS gap, s_suppkey % 10 + s_suppkey % 7 + (s_suppkey % 5 = 0)::INTEGER AS total FROM supplier)"
+
+
+@query(
+    "table_score",
+    f"""WITH {TABLE_SQL}, c AS (SELECT k, gap::INTEGER / 9.0::DOUBLE AS empty, (4 + 1 + 1 + 2 + 1 + 2 + 1 + (CASE WHEN gap THEN 0 ELSE 1 END) + length(total::VARCHAR)) / 9.0::DOUBLE AS mean FROM s)
+SELECT k AS table_id, round(1 - empty * 0.2 - mean / 100 * 0.2, 6) AS score FROM c""",
+)
+def table_score(spark, sf_dir):
+    return tables(spark, sf_dir).select("table_id", F.round(d.table_score(d.table_rows(F.col("text"))), 6).alias("score"))
+
+
+@query("table_semantics", f"WITH {TABLE_SQL} SELECT k AS table_id, 'balance_sheet' AS statement, 0.7::DOUBLE AS confidence, 0::INTEGER AS header, 3::INTEGER AS total_row FROM s")
+def table_semantics(spark, sf_dir):
+    rows = tables(spark, sf_dir).select("table_id", d.table_rows(F.col("text")).alias("rows"))
+    total = F.array_position(F.transform("rows", d.is_total_row), True).cast("int") - 1
+    return rows.select("table_id", d.statement_type(F.col("rows")).alias("s"), d.header_row(F.col("rows")).alias("header"), total.alias("total_row")).select("table_id", "s.*", "header", "total_row")
+
+
+@query(
+    "table_total_mismatches",
+    f"WITH {TABLE_SQL} SELECT k AS table_id, 3::INTEGER AS row_no, 1::INTEGER AS col_no, (a + CASE WHEN gap THEN 0 ELSE b END)::DOUBLE AS expected, total::DOUBLE AS actual FROM s WHERE a + CASE WHEN gap THEN 0 ELSE b END <> total",
+)
+def table_total_mismatches(spark, sf_dir):
+    return d.total_mismatches(tables(spark, sf_dir).select("table_id", d.table_rows(F.col("text")).alias("rows")))
+
+
+@query(
+    "table_continued",
+    """WITH b AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page_num, o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN 'text' ELSE 'table' END AS type FROM orders),
+t AS (SELECT *, type = 'table' AND lag(type) OVER w = 'table' AS follows FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY page_num)),
+c AS (SELECT *, sum(CASE WHEN coalesce(follows, false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page_num) AS chain FROM t WHERE type = 'table')
+SELECT doc_id, min(page_num)::INTEGER AS page_num, string_agg(page_num, ',' ORDER BY page_num) AS pages, '| key |' || chr(10) || '|---|' || chr(10) || string_agg('| ' || k || ' |', chr(10) ORDER BY page_num) AS "table" FROM c GROUP BY doc_id, chain""",
+)
+def table_continued(spark, sf_dir):
+    from pyspark.sql import Window
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    blocks = orders.select(
+        F.col("o_custkey").alias("doc_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("page_num"), F.lit(0).alias("block_no"),
+        F.when(F.col("o_orderstatus") == "P", "text").otherwise("table").alias("type"), F.concat(F.lit("| key |\n|---|\n| "), "o_orderkey", F.lit(" |")).alias("text"),
+    )
+    return d.merge_continued(blocks).withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))
+
+
+@query("text_formula_spans")
+def formula_spans(spark, sf_dir):
+    return d.formula_spans(docs(spark, sf_dir))
+
+
+@query("text_diagrams", "SELECT p_partkey AS id, p_partkey % 3 < 2 AS valid FROM part")
+def diagrams(spark, sf_dir):
+    k = F.col("p_partkey")
+    code = F.when(k % 3 == 0, "graph TD\nA-->B").when(k % 3 == 1, "  pie title x").otherwise("A --> B\ngraph")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("id"), d.is_diagram(code).alias("valid"))
+
+
+@query("text_quality_counters", "SELECT o_custkey AS doc_id, count(*) AS n_blocks, count(*) FILTER (o_orderkey % 10 < 8) AS n_low_confidence, count(*) FILTER (o_orderkey % 4 = 0 AND o_orderkey % 3 = 0) AS n_bad_diagrams FROM orders GROUP BY o_custkey")
+def quality_counters(spark, sf_dir):
+    k = F.col("o_orderkey")
+    blocks = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_custkey").alias("doc_id"), F.when(k % 4 == 0, "mermaid").otherwise("text").alias("type"), F.when(k % 3 == 0, "A-->B").otherwise("graph LR").alias("text"), ((k % 10) / 10).alias("confidence")
+    )
+    return d.quality_counters(blocks)
+
+
+@query("text_blocks_kept")
+def blocks_kept(spark, sf_dir):
+    paged = pages(spark, sf_dir)
+    blocks = paged.select("doc_id", "page_num", F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
+    placed = blocks.withColumns({"type": F.lit("text"), "page_height": F.lit(800.0), "y0": 100.0 + F.col("block_no") * 20, "y1": 112.0 + F.col("block_no") * 20})
+    return d.drop_blocks(placed, d.repeated_lines(paged)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"))
+
+
+@query("text_overlap", "SELECT item_id, length(regexp_replace(text, '\\s+', '', 'g')) > 0 AS overlaps FROM benchmark")
+def overlap(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", d.overlaps_table(F.col("text"), F.concat(F.lit("| "), "text", F.lit(" |"))).alias("overlaps"))
+
+
+@query(
+    "text_reading_order",
+    """SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY round_even(l_quantity / 10, 0) * 10, l_extendedprice) AS place FROM lineitem
+QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber, l_quantity, l_extendedprice) = 1""",
+)
+def reading_order(spark, sf_dir):
+    from pyspark.sql import Window
+
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_num"), F.col("l_quantity").alias("y0"), F.col("l_extendedprice").alias("x0"))
+    ordered = d.reading_order(lines).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "page_num", "y0", "x0"))).where("n = 1")
+    return ordered.select("l_orderkey", "l_linenumber", "l_partkey", F.col("place").cast("long").alias("place"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: ANSI mode stays on: division by zero and the like are expressed explicitly (``factorloom.functions.ieee``).
@@ -23,3 +26,12 @@ def session(app: str = "factorloom", master: str | None = None, **settings: str)
     for key, value in {**SETTINGS, **{k.replace("__", "."): v for k, v in settings.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A fresh path under the folder of ``spark.checkpoint.dir``; under a private folder only where that is unset (tests)."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="factorloom-")
+        spark.sparkContext.setCheckpointDir(named)
+    return f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
