@@ -12,7 +12,7 @@ from .sql import EVENTS_PANEL
 
 @query("stream_daily_bars", f"WITH {EVENTS_PANEL} SELECT date, asset, open, high, low, close, round(volume, 6) AS volume, amount FROM panel")
 def stream_daily_bars(spark, sf_dir):
-    path = f"{sf_dir}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(path)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     bars = daily_bars(events, F.col("user_id").cast("string"), F.col("ts"), F.col("value"), [F.col("event_id")])
     return run_to_end(bars, scratch_path(spark, "bars")).withColumn("volume", F.round("volume", 6))
