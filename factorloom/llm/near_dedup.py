@@ -29,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +43,8 @@ SIMILARITY = 0.8
 #: Words sketched at a time, and members of one side of a block in step 2.
 SLICE_WORDS = 1_000_000
 BLOCK = 1024
+#: Profiles of texts that a worker keeps while it goes through blocks.
+PROFILES = 5_000
 
 # Odd multipliers of a public 64-bit mixing function.
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -179,39 +180,67 @@ def _verified(least: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Re
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _block_links(least: float, members: pd.DataFrame) -> pd.DataFrame:
+def _block_links(least: float, band: int, members: list[dict], profile) -> Iterator[tuple[str, str]]:
     """Links between the left and the right rows of one block: other components, the first bucket they share."""
-    left, right = members[members.side == 0].reset_index(drop=True), members[members.side == 1].reset_index(drop=True)
-    out: list[tuple[str, str]] = []
-    if len(left) and len(right):
-        band = int(members.band.iloc[0])
-        lb, rb = np.stack(left.bands.to_numpy()), np.stack(right.bands.to_numpy())
-        group = {x: x for x in {*left.label, *right.label}}
-
-        def root(x: str) -> str:
-            while group[x] != x:
-                group[x] = x = group[group[x]]
-            return x
-
-        profiles: dict[tuple[int, int], tuple] = {}
-
-        def profile(side: int, k: int) -> tuple:
-            if (side, k) not in profiles:
-                profiles[side, k] = _profile((left if side == 0 else right).words[k])
-            return profiles[side, k]
-
-        right_keys, right_out = right.key.to_numpy(), right.outside.to_numpy()
-        for k in range(len(left)):
-            same = rb == lb[k]
-            shared = same.sum(axis=1)
-            # pairs of two members outside their centre's component come up from both sides
-            todo = (shared >= 2) & ~same[:, :band].any(axis=1) & (~right_out | (right_keys > left.key[k]))
-            mine = left.label[k]
-            for j in np.flatnonzero(todo)[np.argsort(-shared[todo], kind="stable")]:
-                if root(mine) != root(other := right.label[j]) and _close(profile(0, k), profile(1, j), least):
-                    group[root(mine)] = root(other)
-                    out.append((left.key[k], right_keys[j]))
-    return pd.DataFrame(out, columns=["u", "v"])
+    left, right = [m for m in members if m["side"] == 0], [m for m in members if m["side"] == 1]
+    if not left or not right:
+        return
+    rb = np.array([m["bands"] for m in right], np.int64)
+    group: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while (up := group.get(x, x)) != x:
+            group[x] = group.get(up, up)
+            x = up
+        return x
+
+    outside = np.array([m["outside"] for m in right])
+    labels = np.array([m["label"] for m in right])
+    keys = np.array([m["key"] for m in right])
+    for m in left:
+        same = rb == np.array(m["bands"], np.int64)
+        shared = same.sum(axis=1)
+        # pairs of two members outside their centre's component come up from both sides
+        todo = np.flatnonzero((shared >= 2) & (labels != m["label"]) & ~same[:, :band].any(axis=1) & (~outside | (keys > m["key"])))
+        for k in todo[np.argsort(-shared[todo], kind="stable")]:
+            if root(m["label"]) != root(right[k]["label"]) and _close(profile(m), profile(right[k]), least):
+                group[root(m["label"])] = root(right[k]["label"])
+                yield m["key"], right[k]["key"]
+
+
+def _in_blocks(least: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks one after another, from rows sorted by block; one block's rows are held at a time."""
+    known: dict[str, tuple] = {}
+
+    def profile(m: dict) -> tuple:
+        if m["key"] not in known:
+            if len(known) >= PROFILES:
+                known.clear()
+            known[m["key"]] = _profile(m["words"].values.to_numpy())
+        return known[m["key"]]
+
+    def links(members: list[dict]) -> list[tuple[str, str]]:
+        return list(_block_links(least, members[0]["band"], members, profile))
+
+    members: list[dict] = []
+    block = None
+    for batch in batches:
+        found: list[tuple[str, str]] = []
+        columns = {n: batch.column(n).to_pylist() for n in ("band", "bucket", "left", "right", "key", "label", "outside", "side", "bands")}
+        words = batch.column("words")
+        for k, here in enumerate(zip(*(columns[n] for n in ("band", "bucket", "left", "right")))):
+            if here != block:
+                if members:
+                    found += links(members)
+                block, members = here, []
+            members.append({n: columns[n][k] for n in ("band", "key", "label", "outside", "side", "bands")} | {"words": words[k]})
+        yield _pairs(found)
+    if members:
+        yield _pairs(links(members))
+
+
+def _pairs(found: list[tuple[str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], ["u", "v"])
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -261,8 +290,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     blocks = numbered(0, "lefts", "rights").unionByName(numbered(1, "rights", "lefts"))
     hashed = words.select("key", "bands", word_hashes().alias("words"))
-    blocks = blocks.hint("merge").join(hashed, "key")
-    more = blocks.groupBy("band", "bucket", "left", "right").applyInPandas(lambda g: _block_links(least, g), "u string, v string")
+    block = ["band", "bucket", "left", "right"]
+    blocks = blocks.hint("merge").join(hashed, "key").repartition(*block).sortWithinPartitions(*block, "side", "key")
+    more = blocks.mapInArrow(lambda b: _in_blocks(least, b), "u string, v string")
 
     named = components(stage(links.unionByName(more), "links-all"))
     classes = texts.select("key", "text_id").hint("merge").join(named.withColumnRenamed("node", "key"), "key", "left")
