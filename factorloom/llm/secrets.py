@@ -103,8 +103,9 @@ def _hot_windows(candidate: Column, c: CharClass) -> Column:
     def step(acc: Column, x: Column) -> Column:
         entering, leaving, at = x["entering"], x["leaving"], x["at"]
         n_in = F.element_at(acc["counts"], entering)
-        n_out = F.when(leaving > 0, F.element_at(acc["counts"], F.greatest(leaving, F.lit(1))) + F.when(leaving == entering, 1).otherwise(0))
-        total = acc["sum"] + term(n_in + 1) - term(n_in) + F.coalesce(term(n_out - 1) - term(n_out), F.lit(0).cast("long"))
+        n_out = F.element_at(acc["counts"], F.greatest(leaving, F.lit(1))) + F.when(leaving == entering, 1).otherwise(0)
+        left = F.when(leaving > 0, term(F.greatest(n_out - 1, F.lit(0))) - term(n_out)).otherwise(F.lit(0).cast("long"))
+        total = acc["sum"] + term(n_in + 1) - term(n_in) + left
         changed = F.transform(acc["counts"], lambda n, i: n + F.when(i + 1 == entering, 1).otherwise(0) - F.when(i + 1 == leaving, 1).otherwise(0))
         hot = (at >= c.window) & (total <= c.limit)
         begin = at - c.window
