@@ -36,12 +36,16 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the JVM may be gone; the shared folder has its own retention then
             return
 
@@ -51,7 +55,15 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     computed outlives lost executors, and is not computed twice."""
     path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that only fed tables staged since."""
+    for df in staged:
+        _delete(df.sparkSession, df.staged_at)
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parallelism, stage
+from .common import discard, parallelism, stage
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -234,54 +234,56 @@ def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(lines, pa.list_(pa.int64()))], [*kept, "lines"])
 
 
+def _common_segments(a: Column, b: Column) -> Column:
+    """Number of leading path segments that two paths share."""
+    same = F.zip_with(F.split(a, "/"), F.split(b, "/"), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return F.when(F.array_contains(same, False), F.array_position(same, False) - 1).otherwise(F.size(same))
+
+
 def neighbours(pages: DataFrame) -> DataFrame:
-    """``row_hash, before, after``: of each different page the pages before and after it in URL order, as ``(path, lines)``, null where
-    that page is of another host or of the same path."""
+    """``row_hash, lines``: of each different page the line hashes of its nearest page in URL order, before or after it, on the same host
+    and of another path; the one that shares more leading path segments, else the one before. Pages without one are left out."""
     rows = pages.select(_row_hash().alias(ROW), "url", F.coalesce("html", F.lit("")).alias("html")).withColumns(_url_parts(F.col("url"))).drop("url")
-    rows = stage(rows.mapInArrow(_hashed, "row_hash long, host string, path string, lines array<long>"), "page-lines")
+    lines = stage(rows.mapInArrow(_hashed, "row_hash long, host string, path string, lines array<long>"), "page-lines")
     n = parallelism(pages.sparkSession)
     order = ["host", "path", ROW]
-    rows = stage(rows.where("host <> ''").dropDuplicates([ROW]).repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "page-order")
+    placed = lines.where("host <> ''").dropDuplicates([ROW]).repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
+    rows = placed = stage(placed, "page-order")
+    discard(lines)
     page = F.struct("host", "path", "lines")
     here = Window.partitionBy("part").orderBy(*order)
-    rows = rows.withColumns({"before": F.lag(page).over(here), "after": F.lead(page).over(here), "first": F.row_number().over(here) == 1})
+    rows = rows.withColumns({"before": F.lag(page).over(here), "after": F.lead(page).over(here)})
     # one row for each partition carries its edges over to the next
     edge = F.struct(*order, "lines")
-    edges = rows.groupBy("part").agg(F.min(edge).alias("low"), F.max(edge).alias("high"))
+    edges = placed.groupBy("part").agg(F.min(edge).alias("low"), F.max(edge).alias("high"))
     parts = Window.orderBy("part")
     edges = edges.select("part", F.lag("high").over(parts).alias("left"), F.lead("low").over(parts).alias("right"))
     rows = rows.join(edges, "part")
 
-    def other(inner: Column, outer: Column) -> Column:
+    def usable(inner: Column, outer: Column) -> Column:
         found = F.coalesce(inner, F.struct(outer["host"].alias("host"), outer["path"].alias("path"), outer["lines"].alias("lines")))
-        usable = (found["host"] == F.col("host")) & (found["path"] != F.col("path"))
-        return F.when(usable, F.struct(found["path"].alias("path"), found["lines"].alias("lines")))
-
-    return rows.select(ROW, other(F.col("before"), F.col("left")).alias("before"), other(F.col("after"), F.col("right")).alias("after"))
+        return F.when((found["host"] == F.col("host")) & (found["path"] != F.col("path")), found)
 
-
-def _common(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
+    rows = rows.select(ROW, "path", usable(F.col("before"), F.col("left")).alias("before"), usable(F.col("after"), F.col("right")).alias("after"))
+    near = {k: F.coalesce(_common_segments(F.col(f"{k}.path"), F.col("path")), F.lit(-1)) for k in ("before", "after")}
+    nearest = F.when(near["after"] > near["before"], F.col("after.lines")).otherwise(F.col("before.lines"))
+    out = stage(rows.select(ROW, nearest.alias("lines")).where("lines IS NOT NULL"), "page-neighbours")
+    discard(placed)
+    return out
 
 
 def _extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for html, path, before, after in zip(*(batch.column(n).to_pylist() for n in ("html", "path", "before", "after"))):
-            near = max((x for x in (before, after) if x), key=lambda x: _common(x["path"], path), default=None)
-            texts.append(main_text(html, near and near["lines"]))
+        for a in range(0, batch.num_rows, 500):
+            part = batch.slice(a, 500)
+            texts += map(main_text, part.column("html").to_pylist(), part.column("lines").to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text`` of every row of ``pages``."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    near = stage(neighbours(pages), "page-neighbours")
-    joined = pages.withColumn(ROW, _row_hash()).hint("merge").join(near, ROW, "left")
-    joined = joined.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _url_parts(F.col("url"))["path"].alias("path"), "before", "after")
+    joined = pages.withColumn(ROW, _row_hash()).hint("merge").join(neighbours(pages), ROW, "left")
+    joined = joined.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), "lines")
     return joined.mapInArrow(_extracted, "page_id long, url string, text string")
