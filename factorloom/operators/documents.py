@@ -460,3 +460,87 @@ def reading_order(blocks: DataFrame) -> DataFrame:
     """``blocks`` (``doc_id, page_num, x0, y0``) with ``place``: rows of ten points from top to bottom, then left to right."""
     order = Window.partitionBy("doc_id", "page_num").orderBy(F.rint(F.col("y0") / 10) * 10, "x0")
     return blocks.withColumn("place", F.row_number().over(order))
+
+
+# ---- glyphs and table repair ----------------------------------------------------------------------------------------
+
+# Private-use glyphs of symbol fonts, as Unicode and as LaTeX.
+GLYPHS = {
+    "\uf0e5": ("∑", "\\sum"), "\uf0a3": ("≤", "\\leq"), "\uf03d": ("=", "="), "\uf02b": ("+", "+"), "\uf02d": ("-", "-"), "\uf0e6": ("", ""), "\uf0e7": ("(", "("), "\uf0e8": ("", ""),
+    "\uf0f6": ("", ""), "\uf0f7": (")", ")"), "\uf0f8": ("", ""), "\uf028": ("(", "("), "\uf029": (")", ")"), "\uf05b": ("[", "["), "\uf05d": ("]", "]"), "\uf065": ("ε", "\\varepsilon"),
+    "\uf0b9": ("≠", "\\neq"), "\uf04c": ("…", "\\dots"), "\uf04d": ("…", "\\dots"), "\uf04b": ("…", "\\dots"), "\uf04f": ("…", "\\dots"),
+}
+LAMBDA = "\uf06c"
+
+
+def _glyphs(text: Column, latex: bool) -> Column:
+    bullet = F.trim(text).startswith(LAMBDA) & text.rlike(r"[一-鿿]")
+    out = F.when(bullet, F.replace(text, F.lit(LAMBDA), F.lit("•"))).otherwise(F.replace(text, F.lit(LAMBDA), F.lit("\\lambda" if latex else "λ")))
+    for glyph, forms in GLYPHS.items():
+        out = F.replace(out, F.lit(glyph), F.lit(forms[latex]))
+    return out
+
+
+def glyphs_to_unicode(text: Column) -> Column:
+    """Private-use glyphs as Unicode; a leading lambda before Chinese is a bullet."""
+    return _glyphs(text, latex=False)
+
+
+def glyphs_to_latex(text: Column) -> Column:
+    """Private-use glyphs as LaTeX, commands set off by spaces, common subscripts."""
+    out = _glyphs(text, latex=True)
+    for plain, indexed in (("ESi", "ES_i"), ("Xi", "X_i"), ("wi", "w_i")):
+        out = F.regexp_replace(out, rf"\b{plain}\b", indexed)
+    out = F.regexp_replace(out, r"(?<!\s)(\\leq|\\sum|\\lambda|\\dots)(?!\s)", " $1 ")
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def split_numbers(cell: str) -> list[str]:
+    """The numbers of a cell that holds nothing else; the cell itself where it is no run of numbers."""
+    parts = re.findall(r"[+-]?\d+(?:\.\d+)?%?", cell)
+    glued = re.fullmatch(r"([+-]?\d+(?:\.\d+)?%)([+-]?\d+(?:\.\d+)?%)", cell)
+    if glued:
+        return list(glued.groups())
+    return parts if len(parts) >= 2 and "".join(parts) == re.sub(r"[\s,，、;/|]+", "", cell) else [cell]
+
+
+def split_header(cell: str, words: tuple[str, ...]) -> list[str]:
+    """A header cell cut into the known words that it runs together, the longest first; what lies between stays as it is."""
+    pieces = re.split("(" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + ")", re.sub(r"\s+", "", cell)) if words else [cell]
+    return [p for p in (x.strip("、，,./;；:：|·• ") for x in pieces) if p in words or len(p) >= 2 or re.fullmatch("[A-Za-z0-9%]+", p)]
+
+
+def fitted(row: list[str], width: int) -> list[str]:
+    """A data row brought to a width: run-together numbers are split into the places that empty cells leave, what is too much
+    goes to the last cell."""
+    solid = [c for c in row if c]
+    if len(solid) < len(row) and sum(len(split_numbers(c)) for c in solid) >= width:
+        row = solid
+    while len(row) > width and "" in row:
+        row.remove("")
+    out: list[str] = []
+    for k, cell in enumerate(row):
+        parts = split_numbers(cell)
+        out += parts if len(out) + len(parts) + len(row) - k - 1 <= width else [cell]
+    return out[: width - 1] + [" ".join(out[width - 1 :])] if len(out) > width else out + [""] * (width - len(out))
+
+
+def repaired(table: str, phrases: dict[str, str] | None = None, header_words: tuple[str, ...] = ()) -> str:
+    """A pipe table with known misreadings replaced (longest first), run-together headers and numbers split, rows of one width.
+
+    ``phrases`` and ``header_words`` are a corpus's own lexicon."""
+    for wrong in sorted(phrases or {}, key=len, reverse=True):
+        table = table.replace(wrong, phrases[wrong])
+    rows = rows_of(table)
+    if len(rows) < 2:
+        return table
+    header = [h for c in rows[0] for h in (split_header(c, header_words) if sum(w in c for w in header_words) >= 2 else [c])]
+    widths = sorted(len(r) for r in rows[1:])
+    typical = widths[len(widths) // 2]
+    width = len(header) if len(header) > len(rows[0]) or abs(len(header) - typical) <= 1 and len(header) >= 6 else max(typical, 2)
+    lines = [fitted(header, width), ["---"] * width, *(fitted(r, width) for r in rows[1:])]
+    return "\n".join("| " + " | ".join(r) + " |" for r in lines)
+
+
+def repaired_table(text: Column, phrases: dict[str, str] | None = None, header_words: tuple[str, ...] = ()) -> Column:
+    return _scan(lambda t: repaired(t, phrases, header_words), "string")(text)

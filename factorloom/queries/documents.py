@@ -213,3 +213,39 @@ def reading_order(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_num"), F.col("l_quantity").alias("y0"), F.col("l_extendedprice").alias("x0"))
     ordered = d.reading_order(lines).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "page_num", "y0", "x0"))).where("n = 1")
     return ordered.select("l_orderkey", "l_linenumber", "l_partkey", F.col("place").cast("long").alias("place"))
+
+
+@query(
+    "text_chart_types",
+    """WITH t AS (SELECT p_partkey AS id, p_partkey % 4 AS k, p_partkey % 3 AS m FROM part),
+s AS (SELECT id, CASE k WHEN 0 THEN 'bar' WHEN 1 THEN 'pie' WHEN 2 THEN 'line' ELSE 'unknown' END AS t, CASE k WHEN 0 THEN 0.9 WHEN 1 THEN 0.9 WHEN 2 THEN 0.7 ELSE 0 END AS tc,
+      CASE m WHEN 0 THEN 'pie' WHEN 1 THEN 'bar' ELSE 'unknown' END AS m, CASE m WHEN 0 THEN 0.85 WHEN 1 THEN 0.65 ELSE 0 END AS mc FROM t)
+SELECT id, t AS from_texts, m AS from_label, CASE WHEN m = 'unknown' THEN t WHEN t = 'unknown' OR m = t THEN m WHEN mc >= tc + 0.15 THEN m WHEN tc >= mc + 0.15 THEN t WHEN (CASE t WHEN 'pie' THEN 1 ELSE 2 END) > (CASE m WHEN 'pie' THEN 1 ELSE 2 END) THEN t
+  WHEN (CASE t WHEN 'pie' THEN 1 ELSE 2 END) = (CASE m WHEN 'pie' THEN 1 ELSE 2 END) AND tc >= mc THEN t ELSE m END AS fused FROM s""",
+)
+def chart_types(spark, sf_dir):
+    from ..operators import charts
+
+    k = F.col("p_partkey")
+    texts = F.when(k % 4 == 0, F.array(F.lit("柱状图"))).when(k % 4 == 1, F.array(F.lit("Pie chart"), F.lit("资料来源 x"))).when(k % 4 == 2, F.array(F.lit("2021"), F.lit("2022"), F.lit("2023"))).otherwise(F.array().cast("array<string>"))
+    label = F.when(k % 3 == 0, "I see:\nPie.").when(k % 3 == 1, "a bar is there maybe").otherwise("")
+    both = spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("id"), charts.from_texts(texts).alias("t"), charts.from_label(label).alias("m"))
+    return both.select("id", F.col("t.type").alias("from_texts"), F.col("m.type").alias("from_label"), charts.fused(F.col("m"), F.col("t"))["type"].alias("fused"))
+
+
+@query("text_glyphs", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'ES ≤ λ' ELSE '• 中文' END AS plain, CASE WHEN p_partkey % 2 = 0 THEN 'ES \\leq \\lambda' ELSE '• 中文' END AS latex FROM part")
+def glyphs(spark, sf_dir):
+    k = F.col("p_partkey")
+    text = F.when(k % 2 == 0, "ES \uf0a3 \uf06c").otherwise("\uf06c 中文")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("id"), d.glyphs_to_unicode(text).alias("plain"), d.glyphs_to_latex(text).alias("latex"))
+
+
+@query(
+    "table_repair",
+    "SELECT s_suppkey AS id, '| 名称 | 年化收益率 | 最大回撤 |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| f' || s_suppkey || ' | ' || s_suppkey % 50 || '.5% | -3.25% |' AS \"table\" FROM supplier",
+)
+def table_repair(spark, sf_dir):
+    k = F.col("s_suppkey")
+    text = F.concat(F.lit("| 名称 | 年化收孟率最大回撤 |\n|---|---|\n| f"), k, F.lit(" | "), k % 50, F.lit(".5%-3.25% |"))
+    fixed = d.repaired_table(text, {"年化收孟率": "年化收益率"}, ("年化收益率", "最大回撤"))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("id"), fixed.alias("table"))
