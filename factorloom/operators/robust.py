@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import frames, ieee
 from . import metrics
 
 DAYS = 252
@@ -192,19 +191,35 @@ def regime_stress(df: DataFrame, returns: str = "forward_return", reference: str
     return out.select("regime", "n_rows", "ic", worst.alias("worst"), one_sign.alias("consistent"))
 
 
+#: Hash ranges in which the rows of a replicate are numbered.
+RANGES = 1024
+
+
+def _numbered(rows: DataFrame, key: Column, place: str) -> DataFrame:
+    """``rows`` with ``place`` from 1 within ``rep``, in some order fixed by the hash ``key``: a row's number is its number in its hash
+    range plus the rows of the ranges before, so no task holds a whole replicate."""
+    hashed = rows.withColumn("__key", key).withColumn("__range", F.pmod("__key", F.lit(RANGES)))
+    before = Window.partitionBy("rep").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = hashed.groupBy("rep", "__range").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.select("rep", "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("rep", "__range").orderBy("__key", "date", "asset")
+    numbered = hashed.withColumn("__k", F.row_number().over(within)).join(sizes, ["rep", "__range"])
+    return numbered.withColumn(place, F.col("__before") + F.col("__k")).drop("__key", "__range", "__k", "__before")
+
+
 def placebo(factor: DataFrame, returns: DataFrame, shuffles: int = 100, seed: int = 42) -> DataFrame:
     """One row ``true_ic, placebo_mean, placebo_std, p_value, n_shuffles, significant``: the mean IC against that of shuffled factors.
 
-    A replicate pairs the rows in key order with the values in the order of a hash of seed, replicate and key, over all rows.
-    Replicates are groups of one job; ranks within a replicate's dates need no more than a date's rows.
+    A replicate pairs the rows, numbered by one hash of their keys, with the values, numbered by another: a permutation over all
+    rows. Replicates are groups of one job; ranks within a replicate's dates need no more than a date's rows.
     """
     rows = factor.join(returns, ["date", "asset"]).where("factor_value IS NOT NULL AND forward_return IS NOT NULL").select("date", "asset", "factor_value", "forward_return")
     true_ic = metrics.spearman_by(rows, "factor_value", "forward_return", "date").agg(F.coalesce(F.avg("ic"), F.lit(0.0)).alias("true_ic"))
     copies = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(shuffles))).alias("rep"))
-    by_key = Window.partitionBy("rep").orderBy("date", "asset")
-    by_hash = Window.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", F.col("date").cast("string"), F.col("asset").cast("string")), "date", "asset")
-    numbered = copies.withColumns({"a": F.row_number().over(by_key), "b": F.row_number().over(by_hash)})
-    paired = numbered.select("rep", "date", "forward_return", F.col("a").alias("place")).join(numbered.select("rep", F.col("b").alias("place"), "factor_value"), ["rep", "place"])
+    names = [F.col("date").cast("string"), F.col("asset").cast("string")]
+    left = _numbered(copies.drop("factor_value"), F.xxhash64(F.lit(seed), *names), "place")
+    right = _numbered(copies.drop("forward_return"), F.xxhash64(F.lit(seed), "rep", F.lit("shuffled"), *names), "place")
+    paired = left.select("rep", "place", "date", "forward_return").join(right.select("rep", "place", "factor_value"), ["rep", "place"])
     chance = metrics.spearman_by(paired, "factor_value", "forward_return", "rep", "date").groupBy("rep").agg(F.avg("ic").alias("ic"))
     found = chance.agg(F.coalesce(F.avg("ic"), F.lit(0.0)).alias("placebo_mean"), F.coalesce(F.stddev_pop("ic"), F.lit(0.0)).alias("placebo_std")).crossJoin(F.broadcast(true_ic))
     z = F.abs(F.col("true_ic") - F.col("placebo_mean")) / F.when(F.col("placebo_std") > 0, F.col("placebo_std"))

@@ -190,3 +190,10 @@ def test_text_columns(spark):
     assert [r[0] for r in formulas.select(documents.is_formula_line(F.col("s"))).collect()] == [True, False, False]
     clean = frame(spark, [("[Table_A]| HAITONG | x |\n证券研究报告\nbody",)], "s string").select(documents.sanitized(F.col("s"))).first()[0]
     assert "HAITONG" not in clean and "证券研究报告" not in clean and clean.endswith("body")
+
+
+def test_placebo_is_a_permutation(spark):
+    f, returns = factor(spark, dates=7, assets=9)
+    rows = f.select("date", "asset", "factor_value", F.lit(1).alias("rep"))
+    placed = robust._numbered(rows, F.xxhash64("asset", F.col("date").cast("string")), "place").collect()
+    assert sorted(r["place"] for r in placed) == list(range(1, 64))
