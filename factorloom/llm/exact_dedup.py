@@ -62,10 +62,9 @@ class DigestIndex:
             .groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies")),
             "digests",
         )
-        groups = (
-            members.groupBy("digest").agg(F.max("doc_id").alias("batch_id"), F.sum("copies").alias("group_size"))
-            .repartition(self.buckets, "digest")
-        )
+        # staged, as the anti-join would else be moved below the grouping and shuffle every copy
+        groups = stage(members.groupBy("digest").agg(F.max("doc_id").alias("batch_id"), F.sum("copies").alias("group_size")), "digest-groups")
+        groups = groups.repartition(self.buckets, "digest")
         new = groups.hint("merge").join(self.table().select("digest"), "digest", "left_anti")
         new = stage(new.select("digest", F.col("batch_id").alias("keep_id")), "digests-new")
         fresh_rows = new.withColumn("is_new", F.lit(True))
