@@ -179,3 +179,13 @@ def test_revision(cause, want):
 def test_revision_of_universe():
     assert normalize.revise("close", "csi300", "universe_mismatch")[1] == "csi500"
     assert normalize.revise("close", "可转债", "universe_mismatch")[1] == "csi300"
+
+
+def test_reflection_ends():
+    from factorloom.plans.reflection import reflect
+
+    fixed = reflect(lambda f, u, w: ("CSZScore" in f, 0.0 if "CSZScore" in f else 2.0, "formula_error"), "Mean(close, 20)", "csi300")
+    assert fixed.status == "converged" and fixed.best.formula == "CSZScore(Mean(close, 20))"
+    assert reflect(lambda f, u, w: (False, 1.0, "unknown"), "close", "csi300").status == "escalated"
+    scores = iter([3.0, 2.0, 1.0])
+    assert reflect(lambda f, u, w: (False, next(scores), "data_mismatch"), "close", "csi300").status == "exhausted"
