@@ -17,6 +17,7 @@ Cases
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 from collections.abc import Iterable, Iterator
@@ -35,8 +36,8 @@ SETTLED = regex.compile(r"[\u0000-ԧ฀-๿Ḁ-⁯₠-↋←-⏿─-⬀　-ㄭ
 #: Fixed value: the pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct words kept in a worker's cache, and characters of new words that one index holds.
-CACHE_WORDS = 400_000
-SLICE_CHARS = 400_000
+CACHE_WORDS = 300_000
+SLICE_CHARS = 150_000
 #: Words of text handled at a time.
 GROUP_WORDS = 200_000
 
@@ -106,19 +107,26 @@ class PairIndexCodec:
         while active:
             r = heapq.heappop(active)
             left, right, merged = self.pairs[r]
+            merged_left = merged << 20
             for i in sorted(index.pop(r)):
                 if sym[i] != left or sym[j := after[i]] != right:
                     continue  # an earlier merge took one of the two
                 sym[i], sym[j] = merged, -2
-                k, h = after[j], before[i]
-                after[i], before[k] = k, i
-                for place, x, y in ((h, sym[h], merged), (i, merged, sym[k])):
-                    if x >= 0 and y >= 0 and (s := rank(x << 20 | y)) is not None:
-                        if s in index:
-                            index[s].append(place)
-                        else:
-                            index[s] = [place]
-                            heapq.heappush(active, s)
+                after[i] = k = after[j]
+                before[k] = i
+                if (x := sym[k]) >= 0 and (s := rank(merged_left | x)) is not None:
+                    if s in index:
+                        index[s].append(i)
+                    else:
+                        index[s] = [i]
+                        heapq.heappush(active, s)
+                h = before[i]
+                if (x := sym[h]) >= 0 and (s := rank(x << 20 | merged)) is not None:
+                    if s in index:
+                        index[s].append(h)
+                    else:
+                        index[s] = [h]
+                        heapq.heappush(active, s)
         out = np.array(sym, np.int64)
         live = out >= 0
         ids, counts = out[live].astype(np.int32), np.add.reduceat(live, starts) if len(starts) else []
@@ -188,6 +196,7 @@ _codecs: dict[str, PairIndexCodec] = {}
 def codec(path: str) -> PairIndexCodec:
     if path not in _codecs:
         _codecs[path] = PairIndexCodec(path)
+        gc.freeze()  # the vocabulary lives as long as the worker
     return _codecs[path]
 
 
