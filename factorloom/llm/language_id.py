@@ -39,7 +39,7 @@ LONGEST_PIECE = 8
 UNSEEN = 1e-7
 #: Longer words are scored in pieces of this length: a bound on the lattice, reached by no real word.
 LONGEST_WORD = 40
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: More learned languages than this are refused: the model goes to every worker.
 MOST_LANGUAGES = 1000
 
@@ -62,29 +62,39 @@ def words_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
+def prefixes(pieces: list[str]) -> dict[str, int]:
+    """Number of each piece, and -1 for what only begins pieces: where neither is found, no longer piece matches."""
+    found = {p[:n]: -1 for p in pieces for n in range(1, len(p))}
+    found.update((p, i) for i, p in enumerate(pieces))
+    return found
+
+
 class Lattice:
-    """Edges ``word, start, piece`` of a list of words, by end and length."""
+    """Edges ``word, start, piece`` of a list of words, by end and start. ``known``: see ``prefixes``."""
 
-    def __init__(self, words: list[str], ids: dict[str, int]):
+    def __init__(self, words: list[str], known: dict[str, int]):
         self.n, self.width = len(words), max(map(len, words), default=0)
         self.length = np.fromiter(map(len, words), np.int64, len(words))
-        edges: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
-        get = ids.get
+        packed: list[int] = []
+        get, add = known.get, packed.append
         for no, w in enumerate(words):
             n = len(w)
+            word = no << 17
             for i in range(n):
                 for j in range(i + 1, min(i + LONGEST_PIECE, n) + 1):
                     piece = get(w[i:j])
-                    if piece is None:
-                        if j > i + 1:
-                            continue
-                        piece = -1
-                    group = edges.get((j, i))
-                    if group is None:
-                        group = edges[(j, i)] = ([], [])
-                    group[0].append(no)
-                    group[1].append(piece)
-        self.edges = {k: (np.array(a), np.array(b)) for k, (a, b) in sorted(edges.items())}
+                    if piece is None or piece < 0:
+                        if j == i + 1:  # a letter that is no piece
+                            add((j << 6 | i) << 40 | word)
+                        if piece is None:
+                            break
+                    else:
+                        add((j << 6 | i) << 40 | word | piece + 1)
+        edges = np.sort(np.array(packed, np.int64))
+        place = edges >> 40
+        bounds = np.flatnonzero(np.diff(place, prepend=-1)).tolist() + [len(edges)]
+        word, piece = edges >> 17 & 0x7FFFFF, (edges & 0x1FFFF) - 1
+        self.edges = {(int(place[a]) >> 6, int(place[a]) & 63): (word[a:b], piece[a:b]) for a, b in zip(bounds, bounds[1:])}
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """alpha[word, position, language]; the last row of ``p`` is the unseen piece's."""
@@ -123,7 +133,7 @@ class Model:
     p: np.ndarray
 
     def __post_init__(self) -> None:
-        self._ids = {w: i for i, w in enumerate(self.pieces)}
+        self._ids = prefixes(self.pieces)
         self._cache: dict[str, int] = {}
         self._scores = np.zeros((1024, len(self.languages)))
 
@@ -143,8 +153,8 @@ class Model:
         """Bring words' scores into the cache."""
         if len(self._cache) + len(words) > CACHE_WORDS:
             self._cache.clear()
-        for a in range(0, len(words), 20_000):
-            part = words[a : a + 20_000]
+        for a in range(0, len(words), 5_000):
+            part = words[a : a + 5_000]
             pieces = [_cut(w) for w in part]
             flat = self.log_likelihood([x for p in pieces for x in p])
             starts = np.cumsum([0] + [len(p) for p in pieces[:-1]])
@@ -157,22 +167,21 @@ class Model:
 
     def score(self, texts: list[str]) -> Iterator[tuple[str, float]]:
         """Language and its posterior (languages equally likely before) of each text."""
-        for a in range(0, len(texts), 200):
-            counts = [Counter(words_of(t)) for t in texts[a : a + 200]]
-            new = list({w for c in counts for w in c if w not in self._cache})
-            if new and self.languages:
-                before = len(self._cache)
-                self._learn(new)
-                if len(self._cache) < before + len(new):  # the cache was cleared
-                    self._learn(list({w for c in counts for w in c if w not in self._cache}))
-            for c in counts:
-                if not c or not self.languages:
-                    yield UNKNOWN, 0.0
-                    continue
-                rows = np.fromiter(map(self._cache.__getitem__, c), np.int64, len(c))
-                total = np.fromiter(c.values(), np.float64, len(c)) @ self._scores[rows]
-                best = int(np.argmax(total))
-                yield self.languages[best], float(1 / np.exp(total - total[best]).sum())
+        counts = [Counter(words_of(t)) for t in texts]
+        new = list({w for c in counts for w in c if w not in self._cache})
+        if new and self.languages:
+            before = len(self._cache)
+            self._learn(new)
+            if len(self._cache) < before + len(new):  # the cache was cleared
+                self._learn(list({w for c in counts for w in c if w not in self._cache}))
+        for c in counts:
+            if not c or not self.languages:
+                yield UNKNOWN, 0.0
+                continue
+            rows = np.fromiter(map(self._cache.__getitem__, c), np.int64, len(c))
+            total = np.fromiter(c.values(), np.float64, len(c)) @ self._scores[rows]
+            best = int(np.argmax(total))
+            yield self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
 def held_out() -> Column:
@@ -240,7 +249,8 @@ def identify(docs: DataFrame, model: Model, drop_text: bool = False) -> DataFram
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(shared.value.score(batch.column("__scored").to_pylist()))
+            texts = batch.column("__scored")
+            found = [x for a in range(0, len(texts), 200) for x in shared.value.score(texts.slice(a, 200).to_pylist())]
             columns = [batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*names, "lang_pred", "score"])
 

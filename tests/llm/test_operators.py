@@ -243,7 +243,7 @@ def test_forward_sums_all_segmentations():
 
 def test_expected_counts_add_up():
     m = toy_model()
-    lattice = language_id.Lattice(["abab", "ba"], {p: i for i, p in enumerate(m.pieces)})
+    lattice = language_id.Lattice(["abab", "ba"], language_id.prefixes(m.pieces))
     counts = lattice.expected(m.p, np.array([[2.0, 0.0], [1.0, 0.0]]))
     letters = np.array([len(p) for p in m.pieces] + [1])
     assert (counts[:, 0] * letters).sum() == pytest.approx(2 * 4 + 2) and counts[:, 1].sum() == 0
