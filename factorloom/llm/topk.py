@@ -31,6 +31,8 @@ from .common import stage
 SCALE = 1024
 #: Vectors in a bucket of candidates, and in a block of queries.
 BUCKET, BLOCK = 4096, 1024
+#: Ranges of length; beyond that a range is dealt over more buckets, so their size stays.
+MOST_RANGES = 512
 #: Local cosine thresholds from which coordinates are worth testing, and how many of them.
 COORDINATE_FROM, COORDINATES = 0.4, 3
 
@@ -48,7 +50,7 @@ def _bucketed(candidates: DataFrame) -> DataFrame:
     """``candidates`` with ``bucket``, 0 for the greatest lengths; bounds come from quantiles of the lengths, and a range with
     more than ``BUCKET`` vectors is dealt over several buckets by id."""
     n = candidates.count()
-    ranges = max(1, -(-n // BUCKET))
+    ranges = min(MOST_RANGES, max(1, -(-n // BUCKET)))
     cuts = candidates.select(F.percentile_approx("norm2", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0] or []
     cuts = sorted(set(cuts), reverse=True)
     step = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
