@@ -56,7 +56,10 @@ MARKS = frozenset(
 )
 WRAPPERS = frozenset("article body container content enabled has layout main no open page site with without wrap wrapper".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
-CONTENT = frozenset("content post entry story article article-body article-content body-content entry-content main-content page-content post-body post-content story-body".split())
+CONTENT = frozenset(
+    "content post entry story article main primary article-body article-content article-text articlebody body-content body-text entry-content main-content main-text "
+    "maincontent page-content post-body post-content post-text story-body".split()
+)
 #: What an element of this name ends, and how far outwards it looks.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"})}
 ARTICLE, MAIN, GUESSED = 4, 2, 1
@@ -129,6 +132,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
                 flush()
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
+                    flush()
                     pop_to(depth)
                     break
             continue
@@ -141,8 +145,11 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         block = name in BLOCKS
         if block:
             flush()
-            if stack and stack[-1][0] == "p":
-                pop_to(len(stack) - 1)
+            open_p = len(stack) - 1  # a paragraph ends, with what is open inside it
+            while open_p >= 0 and stack[open_p][0] not in BLOCKS:
+                open_p -= 1
+            if open_p >= 0 and stack[open_p][0] == "p":
+                pop_to(open_p)
             if name in ENDS:
                 ends, bounds = ENDS[name]
                 for depth in range(len(stack) - 1, -1, -1):
@@ -154,7 +161,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         if name in VOID:
             continue
         marked, container = _traits(name, m["attrs"] or m["attrs2"] or "", inside)
-        if not block and not marked:
+        if not block and not marked and not container:
             continue
         if not block:
             flush()
@@ -203,7 +210,7 @@ def _hash(line: str) -> int:
 
 
 def main_text(html: str, neighbour: list[int] | None) -> str:
-    """Main text of a page, given the line hashes of its nearest neighbour."""
+    """Main text of a page, given the line hashes of its nearest neighbour. A page of which nothing would be left keeps its lines."""
     lines = lines_of(html)
     shared = longest_common([_hash(t) for t, _, _ in lines], neighbour) if neighbour else set()
     body = [(k, text, inside) for k, (text, inside, furniture) in enumerate(lines) if not furniture]
@@ -211,7 +218,9 @@ def main_text(html: str, neighbour: list[int] | None) -> str:
         if any(inside & container for _, _, inside in body):
             body = [x for x in body if x[2] & container]
             break
-    return "\n".join(text for k, text, inside in body if inside >= MAIN or k not in shared)
+    own = [text for k, text, inside in body if inside >= MAIN or k not in shared]
+    # a neighbour that has all of a page's lines is a copy of it, not what frames it
+    return "\n".join(own or [text for _, text, _ in body])
 
 
 def _url_parts(url: Column) -> dict[str, Column]:

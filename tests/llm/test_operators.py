@@ -419,6 +419,18 @@ def test_page_structure():
     assert html_text.main_text("<div class='article-body'><p>a</div></div></div><p>b", None) == "a"
 
 
+def test_pages_without_article():
+    old = "<table><tr><td class='menu'>Menu</td><td class='content'><h2>T</h2>Straight<br>text<p>More</td><td class='ads'>Ad</td></tr></table>"
+    assert html_text.main_text(old, None) == "T\nStraight text\nMore"
+    blog = "<body class='has-comments'><div id='wrapper'><div id='content'><h1>T</h1><p>A<ins class='adsbygoogle'>x</ins><p>B<span class='ad'>y<p>C</div><div id='sidebar'>S</div></div></body>"
+    assert html_text.main_text(blog, None) == "T\nA\nB\nC"
+    # without any container a neighbour's lines go, unless nothing would be left
+    bare = "<div>Menu</div><p>Own</p><div>Imprint</div>"
+    frame = [html_text._hash(x) for x in ("Menu", "Other", "Imprint")]
+    assert html_text.main_text(bare, frame) == "Own"
+    assert html_text.main_text(bare, [html_text._hash(x) for x in ("Menu", "Own", "Imprint")]) == "Menu\nOwn\nImprint"
+
+
 def test_longest_common_subsequence():
     r = random.Random(6)
     for _ in range(60):
