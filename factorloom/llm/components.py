@@ -15,7 +15,8 @@ from .common import stage
 def _step(both: DataFrame, large: bool) -> DataFrame:
     """``both``: links (u, v). large: of each u, link its larger neighbours to its least one, small: u and its smaller ones."""
     near = both if large else both.where("v < u")
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    # staged, so that both sides of the join are dealt anew and a node with very many links is split at run time
+    least = stage(near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "links-least")
     joined = near.hint("merge").join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -250,13 +250,14 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     sketched = stage(every.mapInArrow(_sketched, "doc_id long, key string, bands array<long>"), "sketches")
     texts = stage(sketched.groupBy("key").agg(F.min("doc_id").alias("text_id"), F.first("bands").alias("bands")), "sketch-texts")
 
-    # buckets with two texts or more, and their centres
+    # buckets with two texts or more, and their centres; what is counted by bucket is staged, so that the joins back split large buckets
     dealt = texts.select("key", F.posexplode("bands").alias("band", "bucket"))
-    shared = dealt.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stage(dealt.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sketch-shared")
     dealt = stage(dealt.hint("merge").join(shared, ["band", "bucket"]), "sketch-buckets")
     degree = dealt.groupBy("key").agg(F.sum(F.log2("n")).alias("degree"))
     placed = stage(dealt.hint("merge").join(degree, "key"), "sketch-degrees")
     centres = placed.groupBy("band", "bucket").agg(F.max(F.struct(F.round("degree", 6), "key")).alias("top")).select("band", "bucket", F.col("top.key").alias("centre"))
+    centres = stage(centres, "sketch-tops")
     placed = stage(placed.hint("merge").join(centres, ["band", "bucket"]), "sketch-centres")
 
     # the words of the texts that stand in such buckets
@@ -278,7 +279,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     of_centre = placed.where("key = centre").select("band", "bucket", F.col("label").alias("centre_label"))
     placed = stage(placed.hint("merge").join(of_centre, ["band", "bucket"]).withColumn("outside", F.col("label") != F.col("centre_label")), "sketch-labels")
     mixed = placed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("outside").cast("long")).alias("n_outside")).where("n_outside > 0")
-    mixed = mixed.select("band", "bucket", F.ceil(F.col("n") / BLOCK).alias("rights"), F.ceil(F.col("n_outside") / BLOCK).alias("lefts"))
+    mixed = stage(mixed.select("band", "bucket", F.ceil(F.col("n") / BLOCK).alias("rights"), F.ceil(F.col("n_outside") / BLOCK).alias("lefts")), "sketch-mixed")
     again = placed.hint("merge").join(mixed, ["band", "bucket"]).select("band", "bucket", "key", "label", "outside", "lefts", "rights")
 
     def numbered(side: int, own: str, other: str) -> DataFrame:
@@ -297,7 +298,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     named = components(stage(links.unionByName(more), "links-all"))
     classes = texts.select("key", "text_id").hint("merge").join(named.withColumnRenamed("node", "key"), "key", "left")
     classes = stage(classes.withColumn("label", F.coalesce("label", "key")), "near-classes")
-    ids = classes.groupBy("label").agg(F.min("text_id").alias("class_id"))
+    ids = stage(classes.groupBy("label").agg(F.min("text_id").alias("class_id")), "near-labels")
     classes = stage(classes.hint("merge").join(ids, "label").select("key", "text_id", "class_id"), "near-ids")
     return sketched.select("doc_id", "key").hint("merge").join(classes, "key").select("doc_id", "key", "class_id", "text_id")
 
