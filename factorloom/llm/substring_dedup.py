@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, text_or_empty
+from .common import WORD, stage, text_or_empty
 
 #: A sentence with the marks and white space that follow it; the sentences of a text joined are the text.
 SENTENCE = r"[^.!?\n]*[.!?\n]+[\x20\x09-\x0D]*|[^.!?\n]+"
@@ -61,8 +61,10 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_W
     cut = base.select("doc_id", "t", F.transform(sentences(), hashed).alias("parts"))
     runs = cut.select("doc_id", "t", F.explode(_runs("parts", span, least_words, alone_words)).alias("run")).select("run.h1", "run.h2", "doc_id", "t", "run.at", "run.n")
     place = F.struct("doc_id", "t", "at")
+    # staged: then the join back is between two tables dealt by hash, and splits a run that very many documents hold
     repeated = runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first IS DISTINCT FROM last")
-    again = runs.hint("merge").join(repeated.select("h1", "h2", "first"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    repeated = stage(repeated.select("h1", "h2", "first"), "spans-repeated")
+    again = runs.hint("merge").join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     covered = again.select("doc_id", "t", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at"))
     removed = covered.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("at")).alias("removed"))  # at most one document's sentences
 
