@@ -42,7 +42,7 @@ REGISTERS = BANDS * ROWS
 SIMILARITY = 0.8
 #: Words sketched at a time, and members of one side of a block in step 2.
 SLICE_WORDS = 1_000_000
-BLOCK = 1024
+BLOCK = 512
 #: Profiles of texts that a worker keeps while it goes through blocks.
 PROFILES = 5_000
 
