@@ -39,6 +39,7 @@ LONGEST_PIECE = 8
 UNSEEN = 1e-7
 #: Longer words are scored in pieces of this length: a bound on the lattice, reached by no real word.
 LONGEST_WORD = 40
+#: Words whose scores a worker keeps from slice to slice of texts; a slice that has more is held whole.
 CACHE_WORDS = 200_000
 #: More learned languages than this are refused: the model goes to every worker.
 MOST_LANGUAGES = 1000
@@ -149,10 +150,14 @@ class Model:
         lattice = Lattice(words, self._ids)
         return np.log(np.maximum(lattice.total(lattice.forward(self.p)), 1e-300))
 
+    def _keep(self, words: Iterable[str]) -> None:
+        """Forget the scores of all words but these."""
+        kept = [w for w in words if w in self._cache]
+        self._scores[: len(kept)] = self._scores[np.fromiter((self._cache[w] for w in kept), np.int64, len(kept))]
+        self._cache = dict(zip(kept, range(len(kept))))
+
     def _learn(self, words: list[str]) -> None:
-        """Bring words' scores into the cache."""
-        if len(self._cache) + len(words) > CACHE_WORDS:
-            self._cache.clear()
+        """Bring the scores of words that are not in the cache into it."""
         for a in range(0, len(words), 5_000):
             part = words[a : a + 5_000]
             pieces = [_cut(w) for w in part]
@@ -168,12 +173,12 @@ class Model:
     def score(self, texts: list[str]) -> Iterator[tuple[str, float]]:
         """Language and its posterior (languages equally likely before) of each text."""
         counts = [Counter(words_of(t)) for t in texts]
-        new = list({w for c in counts for w in c if w not in self._cache})
-        if new and self.languages:
-            before = len(self._cache)
+        if self.languages:
+            seen = set().union(*counts)
+            new = [w for w in seen if w not in self._cache]
+            if len(self._cache) + len(new) > CACHE_WORDS:
+                self._keep(seen)
             self._learn(new)
-            if len(self._cache) < before + len(new):  # the cache was cleared
-                self._learn(list({w for c in counts for w in c if w not in self._cache}))
         for c in counts:
             if not c or not self.languages:
                 yield UNKNOWN, 0.0

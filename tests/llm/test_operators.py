@@ -267,6 +267,15 @@ def test_language_id_learns_and_holds_out(spark):
     assert kept.columns == df.columns and kept.count() == len(rows) + 3
 
 
+def test_language_id_small_cache(monkeypatch):
+    texts = ["abab ba ab", "aba bb", "ba a b ab abba", "", "bb"]
+    want = list(toy_model().score(texts))
+    monkeypatch.setattr(language_id, "CACHE_WORDS", 3)
+    m = toy_model()
+    list(m.score(["ab bb"]))  # the cache is not empty when a slice with more words comes
+    assert list(m.score(texts)) == want and [x for t in texts for x in m.score([t])] == want
+
+
 def test_language_id_without_labels(spark):
     df = documents(spark, [(1, "words here", None, None)])
     model = language_id.learn(df, PIECES)
