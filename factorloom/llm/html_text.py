@@ -7,9 +7,10 @@ marks as its article (``article``, ``main``) are exempt from deletion, since pag
 of menus, headers, footers, sidebars, notices, adverts, forms and comments go by the names of their elements, whether or not
 a neighbour shares them.
 
-The neighbours of a page come from one range sort of small rows (line hashes, no markup): each partition looks at the row
-before and after, and the partitions' edge rows are carried over, so a host with a third of all pages is spread evenly and the
-result does not depend on how rows were dealt.
+The neighbours come from one range sort of small rows (line hashes, no markup), one for each different host and path: each
+partition looks at the row before and after, and the partitions' edge rows are carried over, so a host with a third of all pages
+is spread evenly and the result does not depend on how rows were dealt. They are joined back by host and path, so all pages of
+a path have the same neighbour, however many they are.
 
 Cases
 -----
@@ -229,13 +230,6 @@ def _url_parts(url: Column) -> dict[str, Column]:
     return {"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))}
 
 
-ROW = "row_hash"
-
-
-def _row_hash() -> Column:
-    return F.xxhash64(F.col("page_id").cast("string"), "url", "html")
-
-
 def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lines = [[_hash(t) for t, _, _ in lines_of(h)] for h in batch.column("html").to_pylist()]
@@ -250,13 +244,17 @@ def _common_segments(a: Column, b: Column) -> Column:
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
-    """``row_hash, lines``: of each different page the line hashes of its nearest page in URL order, before or after it, on the same host
-    and of another path; the one that shares more leading path segments, else the one before. Pages without one are left out."""
-    rows = pages.select(_row_hash().alias(ROW), "url", F.coalesce("html", F.lit("")).alias("html")).withColumns(_url_parts(F.col("url"))).drop("url")
+    """``host, path, lines``: for each different path of a host the line hashes of its nearest page in URL order, before or after it, on the same
+    host; the one that shares more leading path segments, else the one before. Of the pages of one path the one with the least hash of its
+    URL and markup stands for all. Paths without a neighbour are left out."""
+    row = F.xxhash64(F.col("page_id").cast("string"), "url", "html").alias("row_hash")
+    rows = pages.select(row, "url", F.coalesce("html", F.lit("")).alias("html")).withColumns(_url_parts(F.col("url"))).drop("url").where("host <> ''")
     lines = stage(rows.mapInArrow(_hashed, "row_hash long, host string, path string, lines array<long>"), "page-lines")
     n = parallelism(pages.sparkSession)
-    order = ["host", "path", ROW]
-    placed = lines.where("host <> ''").dropDuplicates([ROW]).repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
+    order = ["host", "path"]
+    # partial minima before the shuffle: a path that very many pages share is one row of each task
+    paths = lines.groupBy(*order).agg(F.min(F.struct("row_hash", "lines")).alias("least")).select(*order, F.col("least.lines").alias("lines"))
+    placed = paths.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
     rows = placed = stage(placed, "page-order")
     discard(lines)
     page = F.struct("host", "path", "lines")
@@ -270,13 +268,13 @@ def neighbours(pages: DataFrame) -> DataFrame:
     rows = rows.join(edges, "part")
 
     def usable(inner: Column, outer: Column) -> Column:
-        found = F.coalesce(inner, F.struct(outer["host"].alias("host"), outer["path"].alias("path"), outer["lines"].alias("lines")))
-        return F.when((found["host"] == F.col("host")) & (found["path"] != F.col("path")), found)
+        found = F.coalesce(inner, outer)
+        return F.when(found["host"] == F.col("host"), found)
 
-    rows = rows.select(ROW, "path", usable(F.col("before"), F.col("left")).alias("before"), usable(F.col("after"), F.col("right")).alias("after"))
+    rows = rows.select("host", "path", usable(F.col("before"), F.col("left")).alias("before"), usable(F.col("after"), F.col("right")).alias("after"))
     near = {k: F.coalesce(_common_segments(F.col(f"{k}.path"), F.col("path")), F.lit(-1)) for k in ("before", "after")}
     nearest = F.when(near["after"] > near["before"], F.col("after.lines")).otherwise(F.col("before.lines"))
-    out = stage(rows.select(ROW, nearest.alias("lines")).where("lines IS NOT NULL"), "page-neighbours")
+    out = stage(rows.select("host", "path", nearest.alias("lines")).where("lines IS NOT NULL"), "page-neighbours")
     discard(placed)
     return out
 
@@ -293,6 +291,6 @@ def _extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text`` of every row of ``pages``."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    joined = pages.withColumn(ROW, _row_hash()).hint("merge").join(neighbours(pages), ROW, "left")
+    joined = pages.withColumns(_url_parts(F.col("url"))).hint("merge").join(neighbours(pages), ["host", "path"], "left")
     joined = joined.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), "lines")
     return joined.mapInArrow(_extracted, "page_id long, url string, text string")

@@ -468,6 +468,14 @@ def test_neighbours_do_not_depend_on_partitions(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_every_page_of_a_path_has_a_neighbour(spark):
+    frame = "<div>menu</div>{}<div>foot</div>"
+    rows = [(i, f"http://h.example/index.php?id={i}", frame.format(f"<p>own text {i}</p>")) for i in range(9)]
+    rows += [(90, "http://h.example/other", frame.format("<p>other</p>")), (91, "http://one.example/a?x=1", frame.format("<p>x</p>")), (92, "http://one.example/a?x=2", frame.format("<p>y</p>"))]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {**{i: f"own text {i}" for i in range(9)}, 90: "other", 91: "menu\nx\nfoot", 92: "menu\ny\nfoot"}
+
+
 # ---- 9 substring dedup ----------------------------------------------------------------------------------------------
 
 
