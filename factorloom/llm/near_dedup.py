@@ -21,6 +21,8 @@ Cases
 -----
 * null text counts as empty; all texts without words are one class
 * null doc_ids stand in classes but never name one unless no member has a doc_id (then the class id is null)
+* rows of one doc_id with unrelated texts are in different classes; where it is the least of both, both have it as class_id, and
+  only their labels tell them apart (``keep_one`` goes by labels and keeps a row of each)
 * repeated rows and ties are members of one class; an empty table gives an empty report; other columns are ignored
 """
 
@@ -244,8 +246,8 @@ def _pairs(found: list[tuple[str, str]]) -> pa.RecordBatch:
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``doc_id, key, class_id, text_id``: of each row the class of near-duplicates that it is in, named by its least doc_id,
-    and the least doc_id of the rows with the same words."""
+    """``doc_id, key, label, class_id, text_id``: of each row the class of near-duplicates that it is in, told apart from others by its
+    label, its least key, and named by its least doc_id; and the least doc_id of the rows with the same words."""
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), profile_key().alias("key"), word_hashes().alias("words"))
     sketched = stage(every.mapInArrow(_sketched, "doc_id long, key string, bands array<long>"), "sketches")
     texts = stage(sketched.groupBy("key").agg(F.min("doc_id").alias("text_id"), F.first("bands").alias("bands")), "sketch-texts")
@@ -299,8 +301,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     classes = texts.select("key", "text_id").hint("merge").join(named.withColumnRenamed("node", "key"), "key", "left")
     classes = stage(classes.withColumn("label", F.coalesce("label", "key")), "near-classes")
     ids = stage(classes.groupBy("label").agg(F.min("text_id").alias("class_id")), "near-labels")
-    classes = stage(classes.hint("merge").join(ids, "label").select("key", "text_id", "class_id"), "near-ids")
-    return sketched.select("doc_id", "key").hint("merge").join(classes, "key").select("doc_id", "key", "class_id", "text_id")
+    classes = stage(classes.hint("merge").join(ids, "label").select("key", "label", "text_id", "class_id"), "near-ids")
+    return sketched.select("doc_id", "key").hint("merge").join(classes, "key").select("doc_id", "key", "label", "class_id", "text_id")
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -309,7 +311,7 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     found = near_duplicates(docs, least)
     absent = F.lit(-(2**63))
     keys = ["__key", "__id", "__no_id"]
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id", F.expr("CASE WHEN class_id IS NULL THEN key END")).agg(F.min("key").alias("key"))
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label", "class_id").agg(F.min("key").alias("key"))
     stays = stays.select("key", F.coalesce("class_id", absent), F.col("class_id").isNull()).toDF(*keys)
     doc_id = F.col("doc_id").cast("long")
     tagged = docs.withColumns({"__key": profile_key(), "__id": F.coalesce(doc_id, absent), "__no_id": doc_id.isNull()})

@@ -363,6 +363,14 @@ def test_near_duplicates_of_nothing_and_null_ids(spark):
     assert near_dedup.keep_one(documents(spark, [(None, text, None, None), (8, text, None, None), (None, "alone here", None, None)])).count() == 2
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    one, other = vocabulary_text(60, 11), vocabulary_text(60, 12)
+    rows = [(1, one, None, None), (1, other, None, None), (2, one + " more", None, None), (3, other.upper(), None, None), (1, one, None, None)]
+    found = near_dedup.near_duplicates(documents(spark, rows)).collect()
+    assert {r["class_id"] for r in found} == {1} and sorted(collections.Counter(r["label"] for r in found).values()) == [2, 3]
+    assert sorted((r["doc_id"], r["text"]) for r in near_dedup.keep_one(documents(spark, rows)).collect()) == sorted([(1, one), (1, other)])
+
+
 def test_components(spark):
     r = random.Random(3)
     links = [(f"{a:03}", f"{b:03}") for a, b in [(r.randrange(120), r.randrange(120)) for _ in range(90)]] + [("200", f"{k}") for k in range(300, 340)] + [(f"{k}", f"{k + 1}") for k in range(400, 440)]
