@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a private one only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a private one only where that is unset on a local master (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="factorloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -36,16 +38,27 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _file_system(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none where it does not exist."""
+    fs, p = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # the JVM may be gone; the shared folder has its own retention then
             return
 
@@ -63,7 +76,19 @@ def stage(df: DataFrame, what: str) -> DataFrame:
 def discard(*staged: DataFrame) -> None:
     """Delete staged tables that only fed tables staged since."""
     for df in staged:
-        _delete(df.sparkSession, df.staged_at)
+        delete(df.sparkSession, df.staged_at)
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names for further columns that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def parallelism(spark: SparkSession) -> int:
