@@ -7,13 +7,14 @@ where the running size passes the total budget. A source's finish time reaches 1
 falls at or just after 1 and every source is near its target.
 
 No window holds a whole source: cumulative sizes are prefix sums over hash ranges of the shuffle key, and the range
-sort works in equal slices of virtual time, which hold equal shares of the budget whatever the source sizes.
+sort works in equal slices of virtual time, which hold equal shares of the budget whatever the source sizes. The
+numbers of ranges and slices follow the number of rows, so that a task's share stays; the result does not depend on them.
 
 Cases
 -----
 * null text has size 0; null is a source of its own, after all others; a null doc_id is shuffled by its text
 * a document of size 0 is never taken (it adds nothing); a source of size 0 has target 0
-* documents that share doc_id, source and text are interchangeable; each is reported
+* documents that share doc_id, source and text are interchangeable; each is reported, and ``mix_rows`` takes them in all as often as the queue does
 * an empty table gives an empty report; other columns are ignored (``mix_rows`` keeps them)
 """
 
@@ -24,10 +25,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage, text_or_empty
+from .common import WORD, discard, spare, stage, text_or_empty
 
-#: Slices of virtual time up to 1, where each source has met its target, and for each doubling after that.
-SLICES = 1024
+#: Least number of hash ranges, and of slices of virtual time up to 1, where each source has met its target, and for each
+#: doubling after that; rows of a range or slice beyond which there are more of them.
+RANGES, SLICES, ROWS = 4096, 1024, 200_000
 
 
 def n_words(name: str = "text") -> Column:
@@ -65,26 +67,25 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_repeats: int, s
     return s.select("named", "source", "rank", "source_size", F.coalesce(target, F.col("cap").cast("double")).alias("target"), "budget")
 
 
-def fair_queue(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeats: int = 3, share: float = 1.0, seed: int = 0, ranges: int = 4096) -> DataFrame:
-    """``doc_id, source, key, size, source_size, target, taken`` of every document.
+def fair_queue(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeats: int = 3, share: float = 1.0, seed: int = 0, ranges: int = RANGES) -> DataFrame:
+    """``doc_id, source, key, size, source_size, target, epochs, taken`` of every document.
 
-    ``taken`` is the document's size times the number of epochs in which it stands before the cut. ``ranges``: hash ranges
-    of the shuffle key, by which a source's cumulative size is computed in parts.
+    ``epochs`` is the number of epochs in which the document stands before the cut, ``taken`` its size as often. ``ranges``: hash ranges
+    of the shuffle key, at least, by which a source's cumulative size is computed in parts.
     """
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         n_words().alias("size"), shuffle_key(seed).alias("key"),
     )
+    sizes = stage(base.withColumn("named", _named(F.col("source"))), "mix-sizes")
+    n = sizes.count()
+    ranges, slice_count = max(ranges, -(-n // ROWS)), max(SLICES, -(-n * max_repeats // ROWS))
     hashed = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    base = base.withColumns({
-        "range": F.floor(hashed * ranges / F.lit(2.0**32)).cast("int"),
-        "named": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")),  # a key that is never null
-    })
-    base = stage(base, "mix-sizes")
+    base = sizes.withColumn("range", F.floor(hashed * ranges / F.lit(2.0**32)).cast("int"))
 
     parts = base.groupBy("named", "source", "range").agg(F.sum("size").alias("part"))
-    sizes = parts.groupBy("named", "source").agg(F.sum("part").alias("source_size"))
-    targets = stage(source_targets(sizes, weights, max_repeats, share), "mix-targets")
+    of_source = parts.groupBy("named", "source").agg(F.sum("part").alias("source_size"))
+    targets = stage(source_targets(of_source, weights, max_repeats, share), "mix-targets")
     earlier = Window.partitionBy("named").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("named", "range", F.coalesce(F.sum("part").over(earlier), F.lit(0)).alias("before"))
     parts = parts.join(targets.drop("source"), "named")
@@ -92,6 +93,7 @@ def fair_queue(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeats:
     queued = base.withColumn("in_range", F.sum("size").over(inside)).join(parts, ["named", "range"])
     queued = queued.withColumn("cum", F.col("before") + F.col("in_range"))
     queued = stage(queued.select("doc_id", "source", "key", "size", "rank", "cum", "source_size", "target", "budget"), "mix-queue")
+    discard(sizes, targets)
 
     def finish(epoch: int) -> Column:
         return (F.col("source_size") * epoch + F.col("cum")) / F.col("target")
@@ -102,7 +104,7 @@ def fair_queue(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeats:
     waiting = queued.where("size > 0")
     runs = waiting.select("size", "budget", F.explode(F.array(*[place(e) for e in range(max_repeats)])).alias("place"))
     vft = F.col("place.vft")
-    runs = runs.withColumn("slice", F.floor(F.when(vft < 1, vft * SLICES).otherwise(SLICES + F.log2(vft) * SLICES)))
+    runs = runs.withColumn("slice", F.floor(F.when(vft < 1, vft * slice_count).otherwise(slice_count + F.log2(vft) * slice_count)))
     slices = runs.groupBy("slice").agg(F.sum("size").alias("in_slice"))
     up_to = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select("slice", F.coalesce(F.sum("in_slice").over(up_to), F.lit(0)).alias("ahead"))
@@ -112,13 +114,23 @@ def fair_queue(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeats:
 
     placed = queued.crossJoin(F.broadcast(cut))  # one row
     epochs = sum((F.when((F.col("size") > 0) & (place(e) <= F.col("cut")), 1).otherwise(0) for e in range(max_repeats)), F.lit(0))
-    return placed.select("doc_id", "source", "key", "size", "source_size", "target", (F.col("size") * epochs).cast("long").alias("taken"))
+    placed = placed.withColumn("epochs", epochs)
+    return placed.select("doc_id", "source", "key", "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs")).cast("long").alias("taken"))
+
+
+def _named(source: Column) -> Column:
+    """A source's key, which is never null."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: each row of ``docs`` as often as it is taken, with all its columns."""
-    seed = options.get("seed", 0)
-    taken = fair_queue(docs, **options).where("taken > 0").groupBy("key").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    tagged = docs.withColumn("__key", shuffle_key(seed))
-    out = tagged.join(taken.withColumnRenamed("key", "__key").hint("merge"), "__key")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    key, named, each, rest, row, copy = spare(docs, "key", "named", "each", "rest", "row", "copy")
+    # rows that share doc_id, source and text are one key here: they share out what the queue took of them
+    taken = fair_queue(docs, **options).groupBy(F.col("key").alias(key), _named(F.col("source")).alias(named)).agg(F.sum("epochs").alias("all"), F.count(F.lit(1)).alias("n"))
+    taken = taken.where("all > 0").select(key, named, F.floor(F.col("all") / F.col("n")).alias(each), (F.col("all") % F.col("n")).alias(rest))
+    tagged = docs.withColumns({key: shuffle_key(options.get("seed", 0)), named: _named(F.col("source"))})
+    out = tagged.join(taken.hint("merge"), [key, named])
+    out = out.withColumn(row, F.row_number().over(Window.partitionBy(key, named).orderBy(key)))  # shares the join's partitioning
+    times = F.col(each) + F.when(F.col(row) <= F.col(rest), 1).otherwise(0)
+    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
