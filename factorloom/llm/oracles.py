@@ -123,12 +123,12 @@ FROM parts LEFT JOIN gone USING (row_no)
 
 OP6 = """
 WITH x AS (SELECT vec_id, list_transform(embedding, lambda c: CASE WHEN isfinite(c) THEN floor(c::DOUBLE * 1024) END) AS v FROM embeddings),
-usable AS (SELECT DISTINCT vec_id, list_transform(v, lambda c: c::BIGINT) AS v FROM x
+usable AS (SELECT row_number() OVER () AS no, vec_id, list_transform(v, lambda c: c::BIGINT) AS v FROM x
            WHERE vec_id IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda c: c IS NULL)) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  SELECT q.no, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
   FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY no ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +15,8 @@ from .oracles import ORACLE_SQL
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 
-TOKENIZERS = "/opt/tokenizers"
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
-PIECES = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = exact_dedup.DigestIndex.fresh(spark).add(table(spark, sf_dir, "documents"))
+    report = exact_dedup.dedup(table(spark, sf_dir, "documents"))
     return report.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
 
