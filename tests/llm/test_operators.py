@@ -299,19 +299,60 @@ def toy_model():
     return language_id.Model(["aa", "bb"], ["a", "ab", "b", "ba", "aba"], p)
 
 
-def test_forward_sums_all_segmentations():
+def test_forward_sums_all_segmentations(monkeypatch):
     m = toy_model()
-    words = ["a", "ab", "abab", "aabba", "zab", "z"]
-    got = np.exp(m.log_likelihood(words))
-    np.testing.assert_allclose(got, [[brute_likelihood(w, m, k) for k in (0, 1)] for w in words], rtol=1e-9)
+    words = ["a", "ab", "abab", "aabba", "zab", "z", "abazabbabaab"]
+    want = [[brute_likelihood(w, m, k) for k in (0, 1)] for w in words]
+    np.testing.assert_allclose(np.exp(m.log_likelihood(words)), want, rtol=1e-9)
+    monkeypatch.setattr(language_id, "POSITIONS", 5)
+    monkeypatch.setattr(language_id, "SCALED", 2)
+    np.testing.assert_allclose(np.exp(m.log_likelihood(words)), want, rtol=1e-9)
 
 
-def test_expected_counts_add_up():
+def test_forward_over_long_words(monkeypatch):
+    """Against a sum over one state a letter, in logarithms, beyond what a double holds."""
     m = toy_model()
-    lattice = language_id.Lattice(["abab", "ba"], language_id.prefixes(m.pieces))
-    counts = lattice.expected(m.p, np.array([[2.0, 0.0], [1.0, 0.0]]))
-    letters = np.array([len(p) for p in m.pieces] + [1])
-    assert (counts[:, 0] * letters).sum() == pytest.approx(2 * 4 + 2) and counts[:, 1].sum() == 0
+    words = ["".join(random.Random(k).choices("abz", k=n)) for k, n in enumerate((900, 300, 17, 40, 1))]
+    ids = {p: i for i, p in enumerate(m.pieces)}
+    for w, got in zip(words, m.log_likelihood(words)):
+        for lang in (0, 1):
+            log = [0.0] + [-math.inf] * len(w)
+            for j in range(1, len(w) + 1):
+                parts = [log[j - n] + math.log(m.p[ids[w[j - n : j]], lang]) for n in (1, 2, 3) if n <= j and w[j - n : j] in ids]
+                if w[j - 1] not in ids:
+                    parts.append(log[j - 1] + math.log(m.p[-1, lang]))
+                log[j] = max(parts) + math.log(sum(math.exp(x - max(parts)) for x in parts))
+            assert got[lang] == pytest.approx(log[-1])
+
+
+def test_trie_finds_every_piece():
+    pieces = language_id.vocabulary(PIECES)
+    assert max(map(len, pieces)) > 12 and {"absolutely", "absolument"} <= set(pieces)
+    trie = language_id.Trie(pieces)
+    node = np.zeros(len(pieces), np.int64)
+    for k in range(trie.longest):
+        on = np.array([len(p) > k for p in pieces])
+        node[on] = trie.child(node[on], np.array([ord(p[k]) for p in pieces if len(p) > k]))
+    assert (trie.piece[node] == np.arange(len(pieces))).all()
+    assert (trie.child(np.zeros(2, np.int64), np.array([1, 2])) == -1).all()
+
+
+def test_expected_counts():
+    m = toy_model()
+    words, lang, weight = ["abab", "ba", "zabba", "abab"], np.array([0, 0, 1, 1]), np.array([2.0, 1.0, 3.0, 1.0])
+    got = language_id.Lattice(words, m.trie).expected(m.p, lang, weight)
+    want = np.zeros_like(m.p)
+    ids = {p: i for i, p in enumerate(m.pieces)}
+    for w, k, n in zip(words, lang, weight):
+        total = brute_likelihood(w, m, k)
+        for cut in range(2 ** (len(w) - 1)):
+            ends = [i for i in range(1, len(w)) if cut >> (i - 1) & 1] + [len(w)]
+            parts = [w[a:b] for a, b in zip([0] + ends, ends)]
+            if all(x in ids or len(x) == 1 for x in parts):
+                chance = math.prod(m.p[ids.get(x, len(m.p) - 1), k] for x in parts)
+                for x in parts:
+                    want[ids.get(x, len(m.p) - 1), k] += n * chance / total
+    np.testing.assert_allclose(got, want, rtol=1e-9)
 
 
 LANGUAGES = {"en": ("the", "ing", "and", "th", "er"), "de": ("sch", "ung", "der", "ein", "ü"), "fr": ("eau", "ou", "le", "é", "tion")}
