@@ -1,16 +1,19 @@
 """Main text of web pages: nearest-URL page differencing, and the pages' own structure.
 
 A page is cut into text lines, one for each block of its markup. Pages are sorted by host and URL path; a page is paired with its
-nearest neighbour of another path on the same host. The lines of the two are aligned by longest common subsequence, and
-lines that both share are deleted: what neighbours have in common is furniture. Lines inside an element that a page itself
-marks as its article (``article``, ``main``) are exempt from deletion, since pages also share paragraphs of their articles. Lines
-of menus, headers, footers, sidebars, notices, adverts, forms and comments go by the names of their elements, whether or not
-a neighbour shares them.
+nearest neighbours of other paths on the same host, the one before and the one after. Its lines are aligned with those of each by
+longest common subsequence, and lines that a neighbour shares are deleted: what neighbours have in common is furniture. Pages
+also share paragraphs of their articles; so within an element that a page itself marks as its article (``article``, ``main``)
+prose is spared: the lines of paragraphs, headings, list items, cells and the like, unless links make up the whole line.
+
+Lines of menus, headers, footers, sidebars, notices, adverts, forms and comments go by the names of their elements too, as
+not every page has a neighbour. A class or id counts only if the whole of a name says so (``related-posts``, not
+``related-work``), and ids, which are often but link targets, only on containers.
 
 The neighbours come from one range sort of small rows (line hashes, no markup), one for each different host and path: each
 partition looks at the row before and after, and the partitions' edge rows are carried over, so a host with a third of all pages
 is spread evenly and the result does not depend on how rows were dealt. They are joined back by host and path, so all pages of
-a path have the same neighbour, however many they are.
+a path have the same neighbours, however many they are.
 
 Cases
 -----
@@ -41,7 +44,7 @@ TOKEN = re.compile(
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))|(?<![\w-])(hidden)(?![\w-])""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 BLOCKS = frozenset(
@@ -49,13 +52,28 @@ BLOCKS = frozenset(
     "head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
 )
 FURNITURE = frozenset("aside button canvas datalist dialog footer form head menu nav noscript object search select svg template".split())
-#: Words of class and id names that mark furniture, and words that mark a name as that of a wrapper instead.
+#: Blocks of prose, which neighbours do not take from an article.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd tr caption figcaption address".split())
+#: A class or id is furniture if its words are one of these ...
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising adsbygoogle alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
-    "footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion recommended "
-    "related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
+    "ad ads advert adverts advertisement advertisements advertising adsbygoogle breadcrumb breadcrumbs comment comments cookie cookies disqus footer gdpr masthead nav navbar "
+    "navigation newsletter pagination sidebar sponsored subscribe subscription".split()
+)
+#: ... or on a container one of these ...
+CONTAINER_MARKS = frozenset(
+    "alert banner consent header login menu menus modal notice notices pager popup promo promotion recommended related replies reply respond share sharing signup social "
+    "sponsor teaser toolbar topbar widget widgets".split()
 )
-WRAPPERS = frozenset("article body container content enabled has layout main no open page site with without wrap wrapper".split())
+#: ... and words of these lists: about the place, and, after a mark, about what it holds.
+PLACES = frozenset("a b bottom float fixed global google inline left lower main mobile primary right secondary site sticky sub the top upper".split())
+HOLDS = frozenset(
+    "area articles author bar bars body block bottom box button buttons card column content container count cta feed form group head heading icon icons inner item items label left "
+    "link links list main message meta module nav outer overlay panel post posts primary right row secondary section side slot space stories story strip text thread title top trail "
+    "unit widget wrap wrapper zone".split()
+)
+CONTAINERS = frozenset("article aside center details dir div dl fieldset figure footer form header ins main menu nav ol section table tbody td tr ul".split())
+#: Containers whose ids count; that of a section is a link target unless it is in MARKS.
+NAMED = CONTAINERS - {"article", "main", "section", "tr", "tbody", "figure", "details"}
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 CONTENT = frozenset(
     "content post entry story article main primary article-body article-content article-text articlebody body-content body-text entry-content main-content main-text "
@@ -68,72 +86,98 @@ WORDS = re.compile(r"[a-z]+|[0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _traits(name: str, attrs: str, inside: int) -> tuple[bool, int]:
-    """Whether an element is furniture, and what container it is."""
+def _is_mark(token: str, marks: frozenset[str]) -> bool:
+    """Whether the whole of a class or id names furniture."""
+    marked = False
+    for word in WORDS.findall(CAMEL.sub("-", token).lower()):
+        if word in marks:
+            marked = True
+        elif not (word.isdigit() or word in PLACES or (marked and word in HOLDS)):
+            return False
+    return marked
+
+
+def _traits(name: str, attrs: str, inside: int, quoted: bool) -> tuple[bool, int]:
+    """Whether an element is furniture, and what container it is. ``quoted``: it stands in preformatted text."""
     furniture = name in FURNITURE or (name == "header" and inside < MAIN)
     container = ARTICLE if name == "article" else MAIN if name == "main" else 0
-    if attrs and ("=" in attrs or "hidden" in attrs) and name not in ("html", "body"):
-        for kind, a, b, c, hidden in ATTRIBUTE.findall(attrs):
-            value = a or b or c
-            if hidden:
-                furniture = True
-            elif (kind := kind.lower()) == "style":
-                furniture |= "display:none" in value.replace(" ", "").lower()
-            elif kind == "role":
-                role = value.strip().lower()
-                furniture |= role in ROLES and not (role in ("banner", "form") and inside >= MAIN)
-                container = max(container, MAIN if role == "main" else ARTICLE if role == "article" else 0)
-            else:
-                for token in value.split():
-                    if token.lower() in CONTENT:
-                        container = max(container, GUESSED)
-                        continue
-                    words = set(WORDS.findall(CAMEL.sub("-", token).lower()))
-                    marks = words & MARKS
-                    if marks and not words & WRAPPERS and not (marks <= {"header"} and inside >= MAIN) and name != "main":
-                        if name != "article" or marks & {"comment", "reply", "teaser", "ad", "related", "promo"}:
-                            furniture = True
+    if not attrs or name in ("html", "body"):
+        return furniture, container
+    marks = MARKS | CONTAINER_MARKS if name in CONTAINERS else MARKS
+    if inside >= MAIN:
+        marks -= {"header", "masthead"}
+    for kind, a, b, c in ATTRIBUTE.findall(attrs):
+        kind, value = kind.lower(), a or b or c
+        if kind == "hidden":
+            furniture = True
+        elif kind == "style":
+            furniture |= "display:none" in value.replace(" ", "").lower()
+        elif kind == "role":
+            role = value.strip().lower()
+            furniture |= role in ROLES and not (role in ("banner", "form") and inside >= MAIN)
+            container = max(container, MAIN if role == "main" else ARTICLE if role == "article" else 0)
+        elif kind in ("class", "id"):
+            for token in value.split():
+                if token.lower() in CONTENT and name in CONTAINERS:
+                    container = max(container, GUESSED)
+                elif not quoted and name != "main" and (kind == "class" or name in NAMED or name == "section"):
+                    counts = MARKS if kind == "id" and name == "section" else marks
+                    furniture |= _is_mark(token, counts)
     return furniture, container
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """Text lines of a page in order: ``(text, containers it is in, whether it is furniture)``."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, int, bool, bool]] = []  # name, containers, furniture, furniture only by being a form
+def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
+    """Text lines of a page in order: ``(text, containers it is in, whether it is furniture, whether it is prose)``."""
+    out: list[tuple[str, int, bool, bool]] = []
+    stack: list[tuple[str, int, bool, bool, bool]] = []  # name, containers, furniture, furniture only by being a form, silent
     parts: list[str] = []
-    inside, furniture, soft = 0, False, False
+    inside, furniture, soft, silent = 0, False, False, False
+    in_link, own_text = False, False  # own_text: the line has text that is no link
+
+    def add(text: str) -> None:
+        nonlocal own_text
+        if not silent:
+            parts.append(text)
+            own_text = own_text or not (in_link or text.isspace())
 
     def flush() -> None:
+        nonlocal own_text
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, inside, furniture))
+                block = next((x[0] for x in reversed(stack) if x[0] in BLOCKS), "")
+                out.append((text, inside, furniture, own_text and block in PROSE))
+        own_text = False
 
     def pop_to(depth: int) -> None:
-        nonlocal inside, furniture, soft
+        nonlocal inside, furniture, soft, silent
         del stack[depth:]
-        _, inside, furniture, soft = stack[-1] if stack else ("", 0, False, False)
+        _, inside, furniture, soft, silent = stack[-1] if stack else ("", 0, False, False, False)
 
     at, end = 0, len(html)
     while at < end:
         m = TOKEN.search(html, at)
         if m is None:
-            parts.append(html[at:])
+            add(html[at:])
             break
         if m.start() > at:
-            parts.append(html[at : m.start()])
+            add(html[at : m.start()])
         at = m.end()
         name = m["name"] or m["name2"]
         if name is None:
             continue
         name = name.lower()
+        block = name in BLOCKS
         if m["close"] or m["close2"]:
-            if name == "p" or name in BLOCKS:
+            if block:
                 flush()
+            if block or name == "a":
+                in_link = False
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
-                    flush()
+                    if stack[depth][4] == (stack[depth - 1][4] if depth else False):
+                        flush()  # what is silent does not end a line
                     pop_to(depth)
                     break
             continue
@@ -142,8 +186,9 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             at = stop.end() if stop else end
             continue
         if name == "br" or name in ("td", "th"):
-            parts.append(" ")
-        block = name in BLOCKS
+            add(" ")
+        if name == "a":
+            in_link = True
         if block:
             flush()
             open_p = len(stack) - 1  # a paragraph ends, with what is open inside it
@@ -161,17 +206,20 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
                         break
         if name in VOID:
             continue
-        marked, container = _traits(name, m["attrs"] or m["attrs2"] or "", inside)
-        if not block and not marked and not container:
+        quoted = bool(stack) and stack[-1][0] in ("pre", "code")
+        marked, container = _traits(name, m["attrs"] or m["attrs2"] or "", inside, quoted)
+        if not (block or marked or container or name == "code"):
             continue
-        if not block:
+        if block or container:
             flush()
-        if soft and container >= MAIN:
-            furniture = soft = False  # a form around the whole page
-        if marked and not furniture:
-            soft = name == "form"
-        inside, furniture = inside | container, furniture or marked
-        stack.append((name, inside, furniture, soft))
+            if soft and container >= MAIN:
+                furniture = soft = False  # a form around the whole page
+            if marked and not furniture:
+                soft = name == "form"
+            inside, furniture = inside | container, furniture or marked
+        elif marked:
+            silent = True  # furniture within a line
+        stack.append((name, inside, furniture, soft, silent))
     flush()
     return out
 
@@ -210,16 +258,23 @@ def _hash(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def main_text(html: str, neighbour: list[int] | None) -> str:
-    """Main text of a page, given the line hashes of its nearest neighbour. A page of which nothing would be left keeps its lines."""
+def shared_lines(lines: list[tuple[str, int, bool, bool]], neighbours: Iterable[list[int] | None]) -> set[int]:
+    """Numbers of the lines that are deleted because a neighbour shares them: all but the prose of an article."""
+    hashes = [_hash(line[0]) for line in lines]
+    found = set().union(*(longest_common(hashes, n) for n in neighbours if n))
+    return {k for k in found if not (lines[k][1] >= MAIN and lines[k][3])}
+
+
+def main_text(html: str, neighbours: Iterable[list[int] | None] = ()) -> str:
+    """Main text of a page, given the line hashes of its nearest neighbours. A page of which nothing would be left keeps its lines."""
     lines = lines_of(html)
-    shared = longest_common([_hash(t) for t, _, _ in lines], neighbour) if neighbour else set()
-    body = [(k, text, inside) for k, (text, inside, furniture) in enumerate(lines) if not furniture]
+    shared = shared_lines(lines, neighbours)
+    body = [(k, text, inside) for k, (text, inside, furniture, _) in enumerate(lines) if not furniture]
     for container in (ARTICLE, MAIN, GUESSED):
         if any(inside & container for _, _, inside in body):
             body = [x for x in body if x[2] & container]
             break
-    own = [text for k, text, inside in body if inside >= MAIN or k not in shared]
+    own = [text for k, text, _ in body if k not in shared]
     # a neighbour that has all of a page's lines is a copy of it, not what frames it
     return "\n".join(own or [text for _, text, _ in body])
 
@@ -232,21 +287,15 @@ def _url_parts(url: Column) -> dict[str, Column]:
 
 def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lines = [[_hash(t) for t, _, _ in lines_of(h)] for h in batch.column("html").to_pylist()]
+        lines = [[_hash(line[0]) for line in lines_of(h)] for h in batch.column("html").to_pylist()]
         kept = [n for n in batch.schema.names if n != "html"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(lines, pa.list_(pa.int64()))], [*kept, "lines"])
 
 
-def _common_segments(a: Column, b: Column) -> Column:
-    """Number of leading path segments that two paths share."""
-    same = F.zip_with(F.split(a, "/"), F.split(b, "/"), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    return F.when(F.array_contains(same, False), F.array_position(same, False) - 1).otherwise(F.size(same))
-
-
 def neighbours(pages: DataFrame) -> DataFrame:
-    """``host, path, lines``: for each different path of a host the line hashes of its nearest page in URL order, before or after it, on the same
-    host; the one that shares more leading path segments, else the one before. Of the pages of one path the one with the least hash of its
-    URL and markup stands for all. Paths without a neighbour are left out."""
+    """``host, path, before, after``: for each different path of a host the line hashes of the nearest pages in URL order before and after it on the same
+    host (null: none). Of the pages of one path the one with the least hash of its URL and markup stands for all. Paths without a neighbour are
+    left out."""
     row = F.xxhash64(F.col("page_id").cast("string"), "url", "html").alias("row_hash")
     rows = pages.select(row, "url", F.coalesce("html", F.lit("")).alias("html")).withColumns(_url_parts(F.col("url"))).drop("url").where("host <> ''")
     lines = stage(rows.mapInArrow(_hashed, "row_hash long, host string, path string, lines array<long>"), "page-lines")
@@ -257,7 +306,7 @@ def neighbours(pages: DataFrame) -> DataFrame:
     placed = paths.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
     rows = placed = stage(placed, "page-order")
     discard(lines)
-    page = F.struct("host", "path", "lines")
+    page = F.struct("host", "lines")
     here = Window.partitionBy("part").orderBy(*order)
     rows = rows.withColumns({"before": F.lag(page).over(here), "after": F.lead(page).over(here)})
     # one row for each partition carries its edges over to the next
@@ -268,13 +317,11 @@ def neighbours(pages: DataFrame) -> DataFrame:
     rows = rows.join(edges, "part")
 
     def usable(inner: Column, outer: Column) -> Column:
-        found = F.coalesce(inner, outer)
-        return F.when(found["host"] == F.col("host"), found)
+        host, lines = F.coalesce(inner["host"], outer["host"]), F.when(inner.isNotNull(), inner["lines"]).otherwise(outer["lines"])
+        return F.when(host == F.col("host"), lines)
 
     rows = rows.select("host", "path", usable(F.col("before"), F.col("left")).alias("before"), usable(F.col("after"), F.col("right")).alias("after"))
-    near = {k: F.coalesce(_common_segments(F.col(f"{k}.path"), F.col("path")), F.lit(-1)) for k in ("before", "after")}
-    nearest = F.when(near["after"] > near["before"], F.col("after.lines")).otherwise(F.col("before.lines"))
-    out = stage(rows.select("host", "path", nearest.alias("lines")).where("lines IS NOT NULL"), "page-neighbours")
+    out = stage(rows.where("before IS NOT NULL OR after IS NOT NULL"), "page-neighbours")
     discard(placed)
     return out
 
@@ -284,7 +331,8 @@ def _extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for a in range(0, batch.num_rows, 500):
             part = batch.slice(a, 500)
-            texts += map(main_text, part.column("html").to_pylist(), part.column("lines").to_pylist())
+            near = zip(part.column("before").to_pylist(), part.column("after").to_pylist())
+            texts += map(main_text, part.column("html").to_pylist(), near)
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -292,5 +340,5 @@ def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text`` of every row of ``pages``."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     joined = pages.withColumns(_url_parts(F.col("url"))).hint("merge").join(neighbours(pages), ["host", "path"], "left")
-    joined = joined.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), "lines")
+    joined = joined.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), "before", "after")
     return joined.mapInArrow(_extracted, "page_id long, url string, text string")

@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -532,26 +533,101 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head>
 
 def test_page_structure():
     want = "Head & tail\nFirst bold para graph\nSecond one\nitem 1\nitem 2"
-    assert html_text.main_text(PAGE.format(extra=""), None) == want
-    # what an article itself holds stays, even where a neighbour has the same lines
-    hashes = [html_text._hash(t) for t, _, _ in html_text.lines_of(PAGE.format(extra=""))]
-    assert html_text.main_text(PAGE.format(extra="<p>Own"), hashes) == want + "\nOwn"
-    assert html_text.main_text("", None) == "" and html_text.main_text("plain &lt;text&gt; <b>x", None) == "plain <text> x"
-    assert html_text.main_text("<form><main><p>in a form</main></form>", None) == "in a form"
-    assert html_text.main_text("<p>a<script>never closed", None) == "a"
-    assert html_text.main_text("<div class='article-body'><p>a</div></div></div><p>b", None) == "a"
+    assert html_text.main_text(PAGE.format(extra="")) == want
+    # the prose of an article stays, even where a neighbour has the same lines; other shared lines go
+    hashes = [html_text._hash(x[0]) for x in html_text.lines_of(PAGE.format(extra="<div>Read on</div><p><a href=/>All</a>"))]
+    other = PAGE.format(extra="<p>Own<div>Read on</div><p><a href=/>All</a><p><a href=/x>Mine</a>")
+    assert html_text.main_text(other, [hashes]) == html_text.main_text(other, [None, hashes]) == want + "\nOwn\nMine"
+    assert html_text.main_text(other) == want + "\nOwn\nRead on\nAll\nMine"
+    assert html_text.main_text("") == "" and html_text.main_text("plain &lt;text&gt; <b>x") == "plain <text> x"
+    assert html_text.main_text("<form><main><p>in a form</main></form>") == "in a form"
+    assert html_text.main_text("<p>a<script>never closed") == "a"
+    assert html_text.main_text("<div class='article-body'><p>a</div></div></div><p>b") == "a"
 
 
 def test_pages_without_article():
     old = "<table><tr><td class='menu'>Menu</td><td class='content'><h2>T</h2>Straight<br>text<p>More</td><td class='ads'>Ad</td></tr></table>"
-    assert html_text.main_text(old, None) == "T\nStraight text\nMore"
+    assert html_text.main_text(old) == "T\nStraight text\nMore"
     blog = "<body class='has-comments'><div id='wrapper'><div id='content'><h1>T</h1><p>A<ins class='adsbygoogle'>x</ins><p>B<span class='ad'>y<p>C</div><div id='sidebar'>S</div></div></body>"
-    assert html_text.main_text(blog, None) == "T\nA\nB\nC"
+    assert html_text.main_text(blog) == "T\nA\nB\nC"
     # without any container a neighbour's lines go, unless nothing would be left
     bare = "<div>Menu</div><p>Own</p><div>Imprint</div>"
     frame = [html_text._hash(x) for x in ("Menu", "Other", "Imprint")]
-    assert html_text.main_text(bare, frame) == "Own"
-    assert html_text.main_text(bare, [html_text._hash(x) for x in ("Menu", "Own", "Imprint")]) == "Menu\nOwn\nImprint"
+    assert html_text.main_text(bare, [frame]) == "Own"
+    assert html_text.main_text(bare, [[html_text._hash(x) for x in ("Menu", "Own", "Imprint")]]) == "Menu\nOwn\nImprint"
+
+
+KEPT = [
+    '<p title="the hidden door">Alpha text</p>', '<a href="/hidden">Alpha text</a>', '<div data-id="related-stock">Alpha text</div>', '<div data-class="menu">Alpha text</div>',
+    '<h1 id="related-work">Alpha text</h1>', '<div class="share-price">Alpha text</div>', '<div class="social-history">Alpha text</div>', '<section id="alert-systems">Alpha text</section>',
+    '<section id="notice">Alpha text</section>', '<p class="teaser">Alpha text</p>', '<div class="has-sidebar">Alpha text</div>', '<div class="content-sidebar-wrap">Alpha text</div>',
+    '<p>Alpha <button>Copy</button>text</p>', '<p>Alpha <span class="ad">Buy</span> text</p>', '<pre>Alpha <code><span class="comment">text</span></code></pre>', "<h2 id=share>Alpha text</h2>",
+    '<div class="entry-header">Alpha text</div>', '<p style="color:red" onclick="hidden()">Alpha text</p>', '<div class="page-2 comment-free">Alpha text</div>', '<li id="menu">Alpha text',
+]
+GONE = [
+    '<div class="ad">x</div>', '<div class="ad-slot top">x</div>', "<div class='cookie-notice'>x</div>", '<div id="sidebar-left">x</div>', '<ul class="mainMenu"><li>x</ul>', '<div class="relatedPosts">x</div>',
+    '<section id="comments">x</section>', '<section class="notice">x</section>', '<div class="share-buttons">x</div>', '<div hidden>x</div>', '<div HIDDEN="">x</div>', '<p style="display: none">x</p>',
+    '<div role="navigation">x</div>', '<table><tr><td class="nav">x</table>', '<div class="google-ad-300">x</div>', '<div class="social-links">x</div>', "<div class=newsletter_signup>x</div>", '<p class="ad">x</p>',
+]
+
+
+@pytest.mark.parametrize("html", KEPT)
+def test_names_that_keep_text(html):
+    assert html_text.main_text(html) == html_text.main_text(f"<article>{html}</article>") == "Alpha text"
+
+
+@pytest.mark.parametrize("html", GONE)
+def test_names_that_delete_text(html):
+    assert html_text.main_text(f"<p>a{html}<p>b") == html_text.main_text(f"<article><p>a</p>{html}<p>b</article>") == "a\nb"
+
+
+def brute_site(rows):
+    """Texts of pages by plain lists: neighbours by sorting, alignment by the whole table."""
+    def parts(url):
+        rest = (url or "").split("://", 1)[-1] if "://" in (url or "") else ""
+        host, _, path = rest.partition("/")
+        path = ("/" + path).split("#")[0].split("?")[0] if path else ""
+        return host.lower(), re.sub(r"(\.html?)?/*$", "", path)
+
+    def aligned(a, b):
+        best = [[()] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + (i,) if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j], key=len)
+        return set(best[-1][-1])
+
+    lines = {parts(u): html_text.lines_of(h or "") for _, u, h in rows}  # paths are not repeated in these tests
+    order, out = sorted(x for x in lines if x[0]), {}
+    for i, u, h in rows:
+        place, own = parts(u), html_text.lines_of(h or "")
+        gone = set()
+        if place[0]:
+            k = order.index(place)
+            for n in (k - 1, k + 1):
+                if 0 <= n < len(order) and order[n][0] == place[0]:
+                    gone |= aligned([x[0] for x in own], [x[0] for x in lines[order[n]]])
+        gone = {g for g in gone if not (own[g][1] >= html_text.MAIN and own[g][3])}
+        body = [(g, x) for g, x in enumerate(own) if not x[2]]
+        for c in (html_text.ARTICLE, html_text.MAIN, html_text.GUESSED):
+            if any(x[1] & c for _, x in body):
+                body = [(g, x) for g, x in body if x[1] & c]
+                break
+        out[i] = "\n".join([x[0] for g, x in body if g not in gone] or [x[0] for _, x in body])
+    return out
+
+
+def test_pages_against_brute_force(spark):
+    """Sites with furniture that no name marks, within articles and without any."""
+    r, rows = random.Random(3), []
+    for i in range(120):
+        own = "".join(f"<p>{vocabulary_text(8, 1000 * i + k)}</p>" for k in range(r.randrange(4)))
+        common = "".join(f"<{t}>{x}</{t}>" for t, x in sorted(r.sample([("div", "Read on"), ("p", "<a href=/>All news</a>"), ("p", "A shared paragraph"), ("div", "Print")], 2)))
+        frame = ["<div>Top</div>{}<div>Imprint</div>", "<article><h1>T</h1>{}</article>", "<nav>N</nav><main>{}</main><footer>F</footer>"][i % 3]
+        rows.append((i, f"http://h{r.randrange(3)}.example/{'abc'[r.randrange(3)]}/{i}{r.choice(['', '.html', '?q=1', '#t'])}", frame.format(own + common)))
+    rows += [(200, None, "<p>x"), (201, "http://alone.example/", None)]
+    got = {x["page_id"]: x["text"] for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    want = brute_site(rows)
+    assert got == want and sum(t != html_text.main_text(h or "") for (_, _, h), t in zip(rows, want.values())) > 60
 
 
 def test_longest_common_subsequence():
