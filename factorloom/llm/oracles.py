@@ -101,18 +101,18 @@ OP4 = _op4()
 
 OP9 = f"""
 WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
-parts AS (SELECT row_no, doc_id, regexp_extract_all(text, '{spans.SENTENCE}') AS p, text FROM d),
-sentences AS (
-  SELECT row_no, doc_id, i AS place, trim(regexp_replace(lower(p[i + 1]), '{spans.SPACES}', ' ', 'g')) AS plain
-  FROM (SELECT *, unnest(range(0, len(p))) AS i FROM parts)),
-counted AS (SELECT *, len(regexp_extract_all(plain, '{WORD}')) AS words FROM sentences),
-paired AS (
-  SELECT *, lead(plain) OVER w AS next_plain, lead(words) OVER w AS next_words FROM counted
-  WINDOW w AS (PARTITION BY row_no ORDER BY place)),
+parts AS (SELECT row_no, doc_id, regexp_extract_all(text, '{spans.SENTENCE}') AS p FROM d),
+plains AS (SELECT row_no, doc_id, list_transform(p, lambda s: trim(regexp_replace(lower(s), '{spans.SPACES}', ' ', 'g'))) AS plain FROM parts),
+counted AS (
+  SELECT *, list_transform(plain, lambda s: len(regexp_extract_all(s, '{WORD}')) + len(regexp_extract_all(s, '{spans.UNSPACED}')) // 2) AS words FROM plains),
+places AS (SELECT *, unnest(range(0, len(plain))) AS place FROM counted),
+grown AS (
+  SELECT *, list_filter(range({spans.SPAN}, least({spans.LEAST_WORDS + 1}, len(plain) - place) + 1),
+                        lambda n: list_sum(words[place + 1:place + n]) >= {spans.LEAST_WORDS})[1] AS n FROM places),
 runs AS (
-  SELECT row_no, doc_id, place, 2 AS n, plain, next_plain FROM paired WHERE next_plain IS NOT NULL AND words + next_words >= {spans.LEAST_WORDS}
-  UNION ALL SELECT row_no, doc_id, place, 1, plain, NULL FROM paired WHERE words >= {spans.ALONE_WORDS}),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY n, plain, next_plain ORDER BY doc_id, place) AS k FROM runs),
+  SELECT row_no, doc_id, place, n, plain[place + 1:place + n] AS run FROM grown WHERE n IS NOT NULL
+  UNION ALL SELECT row_no, doc_id, place, 1, plain[place + 1:place + 1] FROM places WHERE words[place + 1] >= {spans.ALONE_WORDS}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, place) AS k FROM runs),
 covered AS (SELECT DISTINCT row_no, place + j AS place FROM (SELECT row_no, place, unnest(range(0, n)) AS j FROM ranked WHERE k > 1)),
 gone AS (SELECT row_no, list(place::INTEGER ORDER BY place) AS removed FROM covered GROUP BY row_no)
 SELECT doc_id, len(p)::BIGINT AS n_sentences, coalesce(len(removed), 0)::BIGINT AS n_removed,

@@ -1,10 +1,12 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of ``span`` consecutive sentences is hashed (96 bits); runs are counted over all documents, and the sentences that a
-run covers are removed wherever it is not the run's first occurrence, in order of doc_id and place. So that passages of
-few sentences are caught and chance repeats are not, a sentence of ``alone_words`` words or more is a run by itself, and runs of
-fewer than ``least_words`` words are left alone. Sentences end with ``. ! ?`` or a line break and are compared in lower
-case with white space collapsed.
+From every sentence a run of consecutive sentences begins: ``span`` of them, and further ones until the run has ``least_words`` words.
+Every run is hashed (96 bits) and counted over all documents, and the sentences that a run covers are removed wherever it is not the run's
+first occurrence, in order of doc_id and place. A sentence of ``alone_words`` words or more is a run by itself too, as a passage may hold no
+second whole sentence. ``least_words=0`` and ``alone_words=None`` turn these two rules off: then runs are of ``span`` sentences, no more.
+
+Sentences end with ``. ! ?``, their counterparts in other scripts or a line break, and are compared in lower case with white space collapsed. In
+scripts without spaces two characters count as a word.
 
 Only repeated runs outlive the grouping; a run that a third of all documents hold is counted by partial sums and joined back
 by a join whose large keys are split at run time.
@@ -22,44 +24,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, stage, text_or_empty
+from .common import WORD, discard, stage, text_or_empty
 
 #: A sentence with the marks and white space that follow it; the sentences of a text joined are the text.
-SENTENCE = r"[^.!?\n]*[.!?\n]+[\x20\x09-\x0D]*|[^.!?\n]+"
+END = ".!?\n\u3002\uff01\uff1f\u061f\u0964"
+SENTENCE = rf"[^{END}]*[{END}]+[\x20\x09-\x0D]*|[^{END}]+"
 SPACES = r"[\x20\x09-\x0D]+"
-SPAN, LEAST_WORDS, ALONE_WORDS = 2, 10, 50
+#: Characters of scripts without spaces: Thai to Tibetan, Myanmar, Khmer, Kana, Han.
+UNSPACED = "[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]"
+SPAN, LEAST_WORDS, ALONE_WORDS = 2, 20, 20
 
 
 def sentences(name: str = "text") -> Column:
     return F.regexp_extract_all(text_or_empty(name), F.lit(SENTENCE), F.lit(0))
 
 
-def _runs(hashed: str, span: int, least_words: int, alone_words: int) -> Column:
+def _runs(hashed: str, span: int, least_words: int, alone_words: int | None) -> Column:
     """Array of ``(at, n, h1, h2)`` of the runs of an array of ``(h1, h2, words)``."""
     x = F.col(hashed)
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"))
+    # every sentence but a text's first has a word at least
+    most = max(span, least_words + 1)
+
+    def enough(run: Column) -> Column:
+        return (run["n"] >= span) & (run["words"] >= least_words)
+
+    def grown(run: Column, s: Column) -> Column:
+        return F.when(enough(run), run).otherwise(F.struct((run["n"] + 1).alias("n"), (run["words"] + s["words"]).alias("words")))
 
-    def run(i: Column, n: int) -> Column:
-        part = [F.element_at(x, i + 1 + k) for k in range(n)]
-        long_enough = sum((p["words"] for p in part), F.lit(0)) >= (alone_words if n == 1 else least_words)
-        made = F.struct(i.alias("at"), F.lit(n).alias("n"), F.xxhash64(F.lit(n), *[p["h1"] for p in part]).alias("h1"), F.hash(F.lit(n), *[p["h2"] for p in part]).alias("h2"))
-        return F.when((i + n <= F.size(x)) & long_enough, made)
+    def run(i: Column, n: Column) -> Column:
+        part = F.slice(x, i + 1, n)
+        h1, h2 = F.xxhash64(F.transform(part, lambda s: s["h1"])), F.hash(F.transform(part, lambda s: s["h2"]))
+        return F.struct(i.alias("at"), n.alias("n"), h1.alias("h1"), h2.alias("h2"))
 
     places = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1)).otherwise(F.array().cast("array<int>"))
-    both = F.concat(F.transform(places, lambda i: run(i, span)), F.transform(places, lambda i: run(i, 1)))
-    return F.filter(both, lambda r: r.isNotNull())
+    lengths = F.transform(places, lambda i: F.struct(i.alias("at"), F.aggregate(F.slice(x, i + 1, F.lit(most)), none, grown, lambda r: F.when(enough(r), r["n"])).alias("n")))
+    runs = F.transform(F.filter(lengths, lambda r: r["n"].isNotNull()), lambda r: run(r["at"], r["n"]))
+    if alone_words is None:
+        return runs
+    long = F.filter(places, lambda i: F.element_at(x, i + 1)["words"] >= alone_words)
+    return F.concat(runs, F.transform(long, lambda i: run(i, F.lit(1))))
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS, alone_words: int = ALONE_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS, alone_words: int | None = ALONE_WORDS) -> DataFrame:
     """``doc_id, n_sentences, n_removed, removed, text``: of each row the numbers of the sentences removed (from 0) and what is left."""
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     base = docs.select(doc_id, text_or_empty().alias("text")).withColumn("t", F.hash("text"))
 
     def hashed(s: Column) -> Column:
         plain = F.trim(F.regexp_replace(F.lower(s), SPACES, " "))
-        return F.struct(F.xxhash64(plain).alias("h1"), F.hash(plain).alias("h2"), F.regexp_count(plain, F.lit(WORD)).alias("words"))
+        return F.struct(F.xxhash64(plain).alias("h1"), F.hash(plain).alias("h2"), (F.regexp_count(plain, F.lit(WORD)) + F.floor(F.regexp_count(plain, F.lit(UNSPACED)) / 2).cast("int")).alias("words"))
 
     cut = base.select("doc_id", "t", F.transform(sentences(), hashed).alias("parts"))
     runs = cut.select("doc_id", "t", F.explode(_runs("parts", span, least_words, alone_words)).alias("run")).select("run.h1", "run.h2", "doc_id", "t", "run.at", "run.n")
+    runs = stage(runs, "spans")
     place = F.struct("doc_id", "t", "at")
     # staged: then the join back is between two tables dealt by hash, and splits a run that very many documents hold
     repeated = runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first IS DISTINCT FROM last")
@@ -67,6 +85,8 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_W
     again = runs.hint("merge").join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     covered = again.select("doc_id", "t", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at"))
     removed = covered.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("at")).alias("removed"))  # at most one document's sentences
+    removed = stage(removed, "spans-removed")
+    discard(runs, repeated)
 
     absent = F.lit(-(2**63))
     keys = {"__id": F.coalesce("doc_id", absent), "__no_id": F.col("doc_id").isNull()}

@@ -675,13 +675,20 @@ def sentence(n, seed):
 
 def test_repeated_passages_go(spark):
     passage = "".join(sentence(14, 100 + k) for k in range(4))
-    alone = sentence(55, 500)
+    alone = sentence(25, 500)
+    short = "".join(sentence(1, 700 + k) for k in range(30))  # neighbouring sentences have few words
+    han = "".join("".join(random.Random(k).choices("".join(map(chr, range(0x4E00, 0x4E80))), k=14)) + "\u3002" for k in range(4))
     own = {i: sentence(12, 900 + i) + sentence(9, 950 + i) for i in range(9)}
     rows = [(1, own[1] + passage + own[2]), (2, passage + own[3]), (3, own[4] + alone), (4, own[5] + alone.upper()), (5, own[6] + passage + passage), (6, None), (7, ""), (8, "Of. The. Of. The. Of. The."), (9, LONG), (1, own[1] + passage + own[2])]
-    got = substring_dedup.remove_repeats(documents(spark, [(i, t, None, None) for i, t in rows]).repartition(4)).collect()
+    rows += [(10, own[7] + short), (11, short), (12, han), (13, han + own[8])]
+    docs = documents(spark, [(i, t, None, None) for i, t in rows])
+    got = substring_dedup.remove_repeats(docs.repartition(4)).collect()
     text = {r["doc_id"]: r["text"] for r in got}
     assert len(got) == len(rows)
     assert [text[i] for i in (1, 2, 3, 4, 5, 6, 7, 8)] == [rows[0][1], own[3], rows[2][1], own[5], own[6], "", "", rows[7][1]] and text[9] == LONG
+    assert [text[i] for i in (10, 11, 12, 13)] == [own[7] + short, "", han, own[8]]
+    plain = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(docs, least_words=0, alone_words=None).collect()}
+    assert plain[4] == own[5] + alone.upper() and plain[8] == "Of. The. " and plain[11] == ""
     assert substring_dedup.remove_repeats(documents(spark, [])).count() == 0
 
 
