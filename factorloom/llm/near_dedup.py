@@ -14,8 +14,8 @@ In two steps no bucket is expanded into all its pairs:
 2. members that are not in their centre's component are compared with all members of other components in their bucket, in
    blocks, each pair in the first bucket that it shares; who has come into a component within the block is not compared again
 
-Pairs of J_P = 0.8 share no band with probability 6e-7, and fewer than two with 1e-5; step 2 passes over pairs that share one
-band only (step 1 does not). Verification is exact.
+Pairs of J_P = 0.8 share no band with probability 6e-7: the only links that can be missed. Verification is exact. ``least_bands`` above 1 lets
+step 2 pass over pairs that share fewer bands.
 
 Cases
 -----
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage, text_or_empty
+from .common import WORD, discard, spare, stage, text_or_empty
 from .components import components
 
 SHINGLE = 5
@@ -182,7 +182,7 @@ def _verified(least: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Re
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _block_links(least: float, band: int, members: list[dict], profile) -> Iterator[tuple[str, str]]:
+def _block_links(least: float, least_bands: int, band: int, members: list[dict], profile) -> Iterator[tuple[str, str]]:
     """Links between the left and the right rows of one block: other components, the first bucket they share."""
     left, right = [m for m in members if m["side"] == 0], [m for m in members if m["side"] == 1]
     if not left or not right:
@@ -203,14 +203,14 @@ def _block_links(least: float, band: int, members: list[dict], profile) -> Itera
         same = rb == np.array(m["bands"], np.int64)
         shared = same.sum(axis=1)
         # pairs of two members outside their centre's component come up from both sides
-        todo = np.flatnonzero((shared >= 2) & (labels != m["label"]) & ~same[:, :band].any(axis=1) & (~outside | (keys > m["key"])))
+        todo = np.flatnonzero((shared >= least_bands) & (labels != m["label"]) & ~same[:, :band].any(axis=1) & (~outside | (keys > m["key"])))
         for k in todo[np.argsort(-shared[todo], kind="stable")]:
             if root(m["label"]) != root(right[k]["label"]) and _close(profile(m), profile(right[k]), least):
                 group[root(m["label"])] = root(right[k]["label"])
                 yield m["key"], right[k]["key"]
 
 
-def _in_blocks(least: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _in_blocks(least: float, least_bands: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks one after another, from rows sorted by block; one block's rows are held at a time."""
     known: dict[str, tuple] = {}
 
@@ -222,7 +222,7 @@ def _in_blocks(least: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.R
         return known[m["key"]]
 
     def links(members: list[dict]) -> list[tuple[str, str]]:
-        return list(_block_links(least, members[0]["band"], members, profile))
+        return list(_block_links(least, least_bands, members[0]["band"], members, profile))
 
     members: list[dict] = []
     block = None
@@ -245,7 +245,7 @@ def _pairs(found: list[tuple[str, str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], ["u", "v"])
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, least_bands: int = 1) -> DataFrame:
     """``doc_id, key, label, class_id, text_id``: of each row the class of near-duplicates that it is in, told apart from others by its
     label, its least key, and named by its least doc_id; and the least doc_id of the rows with the same words."""
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), profile_key().alias("key"), word_hashes().alias("words"))
@@ -257,10 +257,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     shared = stage(dealt.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sketch-shared")
     dealt = stage(dealt.hint("merge").join(shared, ["band", "bucket"]), "sketch-buckets")
     degree = dealt.groupBy("key").agg(F.sum(F.log2("n")).alias("degree"))
-    placed = stage(dealt.hint("merge").join(degree, "key"), "sketch-degrees")
-    centres = placed.groupBy("band", "bucket").agg(F.max(F.struct(F.round("degree", 6), "key")).alias("top")).select("band", "bucket", F.col("top.key").alias("centre"))
+    weighed = stage(dealt.hint("merge").join(degree, "key"), "sketch-degrees")
+    centres = weighed.groupBy("band", "bucket").agg(F.max(F.struct(F.round("degree", 6), "key")).alias("top")).select("band", "bucket", F.col("top.key").alias("centre"))
     centres = stage(centres, "sketch-tops")
-    placed = stage(placed.hint("merge").join(centres, ["band", "bucket"]), "sketch-centres")
+    centred = stage(weighed.hint("merge").join(centres, ["band", "bucket"]), "sketch-centres")
+    discard(shared, weighed, centres)
 
     # the words of the texts that stand in such buckets
     needed = degree.select("key").join(texts, "key")
@@ -268,15 +269,16 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     words = source.hint("merge").join(needed, "key", "inner").where(source["doc_id"].eqNullSafe(needed["text_id"]))
     words = words.groupBy("key").agg(F.first("text").alias("text"), F.first("bands").alias("bands"))
     words = stage(words, "sketch-words")
+    discard(dealt)
 
-    pairs = placed.where("key <> centre").select(F.col("centre").alias("u"), F.col("key").alias("v")).distinct()
+    pairs = centred.where("key <> centre").select(F.col("centre").alias("u"), F.col("key").alias("v")).distinct()
     right = words.select(F.col("key").alias("v"), word_hashes().alias("words_v"))
     left = words.select(F.col("key").alias("u"), word_hashes().alias("words_u"))
     compared = pairs.hint("merge").join(right, "v").hint("merge").join(left, "u")
     links = stage(compared.mapInArrow(lambda b: _verified(least, b), "u string, v string"), "links-centres")
 
     labels = components(links)
-    placed = placed.select("band", "bucket", "key", "centre").hint("merge").join(labels.withColumnRenamed("node", "key"), "key", "left")
+    placed = centred.select("band", "bucket", "key", "centre").hint("merge").join(labels.withColumnRenamed("node", "key"), "key", "left")
     placed = placed.withColumn("label", F.coalesce("label", "key"))
     of_centre = placed.where("key = centre").select("band", "bucket", F.col("label").alias("centre_label"))
     placed = stage(placed.hint("merge").join(of_centre, ["band", "bucket"]).withColumn("outside", F.col("label") != F.col("centre_label")), "sketch-labels")
@@ -295,13 +297,16 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     hashed = words.select("key", "bands", word_hashes().alias("words"))
     block = ["band", "bucket", "left", "right"]
     blocks = blocks.hint("merge").join(hashed, "key").repartition(*block).sortWithinPartitions(*block, "side", "key")
-    more = blocks.mapInArrow(lambda b: _in_blocks(least, b), "u string, v string")
+    more = blocks.mapInArrow(lambda b: _in_blocks(least, least_bands, b), "u string, v string")
 
-    named = components(stage(links.unionByName(more), "links-all"))
+    every_link = stage(links.unionByName(more), "links-all")
+    discard(centred, placed, mixed, words, links)
+    named = components(every_link)
     classes = texts.select("key", "text_id").hint("merge").join(named.withColumnRenamed("node", "key"), "key", "left")
-    classes = stage(classes.withColumn("label", F.coalesce("label", "key")), "near-classes")
-    ids = stage(classes.groupBy("label").agg(F.min("text_id").alias("class_id")), "near-labels")
-    classes = stage(classes.hint("merge").join(ids, "label").select("key", "label", "text_id", "class_id"), "near-ids")
+    labelled = stage(classes.withColumn("label", F.coalesce("label", "key")), "near-classes")
+    ids = stage(labelled.groupBy("label").agg(F.min("text_id").alias("class_id")), "near-labels")
+    classes = stage(labelled.hint("merge").join(ids, "label").select("key", "label", "text_id", "class_id"), "near-ids")
+    discard(every_link, texts, labelled, ids)
     return sketched.select("doc_id", "key").hint("merge").join(classes, "key").select("doc_id", "key", "label", "class_id", "text_id")
 
 
@@ -310,11 +315,12 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     (one row, where that doc_id repeats within the class)."""
     found = near_duplicates(docs, least)
     absent = F.lit(-(2**63))
-    keys = ["__key", "__id", "__no_id"]
+    key, id_, no_id, copy = spare(docs, "key", "id", "no_id", "copy")
+    keys = [key, id_, no_id]
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label", "class_id").agg(F.min("key").alias("key"))
     stays = stays.select("key", F.coalesce("class_id", absent), F.col("class_id").isNull()).toDF(*keys)
     doc_id = F.col("doc_id").cast("long")
-    tagged = docs.withColumns({"__key": profile_key(), "__id": F.coalesce(doc_id, absent), "__no_id": doc_id.isNull()})
-    first = Window.partitionBy(*keys).orderBy("__id")  # shares the join's partitioning
-    out = tagged.join(stays.hint("merge"), keys, "left_semi").withColumn("__copy", F.row_number().over(first))
-    return out.where("__copy = 1").select(*docs.columns)
+    tagged = docs.withColumns({key: profile_key(), id_: F.coalesce(doc_id, absent), no_id: doc_id.isNull()})
+    first = Window.partitionBy(*keys).orderBy(id_)  # shares the join's partitioning
+    out = tagged.join(stays.hint("merge"), keys, "left_semi").withColumn(copy, F.row_number().over(first))
+    return out.where(F.col(copy) == 1).select(*docs.columns)
