@@ -51,14 +51,14 @@ def _literal(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _spans(kind: str, pattern: str, keep: str = "true") -> str:
+def _spans(kind: str, pattern: str, keep: str = "true", text: str = "t") -> str:
     """Matches of one pattern with their positions, by the lengths of the gaps between them."""
     p = _literal(pattern)
     return f"""
   SELECT row_no, {secrets.KINDS.index(kind)} AS kind_no, '{kind}' AS kind, found,
          list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[:i - 1], lambda x: length(x))), 0) AS start
   FROM (SELECT row_no, hits, gaps, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS found
-        FROM (SELECT row_no, regexp_extract_all(t, {p}) AS hits, string_split_regex(t, {p}) AS gaps FROM d))
+        FROM (SELECT row_no, regexp_extract_all({text}, {p}) AS hits, string_split_regex({text}, {p}) AS gaps FROM d))
   WHERE {keep}"""
 
 
@@ -69,7 +69,10 @@ def _op4() -> str:
         _spans("access", secrets.ACCESS), _spans("hex", secrets.HEX),
     ])
     no_allowed = " AND ".join(f"NOT regexp_matches(found, {_literal(a)})" for a in secrets.ALLOWED)
-    runs = "\n  UNION ALL".join(_spans(c.kind, f"{c.pattern}{{{c.window},}}", no_allowed) for c in secrets.CLASSES)
+    runs = "\n  UNION ALL".join(_spans(c.kind, f"{c.pattern}{{{c.window},}}", no_allowed, "bare") for c in secrets.CLASSES)
+    bare = "coalesce(text, '')"
+    for word in secrets.PLACEHOLDERS:
+        bare = f"regexp_replace({bare}, '(?i:{word})', '{' ' * len(word)}', 'g')"
     hot = "\n  UNION ALL".join(
         f"""
   SELECT row_no, kind_no, kind, start AS run_start, start + p AS start, start + p + {c.window} AS stop
@@ -78,7 +81,7 @@ def _op4() -> str:
         for c in secrets.CLASSES
     )
     return f"""
-WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS t, {bare} AS bare FROM documents),
 base AS (SELECT row_no, kind_no, kind, start::BIGINT AS start, (start + length(found))::BIGINT AS stop FROM ({base})),
 runs AS ({runs}),
 hot AS ({hot}),

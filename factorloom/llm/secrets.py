@@ -2,8 +2,8 @@
 
 Candidates of a character class are the maximal runs of its characters. A window of fixed width slides along each;
 the window's symbol counts, and with them its entropy, are updated by the one symbol that enters and the one that leaves.
-Windows at or above the class's threshold are merged into spans. Candidates that an allow-list pattern matches are left out,
-and so are spans that lie inside a span of a fixed pattern.
+Windows at or above the class's threshold are merged into spans. Allow-list: candidates that as a whole are no secrets are left out, and so are
+windows that overlap a placeholder word, and spans that lie inside a span of a fixed pattern.
 
 Entropy is kept as a sum of integers: H = log2(w) - sum(c * log2 c) / w, each term scaled by 2**20 and rounded, so that
 incremental and direct computation agree to the last digit.
@@ -11,7 +11,8 @@ incremental and direct computation agree to the last digit.
 Cases
 -----
 * null text is scanned as empty; empty text gives no spans; texts are scanned whole, offsets count code points
-* repeated rows and repeated or null doc_ids are each scanned and reported; columns besides doc_id and text are ignored
+* repeated rows and repeated or null doc_ids are each scanned and reported; an empty table gives an empty report
+* ``find_secrets`` keeps other columns and puts ``base`` and ``added`` in place of columns of these names; ``scan`` ignores other columns
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import spare, text_or_empty
 
 #: Patterns of the contract (fixed values): kind, pattern, least length of the group given.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
@@ -59,31 +60,39 @@ CLASSES = (
     CharClass("entropy_hex", DIGITS + "abcdefABCDEF", "[0-9A-Fa-f]", 20, 3.2),
     CharClass("entropy_base64", UPPER + LOWER + DIGITS + "+/_=-", "[A-Za-z0-9+/_=-]", 20, 3.8),
 )
-#: Candidates with a match are no secrets: one kind of symbol alone, words and placeholders, UUIDs, dates.
+#: Candidates that match as a whole are no secrets: one kind of symbol alone, UUIDs, times.
 ALLOWED = (
     r"^[0-9+/_=-]*$",
     r"^[A-Za-z+/_=-]*$",
-    r"(?i:example|sample|placeholder|changeme|dummy|xxxx|lorem)",
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9-]*Z?$",
 )
+#: Words of placeholders, in either case: what stands beside one is judged without it.
+PLACEHOLDERS = ("example", "sample", "placeholder", "changeme", "dummy", "xxxx", "lorem")
+#: Matches whose places are summed up together.
+PLACED = 256
 
 
 def _positions(text: Column, pattern: str) -> Column:
     """Array of ``(start, end, found)`` of all matches, leftmost and not overlapping."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("spans"))
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("long"), m.alias("found")))
+    nothing = F.array().cast("array<struct<start:int,end:int,found:string>>")
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["found"])
-        span = F.struct(begin.alias("start"), end.alias("end"), x["found"].alias("found"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        begin = acc["at"] + x["gap"]
+        end = begin + x["long"]
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["found"].alias("found")))).alias("spans"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("found")))
-    nothing = F.array().cast("array<struct<start:int,end:int,found:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(nothing)
+    # in blocks, since a list that grows by each match of a long text takes time by its square
+    def length(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0), lambda n, x: n + x["gap"] + x["long"])
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / PLACED).cast("int")), lambda k: F.slice(pairs, k * PLACED + 1, F.lit(PLACED)))
+    starts = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + length(b))))
+    placed = F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), lambda b, at: F.aggregate(b, F.struct(at.alias("at"), nothing.alias("spans")), step, lambda acc: acc["spans"]))
+    return F.when(text.rlike(pattern), F.flatten(placed)).otherwise(nothing)
 
 
 def _hot_windows(candidate: Column, c: CharClass) -> Column:
@@ -135,25 +144,28 @@ def _shifted(c: CharClass):
     return spans
 
 
-def find_secrets(docs: DataFrame, classes: Sequence[CharClass] = CLASSES, allowed: Sequence[str] = ALLOWED) -> DataFrame:
+def find_secrets(docs: DataFrame, classes: Sequence[CharClass] = CLASSES, allowed: Sequence[str] = ALLOWED, placeholders: Sequence[str] = PLACEHOLDERS) -> DataFrame:
     """``docs`` with ``base`` and ``added``: arrays of ``(start, kind_no, end, kind)``, sorted."""
-    text = F.col("__text")
-    out = docs.withColumn("__text", text_or_empty())
-    out = out.withColumns({"__assign": _positions(text, ASSIGN), "__access": _positions(text, ACCESS), "__hex": _positions(text, HEX)})
-    out = out.withColumn("__assign", F.filter("__assign", lambda m: F.length(F.regexp_extract(m["found"], ASSIGN, 2)) >= LEAST_VALUE))
+    docs = docs.drop("base", "added")
+    text, bare, assign, access, hexes, *runs = spare(docs, "whole", "bare", "assign", "access", "hex", *[f"runs_{c.kind}" for c in classes])
+    out = docs.withColumn(text, text_or_empty())
+    out = out.withColumns({n: _positions(F.col(text), p) for n, p in ((assign, ASSIGN), (access, ACCESS), (hexes, HEX))})
+    out = out.withColumn(assign, F.filter(assign, lambda m: F.length(F.regexp_extract(m["found"], ASSIGN, 2)) >= LEAST_VALUE))
 
     def named(spans, kind: str) -> Column:
         no = KINDS.index(kind)
         return F.transform(spans, lambda m: F.struct(m["start"].alias("start"), F.lit(no).alias("kind_no"), m["end"].alias("end"), F.lit(kind).alias("kind")))
 
-    out = out.withColumn("base", F.array_sort(F.concat(*[named(F.col(f"__{k}"), k) for k in KINDS[:3]])))
+    out = out.withColumn("base", F.array_sort(F.concat(*[named(F.col(n), k) for n, k in zip((assign, access, hexes), KINDS)])))
+    blanked = F.col(text)
+    for word in placeholders:
+        blanked = F.regexp_replace(blanked, f"(?i:{word})", " " * len(word))
+    out = out.withColumn(bare, blanked)
     added = []
-    for c in classes:
-        run = f"{c.pattern}{{{c.window},}}"
-        out = out.withColumn(f"__{c.kind}", _positions(text, run))
-        kept = F.filter(F.col(f"__{c.kind}"), lambda m: ~F.coalesce(*[F.when(m["found"].rlike(a), True) for a in allowed], F.lit(False)))
-        spans = F.flatten(F.transform(kept, _shifted(c)))
-        added.append(named(spans, c.kind))
+    for c, name in zip(classes, runs):
+        out = out.withColumn(name, _positions(F.col(bare), f"{c.pattern}{{{c.window},}}"))
+        kept = F.filter(name, lambda m: ~F.coalesce(*[F.when(m["found"].rlike(a), True) for a in allowed], F.lit(False)))
+        added.append(named(F.flatten(F.transform(kept, _shifted(c))), c.kind))
     out = out.withColumn("added", F.array_sort(F.concat(*added)))
     inside = F.filter("added", lambda a: ~F.exists("base", lambda b: (b["start"] <= a["start"]) & (a["end"] <= b["end"])))
     return out.withColumn("added", inside).select(*docs.columns, "base", "added")

@@ -221,13 +221,16 @@ def test_secret_kinds(spark):
         5: "blob Zk3v9Qw7Lp2Xs8Rt5Yb1Nc6Md4 end",
         6: None,
         7: "",
+        8: "Ab3dEf9hIjKexampleMnOpQrSt0123 2024-05-01T12-30-00-000000Z",
+        9: " ".join(f"token=abcdef{k}" for k in range(3000)),
     }
     got = {r["doc_id"]: r for r in secrets.scan(documents(spark, [(i, t, None, None) for i, t in texts.items()])).collect()}
     assert (got[1]["n_assign"], got[1]["n_access"], got[1]["n_hex"]) == (1, 1, 1)
     assert got[1]["spans"].startswith("assign:2:22,access:28:48,")
     assert got[2]["n_assign"] == 1 and got[3]["n_assign"] == 2
-    assert got[4]["spans"] == "" and got[5]["spans"].startswith("entropy_base64:5:")
+    assert got[4]["spans"] == "entropy_base64:51:71" and got[8]["spans"] == "" and got[5]["spans"].startswith("entropy_base64:5:")
     assert got[6]["base_sha256"] == got[7]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert [tuple(map(int, x.split(":")[1:])) for x in got[9]["spans"].split(",")] == [m.span() for m in re.finditer("token=[a-z0-9]+", texts[9])]
     assert secrets.scan(documents(spark, [])).count() == 0 and secrets.scan(documents(spark, ODD)).count() == len(ODD)
 
 
@@ -735,6 +738,26 @@ def test_canonical_urls(spark):
     assert {r["u"]: r["c"] for r in got} == urls
 
 
+CLASHING = "base added whole bare assign ids decoded lang_pred score scored key named each rest row copy id no_id digest label t text_id h1 parts removed Text_ KEY_".split()
+
+
+def test_clashing_columns_are_kept(spark):
+    """Operators that keep columns keep those whose names they use inside; docstrings name the ones that they replace."""
+    rows = [(i, vocabulary_text(30, i, LANGUAGES["en"]), "en", "s", *range(len(CLASHING))) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} int" for c in CLASHING))
+    outs = {
+        "exact": exact_dedup.keep_first(docs), "near": near_dedup.keep_one(docs), "mixed": mixing.mix_rows(docs), "language": language_id.keep_identified(docs, PIECES),
+        "secrets": secrets.find_secrets(docs), "bpe": bpe.encode_decode(docs, BYTE_BPE), "identify": language_id.identify(docs, language_id.learn(docs, PIECES)),
+    }
+    replaced = {"secrets": {"base", "added"}, "bpe": {"ids", "decoded"}, "identify": {"lang_pred", "score"}}
+    for name, df in outs.items():
+        assert len(set(df.columns)) == len(df.columns) and set(df.columns) == set(docs.columns), name
+        for r in df.collect():
+            assert all(r[c] == k for k, c in enumerate(CLASHING) if c not in replaced.get(name, ())), name
+    for df in (substring_dedup.remove_repeats(docs), exact_dedup.dedup(docs), secrets.scan(docs), near_dedup.near_duplicates(docs), mixing.fair_queue(docs)):
+        assert df.count() == 6
+
+
 def test_scratch_is_the_named_folder(spark):
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     assert named is None or common.scratch(spark).startswith(named.rstrip("/")[:10])

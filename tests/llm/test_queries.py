@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import html
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 tokenizers = pytest.importorskip("tokenizers")
 
 import corpus_pipeline  # noqa: E402
+from factorloom.llm.common import stage  # noqa: E402
 from factorloom.llm.queries import BYTE_BPE, ORACLE_SQL, QUERIES  # noqa: E402
 from tests.llm.test_operators import brute_classes, brute_mix  # noqa: E402
 from tests.oracle import assert_same, connection  # noqa: E402
@@ -44,6 +47,15 @@ def test_near_dedup_query(spark):
 
 
 def test_html_query(spark):
+    """Against the articles that a plain parser of the template finds."""
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in QUERIES["op7_html_text"](spark, SF).collect():
+        article = re.search("<article>(.*?)</article>", pages[r["page_id"]], re.S).group(1)
+        blocks = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", b))).split()) for b in re.split(r"</?(?:p|h1)>", article)]
+        assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+def test_html_query_counts(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = QUERIES["op7_html_text"](spark, SF)
     assert got.count() == pages.count()
@@ -79,3 +91,26 @@ def test_pipeline_stages(spark, tmp_path):
             known = tokenizers.Tokenizer.from_file(BYTE_BPE)
             texts = {r["doc_id"]: r["text"] for r in before}
             assert len(after) == len(before) and all(list(r["ids"]) == known.encode(texts[r["doc_id"]], add_special_tokens=False).ids for r in after)
+
+
+def test_pipeline_on_odd_rows_and_none(spark):
+    """Nulls in every column, empty and very long texts, repeated rows; then a table without rows."""
+    own = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    odd = spark.createDataFrame(
+        [(None, None, None, None, None), (9001, None, "en", None, 0), (9002, "", None, "web", 0), (9003, "la " * 50_000, None, None, 1), (None, "the same of and that", None, None, 2), (9004, "*** 1 2", "en", "web", 3)] + [(9005, "of the and this that", "en", None, 4)] * 3,
+        own.schema,
+    )
+    rows = own.unionByName(odd)
+    docs = rows
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = step(spark, docs, SF)
+        docs = stage(docs, "test")
+        assert docs.columns == rows.columns, name
+        if name != "mixing":  # which may leave a document out
+            out = collections.Counter(r["doc_id"] for r in docs.collect())
+            assert not out.keys() & {9001, 9002, 9004} and out[9003] == 1 and out[9005] == (3 if name == "language ID" else 1), name
+    assert docs.count() == corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
+    docs = rows.limit(0)
+    for name, step in corpus_pipeline.STAGES:
+        docs = step(spark, docs, SF)
+        assert docs.count() == 0, name
