@@ -2,6 +2,15 @@
 
 Language ID rejects texts whose language cannot be told, exact dedup and near-dedup keep one row of each group, mixing takes
 each row as often as its source's target asks for, and BPE turns the mixture into token ids.
+
+Cases, as each stage's operator states them in full
+-----
+* language ID drops null, empty and letterless texts, so no later stage meets them; null lang, source or doc_id drop nothing
+* very long texts are read whole by every stage
+* exact dedup: ties go to the larger doc_id, null below all; of repeated rows one stays
+* near-dedup: of a class the least doc_id stays; rows without doc_id stay only where no member has one
+* mixing: null is a source of its own; repeated rows share out what is taken of them
+* an empty table stays empty through all stages; further columns, whatever their names, stay until BPE selects its own
 """
 
 from __future__ import annotations
