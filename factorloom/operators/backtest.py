@@ -80,7 +80,8 @@ def equity_frame(factor: DataFrame, panel: DataFrame, groups: int = 5, cost_bps:
 
 
 def backtest(factor: DataFrame, panel: DataFrame, groups: int = 5, cost_bps: float = 10.0) -> DataFrame:
-    """One row: IC mean, deviation and ratio, annual long/short return, Sharpe, drawdown, turnover and the groups' annual returns."""
+    """One row: IC mean, deviation and ratio, annual long/short return, Sharpe, drawdown, turnover, the groups' annual returns, and ``n_nonfinite``, the
+    number of dates whose return is infinite or undefined (a price of 0): where it is not 0, measures that are 0 may say only that."""
     returns = forward_returns(panel)
     grouped = quantile_groups(factor, groups)
     ic = metrics.ic_summary(metrics.rank_ic(factor, returns))
@@ -88,7 +89,7 @@ def backtest(factor: DataFrame, panel: DataFrame, groups: int = 5, cost_bps: flo
     traded = turnover(leg_weights(grouped, groups))
     net = equity(with_costs(long_short(by_group, groups), traded, cost_bps))
     drawdown = metrics.max_drawdown(net)
-    sharpe = net.agg(metrics.sharpe("ls_return").alias("sharpe_ratio"), (metrics.mean_or_zero("ls_return") * DAYS).alias("long_short_annual_return"))
+    sharpe = net.agg(metrics.sharpe("ls_return").alias("sharpe_ratio"), (metrics.mean_or_zero("ls_return") * DAYS).alias("long_short_annual_return"), F.count_if(~ieee.finite(F.col("ls_return"))).alias("n_nonfinite"))
     mean_turnover = traded.agg(metrics.mean_or_zero("turnover").alias("turnover"))
     annual = metrics.group_annual_returns(by_group)
     out = ic
@@ -105,11 +106,16 @@ def industry_neutral(factor: DataFrame, industry: str, by_date: bool = True) ->
 
 
 def size_neutral(factor: DataFrame, size: str, by_date: bool = True) -> DataFrame:
-    """Residual of the factor on an intercept and ``size`` (rows with both); unchanged where sizes do not vary."""
-    w = Window.partitionBy("date") if by_date else Window.partitionBy()
+    """Residual of the factor on an intercept and ``size`` (rows with both), on the date or over the whole input; unchanged where sizes do not vary."""
     both = F.col("factor_value").isNotNull() & F.col(size).isNotNull()
     y, x = F.when(both, F.col("factor_value")), F.when(both, F.col(size).cast("double"))
-    spread = F.var_pop(x).over(w)
-    slope = F.covar_pop(x, y).over(w) / F.when(spread > 0, spread)
-    residual = y - F.avg(y).over(w) - slope * (x - F.avg(x).over(w))
-    return factor.withColumn("factor_value", F.coalesce(residual, F.col("factor_value")))
+    spread, mean_x, mean_y = F.var_pop(x), F.avg(x), F.avg(y)
+    slope = F.covar_pop(x, y) / F.when(spread > 0, spread)
+    if by_date:
+        w = Window.partitionBy("date")
+        spread, mean_x, mean_y = spread.over(w), mean_x.over(w), mean_y.over(w)
+        residual = y - mean_y - F.covar_pop(x, y).over(w) / F.when(spread > 0, spread) * (x - mean_x)
+        return factor.withColumn("factor_value", F.coalesce(residual, F.col("factor_value")))
+    fit = factor.agg(slope.alias("__slope"), mean_x.alias("__x"), mean_y.alias("__y"))  # one row
+    residual = y - F.col("__y") - F.col("__slope") * (x - F.col("__x"))
+    return factor.crossJoin(F.broadcast(fit)).withColumn("factor_value", F.coalesce(residual, F.col("factor_value"))).select(*factor.columns)

@@ -16,6 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import PanelError
+from ..functions import frames, ieee
+from ..session import staged
 from . import metrics
 
 DAYS = 252
@@ -91,6 +94,18 @@ def min_backtest_length(sharpe: float, variance: float = 0.04, alpha: float = 0.
     return {"min_obs": needed, "actual_obs": actual, "sufficient": actual >= needed}
 
 
+def inversions(ranks: DataFrame, x: str, y: str, n: int) -> DataFrame:
+    """One row ``inversions``: pairs that two rankings from 0 to below ``n``, without ties, order otherwise. By the bits of y: two rows are an inversion
+    at the highest bit in which their y differ, if the one with that bit set has the lower x; so no pairs are formed."""
+    bits = F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 1).bit_length() - 1))).alias("bit")
+    rows = ranks.select(x, F.col(y).cast("long").alias(y), bits)
+    set_ = F.expr(f"shiftright({y}, bit) & 1")
+    earlier = Window.partitionBy("bit", "above").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select(x, "bit", F.expr(f"shiftright({y}, bit + 1)").alias("above"), set_.alias("is_set"))
+    counted = rows.select(F.when(F.col("is_set") == 0, F.sum("is_set").over(earlier)).alias("n"))
+    return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("inversions"))
+
+
 def overfitting_probability(returns: DataFrame, column: str = "ls_return", splits: int = 5, oos_share: float = 0.3) -> DataFrame:
     """One row ``pbo, n_combinations, overfit``: (1 - tau) / 2 of in-sample and out-of-sample Sharpe ranks over all choices of half
     the segments; out of sample counts the last ``oos_share`` of each segment left.
@@ -122,19 +137,32 @@ def overfitting_probability(returns: DataFrame, column: str = "ls_return", split
         return F.when(variance > 1e-30, s / n / F.sqrt(F.when(variance > 1e-30, variance)) * math.sqrt(DAYS)).otherwise(0.0)
 
     each = met.groupBy("combination").agg(ratio("all", F.col("inside")).alias("is_sharpe"), ratio("late", ~F.col("inside")).alias("oos_sharpe"))
-    each = each.withColumns({n: F.row_number().over(Window.orderBy(F.round(f"{n}_sharpe", 12), "combination")) for n in ("is", "oos")})
-    tau = metrics.kendall_by(each.withColumn("one", F.lit(1)), "is", "oos", "one")
-    found = each.agg(F.count(F.lit(1)).alias("found")).crossJoin(F.broadcast(tau.agg(F.max("tau").alias("tau"))))
+    each = each.select(*[(F.row_number().over(Window.orderBy(F.round(f"{n}_sharpe", 12), "combination")) - 1).alias(n) for n in ("is", "oos")])
+    n = F.count(F.lit(1))
+    found = each.agg(n.alias("found")).crossJoin(F.broadcast(inversions(each, "is", "oos", len(chosen))))
+    found = found.withColumn("tau", 1 - 4 * F.col("inversions") / F.when(F.col("found") > 1, F.col("found") * (F.col("found") - 1)))
     pbo = F.when(F.col("found") >= 2, (1 - F.col("tau")) / 2).otherwise(0.0)
     return found.select(pbo.alias("pbo"), F.lit(len(chosen)).alias("n_combinations"), F.coalesce(pbo > 0.5, F.lit(False)).alias("overfit"))
 
 
+#: Longest series that bootstrap sends to every task, one number a date.
+LONGEST_SERIES = 1_000_000
+
+
 def bootstrap_sharpe(returns: DataFrame, column: str = "ls_return", replicates: int = 2000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """One row ``sharpe_ci_lower, sharpe_ci_upper, n_boot, significant``. The series, one number a date, goes to every task; replicates
-    are spread over tasks, each with a generator of its own from ``(seed, replicate)``."""
-    series = np.array([r[0] for r in returns.where(F.col(column).isNotNull()).orderBy("date").select(F.col(column).cast("double")).collect()])
+    """One row ``sharpe_ci_lower, sharpe_ci_upper, n_boot, n_dropped, significant``. The series, one number a date, is broadcast (a longer one than
+    ``LONGEST_SERIES`` is refused); replicates are spread over tasks, each with a generator of its own from ``(seed, replicate)``. Returns that are
+    not finite have no place in a mean; they are dropped and counted."""
+    spark = returns.sparkSession
+    value = F.col(column).cast("double")
+    rows = returns.where(value.isNotNull()).orderBy("date").select(F.when(ieee.finite(value), value)).limit(LONGEST_SERIES + 1).collect()
+    if len(rows) > LONGEST_SERIES:
+        raise PanelError(f"a series of more than {LONGEST_SERIES} dates")
+    finite = np.array([r[0] for r in rows if r[0] is not None])
+    shared = spark.sparkContext.broadcast(finite)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series = shared.value
         for batch in batches:
             out = []
             for k in batch["id"]:
@@ -143,9 +171,9 @@ def bootstrap_sharpe(returns: DataFrame, column: str = "ls_return", replicates:
                 out.append(float(sample.mean() / deviation * math.sqrt(DAYS)) if deviation > 0 else 0.0)
             yield pd.DataFrame({"sharpe": out})
 
-    drawn = returns.sparkSession.range(replicates).mapInPandas(draw, "sharpe double")
+    drawn = spark.range(replicates).mapInPandas(draw, "sharpe double")
     bounds = drawn.agg(F.percentile("sharpe", F.lit(alpha / 2)).alias("sharpe_ci_lower"), F.percentile("sharpe", F.lit(1 - alpha / 2)).alias("sharpe_ci_upper"), F.count(F.lit(1)).alias("n_boot"))
-    return bounds.withColumn("significant", F.col("sharpe_ci_lower") > 0)
+    return bounds.withColumns({"n_dropped": F.lit(len(rows) - len(finite)), "significant": F.col("sharpe_ci_lower") > 0})
 
 
 def walk_forward(factor: DataFrame, returns: DataFrame, splits: int = 5, rolling: bool = False) -> DataFrame:
@@ -191,36 +219,43 @@ def regime_stress(df: DataFrame, returns: str = "forward_return", reference: str
     return out.select("regime", "n_rows", "ic", worst.alias("worst"), one_sign.alias("consistent"))
 
 
-#: Hash ranges in which the rows of a replicate are numbered.
-RANGES = 1024
+#: Rows of a hash range beyond which a replicate's rows are numbered in more ranges.
+RANGE_ROWS = 100_000
 
 
-def _numbered(rows: DataFrame, key: Column, place: str) -> DataFrame:
-    """``rows`` with ``place`` from 1 within ``rep``, in some order fixed by the hash ``key``: a row's number is its number in its hash
-    range plus the rows of the ranges before, so no task holds a whole replicate."""
-    hashed = rows.withColumn("__key", key).withColumn("__range", F.pmod("__key", F.lit(RANGES)))
-    before = Window.partitionBy("rep").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = hashed.groupBy("rep", "__range").agg(F.count(F.lit(1)).alias("__n"))
-    sizes = sizes.select("rep", "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("rep", "__range").orderBy("__key", "date", "asset")
-    numbered = hashed.withColumn("__k", F.row_number().over(within)).join(sizes, ["rep", "__range"])
-    return numbered.withColumn(place, F.col("__before") + F.col("__k")).drop("__key", "__range", "__k", "__before")
+def _numbered(rows: DataFrame, key: Column, ranges: int, *by: str) -> DataFrame:
+    """``rows`` with ``place`` from 1 within ``by``, in some order fixed by the hash ``key``: a row's number is its number in its hash
+    range plus the rows of the ranges before, so no task holds all rows of a replicate."""
+    hashed = rows.withColumn("__key", key).withColumn("__range", F.pmod("__key", F.lit(ranges)))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = hashed.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.select(*by, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(*by, "__range").orderBy("__key", "row")
+    numbered = hashed.withColumn("__k", F.row_number().over(within)).join(sizes, [*by, "__range"])
+    return numbered.withColumn("place", F.col("__before") + F.col("__k")).drop("__key", "__range", "__k", "__before")
 
 
 def placebo(factor: DataFrame, returns: DataFrame, shuffles: int = 100, seed: int = 42) -> DataFrame:
     """One row ``true_ic, placebo_mean, placebo_std, p_value, n_shuffles, significant``: the mean IC against that of shuffled factors.
 
-    A replicate pairs the rows, numbered by one hash of their keys, with the values, numbered by another: a permutation over all
-    rows. Replicates are groups of one job; ranks within a replicate's dates need no more than a date's rows.
+    A replicate pairs the rows, numbered once by one hash of their keys, with the values, numbered by another of its own: a permutation over all
+    rows. Ranks of the returns within dates are the same in every replicate, so they are formed once too. Replicates are groups of one job.
     """
-    rows = factor.join(returns, ["date", "asset"]).where("factor_value IS NOT NULL AND forward_return IS NOT NULL").select("date", "asset", "factor_value", "forward_return")
-    true_ic = metrics.spearman_by(rows, "factor_value", "forward_return", "date").agg(F.coalesce(F.avg("ic"), F.lit(0.0)).alias("true_ic"))
-    copies = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(shuffles))).alias("rep"))
-    names = [F.col("date").cast("string"), F.col("asset").cast("string")]
-    left = _numbered(copies.drop("factor_value"), F.xxhash64(F.lit(seed), *names), "place")
-    right = _numbered(copies.drop("forward_return"), F.xxhash64(F.lit(seed), "rep", F.lit("shuffled"), *names), "place")
-    paired = left.select("rep", "place", "date", "forward_return").join(right.select("rep", "place", "factor_value"), ["rep", "place"])
-    chance = metrics.spearman_by(paired, "factor_value", "forward_return", "rep", "date").groupBy("rep").agg(F.avg("ic").alias("ic"))
+    rows = factor.join(returns, ["date", "asset"]).where("factor_value IS NOT NULL AND forward_return IS NOT NULL")
+    rows = rows.select("date", F.xxhash64(F.col("date").cast("string"), F.col("asset").cast("string")).alias("row"), "factor_value", frames.average_rank(F.col("forward_return"), "date").alias("y"))
+    rows = staged(rows, "placebo")
+    ranges = max(8, -(-rows.count() // RANGE_ROWS))
+
+    def mean_ic(paired: DataFrame, *by: str) -> DataFrame:
+        ranked = paired.withColumn("x", frames.average_rank(F.col("factor_value"), *by, "date"))
+        ic = ranked.groupBy(*by, "date").agg(ieee.pearson(F.col("x"), F.col("y")).alias("ic")).where(ieee.finite(F.col("ic")))
+        return ic.groupBy(*by).agg(F.avg("ic").alias("ic"))
+
+    true_ic = mean_ic(rows).select(F.coalesce("ic", F.lit(0.0)).alias("true_ic"))
+    left = _numbered(rows.drop("factor_value"), F.xxhash64(F.lit(seed), "row"), ranges).select("place", "date", "y")
+    copies = rows.select("row", "factor_value", F.explode(F.sequence(F.lit(1), F.lit(shuffles))).alias("rep"))
+    right = _numbered(copies, F.xxhash64(F.lit(seed), "rep", "row"), ranges, "rep").select("rep", "place", "factor_value")
+    chance = mean_ic(left.join(right, "place"), "rep")
     found = chance.agg(F.coalesce(F.avg("ic"), F.lit(0.0)).alias("placebo_mean"), F.coalesce(F.stddev_pop("ic"), F.lit(0.0)).alias("placebo_std")).crossJoin(F.broadcast(true_ic))
     z = F.abs(F.col("true_ic") - F.col("placebo_mean")) / F.when(F.col("placebo_std") > 0, F.col("placebo_std"))
     p = F.when(F.col("placebo_std") > 0, 2 * (1 - normal_cdf_column(z))).otherwise(1.0)

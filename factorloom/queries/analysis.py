@@ -69,19 +69,28 @@ def equity(spark, sf_dir):
 SUMMARY = ("ic_mean", "ic_std", "ic_ir", "sharpe_ratio", "long_short_annual_return", "max_drawdown", "turnover")
 
 
-@query(
-    "backtest_summary",
-    f"""{BASE}, {GROUPED}, {LEGS}, {DAILY_IC},
+#: SQL of the one-row summary over a panel.
+def summary_sql(panel: str) -> str:
+    return f"""WITH {panel}, {MOMENTUM}, {GROUPED}, {LEGS}, {DAILY_IC},
 highs AS (SELECT equity, max(equity) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS high FROM curve),
 one AS (
   SELECT (SELECT avg(ic) FROM daily) AS ic_mean, (SELECT stddev_samp(ic) FROM daily) AS ic_std, (SELECT avg(ic) / stddev_samp(ic) FROM daily) AS ic_ir,
          (SELECT avg(ls_return) / stddev_samp(ls_return) * sqrt(252) FROM net) AS sharpe_ratio, (SELECT avg(ls_return) * 252 FROM net) AS long_short_annual_return,
          (SELECT abs(min((equity - high) / high)) FROM highs) AS max_drawdown, (SELECT avg(turnover) FROM traded) AS turnover)
-SELECT """ + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in SUMMARY) + " FROM one",
-)
+SELECT """ + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in SUMMARY) + ", (SELECT count(*) FILTER (NOT isfinite(ls_return)) FROM net) AS n_nonfinite FROM one"
+
+
+@query("backtest_summary", summary_sql(EVENTS_PANEL))
 def summary(spark, sf_dir):
     panel = events_panel(spark, sf_dir)
-    return rounded(backtest.backtest(compute(panel, FORMULA), panel).select(*SUMMARY), *SUMMARY, digits=4)
+    return rounded(backtest.backtest(compute(panel, FORMULA), panel).select(*SUMMARY, "n_nonfinite"), *SUMMARY, digits=4)
+
+
+@query("backtest_suppliers", summary_sql(SUPPLIER_PANEL))
+def suppliers_summary(spark, sf_dir):
+    """The same over monthly unit prices, which are never 0."""
+    panel = supplier_panel(spark, sf_dir)
+    return rounded(backtest.backtest(compute(panel, FORMULA), panel).select(*SUMMARY, "n_nonfinite"), *SUMMARY, digits=4)
 
 
 @query("metric_rank_ic", f"{BASE}, {DAILY_IC} SELECT date, round(ic, 6) + 0.0 AS ic FROM daily")
@@ -162,7 +171,20 @@ def net_returns(spark, sf_dir):
     return backtest.equity_frame(compute(panel, FORMULA), panel)
 
 
-@query("robust_overfitting")
+@query(
+    "robust_overfitting",
+    f"""{BASE}, {GROUPED}, {LEGS}, numbered AS (SELECT ls_return AS r, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM net),
+segments AS (SELECT *, n // 5 AS size, least(i // (n // 5), 4) AS segment FROM numbered WHERE n >= 10),
+marked AS (SELECT *, i >= floor(CASE WHEN segment = 4 THEN n ELSE (segment + 1) * size END - size * 0.3::DOUBLE) AS late FROM segments),
+combinations AS (SELECT row_number() OVER (ORDER BY a, b) AS c, a, b FROM range(5) x(a) JOIN range(5) y(b) ON a < b),
+split AS (SELECT c, r, segment IN (a, b) AS inside, late FROM marked CROSS JOIN combinations),
+each AS (
+  SELECT c, coalesce(avg(r) FILTER (inside) / nullif(stddev_samp(r) FILTER (inside), 0), 0) AS s_in,
+         coalesce(avg(r) FILTER (NOT inside AND late) / nullif(stddev_samp(r) FILTER (NOT inside AND late), 0), 0) AS s_out FROM split GROUP BY c),
+ranked AS (SELECT row_number() OVER (ORDER BY s_in, c) AS x, row_number() OVER (ORDER BY s_out, c) AS y FROM each),
+tau AS (SELECT sum(sign(p.x - q.x) * sign(p.y - q.y)) / 45.0::DOUBLE AS tau FROM ranked p JOIN ranked q ON p.x < q.x)
+SELECT round((1 - tau) / 2, 6) + 0.0 AS pbo, 10::INTEGER AS n_combinations, (1 - tau) / 2 > 0.5 AS overfit FROM tau""",
+)
 def overfitting(spark, sf_dir):
     return rounded(robust.overfitting_probability(net_returns(spark, sf_dir)), "pbo")
 
@@ -261,9 +283,16 @@ def compounded(spark, sf_dir):
     return rounded(legacy.compounded(legacy.changes(series(spark, sf_dir), {"close": "pnl"}), "pnl"), "ann_return", "max_drawdown", digits=5)
 
 
-@query("series_rounded_curve")
+@query(
+    "series_rounded_curve",
+    f"""{SERIES.replace('WITH', 'WITH RECURSIVE', 1)}, r AS (
+  SELECT row_number() OVER (ORDER BY date)::INTEGER - 1 AS place, coalesce(close / lag(close) OVER (ORDER BY date) - 1, 0) AS pnl FROM series),
+curve AS (SELECT place, round(100 * (1 + pnl), 6) AS excess FROM r WHERE place = 0
+          UNION ALL SELECT r.place, round(curve.excess * (1 + r.pnl), 6) FROM curve JOIN r ON r.place = curve.place + 1)
+SELECT place, round(excess, 3) + 0.0 AS excess FROM curve""",
+)
 def rounded_curve(spark, sf_dir):
-    return legacy.rounded_curve(legacy.changes(series(spark, sf_dir), {"close": "pnl"}), "pnl")
+    return rounded(legacy.rounded_curve(legacy.changes(series(spark, sf_dir), {"close": "pnl"}), "pnl"), "excess", digits=3)
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: ANSI mode stays on: division by zero and the like are expressed explicitly (``factorloom.functions.ieee``).
 SETTINGS = {
@@ -29,9 +29,18 @@ def session(app: str = "factorloom", master: str | None = None, **settings: str)
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A fresh path under the folder of ``spark.checkpoint.dir``; under a private folder only where that is unset (tests)."""
+    """A fresh path under the folder of ``spark.checkpoint.dir``; under a private folder only where that is unset on a local master (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="factorloom-")
         spark.sparkContext.setCheckpointDir(named)
     return f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+
+
+def staged(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: what several branches of a plan read is computed once, and outlives lost executors."""
+    path = scratch_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -77,10 +77,20 @@ def in_universe(df: DataFrame, universe: str | Iterable[str] | DataFrame | None)
     return df.where(F.col("asset").isin(list(universe)))
 
 
-def load(spark: SparkSession, path: str, universe=None, start: str | None = None, end: str | None = None, **options: str) -> DataFrame:
-    """A price panel from Parquet or CSV files; the date range (both ends in) and the universe are pushed to the scan."""
-    reader = spark.read.options(**options)
-    raw = reader.option("header", True).option("inferSchema", True).csv(path) if path.rstrip("/").endswith(".csv") else reader.parquet(path)
+def _csv(spark: SparkSession, path: str, schema: str | None, options: dict) -> DataFrame:
+    """A CSV file by its header: with a schema of one's own, else names, codes and dates as text and the panel's numbers as doubles. Only
+    the header is looked at, so types do not depend on the values."""
+    reader = spark.read.options(**options).option("header", True)
+    names = reader.csv(path).columns
+    if schema is None:
+        numbers = {"open", "high", "low", "close", *(n for k in ("volume", "amount") for n in (k, *COLUMN_NAMES[k]))}
+        schema = ", ".join(f"`{n}` {'double' if n in numbers else 'string'}" for n in names)
+    return reader.schema(schema).csv(path)
+
+
+def load(spark: SparkSession, path: str, universe=None, start: str | None = None, end: str | None = None, schema: str | None = None, **options: str) -> DataFrame:
+    """A price panel from Parquet or CSV files; the date range (both ends in) and the universe are pushed to the scan. ``schema``: of a CSV file."""
+    raw = _csv(spark, path, schema, options) if path.rstrip("/").endswith(".csv") else spark.read.options(**options).parquet(path)
     df = require(canonical(raw))
     if start is not None:
         df = df.where(F.col("date") >= F.to_date(F.lit(start)))

@@ -1,13 +1,14 @@
 """Daily bars from a stream of ticks: the batch resample as an incremental aggregation with bounded state.
 
 A bar's state is four extremes and two sums, whatever the number of ticks. Late ticks are taken until the watermark has passed
-their day; in append mode a day's bars come out once, after that.
+their day, and its bars' state goes then. In append mode a day's bars come out once, after that; in update mode each time they change.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def daily_bars(ticks: DataFrame, asset: Column, time: Column, price: Column, order: list[Column], late: str = "1 day") -> DataFrame:
@@ -22,13 +23,15 @@ def daily_bars(ticks: DataFrame, asset: Column, time: Column, price: Column, ord
 
 
 def run_to_end(bars: DataFrame, path: str) -> DataFrame:
-    """Read all that is there, keep the bars so far under ``path`` (a shared folder), and return them as a batch."""
+    """Read all that is there, keep the bars that each batch changed under ``path`` (a shared folder), and return every bar's last state as a batch.
+    A batch that is run again replaces its own files; a later run goes on from where this one stopped."""
     spark = bars.sparkSession
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/bars-{batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/bars/batch={batch_id}")
 
-    query = bars.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    query = bars.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.parquet(f"{path}/bars-{last}")
+    kept = spark.read.schema(StructType([*bars.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/bars")
+    values = F.struct(*[c for c in bars.columns if c not in ("date", "asset")])
+    return kept.groupBy("date", "asset").agg(F.max_by(values, "batch").alias("bar")).select("date", "asset", "bar.*")

@@ -194,6 +194,61 @@ def test_text_columns(spark):
 
 def test_placebo_is_a_permutation(spark):
     f, returns = factor(spark, dates=7, assets=9)
-    rows = f.select("date", "asset", "factor_value", F.lit(1).alias("rep"))
-    placed = robust._numbered(rows, F.xxhash64("asset", F.col("date").cast("string")), "place").collect()
-    assert sorted(r["place"] for r in placed) == list(range(1, 64))
+    rows = f.select(F.xxhash64("date", "asset").alias("row"), F.explode(F.array(F.lit(1), F.lit(2))).alias("rep"))
+    placed = robust._numbered(rows, F.xxhash64("row", "rep"), 5, "rep").collect()
+    assert sorted((r["rep"], r["place"]) for r in placed) == [(k, n) for k in (1, 2) for n in range(1, 64)]
+
+
+def test_placebo_against_numpy(spark):
+    """Shuffled factors have the spread of chance: 1 / sqrt(dates * (assets - 1))."""
+    f, returns = factor(spark, dates=20, assets=15)
+    got = robust.placebo(f, returns, shuffles=60).first()
+    assert abs(got["placebo_mean"]) < 0.03 and got["placebo_std"] == pytest.approx(1 / math.sqrt(20 * 14), rel=0.35)
+    assert got["true_ic"] == pytest.approx(metrics.rank_ic(f, returns).agg(F.avg("ic")).first()[0])
+
+
+def test_inversions(spark):
+    r = np.random.default_rng(5)
+    for n in (1, 2, 7, 33, 64):
+        y = r.permutation(n).tolist()
+        got = robust.inversions(frame(spark, list(enumerate(y)), "x int, y int"), "x", "y", n).first()[0]
+        assert got == sum(y[i] > y[j] for i in range(n) for j in range(i + 1, n))
+
+
+def test_infinite_returns_are_counted(spark):
+    rows = [(DAY + dt.timedelta(days=d), f"a{a}", 0.0 if (d, a) == (3, 1) else 1.0 + a / 10 + d / 100) for d in range(6) for a in range(10)]
+    prices = frame(spark, rows, "date date, asset string, close double")
+    row = backtest.backtest(prices.select("date", "asset", F.col("close").alias("factor_value")), prices).first()
+    assert row["n_nonfinite"] == 1
+    series = frame(spark, [(DAY + dt.timedelta(days=i), x) for i, x in enumerate([0.1, float("inf"), 0.2, float("nan"), 0.1, 0.3])], "date date, ls_return double")
+    found = robust.bootstrap_sharpe(series, replicates=200).first()
+    assert found["n_dropped"] == 2 and math.isfinite(found["sharpe_ci_upper"]) and found["sharpe_ci_upper"] > found["sharpe_ci_lower"] >= 0
+
+
+def test_size_neutral_over_all_dates(spark):
+    f, _ = factor(spark)
+    sized = f.withColumn("size", F.pmod(F.xxhash64("asset", "date"), F.lit(100)).cast("double"))
+    rows = sized.orderBy("date", "asset").collect()
+    x, y = (np.array([r[c] for r in rows]) for c in ("size", "factor_value"))
+    b = np.polyfit(x, y, 1)
+    got = backtest.size_neutral(sized, "size", by_date=False).orderBy("date", "asset").collect()
+    np.testing.assert_allclose([r["factor_value"] for r in got], y - np.polyval(b, x), atol=1e-9)
+
+
+def test_late_ticks(spark, tmp_path):
+    """Ticks count until the watermark has passed their day; later ones are left out, and state of passed days is dropped."""
+    from factorloom.streaming.bars import daily_bars, run_to_end
+
+    schema = "asset string, ts timestamp, price double, n long"
+    batches = [
+        [("a", dt.datetime(2024, 1, 1, 9), 10.0, 1), ("a", dt.datetime(2024, 1, 1, 12), 12.0, 2)],
+        [("a", dt.datetime(2024, 1, 1, 8), 9.0, 3), ("b", dt.datetime(2024, 1, 2, 8), 5.0, 4)],  # late, within the watermark
+        [("a", dt.datetime(2024, 1, 9, 8), 20.0, 5)],
+        [("a", dt.datetime(2024, 1, 1, 23), 99.0, 6), ("a", dt.datetime(2024, 1, 9, 9), 21.0, 7)],  # too late
+    ]
+    for k, rows in enumerate(batches):
+        frame(spark, rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/ticks")
+        ticks = spark.readStream.schema(schema).parquet(f"{tmp_path}/ticks")
+        bars_ = daily_bars(ticks, F.col("asset"), F.col("ts"), F.col("price"), [F.col("n")])
+        got = {(r["date"].day, r["asset"]): (r["open"], r["high"], r["close"], r["amount"]) for r in run_to_end(bars_, f"{tmp_path}/out").collect()}
+    assert got == {(1, "a"): (9.0, 12.0, 12.0, 3.0), (2, "b"): (5.0, 5.0, 5.0, 1.0), (9, "a"): (20.0, 21.0, 21.0, 2.0)}
