@@ -7,12 +7,14 @@ Pages are rows ``doc_id, page_num, text``; lines of a text are what stands betwe
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.matches import match_places
 from . import vocabulary as v
 
 SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f]"
@@ -209,8 +211,9 @@ METRIC = re.compile(
     rf"(?:(?:-|~|至)\s*{v.CURRENCY}[+-]?\d+(?:\.\d+)?\s*)?(亿元|万元|万|元|%)?",
     re.I,
 )
+#: Decimal digits of all scripts, and the ASCII digits that they stand for.
+DIGITS = tuple(map("".join, zip(*((chr(c), str(unicodedata.decimal(chr(c)))) for c in range(128, 0x10000) if chr(c).isdecimal()))))
 KINDS = (("yoy", "YoY"), ("qoq", "QoQ"), ("同比", "同比"), ("环比", "环比"))
-NUMBERS_TYPE = "array<struct<value:double,unit:string,raw:string,start:int,end:int>>"
 METRICS_TYPE = "array<struct<name:string,raw_name:string,value:double,unit:string,yoy:double,qoq:double>>"
 
 
@@ -286,7 +289,19 @@ def _scan(f, returns: str):
 
 
 def number_spans(text: Column) -> Column:
-    return _scan(numbers_in, NUMBERS_TYPE)(text)
+    """Array of ``(value, unit, raw, start, end)``: the same as ``numbers_in``, without Python."""
+    found = match_places(F.coalesce(text, F.lit("")), f"(?iU){NUMBER.pattern}", (1, 2))
+
+    def number(m: Column) -> Column:
+        digits, bare = m["g1"], F.lower(F.regexp_replace(m["g2"], r"(?U)\s+", ""))
+        sign = F.when(F.substring(digits, 1, 1).isin("(", "（"), -1.0).otherwise(1.0)
+        unit = F.when(m["g2"] != "", m["g2"])
+        for mark, name in reversed(KINDS):
+            unit = F.when(bare.contains(mark), name).otherwise(unit)
+        value = F.translate(F.regexp_replace(digits, "[,、()（）]", ""), *DIGITS).cast("double") * sign
+        return F.struct(value.alias("value"), unit.alias("unit"), m["raw"].alias("raw"), m["start"].alias("start"), m["end"].alias("end"))
+
+    return F.transform(found, number)
 
 
 def metric_items(text: Column) -> Column:
@@ -456,9 +471,9 @@ def overlaps_table(text: Column, table: Column, share: float = 0.5) -> Column:
     return F.coalesce(F.size(F.filter(chars, lambda c: F.array_contains(known, c))) / F.when(n > 0, n) > share, F.lit(False))
 
 
-def reading_order(blocks: DataFrame) -> DataFrame:
-    """``blocks`` (``doc_id, page_num, x0, y0``) with ``place``: rows of ten points from top to bottom, then left to right."""
-    order = Window.partitionBy("doc_id", "page_num").orderBy(F.rint(F.col("y0") / 10) * 10, "x0")
+def reading_order(blocks: DataFrame, *ties: str) -> DataFrame:
+    """``blocks`` (``doc_id, page_num, x0, y0``) with ``place``: rows of ten points from top to bottom, then left to right, then by ``ties``."""
+    order = Window.partitionBy("doc_id", "page_num").orderBy(F.rint(F.col("y0") / 10) * 10, "x0", *ties)
     return blocks.withColumn("place", F.row_number().over(order))
 
 

@@ -35,20 +35,24 @@ def text_quality(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.round(d.cjk_ratio(text), 6).alias("cjk_ratio"), d.is_garbled(text).alias("garbled"))
 
 
-@query(
-    "text_page_class",
-    r"""WITH t AS (SELECT doc_id, trim(coalesce(text, '')) AS text, doc_id % 3 = 0 AS images, doc_id % 4 = 0 AS ocr FROM documents),
+PAGE_CLASS = r"""t AS (SELECT doc_id, trim(coalesce(text, '')) AS text, doc_id % 3 = 0 AS images, doc_id % 4 = 0 AS ocr FROM documents),
 h AS (SELECT *, length(text) AS n, len(regexp_extract_all(text, '\|')) AS pipes, len(list_filter(string_split(text, chr(10)), lambda s: length(s) > 5 AND len(regexp_extract_all(s, '\d')) > length(s) * 0.3)) AS heavy,
-       contains(lower(text), 'figure') OR contains(lower(text), 'chart') OR contains(text, '图表') AS chart FROM t)
-SELECT doc_id, CASE WHEN n = 0 AND NOT images THEN 'blank' WHEN images AND (ocr OR n = 0) THEN 'scanned' WHEN pipes > 5 OR heavy > 3 THEN 'table_candidate'
-  WHEN images AND (n < 200 OR chart) THEN 'chart_candidate' WHEN n > 200 AND NOT ocr AND NOT images THEN 'text_rich' ELSE 'mixed' END AS page_class FROM h""",
-)
+       contains(lower(text), 'figure') OR contains(lower(text), 'chart') OR contains(text, '图表') AS chart, len(regexp_extract_all(text, '%')) AS percents FROM t),
+classes AS (SELECT *, CASE WHEN n = 0 AND NOT images THEN 'blank' WHEN images AND (ocr OR n = 0) THEN 'scanned' WHEN pipes > 5 OR heavy > 3 THEN 'table_candidate'
+  WHEN images AND (n < 200 OR chart) THEN 'chart_candidate' WHEN n > 200 AND NOT ocr AND NOT images THEN 'text_rich' ELSE 'mixed' END AS page_class FROM h)"""
+
+
+@query("text_page_class", f"WITH {PAGE_CLASS} SELECT doc_id, page_class FROM classes")
 def page_class(spark, sf_dir):
     images, ocr = F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0), F.col("doc_id") % 4 == 0
     return docs(spark, sf_dir).select("doc_id", d.page_class(F.col("text"), images, ocr).alias("page_class"))
 
 
-@query("text_page_route")
+@query(
+    "text_page_route",
+    f"""WITH {PAGE_CLASS} SELECT doc_id, ocr OR page_class = 'scanned' AS ocr, page_class = 'table_candidate' OR (page_class = 'mixed' AND (heavy > 3 OR percents >= 8)) AS structure,
+       page_class = 'chart_candidate' OR (page_class = 'mixed' AND images) AS vision FROM classes""",
+)
 def page_route(spark, sf_dir):
     images, ocr = F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0), F.col("doc_id") % 4 == 0
     return docs(spark, sf_dir).select("doc_id", d.page_route(F.col("text"), images, ocr).alias("r")).select("doc_id", "r.*")
@@ -80,12 +84,40 @@ def hard_split(spark, sf_dir):
     return pieces.withColumn("piece_no", F.col("piece_no").cast("long"))
 
 
-@query("text_chunks")
+#: Packing as a recursion over a text's paragraphs: what is held, and what has come out.
+@query(
+    "text_chunks",
+    r"""WITH RECURSIVE t AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
+parts AS (SELECT row_no, doc_id, text, list_transform(list_filter(string_split_regex(text, '\n{2,}'), lambda p: trim(p, E' \t\n\r\v\f') <> ''), lambda p: p) AS s FROM t WHERE trim(text, E' \t\n\r\v\f') <> ''),
+steps AS (
+  SELECT row_no, doc_id, s, 1 AS k, '' AS held, []::VARCHAR[] AS out FROM parts WHERE length(text) > 1500
+  UNION ALL
+  SELECT row_no, doc_id, s, k + 1,
+         CASE WHEN length(s[k]) > 1500 THEN '' WHEN held = '' THEN s[k] WHEN length(trim(held || E'\n\n' || s[k], E' \t\n\r\v\f')) <= 1500 THEN trim(held || E'\n\n' || s[k], E' \t\n\r\v\f')
+              ELSE trim(right(held, 200) || E'\n\n' || s[k], E' \t\n\r\v\f') END,
+         CASE WHEN length(s[k]) > 1500 THEN list_concat(list_concat(out, CASE WHEN held = '' THEN []::VARCHAR[] ELSE [held] END), list_transform(range(0, length(s[k]), 1300), lambda i: substr(s[k], i + 1, 1500)))
+              WHEN held = '' OR length(trim(held || E'\n\n' || s[k], E' \t\n\r\v\f')) <= 1500 THEN out ELSE list_append(out, held) END
+  FROM steps WHERE k <= len(s)),
+ended AS (SELECT row_no, doc_id, CASE WHEN held = '' THEN out ELSE list_append(out, held) END AS out FROM steps WHERE k = len(s) + 1
+          UNION ALL SELECT row_no, doc_id, [text] FROM parts WHERE length(text) <= 1500)
+SELECT doc_id, unnest(range(0, len(out)))::INTEGER AS chunk_no, unnest(out) AS chunk FROM ended""",
+)
 def chunks(spark, sf_dir):
-    return d.chunks(docs(spark, sf_dir), 10_000, 400)
+    return d.chunks(docs(spark, sf_dir), 1500, 200)
+
 
+def _numbers_sql() -> str:
+    pattern = f"'(?i){d.NUMBER.pattern}'"
+    return f"""WITH t AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT row_no, doc_id, regexp_extract_all(text, {pattern}) AS hits, regexp_extract_all(text, {pattern}, 1) AS digits, regexp_extract_all(text, {pattern}, 2) AS units, string_split_regex(text, {pattern}) AS gaps FROM t),
+e AS (SELECT row_no, doc_id, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS raw, unnest(digits) AS digits, unnest(units) AS unit, unnest(gaps[:len(hits)]) AS gap FROM m),
+p AS (SELECT *, lower(regexp_replace(unit, '\\s+', '', 'g')) AS bare, (sum(length(gap) + length(raw)) OVER (PARTITION BY row_no ORDER BY i ROWS UNBOUNDED PRECEDING))::INTEGER AS "end" FROM e)
+SELECT doc_id, CASE WHEN digits[1] IN ('(', '（') THEN -1 ELSE 1 END * regexp_replace(digits, '[,、()（）]', '', 'g')::DOUBLE AS value,
+       CASE WHEN contains(bare, 'yoy') THEN 'YoY' WHEN contains(bare, 'qoq') THEN 'QoQ' WHEN contains(bare, '同比') THEN '同比' WHEN contains(bare, '环比') THEN '环比' WHEN unit <> '' THEN unit END AS unit,
+       raw, ("end" - length(raw))::INTEGER AS start, "end" FROM p"""
 
-@query("text_number_spans")
+
+@query("text_number_spans", _numbers_sql())
 def number_spans(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.explode(d.number_spans(F.col("text"))).alias("n")).select("doc_id", "n.*")
 
@@ -168,9 +200,23 @@ def table_continued(spark, sf_dir):
     return d.merge_continued(blocks).withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))
 
 
-@query("text_formula_spans")
+@query(
+    "text_formula_spans",
+    r"""WITH t AS (
+  SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN chr(10) || 'ES = a + b*c (' || doc_id % 9 || ')' || chr(10) || 'VaR = x - y' WHEN 1 THEN chr(10) || '[Table_x] = y+z*(a+b)' ELSE '' END AS text FROM documents),
+l AS (SELECT row_no, doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(0, len(string_split(text, chr(10)))))::INTEGER AS n FROM t),
+c AS (SELECT *, len(regexp_extract_all(s, '[=+\-*/<>()\[\]]')) AS ops, len(regexp_extract_all(s, '[a-zA-Z]')) AS latin FROM l),
+f AS (
+  SELECT * FROM c WHERE trim(s) <> '' AND NOT regexp_matches(s, '\[Table_[A-Za-z0-9_]+\]') AND NOT regexp_matches(s, '(?i)Tel:|Email:')
+    AND (CASE WHEN regexp_matches(s, 'ES|VaR|CVaR') AND ops > 0 THEN 5 ELSE 0 END) + (CASE WHEN regexp_matches(s, '\(\d+\)\s*$') THEN 5 ELSE 0 END) + (CASE WHEN length(s) < 50 AND ops > 0 AND latin > 0 THEN least(5, ops) ELSE 0 END) >= 5),
+i AS (SELECT *, n - row_number() OVER (PARTITION BY row_no ORDER BY n) AS island FROM f)
+SELECT doc_id, min(n) AS start_line, max(n) AS end_line, count(*) AS n_lines FROM i GROUP BY row_no, doc_id, island""",
+)
 def formula_spans(spark, sf_dir):
-    return d.formula_spans(docs(spark, sf_dir))
+    """Documents with formulas, and lines that only look like them, at the end of some."""
+    k = F.col("doc_id")
+    added = F.when(k % 3 == 0, F.concat(F.lit("\nES = a + b*c ("), k % 9, F.lit(")\nVaR = x - y"))).when(k % 3 == 1, "\n[Table_x] = y+z*(a+b)").otherwise("")
+    return d.formula_spans(docs(spark, sf_dir).withColumn("text", F.concat("text", added)))
 
 
 @query("text_diagrams", "SELECT p_partkey AS id, p_partkey % 3 < 2 AS valid FROM part")
@@ -189,7 +235,19 @@ def quality_counters(spark, sf_dir):
     return d.quality_counters(blocks)
 
 
-@query("text_blocks_kept")
+@query(
+    "text_blocks_kept",
+    f"WITH {PAGES}" + r""", n AS (SELECT doc_id, count(DISTINCT page_num) AS n FROM pages GROUP BY doc_id),
+l AS (SELECT doc_id, page_num, trim(unnest(string_split(text, chr(10)))) AS line FROM pages),
+k AS (SELECT *, regexp_replace(regexp_replace(line, '\s', '', 'g'), '\d+$', '') AS line_key FROM l),
+repeated AS (SELECT doc_id, line_key FROM k JOIN n USING (doc_id) WHERE length(line) BETWEEN 1 AND 80 AND line_key <> '' GROUP BY doc_id, line_key, n.n
+             HAVING count(DISTINCT page_num) >= greatest(2, least(3, CASE WHEN n.n // 4 > 0 THEN n.n // 4 ELSE 2 END))),
+kept AS (
+  SELECT k.* FROM k LEFT JOIN repeated r USING (doc_id, line_key)
+  WHERE line = '' OR NOT (regexp_matches(line, '^[-—–\s]*\d{1,3}[-—–\s]*$') OR regexp_matches(line, '^\d+\s*/\s*\d+\s*$') OR (length(line) <= 24 AND regexp_matches(line, '^[A-Z][A-Z\s.]+$'))
+                      OR (r.line_key IS NOT NULL AND length(line) <= 80)))
+SELECT doc_id, count(*) AS n_blocks FROM kept GROUP BY doc_id""",
+)
 def blocks_kept(spark, sf_dir):
     paged = pages(spark, sf_dir)
     blocks = paged.select("doc_id", "page_num", F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
@@ -204,15 +262,11 @@ def overlap(spark, sf_dir):
 
 @query(
     "text_reading_order",
-    """SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY round_even(l_quantity / 10, 0) * 10, l_extendedprice) AS place FROM lineitem
-QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber, l_quantity, l_extendedprice) = 1""",
+    """SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY round_even(l_quantity / 10, 0) * 10, l_extendedprice, l_partkey) AS place FROM lineitem""",
 )
 def reading_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_num"), F.col("l_quantity").alias("y0"), F.col("l_extendedprice").alias("x0"))
-    ordered = d.reading_order(lines).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "page_num", "y0", "x0"))).where("n = 1")
-    return ordered.select("l_orderkey", "l_linenumber", "l_partkey", F.col("place").cast("long").alias("place"))
+    return d.reading_order(lines, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", F.col("place").cast("long").alias("place"))
 
 
 @query(

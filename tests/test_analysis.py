@@ -252,3 +252,10 @@ def test_late_ticks(spark, tmp_path):
         bars_ = daily_bars(ticks, F.col("asset"), F.col("ts"), F.col("price"), [F.col("n")])
         got = {(r["date"].day, r["asset"]): (r["open"], r["high"], r["close"], r["amount"]) for r in run_to_end(bars_, f"{tmp_path}/out").collect()}
     assert got == {(1, "a"): (9.0, 12.0, 12.0, 3.0), (2, "b"): (5.0, 5.0, 5.0, 1.0), (9, "a"): (20.0, 21.0, 21.0, 2.0)}
+
+
+def test_number_spans_are_those_of_the_scan(spark):
+    texts = ["收入12.3亿元，(45.6)%，1,234万元 同比 下降3%同比", "", None, "￥ 5 - 7 万 and 1 2 3", "x" * 300 + " 1,000.5% YoY（2）", " ".join(f"{k}元" for k in range(900)), "１２%  qoq 3、000"]
+    df = frame(spark, list(enumerate(texts)), "i int, s string").select("i", documents.number_spans(F.col("s")).alias("n"))
+    for r in df.collect():
+        assert [x.asDict() for x in r["n"]] == documents.numbers_in(texts[r["i"]] or ""), r["i"]
