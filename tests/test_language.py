@@ -166,6 +166,14 @@ def test_normalisation():
     assert normalize.normalize_universe("沪深300成分") == ("csi300", False)
     assert normalize.normalize_universe("futures") == ("csi300", True)
     assert normalize.normalize("Power(close, 2)", None).mechanical_rewrite
+    for written, want in {
+        "\\frac{close}{Mean(close, N)}": "close / Mean(close, 20)", "close^2 + mkt_cap³": "Pow(close, 2) + Pow(market_cap, 3)", "(open+high)**0.5": "Pow(open + high, 0.5)",
+        "Resid(PB, [size, 市值])": "CSZScore(pb_ratio)", "resid(roe)": "CSZScore(return_on_equity)", "Mean(收盘价, lookback)": "Mean(close, 20)", "Corr(close, volume, Window)": "Corr(close, volume, 20)",
+        "EMA(power(turnover_rate, 2))": "EMA(Pow(volume, 2), 20)", "close +": "close +", "Mean(Ret, 5) ÷ 2": "Mean(close / Ref(close, 1) - 1, 5) / 2", "n * close": "n * close",
+    }.items():
+        assert normalize.rewrite(written) == want
+    assert [normalize.is_prose(f) for f in ("alpha = close", "close >= open", "If(close == open, 1, 2)", "a b " * 40, "σ(close)", "close / open", "x_ =1", "(1) = 2")] == [True, False, False, True, True, False, True, False]
+    assert [normalize.normalize_universe(u) for u in (None, " ", "CSI 1000 index", "可转债池", "全A", "nikkei")] == [("csi300", False)] * 2 + [("csi1000", False), ("全转债", False), ("csi300", False), ("csi300", True)]
 
 
 @pytest.mark.parametrize(
