@@ -77,6 +77,20 @@ def deflated_sharpe(sharpe: float, trials: int, observations: int, deviation: fl
     return {"dsr": dsr, "psr": normal_cdf(z), "p_value": 1 - dsr, "deflated": dsr < 0.05}
 
 
+def deflated_sharpe_columns(sharpe: Column, trials: Column, observations: Column, skew: float = 0.0, kurtosis: float = 3.0) -> Column:
+    """The same for many backtests: a struct ``dsr, psr, p_value, deflated``."""
+    deviation = F.sqrt((1 + sharpe * sharpe / 2 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe) / (observations - 1))
+    z = sharpe / deviation
+    dsr = normal_cdf_column(z - F.when(trials > 1, F.sqrt(2 * F.log(trials))).otherwise(0.0))
+    return F.struct(dsr.alias("dsr"), normal_cdf_column(z).alias("psr"), (1 - dsr).alias("p_value"), (dsr < 0.05).alias("deflated"))
+
+
+def min_backtest_column(sharpe: Column, variance: float = 0.04, alpha: float = 0.05) -> Column:
+    """Observations needed for each Sharpe ratio to be significant; 10**9 for none above 0."""
+    z = normal_quantile(1 - alpha / 2)
+    return F.when(sharpe > 0, F.ceil(variance * z**2 / (sharpe * sharpe / DAYS))).otherwise(10**9)
+
+
 def min_backtest_length(sharpe: float, variance: float = 0.04, alpha: float = 0.05, actual: int = 0, mirrored_tail: bool = False) -> dict:
     """Observations needed for a Sharpe ratio to be significant: ``min_obs, actual_obs, sufficient``.
 

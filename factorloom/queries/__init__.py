@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import analysis, catalogue, documents, language, panels, review, streams  # noqa: F401
+    from . import analysis, catalogue, documents, language, panels, review, sources, streams  # noqa: F401

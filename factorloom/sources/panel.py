@@ -5,7 +5,8 @@ A panel has one row for each ``(date, asset)``, with ``open, high, low, close, v
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import hashlib
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ POOLS = {
     "csi1000": "000852.XSHG", "中证1000": "000852.XSHG", "all": None, "全a股": None, "全转债": None, "cb": None, "convertible": None,
 }
 #: Exchange suffixes and the forms they are written in.
-EXCHANGES = {"SZ": "XSHE", "SH": "XSHG"}
+EXCHANGES = {"SZ": "XSHE", "SH": "XSHG", "BJ": "XBSE"}
 
 
 def as_date(c: Column, source_type: str) -> Column:
@@ -109,6 +110,20 @@ def load_first(spark: SparkSession, paths: Iterable[str], **options) -> DataFram
     raise PanelError(f"no price file among {list(paths)}")
 
 
+def cached(spark: SparkSession, folder: str, assets: Iterable[str], read: Callable[[list[str]], DataFrame], start: str | None = None, end: str | None = None) -> DataFrame:
+    """Prices of a set of assets from a folder of earlier reads, keyed by the digest of the set: the whole history is read once and written; the date
+    range is cut from what is there. A write that died leaves no ``_SUCCESS`` and is made anew."""
+    codes = sorted(set(assets))
+    path = f"{folder.rstrip('/')}/{hashlib.sha256(','.join(codes).encode()).hexdigest()[:24]}.parquet"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        canonical(read(codes)).write.mode("overwrite").parquet(path)
+    df = spark.read.parquet(path)
+    if start is not None:
+        df = df.where(F.col("date") >= F.to_date(F.lit(start)))
+    return df if end is None else df.where(F.col("date") <= F.to_date(F.lit(end)))
+
+
 def repeated_keys(df: DataFrame) -> DataFrame:
     """``date, asset, n`` of keys with more than one row; a panel must have none."""
     return df.groupBy("date", "asset").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

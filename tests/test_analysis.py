@@ -259,3 +259,56 @@ def test_number_spans_are_those_of_the_scan(spark):
     df = frame(spark, list(enumerate(texts)), "i int, s string").select("i", documents.number_spans(F.col("s")).alias("n"))
     for r in df.collect():
         assert [x.asDict() for x in r["n"]] == documents.numbers_in(texts[r["i"]] or ""), r["i"]
+
+
+def test_universes_that_cannot_be_resolved(spark):
+    from factorloom.sources import universe
+
+    parts = frame(spark, [("000300.XSHG", DAY, "a"), ("000300.XSHG", DAY + dt.timedelta(days=9), "b")], "index_id string, date date, asset string")
+    bonds = frame(spark, [("110001.XSHG",), ("110001.XSHG",)], "asset string")
+    got = [r["asset"] for u, day in ((None, "2024-01-05"), ("全 A", "2025-01-01"), ("hs300", "2020-01-01")) for r in universe.members(spark, u, day, parts).collect()]
+    assert got == ["a", "b", "b"] and universe.members(spark, "可转债池", "2024-01-01", None, bonds).count() == 1
+    assert universe.members(spark, "300750.sz", "2024-01-01").first()["asset"] == "300750.XSHE"
+    for bad in ("nikkei", [], ["  "], "csi500", "cb"):
+        with pytest.raises(PanelError):
+            universe.members(spark, bad, "2024-01-01", parts)
+    assert universe.field_names(["市盈率", "x"]) == ["pe_ttm", "x"]
+
+
+def test_prices_are_read_once(spark, tmp_path):
+    reads = []
+
+    def read(codes):
+        reads.append(codes)
+        return frame(spark, [(DAY + dt.timedelta(days=d), c, 1.0) for d in range(5) for c in codes], "trade_date date, ts_code string, close double")
+
+    first = panel.cached(spark, str(tmp_path), ["b", "a", "a"], read, "2024-01-02", "2024-01-03")
+    assert first.count() == 4 and panel.cached(spark, str(tmp_path), ["a", "b"], read).count() == 10 and reads == [["a", "b"]]
+    assert panel.cached(spark, str(tmp_path), ["a"], read).count() == 5 and len(reads) == 2
+
+
+def test_report_files(spark, tmp_path):
+    from factorloom.sources import reports
+
+    stats = frame(spark, [("b<1>", 0.1, 1.0, 0.2, None, 0.5), ("a", 0.0, 0.0, 0.0, 0.0, 0.0)], "name string, ic double, icir double, ann_return double, max_drawdown double, win_rate double")
+    files = reports.overview_file(stats).unionByName(frame(spark, [("factors/x.md", "line 1\n\nline 3\n")], "path string, text string"))
+    assert reports.write_files(files, str(tmp_path)) == reports.write_files(files, str(tmp_path)) == 2
+    page = (tmp_path / "dashboard.html").read_text()
+    assert "<th>b&lt;1&gt;</th><td>0.1000</td>" in page and page.index("<th>a</th>") < page.index("b&lt;1") and (tmp_path / "factors/x.md").read_text().rstrip("\n") == "line 1\n\nline 3"
+    names = frame(spark, [("E/P  x",), (" ..",), (None,), ("n" * 200,)], "s string").select(reports.file_name(F.col("s"))).collect()
+    assert [r[0] for r in names] == ["E_P_x", "factor", "factor", "n" * 120]
+
+
+def test_pages_without_tables():
+    import pandas as pd
+
+    from factorloom.operators import word_tables
+
+    def page(rows):
+        return pd.DataFrame([(float(x), 10.0 * y, x + 8.0, 10.0 * y + 8, t) for y, row in enumerate(rows) for x, t in row], columns=["x0", "y0", "x1", "y1", "text"])
+
+    prose = page([[(0, "one"), (30, "two"), (60, "three")]] * 4)
+    assert word_tables.page_tables(prose) == [] and word_tables.page_tables(prose.head(5)) == []
+    numbers = page([[(0, "Chart"), (30, "5")]] + [[(0, f"a{k}"), (30, "1"), (60, "2")] for k in range(4)] + [[(0, "alone")]] + [[(0, "x"), (30, "3"), (60, "4")]] * 2)
+    first, second = word_tables.page_tables(numbers)
+    assert first["table"].startswith("| a0 | 1 | 2 |") and second["table"].count("\n") == 2 and first["y1"] < second["y0"]
