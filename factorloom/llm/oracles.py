@@ -137,7 +137,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 
 OP1 = r"""
 WITH p AS (
-  SELECT page_id, url, md5(coalesce(html, '')) AS payload, 'day ' || floor(page_id / 7)::BIGINT AS changed, page_id % 3 AS turn, length(coalesce(html, '')) AS size,
+  SELECT page_id, url, md5(coalesce(html, '')) AS payload, 'day ' || floor(page_id / 7)::BIGINT AS changed, page_id % 5 AS turn, length(coalesce(html, '')) AS size,
          regexp_replace(url, '#.*$', '') AS bare FROM pages),
 h AS (
   SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[A-Za-z]+://([^/?]*)', 1)), '^www[0-9]*\.', ''), ':(80|443)$', '') AS host,
@@ -145,7 +145,7 @@ h AS (
 c AS (
   SELECT *, host || regexp_replace(regexp_replace(regexp_replace(rest, '[?]&+', '?', 'g'), '[?&]+$', ''), '/+([?]|$)', '\1', 'g') AS canonical_url,
          '"' || payload[1:16] || '"' AS tag FROM h),
-v AS (SELECT page_id * 2 + 1 AS record_id, canonical_url, page_id + 1000 AS ts, turn, tag, changed, payload FROM c),
+v AS (SELECT page_id * 2 + 1 AS record_id, CASE WHEN page_id % 29 <> 0 THEN canonical_url END AS canonical_url, page_id + CASE turn WHEN 4 THEN -1 ELSE 1000 END AS ts, turn, tag, changed, payload FROM c),
 j AS (
   SELECT v.record_id, v.canonical_url, v.ts, v.turn, v.tag, v.changed, v.payload, r.page_id * 2 AS resolved_id, r.page_id AS r_ts, r.tag AS r_tag,
          r.changed AS r_changed, r.payload AS r_payload, r.size AS r_size,
@@ -153,10 +153,10 @@ j AS (
   FROM v LEFT JOIN c r ON r.canonical_url = v.canonical_url AND r.page_id < v.ts),
 o AS (
   SELECT *, CASE WHEN canonical_url IS NULL THEN 'no_url' WHEN resolved_id IS NULL THEN 'no_response'
-                 WHEN (turn = 0 AND tag = r_tag) OR (turn = 1 AND changed = r_changed) OR (turn = 2 AND payload = r_payload) THEN 'resolved' ELSE 'mismatch' END AS outcome
+                 WHEN turn = 3 THEN 'no_validator' WHEN (turn IN (0, 4) AND tag = r_tag) OR (turn = 1 AND changed = r_changed) OR (turn = 2 AND payload = r_payload) THEN 'resolved' ELSE 'mismatch' END AS outcome
   FROM j WHERE k = 1)
 SELECT record_id, canonical_url, ts, outcome, resolved_id,
-       CASE WHEN outcome = 'resolved' THEN concat('content-length: ', r_size, '; content-type: text/html; date: ', ts, '; etag: ', CASE WHEN turn = 0 THEN 'W/' ELSE '' END, r_tag,
+       CASE WHEN outcome = 'resolved' THEN concat('content-length: ', r_size, '; content-type: text/html; date: ', ts, '; etag: ', CASE WHEN turn IN (0, 4) THEN 'W/' ELSE '' END, r_tag,
                                                   '; last-modified: ', r_changed, '; x-cache: HIT') END AS headers,
        CASE WHEN outcome = 'resolved' THEN r_payload END AS digest
 FROM o

@@ -113,25 +113,29 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def captures(pages: DataFrame, revisit_after: int = 1000) -> DataFrame:
-    """Two records for each page, as a crawler would have left them: the page's own capture at second ``page_id``, and a
-    "not modified" revisit of its URL ``revisit_after`` seconds later, with validators that the server kept from then:
-    an entity tag, a modification date or the payload's digest, in turn by page_id."""
+    """Two records for each page, as a crawler would have left them: the page's own capture at second ``page_id``, and a "not modified" revisit. By
+    page_id in turn, the revisit comes ``revisit_after`` seconds later with the entity tag, the modification date, the payload's digest or no validator that the
+    server kept from then, or with the tag a second before the capture; every 29th has lost its URL."""
     page_id = F.col("page_id").cast("long")
     digest = F.md5(F.coalesce("html", F.lit("")))
     changed = F.concat(F.lit("day "), F.floor(page_id / 7).cast("string"))
-    turn = F.pmod(page_id, F.lit(3))
+    turn = F.pmod(page_id, F.lit(5))
     base = pages.select(page_id.alias("page_id"), F.col("url").cast("string").alias("url"), digest.alias("payload"), changed.alias("changed"), turn.alias("turn"), F.length(F.coalesce("html", F.lit(""))).alias("size"))
 
     def headers(*pairs: tuple[str, Column]) -> Column:
         entries = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in pairs])
         return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
+    def record(no: Column, kind: str, url: Column, ts: Column, status: int, with_headers: Column, payload: Column) -> Column:
+        return F.struct(no.alias("record_id"), F.lit(kind).alias("kind"), url.alias("url"), ts.alias("ts"), F.lit(status).alias("status"), with_headers.alias("headers"), payload.alias("digest"))
+
     tag = F.concat(F.lit('"'), F.substring("payload", 1, 16), F.lit('"'))
+    later = page_id + F.when(F.col("turn") == 4, -1).otherwise(revisit_after)
     first = headers(("Content-Length", F.col("size")), ("Content-Type", F.lit("text/html")), ("Date", page_id), ("ETag", tag), ("Last-Modified", F.col("changed")))
     again = headers(
-        ("Content-Length", F.lit(0)), ("Date", page_id + revisit_after), ("ETag", F.when(F.col("turn") == 0, F.concat(F.lit("W/"), tag))),
+        ("Content-Length", F.lit(0)), ("Date", later), ("ETag", F.when(F.col("turn").isin(0, 4), F.concat(F.lit("W/"), tag))),
         ("Last-Modified", F.when(F.col("turn") == 1, F.col("changed"))), ("X-Cache", F.lit("HIT")),
     )
-    response = F.struct((page_id * 2).alias("record_id"), F.lit("response").alias("kind"), page_id.alias("ts"), F.lit(200).alias("status"), first.alias("headers"), F.col("payload").alias("digest"))
-    revisit = F.struct((page_id * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), (page_id + revisit_after).alias("ts"), F.lit(304).alias("status"), again.alias("headers"), F.when(F.col("turn") == 2, F.col("payload")).alias("digest"))
-    return base.select("url", F.inline(F.array(response, revisit)))
+    response = record(page_id * 2, "response", F.col("url"), page_id, 200, first, F.col("payload"))
+    revisit = record(page_id * 2 + 1, "revisit", F.when(page_id % 29 != 0, F.col("url")), later, 304, again, F.when(F.col("turn") == 2, F.col("payload")))
+    return base.select(F.inline(F.array(response, revisit)))

@@ -26,6 +26,11 @@ def test_against_sql(spark, name):
     assert_same(QUERIES[name](spark, SF), connection(SF), ORACLE_SQL[name])
 
 
+def test_every_outcome_of_a_revisit_occurs(spark):
+    outcomes = {r["outcome"]: r["count"] for r in QUERIES["op1_warc_revisits"](spark, "/root/testdata/sf0.01").groupBy("outcome").count().collect()}
+    assert set(outcomes) == {"resolved", "mismatch", "no_validator", "no_response", "no_url"}
+
+
 def test_bpe_digests(spark):
     known = tokenizers.Tokenizer.from_file(BYTE_BPE)
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
