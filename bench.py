@@ -12,7 +12,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = (
     "bars_events", "bars_suppliers", "factor_many_in_one_plan", "factor_nested_cross_section_of_history", "factor_ema", "factor_ts_rank", "guard_counts", "metric_rank_ic", "metric_alpha_decay",
-    "backtest_summary", "backtest_equity", "robust_walk_forward", "robust_placebo", "robust_bootstrap", "review_root_cause", "catalog_redundancy", "catalog_articles", "text_repeated_lines", "text_number_spans", "table_continued",
+    "backtest_summary", "backtest_suppliers", "backtest_equity", "robust_walk_forward", "robust_placebo", "robust_bootstrap", "review_root_cause", "catalog_redundancy", "catalog_articles", "text_repeated_lines", "text_number_spans", "table_continued",
 )
 
 

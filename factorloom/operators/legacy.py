@@ -57,12 +57,26 @@ def train_split(series: DataFrame, share: float = 0.7) -> DataFrame:
     return series.withColumn("train", F.row_number().over(by_date()) <= F.floor(n * F.lit(share)))
 
 
+#: Dates whose curve is built at a time.
+BLOCK = 256
+
+
 def rounded_curve(moves: DataFrame, pnl: str, start: float = 100.0, digits: int = 6) -> DataFrame:
-    """``place, excess``: start times the running product of 1 + pnl, rounded at every step."""
-    steps = moves.agg(F.array_sort(F.collect_list(F.struct("date", F.coalesce(pnl, F.lit(0.0)).alias("r")))).alias("s"))
-    first = F.array(F.lit(start).cast("double"))
-    curve = F.aggregate("s", first, lambda acc, x: F.concat(acc, F.array(F.round(F.element_at(acc, -1) * (1 + x["r"]), digits))))
-    return steps.select(F.posexplode(F.slice(curve, 2, F.size("s"))).alias("place", "excess"))
+    """``place, excess``: start times the running product of 1 + pnl, rounded at every step.
+
+    Rounding makes each value depend on the one before, so one series is one row, one number a date. It is built in blocks, since a list that grows by each
+    date takes time by its square."""
+    series = moves.agg(F.array_sort(F.collect_list(F.struct("date", F.coalesce(pnl, F.lit(0.0)).cast("double").alias("r")))).alias("s")).where(F.size("s") > 0)
+    numbers = F.transform(F.sequence(F.lit(0), F.floor((F.size("s") - 1) / BLOCK).cast("int")), lambda k: F.slice("s", k * BLOCK + 1, F.lit(BLOCK)))
+
+    def built(block: Column, last: Column) -> Column:
+        """The value before the block, and those of its dates."""
+        return F.aggregate(block, F.array(last), lambda acc, x: F.concat(acc, F.array(F.round(F.element_at(acc, -1) * (1 + x["r"]), digits))))
+
+    # a block's curve ends with what the next one begins with
+    curves = F.aggregate(numbers, F.array(F.array(F.lit(float(start)))), lambda acc, b: F.concat(acc, F.array(built(b, F.element_at(F.element_at(acc, -1), -1)))))
+    values = F.flatten(F.transform(F.slice(curves, 2, F.size(numbers)), lambda c: F.slice(c, 2, F.size(c) - 1)))
+    return series.select(F.posexplode(values).alias("place", "excess"))
 
 
 def compounded(moves: DataFrame, pnl: str) -> DataFrame:

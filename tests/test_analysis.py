@@ -156,6 +156,14 @@ def test_catalogue(spark):
 def test_rounded_curve(spark):
     moves = frame(spark, [(DAY + dt.timedelta(days=i), x) for i, x in enumerate([0.1, -0.05, 0.0])], "date date, pnl double")
     assert [r["excess"] for r in legacy.rounded_curve(moves, "pnl").orderBy("place").collect()] == [110.0, 104.5, 104.5]
+    steps = [round(float(x), 4) for x in np.random.default_rng(1).normal(0, 0.01, 600)]
+    want = [100.0]
+    for x in steps:
+        want.append(round(want[-1] * (1 + x), 6))
+    long = frame(spark, [(DAY + dt.timedelta(days=i), x) for i, x in enumerate(steps)], "date date, pnl double")
+    got = [(r["place"], r["excess"]) for r in legacy.rounded_curve(long, "pnl").orderBy("place").collect()]
+    assert [g[0] for g in got] == list(range(600)) and [g[1] for g in got] == pytest.approx(want[1:], abs=1e-4)
+    assert legacy.rounded_curve(long.limit(0), "pnl").count() == 0
 
 
 # ---- documents ------------------------------------------------------------------------------------------------------
