@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,27 +11,36 @@ from pyspark.sql import functions as F
 BLOCK = 256
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def match_places(text: Column, pattern: str, groups: Sequence[int] = ()) -> Column:
     """Array of ``(start, end, raw, g<k> for each of groups)`` of all matches, leftmost and not overlapping; a group that takes no part is ''. Offsets
     count code points. The running place is summed in blocks, since a list that grows by each match of a long text takes time by its square."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    found = F.arrays_zip(
-        F.slice(F.split(text, pattern, -1), 1, F.size(hits)).alias("gap"), hits.alias("raw"), *[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups]
-    )
-    found = F.transform(found, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["raw"]).alias("long"), x["raw"].alias("raw"), *[x[f"g{g}"].alias(f"g{g}") for g in groups]))
-    kind = "array<struct<start:int,end:int,raw:string" + "".join(f",g{g}:string" for g in groups) + ">>"
-    nothing = F.array().cast(kind)
+    gaps = F.split(text, pattern, -1)  # one more than there are matches: the last has no match behind it
+    found = F.arrays_zip(gaps.alias("gap"), hits.alias("raw"), *[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups])
+    nothing = F.array().cast("array<struct<start:int,end:int,raw:string" + "".join(f",g{g}:string" for g in groups) + ">>")
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["long"]
+        begin = acc["at"] + F.length(x["gap"])
+        end = begin + F.length(x["raw"])
         one = F.struct(begin.alias("start"), end.alias("end"), x["raw"].alias("raw"), *[x[f"g{g}"].alias(f"g{g}") for g in groups])
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
 
-    def length(block: Column) -> Column:
-        return F.aggregate(block, F.lit(0), lambda n, x: n + x["gap"] + x["long"])
+    def starts(blocks: Column) -> Column:
+        def after(acc: Column, b: Column) -> Column:
+            return F.concat(acc, F.array(F.element_at(acc, -1) + F.aggregate(b, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["raw"]))))
+
+        return F.aggregate(blocks, F.array(F.lit(0)), after)
+
+    def placed(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), nothing.alias("spans")), step, lambda acc: acc["spans"])
+
+    def in_blocks(all_: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 2) / BLOCK).cast("int")), lambda k: F.slice(all_, k * BLOCK + 1, F.least(F.lit(BLOCK), F.size(all_) - 1 - k * BLOCK)))
+        return bound(cut, lambda blocks: F.flatten(F.zip_with(blocks, starts(blocks), lambda b, at: F.when(b.isNotNull(), placed(b, at)).otherwise(nothing))))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), lambda k: F.slice(found, k * BLOCK + 1, F.lit(BLOCK)))
-    starts = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + length(b))))
-    placed = F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), lambda b, at: F.aggregate(b, F.struct(at.alias("at"), nothing.alias("spans")), step, lambda acc: acc["spans"]))
-    return F.when(text.rlike(pattern), F.flatten(placed)).otherwise(nothing)
+    return F.when(text.rlike(pattern), bound(found, in_blocks)).otherwise(nothing)
