@@ -5,7 +5,9 @@ import hashlib
 import html
 import os
 import re
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ tokenizers = pytest.importorskip("tokenizers")
 
 import corpus_pipeline  # noqa: E402
 from factorloom.llm.common import stage  # noqa: E402
-from factorloom.llm.queries import BYTE_BPE, ORACLE_SQL, QUERIES  # noqa: E402
+from factorloom.llm import language_id  # noqa: E402
+from factorloom.llm.queries import BYTE_BPE, ORACLE_SQL, PIECES, QUERIES  # noqa: E402
 from tests.llm.test_operators import brute_classes, brute_mix  # noqa: E402
 from tests.oracle import assert_same, connection  # noqa: E402
 
@@ -46,6 +49,38 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
 
 
+def test_language_query_against_brute_force(spark):
+    """Predictions and scores of every text by a plain sum over segmentations, word by word, with the probabilities that were learned."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.learn(docs.select("doc_id", "text", "lang"), PIECES)
+    ids = {p: i for i, p in enumerate(model.pieces)}
+    longest, known = max(map(len, ids)), {}
+
+    def likelihoods(word):
+        if word not in known:
+            ways = [np.ones(len(model.languages))]
+            for j in range(1, len(word) + 1):
+                total = 0
+                for i in range(max(0, j - longest), j):
+                    piece = ids.get(word[i:j], -1 if j == i + 1 else None)
+                    if piece is not None:
+                        total = total + ways[i] * model.p[piece]
+                ways.append(total)
+            known[word] = np.log(ways[-1])
+        return known[word]
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in QUERIES["op3_language_id"](spark, SF).collect():
+        words = [w for w in language_id.words_of(texts[r["doc_id"]] or "")]
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not words:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        total = sum(map(likelihoods, words))
+        share = np.exp(total - total.max())
+        assert r["lang_pred"] == model.languages[int(total.argmax())] and r["score"] == pytest.approx(1 / share.sum(), rel=1e-6)
+
+
 def test_near_dedup_query(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert {r["doc_id"]: r["class_id"] for r in QUERIES["op5_near_dedup"](spark, SF).collect()} == brute_classes(texts)
