@@ -144,9 +144,11 @@ def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Exact J_P of two profiles ``(sorted shingles, counts)``."""
     (s, x), (t, y) = a, b
-    shared, i, j = np.intersect1d(s, t, assume_unique=True, return_indices=True)
-    if not len(shared):
+    place = np.minimum(np.searchsorted(t, s), max(len(t) - 1, 0))
+    i = np.flatnonzero(t[place] == s) if len(t) else np.zeros(0, np.int64)
+    if not len(i):
         return 0.0
+    j = place[i]
     u, v = x[i].astype(np.float64), y[j].astype(np.float64)
     order = np.argsort(v / u, kind="stable")
     u, v = u[order], v[order]
@@ -165,9 +167,23 @@ def _profile(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, n
 
 
+def _too_far(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: float) -> bool:
+    """Whether a's weight on shingles that b lacks rules the similarity out: J_P is at most the share of a's weight that both have. Shingles are hashes in
+    order, so a first part of them mostly tells."""
+    (s, x), (t, _) = a, b
+    most = (1 - least + 1e-9) * x.sum()
+    missed, start = 0, 0
+    for end in (len(s) // 3, len(s)):
+        part = s[start:end]
+        missed += x[start:end][t[np.minimum(np.searchsorted(t, part), len(t) - 1)] != part].sum()
+        if missed > most:
+            return True
+        start = end
+    return False
+
+
 def _close(a: tuple, b: tuple, least: float) -> bool:
-    na, nb = int(a[1].sum()), int(b[1].sum())
-    return na > 0 and nb > 0 and similarity(a, b) >= least - 1e-12
+    return len(a[0]) > 0 and len(b[0]) > 0 and not _too_far(a, b, least) and not _too_far(b, a, least) and similarity(a, b) >= least - 1e-12
 
 
 def _verified(least: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

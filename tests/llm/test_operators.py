@@ -436,6 +436,9 @@ def test_similarity_is_probability_jaccard():
         y = {int(k): int(n) for k, n in zip(r.choice(30, 15, replace=False), r.integers(1, 5, 15))}
         a, b = ((np.array(sorted(d), np.uint64), np.array([d[k] for k in sorted(d)])) for d in (x, y))
         assert near_dedup.similarity(a, b) == pytest.approx(jp(x, y))
+        for least in (0.05, 0.2, 0.4, 0.6, 0.8):
+            assert near_dedup._close(a, b, least) == (jp(x, y) >= least)
+    assert near_dedup._close(a, a, 1.0) and not near_dedup._close(a, (a[0][:0], a[1][:0]), 0.0)
 
 
 def test_sketch_estimates_probability_jaccard():
