@@ -18,7 +18,7 @@ Cases
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -73,11 +73,16 @@ PLACEHOLDERS = ("example", "sample", "placeholder", "changeme", "dummy", "xxxx",
 PLACED = 256
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _positions(text: Column, pattern: str) -> Column:
     """Array of ``(start, end, found)`` of all matches, leftmost and not overlapping."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("long"), m.alias("found")))
+    gaps = F.split(text, pattern, -1)  # one more than there are matches: the last has no match behind it
+    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("long"), m.alias("found")))
     nothing = F.array().cast("array<struct<start:int,end:int,found:string>>")
 
     def step(acc: Column, x: Column) -> Column:
@@ -85,14 +90,21 @@ def _positions(text: Column, pattern: str) -> Column:
         end = begin + x["long"]
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["found"].alias("found")))).alias("spans"))
 
+    def placed(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), nothing.alias("spans")), step, lambda acc: acc["spans"])
+
     # in blocks, since a list that grows by each match of a long text takes time by its square
-    def length(block: Column) -> Column:
-        return F.aggregate(block, F.lit(0), lambda n, x: n + x["gap"] + x["long"])
+    def in_blocks(p: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 2) / PLACED).cast("int")), lambda k: F.slice(p, k * PLACED + 1, F.least(F.lit(PLACED), F.size(p) - 1 - k * PLACED)))
+        return _with(cut, lambda blocks: F.flatten(F.zip_with(blocks, starts(blocks), lambda b, at: F.when(b.isNotNull(), placed(b, at)).otherwise(nothing))))
+
+    def starts(blocks: Column) -> Column:
+        def after(acc: Column, b: Column) -> Column:
+            return F.concat(acc, F.array(F.element_at(acc, -1) + F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + x["long"])))
+
+        return F.aggregate(blocks, F.array(F.lit(0)), after)
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / PLACED).cast("int")), lambda k: F.slice(pairs, k * PLACED + 1, F.lit(PLACED)))
-    starts = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + length(b))))
-    placed = F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), lambda b, at: F.aggregate(b, F.struct(at.alias("at"), nothing.alias("spans")), step, lambda acc: acc["spans"]))
-    return F.when(text.rlike(pattern), F.flatten(placed)).otherwise(nothing)
+    return F.when(text.rlike(pattern), _with(pairs, in_blocks)).otherwise(nothing)
 
 
 def _hot_windows(candidate: Column, c: CharClass) -> Column:
@@ -147,7 +159,7 @@ def _shifted(c: CharClass):
 def find_secrets(docs: DataFrame, classes: Sequence[CharClass] = CLASSES, allowed: Sequence[str] = ALLOWED, placeholders: Sequence[str] = PLACEHOLDERS) -> DataFrame:
     """``docs`` with ``base`` and ``added``: arrays of ``(start, kind_no, end, kind)``, sorted."""
     docs = docs.drop("base", "added")
-    text, bare, assign, access, hexes, *runs = spare(docs, "whole", "bare", "assign", "access", "hex", *[f"runs_{c.kind}" for c in classes])
+    text, assign, access, hexes, *runs = spare(docs, "whole", "assign", "access", "hex", *[f"runs_{c.kind}" for c in classes])
     out = docs.withColumn(text, text_or_empty())
     out = out.withColumns({n: _positions(F.col(text), p) for n, p in ((assign, ASSIGN), (access, ACCESS), (hexes, HEX))})
     out = out.withColumn(assign, F.filter(assign, lambda m: F.length(F.regexp_extract(m["found"], ASSIGN, 2)) >= LEAST_VALUE))
@@ -157,13 +169,22 @@ def find_secrets(docs: DataFrame, classes: Sequence[CharClass] = CLASSES, allowe
         return F.transform(spans, lambda m: F.struct(m["start"].alias("start"), F.lit(no).alias("kind_no"), m["end"].alias("end"), F.lit(kind).alias("kind")))
 
     out = out.withColumn("base", F.array_sort(F.concat(*[named(F.col(n), k) for n, k in zip((assign, access, hexes), KINDS)])))
-    blanked = F.col(text)
-    for word in placeholders:
-        blanked = F.regexp_replace(blanked, f"(?i:{word})", " " * len(word))
-    out = out.withColumn(bare, blanked)
+
+    def beside(run: str):
+        """From a run to the runs that placeholders leave of it."""
+
+        def parts(m: Column) -> Column:
+            blanked = m["found"]
+            for word in placeholders:
+                blanked = F.regexp_replace(blanked, F.lit(f"(?i:{word})"), F.lit(" " * len(word)))
+            return F.transform(_positions(blanked, run), lambda p: F.struct((m["start"] + p["start"]).alias("start"), (m["start"] + p["end"]).alias("end"), p["found"].alias("found")))
+
+        return parts
+
     added = []
     for c, name in zip(classes, runs):
-        out = out.withColumn(name, _positions(F.col(bare), f"{c.pattern}{{{c.window},}}"))
+        run = f"{c.pattern}{{{c.window},}}"
+        out = out.withColumn(name, F.flatten(F.transform(_positions(F.col(text), run), beside(run))))
         kept = F.filter(name, lambda m: ~F.coalesce(*[F.when(m["found"].rlike(a), True) for a in allowed], F.lit(False)))
         added.append(named(F.flatten(F.transform(kept, _shifted(c))), c.kind))
     out = out.withColumn("added", F.array_sort(F.concat(*added)))
