@@ -162,4 +162,101 @@ SELECT record_id, canonical_url, ts, outcome, resolved_id,
 FROM o
 """
 
-ORACLE_SQL = {"op1_warc_revisits": OP1, "op6_exact_topk": OP6, "op9_substring_dedup": OP9, "op4_secret_scan": OP4, "op8_exact_dedup": OP8, "op10_mixing": OP10}
+#: The table of CRC-32 (polynomial 0xEDB88320), computed by SQL.
+CRC_TABLE = """SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))"""
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of an ASCII text, where the table is ``t``."""
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295]::BIGINT[], {codes}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+def _added(way: str, cost: str, letters: str) -> str:
+    return f"CASE WHEN {way} IS NOT NULL THEN {{'c': {way}.c + {cost}, 'a': {way}.a || '{letters}'}} END"
+
+
+def _op11() -> str:
+    best = "list_min([{}])".format
+    rerole = [_added(f"w{i}", "2 + late", "R") for i in range(4)]
+
+    def keep(initial: str, i: int) -> str:
+        return f"CASE WHEN initial = '{initial}' THEN {_added(f'w{i}', 'late', 'K')} END"
+
+
+    def open_(way: str) -> str:
+        return f"CASE WHEN NOT gone THEN {way} END"
+
+    ways = [[_added(f"w{i}", "3", "D")] for i in range(4)]
+    ways[1] += [open_(keep("s", 0))]
+    ways[2] += [open_(x) for i in (0, 1, 3) for x in (keep("u", i), rerole[i])]
+    ways[3] += [open_(x) for x in (keep("a", 2), rerole[2])]
+    edits = ", ".join(f"{best(', '.join(w))} AS e{i}" for i, w in enumerate(ways))
+    way = "STRUCT(c BIGINT, a VARCHAR)"
+    return f"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+ids AS (SELECT conv_id, row_number() OVER () AS no FROM (SELECT DISTINCT conv_id FROM conversations)),
+faults AS (
+  SELECT no, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc("coalesce(c.conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS f
+  FROM conversations c JOIN ids ON c.conv_id IS NOT DISTINCT FROM ids.conv_id CROSS JOIN crc),
+damaged AS (
+  SELECT no, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM faults),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY no ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, row_number() OVER (PARTITION BY no, role, text ORDER BY turn NULLS FIRST) AS k,
+         role[1] AS initial, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS last FROM damaged),
+turns AS (
+  SELECT *, last = '' AS blank, last <> '' AND k > 1 AS duplicate, last <> '' AND k = 1 AND last NOT IN ('.', '!', '?') AS truncated,
+         last = '' OR k > 1 AS gone, CASE WHEN last NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS late,
+         lag(initial) OVER (PARTITION BY no ORDER BY i) AS before FROM placed),
+scan AS (
+  SELECT no, 0::BIGINT AS i, {{'c': 0, 'a': ''}}::{way} AS w0, NULL::{way} AS w1, {{'c': 2, 'a': 'I'}}::{way} AS w2, {{'c': 4, 'a': 'II'}}::{way} AS w3 FROM ids
+  UNION ALL
+  SELECT no, i, e0, e1, {best(", ".join(["e2", *(_added(f"e{j}", "2", "I") for j in (0, 1, 3))]))}, {best(", ".join(["e3", _added("e2", "2", "I"), *(_added(f"e{j}", "4", "II") for j in (0, 1))]))}
+  FROM (SELECT t.no, t.i, {edits} FROM scan s JOIN turns t ON t.no = s.no AND t.i = s.i + 1)),
+plans AS (SELECT no, list_min([w0, w3]) AS best FROM scan QUALIFY row_number() OVER (PARTITION BY no ORDER BY i DESC) = 1),
+letters AS (SELECT no, best.a[p] AS letter, p FROM plans, unnest(range(1, length(best.a) + 1)) u(p)),
+spent AS (
+  SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY no ORDER BY p) AS i, count(*) FILTER (letter <> 'D') OVER (PARTITION BY no ORDER BY p) - 1 AS j FROM letters),
+left_over AS (
+  SELECT s.no, p, letter, CASE WHEN letter <> 'I' THEN t.role END AS role, CASE WHEN letter = 'I' THEN '' ELSE t.text END AS text,
+         j - max(CASE WHEN letter = 'K' AND t.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY s.no) AS place
+  FROM spent s LEFT JOIN turns t ON t.no = s.no AND t.i = s.i WHERE letter <> 'D'),
+repaired AS (
+  SELECT no, string_agg(CASE WHEN letter = 'K' THEN role WHEN place % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS lines FROM left_over GROUP BY no),
+counts AS (
+  SELECT no, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+         count(*) FILTER (truncated) AS truncated, count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY no)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       best.c AS cost, best.a AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM ids JOIN plans USING (no) LEFT JOIN counts USING (no) LEFT JOIN repaired USING (no)
+"""
+
+
+OP11 = _op11()
+
+OP13 = f"""
+WITH crc AS ({CRC_TABLE}),
+own AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+ids AS (SELECT *, {_crc("conv_id::VARCHAR")} % 6 AS h FROM own CROSS JOIN crc),
+rebuilt AS (SELECT i.conv_id, list_concat(coalesce(b.turns, [])[1:h], i.turns[h + 1:]) AS turns FROM ids i LEFT JOIN own b ON b.conv_id = i.conv_id - i.conv_id % 100),
+prefixes AS (SELECT conv_id, d, turns[1:d] AS p, len(turns) = d AS ends FROM rebuilt, unnest(range(0, len(turns) + 1)) u(d)),
+nodes AS (
+  SELECT min(conv_id) AS conv_id, d AS depth, p, count(*) AS n_convs, count(*) FILTER (ends) = count(*) AS childless,
+         coalesce((count(*) - 1) * length(p[d].t), 0) AS own_saved, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY d, p),
+links AS (SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id FROM nodes n JOIN nodes u ON u.depth = n.depth - 1 AND u.p = n.p[1:n.depth - 1]),
+children AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM links GROUP BY 1, 2),
+below AS (
+  SELECT a.conv_id, a.depth, sum(w.own_saved)::BIGINT AS saved_tokens, count(*) FILTER (w.childless) AS n_leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM nodes) w JOIN nodes a ON a.depth = w.d AND a.p = w.p[1:w.d] GROUP BY 1, 2)
+SELECT n.conv_id, n.depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, ends_sha256
+FROM nodes n JOIN below USING (conv_id, depth) LEFT JOIN links USING (conv_id, depth) LEFT JOIN children USING (conv_id, depth)
+"""
+
+ORACLE_SQL = {"op1_warc_revisits": OP1, "op6_exact_topk": OP6, "op9_substring_dedup": OP9, "op4_secret_scan": OP4, "op8_exact_dedup": OP8, "op10_mixing": OP10, "op11_conversation_repair": OP11, "op13_conversation_trie": OP13}

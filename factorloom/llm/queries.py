@@ -8,14 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, language_id, mixing, near_dedup, secrets, substring_dedup, topk, warc
-from .common import table
+from . import bpe, conversation_repair, conversation_trie, exact_dedup, html_text, language_id, mixing, near_dedup, piece_bpe, secrets, substring_dedup, topk, warc
+from .common import stage, table
 from .oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 PIECES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -75,4 +76,30 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_revisits, op2_bpe, op3_language_id, op4_secret_scan, op5_near_dedup, op6_exact_topk, op7_html_text, op8_exact_dedup, op9_substring_dedup, op10_mixing)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    turns = conversation_repair.damaged(conversations)
+    plans = stage(conversation_repair.plan_repairs(turns), "plans")
+    hashes = conversation_repair.digests(conversation_repair.repaired(turns, plans))
+    out = conversations.select("conv_id").distinct().alias("c")
+    for name, found in (("p", plans), ("h", hashes)):
+        out = out.join(found.alias(name), F.col("c.conv_id").eqNullSafe(F.col(f"{name}.conv_id")), "left")
+    counts = [F.coalesce(n, F.lit(0)).alias(n) for n in (*conversation_repair.COUNTS, "cost")]
+    return out.select("c.conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = piece_bpe.encode_decode(docs, PIECE_BPE, keep_text=False)
+    return tokens.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.numbered(table(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(conversation_trie.with_shared_heads(turns))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_revisits, op2_bpe, op3_language_id, op4_secret_scan, op5_near_dedup, op6_exact_topk, op7_html_text, op8_exact_dedup, op9_substring_dedup, op10_mixing, op11_conversation_repair, op12_piece_bpe, op13_conversation_trie)}
