@@ -205,9 +205,10 @@ damaged AS (
   SELECT no, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role,
          CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
          unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM faults),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY no ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged),
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY no ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, row_number() OVER (PARTITION BY no, role, text ORDER BY turn NULLS FIRST) AS k,
-         role[1] AS initial, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS last FROM damaged),
+  SELECT *, row_number() OVER (PARTITION BY no, role, text ORDER BY i) AS k, role[1] AS initial,
+         regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS last FROM ordered),
 turns AS (
   SELECT *, last = '' AS blank, last <> '' AND k > 1 AS duplicate, last <> '' AND k = 1 AND last NOT IN ('.', '!', '?') AS truncated,
          last = '' OR k > 1 AS gone, CASE WHEN last NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS late,
