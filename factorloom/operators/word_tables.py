@@ -1,94 +1,109 @@
-"""Tables from word boxes: words of a page grouped to rows by height, rows to regions, regions cut to columns where gaps line up.
+"""Tables from word boxes: words of a page fall into rows by height, runs of rows of several words are regions, gaps that line up cut a region into columns.
 
-A page is a group of its own, as large as one page's words; pages are spread over tasks.
+All is windows and grouped sums over (document, page), so words move once. A page is a group: its words' heights are ranked by a
+window, and its row starts are found by following each word's successor, the first word further below than the tolerance.
+
+Cases
+-----
+* words without text or without a box are left out; a page of fewer than ``LEAST_WORDS`` other words has no table
+* words of one height go from left to right, then by their other bounds and their text, so that ties are settled
+* an empty table of words has no tables; other columns are ignored
 """
 
 from __future__ import annotations
 
-from itertools import groupby
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from ..session import staged
 
 #: Points within which words share a row, gaps that may part columns, distance within which gaps line up.
 ROW_TOLERANCE, LEAST_GAP, GAP_RADIUS = 4.0, 8.0, 8.0
 #: Words of a page, rows of a region and columns of a table at least; share of cells with a digit.
 LEAST_WORDS, LEAST_ROWS, LEAST_COLUMNS, NUMERIC_SHARE = 6, 2, 3, 0.25
-SCHEMA = "doc_id long, page_num int, table_no int, x0 double, y0 double, x1 double, y1 double, table string"
-
-
-def text_rows(words: pd.DataFrame, tolerance: float = ROW_TOLERANCE) -> list[pd.DataFrame]:
-    """Rows from top to bottom, words from left to right: a word whose middle is further below a row's first word than ``tolerance`` begins the next."""
-    words = words.assign(middle=(words["y0"] + words["y1"]) / 2).sort_values(["middle", "x0"], kind="stable")
-    numbers, top, no = [], None, -1
-    for middle in words["middle"]:
-        if top is None or middle - top > tolerance:
-            top, no = middle, no + 1
-        numbers.append(no)
-    return [row.sort_values("x0", kind="stable") for _, row in words.groupby(numbers)]
-
-
-def column_cuts(rows: list[pd.DataFrame], least_gap: float = LEAST_GAP) -> list[float]:
-    """Places between columns: means of gaps' middles that line up in a quarter of the rows, two at least."""
-    middles = []
-    for row in rows:
-        ends, starts = row["x1"].to_numpy()[:-1], row["x0"].to_numpy()[1:]
-        wide = starts - ends >= least_gap
-        middles += ((ends + starts) / 2)[wide].tolist()
-    s = pd.Series(sorted(middles), dtype=float)
-    lined_up = s.groupby((s.diff() >= GAP_RADIUS).cumsum()).agg(["size", "mean"])
-    return lined_up.loc[lined_up["size"] >= max(2, len(rows) // 4), "mean"].tolist()
-
-
-def grid_of(rows: list[pd.DataFrame], cuts: list[float]) -> list[list[str]]:
-    """Cells of each row, without empty columns at the end and caption rows at the start."""
-    bins = [-float("inf"), *cuts, float("inf")]
-    grid = []
-    for row in rows:
-        cell = pd.cut((row["x0"] + row["x1"]) / 2, bins, labels=False)
-        grid.append([" ".join(row["text"][cell == k]) for k in range(len(bins) - 1)])
-    while len(grid[0]) > 2 and not any(r[-1] for r in grid):
-        grid = [r[:-1] for r in grid]
-    while len(grid) > 2 and sum(map(bool, grid[0])) <= 2:
-        grid = grid[1:]
-    return grid
-
-
-def is_table(grid: list[list[str]]) -> bool:
-    cells = [c for r in grid for c in r if c]
-    numeric = sum(any(ch.isdigit() for ch in c) for c in cells)
-    return len(grid) >= LEAST_ROWS and len(grid[0]) >= LEAST_COLUMNS and bool(cells) and numeric / len(cells) >= NUMERIC_SHARE
-
-
-def pipe_table(grid: list[list[str]]) -> str:
-    lines = [grid[0], ["---"] * len(grid[0]), *grid[1:]]
-    return "\n".join("| " + " | ".join(line) + " |" for line in lines)
-
-
-def page_tables(words: pd.DataFrame, tolerance: float = ROW_TOLERANCE, least_gap: float = LEAST_GAP) -> list[dict]:
-    """Bounds and pipe table of each region of consecutive rows of several words that makes a table."""
-    words = words[words["text"].fillna("").str.strip() != ""]
-    out: list[dict] = []
-    if len(words) < LEAST_WORDS:
-        return out
-    for several, rows in groupby(text_rows(words, tolerance), lambda row: len(row) > 1):
-        rows = list(rows)
-        cuts = column_cuts(rows, least_gap) if several and len(rows) >= LEAST_ROWS else []
-        if cuts and is_table(grid := grid_of(rows, cuts)):
-            region = pd.concat(rows)
-            out.append({"x0": region["x0"].min(), "y0": region["y0"].min(), "x1": region["x1"].max(), "y1": region["y1"].max(), "table": pipe_table(grid)})
-    return out
+#: A caption has at most so many cells.
+CAPTION_CELLS = 2
+PAGE = ("doc_id", "page_num")
+BOX = ("x0", "y0", "x1", "y1")
+
+
+def rows_of(words: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
+    """``doc_id, page_num, row_no, words``: rows from top to bottom, each an array of words from left to right.
+
+    A row begins with its highest word and holds the words whose middles are at most ``tolerance`` below that one's.
+    """
+    boxes = words.select(*PAGE, *(F.col(c).cast("double").alias(c) for c in BOX), "text").where(F.trim("text") != "").dropna(subset=list(BOX))
+    middle = ((F.col("y0") + F.col("y1")) / 2).alias("middle")
+    page = Window.partitionBy(*PAGE)
+    down = page.orderBy("middle", "x0", *BOX[1:], "text")
+    reach = F.expr(f"count(*) OVER (PARTITION BY {', '.join(PAGE)} ORDER BY middle RANGE BETWEEN UNBOUNDED PRECEDING AND {float(tolerance)!r}D FOLLOWING)")
+    placed = boxes.select("*", middle).select("*", (F.row_number().over(down) - 1).alias("left"), reach.cast("int").alias("next"), F.count(F.lit(1)).over(page).alias("n"))
+    word = F.struct("left", "next", *BOX, "text")
+    pages = placed.where(F.col("n") >= LEAST_WORDS).groupBy(*PAGE).agg(F.array_sort(F.collect_list(word)).alias("words"))
+    start = F.struct(F.lit(0).alias("due"), F.array().cast("array<int>").alias("starts"))
+
+    def follow(state: Column, w: Column) -> Column:
+        begins = w["left"] == state["due"]
+        return F.struct(F.when(begins, w["next"]).otherwise(state["due"]).alias("due"), F.when(begins, F.concat(state["starts"], F.array(w["left"]))).otherwise(state["starts"]).alias("starts"))
+
+    starts = pages.withColumn("starts", F.aggregate("words", start, follow, lambda s: s["starts"]))
+    cut = starts.select(*PAGE, "words", F.posexplode("starts").alias("row_no", "a"), F.col("starts"))
+    b = F.coalesce(F.get("starts", F.col("row_no") + 1), F.size("words"))
+    return cut.select(*PAGE, "row_no", F.array_sort(F.transform(F.slice("words", F.col("a") + 1, b - F.col("a")), lambda w: F.struct(w["x0"].alias("x0"), w["left"].alias("left"), *(w[c].alias(c) for c in (*BOX[1:], "text"))))).alias("words"))
+
+
+def regions_of(rows: DataFrame) -> DataFrame:
+    """``rows`` of several words with ``region``, the number of lone words above on the page, and the region's ``n_rows`` and ``place`` in it; regions of too few rows go."""
+    above = Window.partitionBy(*PAGE).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    lone = F.size("words") < 2
+    marked = rows.withColumn("region", F.sum(lone.cast("int")).over(above)).where(~lone)
+    region = Window.partitionBy(*PAGE, "region")
+    placed = marked.withColumns({"n_rows": F.count(F.lit(1)).over(region), "place": F.row_number().over(region.orderBy("row_no"))})
+    return placed.where(F.col("n_rows") >= LEAST_ROWS)
+
+
+def cuts_of(regions: DataFrame, least_gap: float = LEAST_GAP) -> DataFrame:
+    """``doc_id, page_num, region, cuts``: places between columns, means of gaps' middles that line up in a quarter of the rows, two at least."""
+    pairs = F.arrays_zip(F.slice("words", 1, F.size("words") - 1).alias("a"), F.slice("words", 2, F.size("words")).alias("b"))
+    wide = F.filter(pairs, lambda p: p["b"]["x0"] - p["a"]["x1"] >= least_gap)
+    gaps = regions.select(*PAGE, "region", "n_rows", F.explode(F.transform(wide, lambda p: (p["a"]["x1"] + p["b"]["x0"]) / 2)).alias("gap"))
+    along = Window.partitionBy(*PAGE, "region").orderBy("gap")
+    apart = F.coalesce(F.col("gap") - F.lag("gap").over(along) >= GAP_RADIUS, F.lit(False)).cast("int")
+    islands = gaps.withColumn("apart", apart).withColumn("island", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    support = islands.groupBy(*PAGE, "region", "island").agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("cut"), F.first("n_rows").alias("n_rows"))
+    lined_up = support.where(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("n_rows") / 4)))
+    return lined_up.groupBy(*PAGE, "region").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
+
+
+def cells_of(regions: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``regions`` with ``width`` and ``cells``: a word's column is the one that its middle falls into; ``width`` leaves out columns at the end that are empty in all rows, down to two."""
+    column = F.transform("words", lambda w: F.struct(F.size(F.filter("cuts", lambda c: c < (w["x0"] + w["x1"]) / 2)).alias("k"), w["text"].alias("text")))
+    placed = regions.join(cuts, [*PAGE, "region"]).withColumn("placed", column).withColumn("most", F.array_max("placed.k"))
+    wide = placed.withColumn("width", F.greatest(F.max("most").over(Window.partitionBy(*PAGE, "region")) + 1, F.lit(2)))
+    cells = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.array_join(F.transform(F.filter("placed", lambda w: w["k"] == k), lambda w: w["text"]), " "))
+    bounds = [*(F.array_min(f"words.{c}").alias(c) for c in ("x0", "y0")), *(F.array_max(f"words.{c}").alias(c) for c in ("x1", "y1"))]
+    return wide.select(*PAGE, "region", "n_rows", "place", "width", *bounds, cells.alias("cells"))
 
 
 def tables(words: DataFrame, tolerance: float = ROW_TOLERANCE, least_gap: float = LEAST_GAP) -> DataFrame:
-    """``doc_id, page_num, table_no, x0, y0, x1, y1, table`` of the words ``doc_id, page_num, x0, y0, x1, y1, text``."""
-
-    def of_page(page: pd.DataFrame) -> pd.DataFrame:
-        found = page_tables(page, tolerance, least_gap)
-        frame = pd.DataFrame(found, columns=["x0", "y0", "x1", "y1", "table"])
-        frame.insert(0, "table_no", range(len(found)))
-        frame.insert(0, "page_num", page["page_num"].iloc[0])
-        frame.insert(0, "doc_id", page["doc_id"].iloc[0])
-        return frame
-
-    return words.select("doc_id", "page_num", "x0", "y0", "x1", "y1", "text").groupBy("doc_id", "page_num").applyInPandas(of_page, SCHEMA)
+    """``doc_id, page_num, table_no, x0, y0, x1, y1, table`` of the words ``doc_id, page_num, x0, y0, x1, y1, text``: each region with enough columns and numbers, as a pipe table.
+
+    Rows at a region's beginning with ``CAPTION_CELLS`` cells or fewer are captions and no part of the table, unless fewer than ``LEAST_ROWS`` rows were left.
+    """
+    regions = staged(regions_of(rows_of(words, tolerance)), "word-rows")
+    grid = cells_of(regions, cuts_of(regions, least_gap))
+    filled = F.filter("cells", lambda c: c != "")
+    grid = grid.withColumns({"filled": F.size(filled), "numeric": F.size(F.filter("cells", lambda c: c.rlike(r"\p{Nd}")))})
+    region = Window.partitionBy(*PAGE, "region")
+    captions = F.least(F.coalesce(F.min(F.when(F.col("filled") > CAPTION_CELLS, F.col("place"))).over(region) - 1, F.col("n_rows")), F.col("n_rows") - LEAST_ROWS)
+    line = F.concat(F.lit("| "), F.array_join("cells", " | "), F.lit(" |"))
+    grid = grid.withColumn("body", F.col("place") > captions).withColumn("line", F.when(F.col("body"), F.struct("place", line.alias("line"))))
+    found = grid.groupBy(*PAGE, "region").agg(
+        *(F.min(c).alias(c) for c in ("x0", "y0")), *(F.max(c).alias(c) for c in ("x1", "y1")), F.first("width").alias("width"), F.array_sort(F.collect_list("line")).alias("lines"),
+        F.sum(F.when(F.col("body"), F.col("filled"))).alias("filled"), F.sum(F.when(F.col("body"), F.col("numeric"))).alias("numeric"),
+    )
+    good = found.where((F.col("width") >= LEAST_COLUMNS) & (F.col("filled") > 0) & (F.col("numeric") >= NUMERIC_SHARE * F.col("filled")))
+    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("width")), " | "), F.lit(" |"))
+    text = F.array_join(F.concat(F.array(F.col("lines")[0]["line"], rule), F.slice("lines.line", 2, F.size("lines"))), "\n")
+    number = (F.row_number().over(Window.partitionBy(*PAGE).orderBy("region")) - 1).alias("table_no")
+    return good.select(*PAGE, number, *BOX, text.alias("table"))

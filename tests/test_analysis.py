@@ -307,16 +307,33 @@ def test_report_files(spark, tmp_path):
     assert [r[0] for r in names] == ["E_P_x", "factor", "factor", "n" * 120]
 
 
-def test_pages_without_tables():
-    import pandas as pd
+def boxes(spark, doc, rows, height=10.0):
+    """Words of one page: rows of (x, text), each word 8 wide."""
+    return [(doc, 1, float(x), height * y, x + 8.0, height * y + 8, t) for y, row in enumerate(rows) for x, t in row]
 
+
+def test_tables_from_words(spark):
     from factorloom.operators import word_tables
 
-    def page(rows):
-        return pd.DataFrame([(float(x), 10.0 * y, x + 8.0, 10.0 * y + 8, t) for y, row in enumerate(rows) for x, t in row], columns=["x0", "y0", "x1", "y1", "text"])
+    prose = [[(0, "one"), (30, "two"), (60, "three")]] * 4
+    numbers = [[(0, "Chart"), (30, "5")]] + [[(0, f"a{k}"), (30, "1"), (60, "2")] for k in range(4)] + [[(0, "alone")]] + [[(0, "x"), (30, "3"), (60, "4")]] * 2
+    empty_end = [[(0, "h"), (30, "i"), (60, "9")], [(0, "1"), (30, "2")], [(0, "3"), (30, "4"), (60, "5")]]
+    captions = [[(0, "a"), (60, "b")], [(30, "c"), (60, "d")]] + [[(0, "7"), (30, "8"), (60, "9")]] * 2
+    odd = [(9, 1, None, 0.0, 1.0, 1.0, "null box"), (9, 1, 0.0, 0.0, 1.0, 1.0, None), (9, 1, 0.0, 0.0, 1.0, 1.0, "  "), (None, None, 0.0, 0.0, 1.0, 1.0, "no page")]
+    rows = [*boxes(spark, 1, prose), *boxes(spark, 2, prose[:1]), *boxes(spark, 3, numbers), *boxes(spark, 4, empty_end), *boxes(spark, 5, captions), *odd]
+    words = frame(spark, rows, "doc_id long, page_num int, x0 double, y0 double, x1 double, y1 double, text string")
+    found = {(r["doc_id"], r["table_no"]): r for r in word_tables.tables(words).collect()}
+    assert set(found) == {(3, 0), (3, 1), (4, 0), (5, 0)}
+    assert found[3, 0]["table"] == "| a0 | 1 | 2 |\n| --- | --- | --- |\n" + "\n".join(f"| a{k} | 1 | 2 |" for k in (1, 2, 3))
+    assert found[3, 1]["table"].count("\n") == 2 and found[3, 0]["y1"] < found[3, 1]["y0"] and (found[3, 0]["x0"], found[3, 0]["x1"]) == (0.0, 68.0)
+    assert found[4, 0]["table"].split("\n")[2] == "| 1 | 2 |  |" and found[5, 0]["table"] == "| 7 | 8 | 9 |\n| --- | --- | --- |\n| 7 | 8 | 9 |"
+    assert word_tables.tables(words.limit(0)).count() == 0
+
+
+def test_rows_begin_beyond_the_tolerance_of_their_first_word(spark):
+    """Middles drift by three points a word: a row holds what is within four points of its first word, not of the one before."""
+    from factorloom.operators import word_tables
 
-    prose = page([[(0, "one"), (30, "two"), (60, "three")]] * 4)
-    assert word_tables.page_tables(prose) == [] and word_tables.page_tables(prose.head(5)) == []
-    numbers = page([[(0, "Chart"), (30, "5")]] + [[(0, f"a{k}"), (30, "1"), (60, "2")] for k in range(4)] + [[(0, "alone")]] + [[(0, "x"), (30, "3"), (60, "4")]] * 2)
-    first, second = word_tables.page_tables(numbers)
-    assert first["table"].startswith("| a0 | 1 | 2 |") and second["table"].count("\n") == 2 and first["y1"] < second["y0"]
+    words = frame(spark, [(1, 1, 10.0 * (7 - k), 3.0 * k, 10.0 * (7 - k) + 5, 3.0 * k + 8, str(k)) for k in range(8)] + [(1, 1, 200.0, 0.0, 205.0, 8.0, "tie")] * 2, "doc_id long, page_num int, x0 double, y0 double, x1 double, y1 double, text string")
+    rows = [[w["text"] for w in r["words"]] for r in word_tables.rows_of(words).orderBy("row_no").collect()]
+    assert rows == [["1", "0", "tie", "tie"], ["3", "2"], ["5", "4"], ["7", "6"]]
