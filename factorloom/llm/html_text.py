@@ -8,7 +8,9 @@ prose is spared: the lines of paragraphs, headings, list items, cells and the li
 
 Lines of menus, headers, footers, sidebars, notices, adverts, forms and comments go by the names of their elements too, as
 not every page has a neighbour. A class or id counts only if the whole of a name says so (``related-posts``, not
-``related-work``), and ids, which are often but link targets, only on containers.
+``related-work``), and ids, which are often but link targets, only on containers. On an ``article`` or ``main`` only words for
+comments count; within one, weaker words (``CONTAINER_MARKS``) make a line suspect, and it goes if a neighbour shares it or if links make up
+all of it. A page all of whose lines are marked by class alone keeps them.
 
 The neighbours come from one range sort of small rows (line hashes, no markup), one for each different host and path: each
 partition looks at the row before and after, and the partitions' edge rows are carried over, so a host with a third of all pages
@@ -19,7 +21,8 @@ Cases
 -----
 * null or empty html gives an empty text; a null or odd URL has no host and no neighbour; pages are read whole
 * repeated rows are each reported; pages of equal URL apart from query, fragment, ``.html`` and final slash are not compared
-* unclosed and stray tags are closed by their surroundings; an unclosed script runs to the end of the page
+* unclosed and stray tags are closed by their surroundings; an unclosed script runs to the end of the page; a tag without its ``>`` is text
+* malformed pages take time in proportion to their length: what a search has passed in vain is not searched again
 * an empty table gives an empty report; other columns are ignored
 """
 
@@ -38,12 +41,12 @@ from pyspark.sql import functions as F
 
 from .common import discard, parallelism, stage
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>",
-    re.S,
-)
+#: A tag whose attributes have no angle brackets, as nearly all; it fails at the next bracket.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*+)([^<>"']*+(?:"[^"<>]*+"[^<>"']*+|'[^'<>]*+'[^<>"']*+)*+)>""")
+OPENING = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)")
+STOP = re.compile(r"""[>"']""")
+LONG_REFERENCE = re.compile(r"&#(?:0*[1-9][0-9]{7,}|[xX]0*[1-9a-fA-F][0-9a-fA-F]{6,});?")
+ZEROS = re.compile(r"&#0+(?=[0-9])")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -82,6 +85,10 @@ CONTENT = frozenset(
 #: What an element of this name ends, and how far outwards it looks.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"})}
 ARTICLE, MAIN, GUESSED = 4, 2, 1
+#: How sure it is that a line is furniture: a weak word within an article, a class or id, an element or attribute.
+SUSPECT, NAMED_SO, CERTAIN = 1, 2, 3
+#: The words that count on an article.
+REMARKS = frozenset("comment comments disqus reply replies".split())
 WORDS = re.compile(r"[a-z]+|[0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -97,41 +104,98 @@ def _is_mark(token: str, marks: frozenset[str]) -> bool:
     return marked
 
 
-def _traits(name: str, attrs: str, inside: int, quoted: bool) -> tuple[bool, int]:
-    """Whether an element is furniture, and what container it is. ``quoted``: it stands in preformatted text."""
-    furniture = name in FURNITURE or (name == "header" and inside < MAIN)
+def _traits(name: str, attrs: str, inside: int, quoted: bool) -> tuple[int, int]:
+    """How surely an element is furniture, and what container it is. ``quoted``: it stands in preformatted text."""
+    level = CERTAIN if name in FURNITURE or (name == "header" and inside < MAIN) else 0
     container = ARTICLE if name == "article" else MAIN if name == "main" else 0
     if not attrs or name in ("html", "body"):
-        return furniture, container
-    marks = MARKS | CONTAINER_MARKS if name in CONTAINERS else MARKS
-    if inside >= MAIN:
-        marks -= {"header", "masthead"}
+        return level, container
+    weak = CONTAINER_MARKS if name in CONTAINERS else frozenset()
     for kind, a, b, c in ATTRIBUTE.findall(attrs):
         kind, value = kind.lower(), a or b or c
-        if kind == "hidden":
-            furniture = True
-        elif kind == "style":
-            furniture |= "display:none" in value.replace(" ", "").lower()
+        if kind == "hidden" or (kind == "style" and "display:none" in value.replace(" ", "").lower()):
+            level = CERTAIN
         elif kind == "role":
             role = value.strip().lower()
-            furniture |= role in ROLES and not (role in ("banner", "form") and inside >= MAIN)
+            if role in ROLES and not (role in ("banner", "form") and inside >= MAIN):
+                level = CERTAIN
             container = max(container, MAIN if role == "main" else ARTICLE if role == "article" else 0)
         elif kind in ("class", "id"):
             for token in value.split():
                 if token.lower() in CONTENT and name in CONTAINERS:
                     container = max(container, GUESSED)
-                elif not quoted and name != "main" and (kind == "class" or name in NAMED or name == "section"):
-                    counts = MARKS if kind == "id" and name == "section" else marks
-                    furniture |= _is_mark(token, counts)
-    return furniture, container
-
-
-def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
-    """Text lines of a page in order: ``(text, containers it is in, whether it is furniture, whether it is prose)``."""
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, int, bool, bool, bool]] = []  # name, containers, furniture, furniture only by being a form, silent
+                elif quoted or (kind == "id" and name not in NAMED and name not in ("article", "section")):
+                    continue
+                elif name in ("article", "main"):
+                    level = max(level, NAMED_SO * _is_mark(token, REMARKS))
+                elif inside >= MAIN:
+                    level = max(level, NAMED_SO * _is_mark(token, MARKS - {"masthead"}), SUSPECT * _is_mark(token, MARKS | weak - {"header"}))
+                else:
+                    level = max(level, NAMED_SO * _is_mark(token, MARKS if kind == "id" and name == "section" else MARKS | weak))
+    return level, container
+
+
+class Tokens:
+    """Tags of a page in order. The whole takes one pass: a tag that cannot end, and a quote that cannot, is found out once."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = html.rfind(">")
+        self.last_quote = {q: html.rfind(q) for q in "\"'"}
+        self.quotes_hold = True  # until a tag's quotes turn out to swallow the rest of the page
+
+    def _end(self, at: int) -> int:
+        """Where the tag whose name ends at ``at`` has its ``>``: outside quoted values, as long as quotes hold."""
+        html, place = self.html, at
+        while self.quotes_hold:
+            m = STOP.search(html, place)
+            if m is None or (m.group() != ">" and m.start() >= self.last_quote[m.group()]):
+                self.quotes_hold = False
+            elif m.group() == ">":
+                return m.start()
+            else:
+                place = html.index(m.group(), m.end()) + 1
+        return html.index(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Start and end of the next piece of markup, and its slash, name and attributes (no name: a comment or the like)."""
+        html = self.html
+        while True:
+            at = html.find("<", at)
+            if at < 0:
+                return None
+            m = TAG.match(html, at)
+            if m:
+                return at, m.end(), m[1], m[2], m[3]
+            for opens, closes in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if html.startswith(opens, at):
+                    end = html.find(closes, at + len(opens))
+                    return at, len(html) if end < 0 else end + len(closes), "", "", ""
+            if at > self.last:
+                return None
+            if html[at + 1] in "!?":
+                return at, html.index(">", at) + 1, "", "", ""
+            m = OPENING.match(html, at)
+            if m:
+                end = self._end(m.end())
+                return at, end + 1, m[1], m[2], html[m.end() : end]
+            at += 1
+
+
+def plain(text: str) -> str:
+    """Character references decoded, white space made one space; a reference beyond all code points is U+FFFD, however long."""
+    if "&#" in text:
+        text = LONG_REFERENCE.sub("\ufffd", ZEROS.sub("&#", text))
+    return " ".join(unescape(text).split())
+
+
+def lines_of(html: str) -> list[tuple[str, int, int, bool]]:
+    """Text lines of a page in order: ``(text, containers it is in, how surely it is furniture, whether it is prose)``."""
+    out: list[tuple[str, int, int, bool]] = []
+    stack: list[tuple[str, int, int, bool, bool, int]] = []  # name, containers, level, level only by being a form, silent, depth of the innermost block
+    depths: dict[str, list[int]] = defaultdict(list)  # of the open elements of a name
     parts: list[str] = []
-    inside, furniture, soft, silent = 0, False, False, False
+    inside, level, soft, silent = 0, 0, False, False
     in_link, own_text = False, False  # own_text: the line has text that is no link
 
     def add(text: str) -> None:
@@ -143,47 +207,51 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
     def flush() -> None:
         nonlocal own_text
         if parts:
-            text = " ".join(unescape("".join(parts)).split())
+            text = plain("".join(parts))
             parts.clear()
             if text:
-                block = next((x[0] for x in reversed(stack) if x[0] in BLOCKS), "")
-                out.append((text, inside, furniture, own_text and block in PROSE))
+                block = stack[stack[-1][5]][0] if stack and stack[-1][5] >= 0 else ""
+                out.append((text, inside, CERTAIN if level == SUSPECT and not own_text else level, own_text and block in PROSE))
         own_text = False
 
     def pop_to(depth: int) -> None:
-        nonlocal inside, furniture, soft, silent
+        nonlocal inside, level, soft, silent
+        for entry in stack[depth:]:
+            depths[entry[0]].pop()
         del stack[depth:]
-        _, inside, furniture, soft, silent = stack[-1] if stack else ("", 0, False, False, False)
+        _, inside, level, soft, silent, _ = stack[-1] if stack else ("", 0, 0, False, False, -1)
 
-    at, end = 0, len(html)
+    def innermost(names: Iterable[str]) -> int:
+        return max((depths[n][-1] for n in names if depths.get(n)), default=-1)
+
+    at, end, tokens = 0, len(html), Tokens(html)
     while at < end:
-        m = TOKEN.search(html, at)
-        if m is None:
+        found = tokens.next(at)
+        if found is None:
             add(html[at:])
             break
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        name = m["name"] or m["name2"]
-        if name is None:
+        start, stop, close, name, attrs = found
+        if start > at:
+            add(html[at:start])
+        at = stop
+        if not name:
             continue
         name = name.lower()
         block = name in BLOCKS
-        if m["close"] or m["close2"]:
+        if close:
             if block:
                 flush()
             if block or name == "a":
                 in_link = False
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    if stack[depth][4] == (stack[depth - 1][4] if depth else False):
-                        flush()  # what is silent does not end a line
-                    pop_to(depth)
-                    break
+            depth = innermost((name,))
+            if depth >= 0:
+                if stack[depth][4] == (stack[depth - 1][4] if depth else False):
+                    flush()  # what is silent does not end a line
+                pop_to(depth)
             continue
         if name in RAW:
-            stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-            at = stop.end() if stop else end
+            raw_end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+            at = raw_end.end() if raw_end else end
             continue
         if name == "br" or name in ("td", "th"):
             add(" ")
@@ -191,35 +259,31 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
             in_link = True
         if block:
             flush()
-            open_p = len(stack) - 1  # a paragraph ends, with what is open inside it
-            while open_p >= 0 and stack[open_p][0] not in BLOCKS:
-                open_p -= 1
-            if open_p >= 0 and stack[open_p][0] == "p":
-                pop_to(open_p)
+            around = stack[-1][5] if stack else -1
+            if around >= 0 and stack[around][0] == "p":
+                pop_to(around)  # a paragraph ends, with what is open inside it
             if name in ENDS:
                 ends, bounds = ENDS[name]
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] in bounds:
-                        break
-                    if stack[depth][0] in ends:
-                        pop_to(depth)
-                        break
+                depth = innermost(ends)
+                if depth > innermost(bounds):
+                    pop_to(depth)
         if name in VOID:
             continue
         quoted = bool(stack) and stack[-1][0] in ("pre", "code")
-        marked, container = _traits(name, m["attrs"] or m["attrs2"] or "", inside, quoted)
+        marked, container = _traits(name, attrs, inside, quoted)
         if not (block or marked or container or name == "code"):
             continue
         if block or container:
             flush()
             if soft and container >= MAIN:
-                furniture = soft = False  # a form around the whole page
-            if marked and not furniture:
+                level, soft = 0, False  # a form around the whole page
+            if marked > level:
                 soft = name == "form"
-            inside, furniture = inside | container, furniture or marked
-        elif marked:
+            inside, level = inside | container, max(level, marked)
+        elif marked > SUSPECT:
             silent = True  # furniture within a line
-        stack.append((name, inside, furniture, soft, silent))
+        depths[name].append(len(stack))
+        stack.append((name, inside, level, soft, silent, len(stack) if block else stack[-1][5] if stack else -1))
     flush()
     return out
 
@@ -258,25 +322,25 @@ def _hash(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def shared_lines(lines: list[tuple[str, int, bool, bool]], neighbours: Iterable[list[int] | None]) -> set[int]:
-    """Numbers of the lines that are deleted because a neighbour shares them: all but the prose of an article."""
+def shared_lines(lines: list[tuple[str, int, int, bool]], neighbours: Iterable[list[int] | None]) -> set[int]:
+    """Numbers of the lines that are deleted because a neighbour shares them: all but the prose of an article that nothing else speaks against."""
     hashes = [_hash(line[0]) for line in lines]
     found = set().union(*(longest_common(hashes, n) for n in neighbours if n))
-    return {k for k in found if not (lines[k][1] >= MAIN and lines[k][3])}
+    return {k for k in found if not (lines[k][1] >= MAIN and lines[k][3] and not lines[k][2])}
 
 
 def main_text(html: str, neighbours: Iterable[list[int] | None] = ()) -> str:
     """Main text of a page, given the line hashes of its nearest neighbours. A page of which nothing would be left keeps its lines."""
     lines = lines_of(html)
     shared = shared_lines(lines, neighbours)
-    body = [(k, text, inside) for k, (text, inside, furniture, _) in enumerate(lines) if not furniture]
-    for container in (ARTICLE, MAIN, GUESSED):
-        if any(inside & container for _, _, inside in body):
-            body = [x for x in body if x[2] & container]
-            break
-    own = [text for k, text, _ in body if k not in shared]
+    clear = [k for k, line in enumerate(lines) if line[2] <= SUSPECT]
+    named = [k for k, line in enumerate(lines) if line[2] <= NAMED_SO]
+    # articles that are not marked, then marked ones, then what stands for an article, then all
+    choices = [(rows, kind) for rows in (clear, named) for kind in (ARTICLE, MAIN)] + [(clear, GUESSED), (clear, 0), (named, 0)]
+    body = next((own for rows, kind in choices if (own := [k for k in rows if lines[k][1] & kind or not kind])), [])
+    own = [lines[k][0] for k in body if k not in shared]
     # a neighbour that has all of a page's lines is a copy of it, not what frames it
-    return "\n".join(own or [text for _, text, _ in body])
+    return "\n".join(own or [lines[k][0] for k in body])
 
 
 def _url_parts(url: Column) -> dict[str, Column]:
