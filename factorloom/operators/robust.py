@@ -8,11 +8,8 @@ seed and its own number alone.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,6 +117,10 @@ def inversions(ranks: DataFrame, x: str, y: str, n: int) -> DataFrame:
     return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("inversions"))
 
 
+#: Combinations of segments beyond which their table, which every task gets, is refused.
+MOST_COMBINATIONS = 50_000
+
+
 def overfitting_probability(returns: DataFrame, column: str = "ls_return", splits: int = 5, oos_share: float = 0.3) -> DataFrame:
     """One row ``pbo, n_combinations, overfit``: (1 - tau) / 2 of in-sample and out-of-sample Sharpe ranks over all choices of half
     the segments; out of sample counts the last ``oos_share`` of each segment left.
@@ -127,6 +128,8 @@ def overfitting_probability(returns: DataFrame, column: str = "ls_return", split
     All combinations are one grouped job: sums by segment come first, so a combination touches 2 * splits numbers.
     """
     spark = returns.sparkSession
+    if math.comb(splits, max(splits // 2, 1)) > MOST_COMBINATIONS:
+        raise PanelError(f"{splits} splits have more than {MOST_COMBINATIONS} combinations")
     chosen = list(combinations(range(splits), max(splits // 2, 1)))
     numbered = returns.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("r"), (F.row_number().over(Window.orderBy("date")) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
     size = F.floor(F.col("n") / splits)
@@ -159,35 +162,31 @@ def overfitting_probability(returns: DataFrame, column: str = "ls_return", split
     return found.select(pbo.alias("pbo"), F.lit(len(chosen)).alias("n_combinations"), F.coalesce(pbo > 0.5, F.lit(False)).alias("overfit"))
 
 
-#: Longest series that bootstrap sends to every task, one number a date.
-LONGEST_SERIES = 1_000_000
+def drawn(*parts: Column | str | int) -> Column:
+    """A number from 0 to below 2^32 that ``parts`` alone decide: the first eight hexadecimal digits of their MD5."""
+    text = F.concat_ws("|", *(F.lit(x) if isinstance(x, int) else F.col(x).cast("string") if isinstance(x, str) else x.cast("string") for x in parts))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
 def bootstrap_sharpe(returns: DataFrame, column: str = "ls_return", replicates: int = 2000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """One row ``sharpe_ci_lower, sharpe_ci_upper, n_boot, n_dropped, significant``. The series, one number a date, is broadcast (a longer one than
-    ``LONGEST_SERIES`` is refused); replicates are spread over tasks, each with a generator of its own from ``(seed, replicate)``. Returns that are
-    not finite have no place in a mean; they are dropped and counted."""
+    """One row ``sharpe_ci_lower, sharpe_ci_upper, n_boot, n_dropped, significant``. Draw k of a replicate is the row whose number a digest of
+    ``(seed, replicate, k)`` names, so draws need no generator and no order; they are joined to the numbered series, one row a date, and
+    summed by replicate. Returns that are not finite have no place in a mean; they are dropped and counted. Without two rows every Sharpe ratio is 0."""
     spark = returns.sparkSession
     value = F.col(column).cast("double")
-    rows = returns.where(value.isNotNull()).orderBy("date").select(F.when(ieee.finite(value), value)).limit(LONGEST_SERIES + 1).collect()
-    if len(rows) > LONGEST_SERIES:
-        raise PanelError(f"a series of more than {LONGEST_SERIES} dates")
-    finite = np.array([r[0] for r in rows if r[0] is not None])
-    shared = spark.sparkContext.broadcast(finite)
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        series = shared.value
-        for batch in batches:
-            out = []
-            for k in batch["id"]:
-                sample = np.random.default_rng([seed, int(k)]).choice(series, len(series)) if len(series) else series
-                deviation = sample.std(ddof=1) if len(sample) > 1 else 0.0
-                out.append(float(sample.mean() / deviation * math.sqrt(DAYS)) if deviation > 0 else 0.0)
-            yield pd.DataFrame({"sharpe": out})
-
-    drawn = spark.range(replicates).mapInPandas(draw, "sharpe double")
-    bounds = drawn.agg(F.percentile("sharpe", F.lit(alpha / 2)).alias("sharpe_ci_lower"), F.percentile("sharpe", F.lit(1 - alpha / 2)).alias("sharpe_ci_upper"), F.count(F.lit(1)).alias("n_boot"))
-    return bounds.withColumns({"n_dropped": F.lit(len(rows) - len(finite)), "significant": F.col("sharpe_ci_lower") > 0})
+    series = returns.where(value.isNotNull()).select("date", value.alias("r"))
+    finite = series.where(ieee.finite(F.col("r"))).select("r", (F.row_number().over(Window.orderBy("date", "r")) - 1).cast("long").alias("i"))
+    counts = series.agg(F.count_if(ieee.finite(F.col("r"))).alias("n"), F.count_if(~ieee.finite(F.col("r"))).alias("n_dropped"))
+    every = spark.range(replicates).select(F.col("id").alias("replicate")).crossJoin(F.broadcast(counts))
+    draws = every.where("n > 0").select("replicate", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).select("replicate", (drawn(seed, "replicate", "k") % F.col("n")).alias("i"))
+    deviation = F.stddev_samp("r")
+    drawn_sharpe = draws.join(finite, "i").groupBy("replicate").agg(F.when(deviation > 0, F.avg("r") / F.when(deviation > 0, deviation) * math.sqrt(DAYS)).otherwise(0.0).alias("sharpe"))
+    each = every.join(drawn_sharpe, "replicate", "left").select(F.coalesce("sharpe", F.lit(0.0)).alias("sharpe"), "n_dropped")
+    bounds = each.agg(
+        F.percentile("sharpe", F.lit(alpha / 2)).alias("sharpe_ci_lower"), F.percentile("sharpe", F.lit(1 - alpha / 2)).alias("sharpe_ci_upper"), F.count(F.lit(1)).alias("n_boot"),
+        F.max("n_dropped").alias("n_dropped"),
+    )
+    return bounds.withColumn("significant", F.col("sharpe_ci_lower") > 0)
 
 
 def walk_forward(factor: DataFrame, returns: DataFrame, splits: int = 5, rolling: bool = False) -> DataFrame:
@@ -233,43 +232,57 @@ def regime_stress(df: DataFrame, returns: str = "forward_return", reference: str
     return out.select("regime", "n_rows", "ic", worst.alias("worst"), one_sign.alias("consistent"))
 
 
-#: Rows of a hash range beyond which a replicate's rows are numbered in more ranges.
-RANGE_ROWS = 100_000
+def grid(n: int) -> tuple[int, int]:
+    """Sides (a, b) of the grid that holds 0 to n - 1 with the fewest spare cells, neither side much longer than the other."""
+    root = math.isqrt(n)
+    a = min(range(max(2, root // 2), 2 * root + 3), key=lambda a: (a * -(-n // a) - n, a))
+    return a, -(-n // a)
+
+
+def permuted(df: DataFrame, place: str, n: int, *key: str | int, rounds: int = 2) -> DataFrame:
+    """``df`` with ``place`` moved by a bijection of 0 to n - 1 that ``key`` alone decides, so that nothing is sorted and any task can compute its own rows.
+
+    Rows and columns of a grid are shifted in turns, each by a digest of the other and the key, which can be undone, so no two places
+    meet; a place that comes out in a spare cell is moved on until it is in range (there are few such cells, so few steps suffice).
+    """
+    a, b = grid(n)
 
+    def moved(df: DataFrame) -> DataFrame:
+        df = df.withColumns({"__u": F.floor(F.col("__x") / b).cast("long"), "__v": F.col("__x") % b})
+        for k in range(rounds):
+            df = df.withColumn("__u", (F.col("__u") + drawn(*key, 2 * k, "__v")) % a)
+            df = df.withColumn("__v", (F.col("__v") + drawn(*key, 2 * k + 1, "__u")) % b)
+        return df.withColumn("__y", F.col("__u") * b + F.col("__v"))
 
-def _numbered(rows: DataFrame, key: Column, ranges: int, *by: str) -> DataFrame:
-    """``rows`` with ``place`` from 1 within ``by``, in some order fixed by the hash ``key``: a row's number is its number in its hash
-    range plus the rows of the ranges before, so no task holds all rows of a replicate."""
-    hashed = rows.withColumn("__key", key).withColumn("__range", F.pmod("__key", F.lit(ranges)))
-    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = hashed.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n"))
-    sizes = sizes.select(*by, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy(*by, "__range").orderBy("__key", "row")
-    numbered = hashed.withColumn("__k", F.row_number().over(within)).join(sizes, [*by, "__range"])
-    return numbered.withColumn("place", F.col("__before") + F.col("__k")).drop("__key", "__range", "__k", "__before")
+    df = moved(df.withColumn("__x", F.col(place).cast("long"))).withColumn(place, F.col("__y"))
+    for _ in range(a * b - n):
+        df = moved(df.withColumn("__x", F.col(place))).withColumn(place, F.when(F.col(place) < n, F.col(place)).otherwise(F.col("__y")))
+    return df.drop("__x", "__y", "__u", "__v")
 
 
 def placebo(factor: DataFrame, returns: DataFrame, shuffles: int = 100, seed: int = 42) -> DataFrame:
     """One row ``true_ic, placebo_mean, placebo_std, p_value, n_shuffles, significant``: the mean IC against that of shuffled factors.
 
-    A replicate pairs the rows, numbered once by one hash of their keys, with the values, numbered by another of its own: a permutation over all
+    Rows are numbered once, by date and asset; a replicate gives each row the value of the row that a keyed bijection names, a permutation over all
     rows. Ranks of the returns within dates are the same in every replicate, so they are formed once too. Replicates are groups of one job.
     """
     rows = factor.join(returns, ["date", "asset"]).where("factor_value IS NOT NULL AND forward_return IS NOT NULL")
-    rows = rows.select("date", F.xxhash64(F.col("date").cast("string"), F.col("asset").cast("string")).alias("row"), "factor_value", frames.average_rank(F.col("forward_return"), "date").alias("y"))
+    day = Window.partitionBy("date")
+    rows = rows.select("date", "factor_value", frames.average_rank(F.col("forward_return"), "date").alias("y"), F.row_number().over(day.orderBy("asset", "factor_value", "forward_return")).alias("k"))
     rows = staged(rows, "placebo")
-    ranges = max(8, -(-rows.count() // RANGE_ROWS))
+    days = rows.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+    before = days.select("date", F.coalesce(F.sum("n").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered = rows.join(F.broadcast(before), "date").select("date", "y", "factor_value", (F.col("before") + F.col("k") - 1).alias("place"))
 
     def mean_ic(paired: DataFrame, *by: str) -> DataFrame:
         ranked = paired.withColumn("x", frames.average_rank(F.col("factor_value"), *by, "date"))
         ic = ranked.groupBy(*by, "date").agg(ieee.pearson(F.col("x"), F.col("y")).alias("ic")).where(ieee.finite(F.col("ic")))
         return ic.groupBy(*by).agg(F.avg("ic").alias("ic"))
 
-    true_ic = mean_ic(rows).select(F.coalesce("ic", F.lit(0.0)).alias("true_ic"))
-    left = _numbered(rows.drop("factor_value"), F.xxhash64(F.lit(seed), "row"), ranges).select("place", "date", "y")
-    copies = rows.select("row", "factor_value", F.explode(F.sequence(F.lit(1), F.lit(shuffles))).alias("rep"))
-    right = _numbered(copies, F.xxhash64(F.lit(seed), "rep", "row"), ranges, "rep").select("rep", "place", "factor_value")
-    chance = mean_ic(left.join(right, "place"), "rep")
+    true_ic = mean_ic(rows).agg(F.coalesce(F.max("ic"), F.lit(0.0)).alias("true_ic"))
+    values = numbered.select("place", "factor_value")
+    copies = numbered.select("date", "y", "place", F.explode(F.sequence(F.lit(1), F.lit(shuffles))).alias("rep"))
+    chance = mean_ic(permuted(copies, "place", rows.count(), seed, "rep").join(values, "place"), "rep")
     found = chance.agg(F.coalesce(F.avg("ic"), F.lit(0.0)).alias("placebo_mean"), F.coalesce(F.stddev_pop("ic"), F.lit(0.0)).alias("placebo_std")).crossJoin(F.broadcast(true_ic))
     z = F.abs(F.col("true_ic") - F.col("placebo_mean")) / F.when(F.col("placebo_std") > 0, F.col("placebo_std"))
     p = F.when(F.col("placebo_std") > 0, 2 * (1 - normal_cdf_column(z))).otherwise(1.0)

@@ -8,7 +8,7 @@ from ..operators import backtest, legacy, metrics, robust
 from ..plans.compiler import compute
 from ..sources.bars import events_panel, supplier_panel
 from . import query
-from .sql import EVENTS_PANEL, GROUPED, LEGS, MOMENTUM, SUPPLIER_PANEL, spearman
+from .sql import EVENTS_PANEL, GROUPED, LEGS, MOMENTUM, SUPPLIER_PANEL, drawn, normal_cdf, spearman
 
 FORMULA = "close / Ref(close, 5) - 1"
 BASE = f"WITH {EVENTS_PANEL}, {MOMENTUM}"
@@ -189,9 +189,16 @@ def overfitting(spark, sf_dir):
     return rounded(robust.overfitting_probability(net_returns(spark, sf_dir)), "pbo")
 
 
-@query("robust_bootstrap")
+@query(
+    "robust_bootstrap",
+    f"""{BASE}, {GROUPED}, {LEGS}, finite AS (SELECT ls_return AS r, row_number() OVER (ORDER BY date, ls_return) - 1 AS i, count(*) OVER () AS n FROM net WHERE isfinite(ls_return)),
+draws AS (SELECT replicate, {drawn("42", "replicate", "k")} % n AS i FROM range(2000) a(replicate) CROSS JOIN (SELECT i AS k, n FROM finite)),
+each AS (SELECT replicate, coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 0) AS sharpe FROM draws JOIN finite USING (i) GROUP BY replicate)
+SELECT round(quantile_cont(sharpe, 0.025), 6) + 0.0 AS sharpe_ci_lower, round(quantile_cont(sharpe, 0.975), 6) + 0.0 AS sharpe_ci_upper, count(*) AS n_boot,
+       (SELECT count(*) FROM net WHERE NOT isfinite(ls_return)) AS n_dropped, quantile_cont(sharpe, 0.025) > 0 AS significant FROM each""",
+)
 def bootstrap(spark, sf_dir):
-    return robust.bootstrap_sharpe(net_returns(spark, sf_dir), replicates=2000)
+    return rounded(robust.bootstrap_sharpe(net_returns(spark, sf_dir), replicates=2000), "sharpe_ci_lower", "sharpe_ci_upper")
 
 
 @query(
@@ -222,9 +229,30 @@ def regimes(spark, sf_dir):
     return rounded(robust.regime_stress(factor.join(returns, ["date", "asset"])), "ic")
 
 
-@query("robust_placebo")
+#: The place of a row in a replicate: rows and columns of the grid shifted in turns.
+MOVED = f"""SELECT rep, place, u2 * b + (v1 + {drawn("42", "rep", "3", "u2")}) % b AS x, step + 1 AS step FROM (
+  SELECT *, (u1 + {drawn("42", "rep", "2", "v1")}) % a AS u2 FROM (
+    SELECT *, (v0 + {drawn("42", "rep", "1", "u1")}) % b AS v1 FROM (
+      SELECT *, (u0 + {drawn("42", "rep", "0", "v0")}) % a AS u1 FROM (
+        SELECT w.*, n, a, b, x // b AS u0, x % b AS v0 FROM walk w CROSS JOIN grid WHERE step = 0 OR x >= n))))"""
+
+
+@query(
+    "robust_placebo",
+    f"""{BASE.replace("WITH", "WITH RECURSIVE", 1)}, {DAILY_IC}, numbered AS (SELECT *, row_number() OVER (ORDER BY date, asset) - 1 AS place FROM joined),
+cells AS (SELECT count(*) AS n, floor(sqrt(count(*)))::BIGINT AS root FROM joined),
+grid AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT n, unnest(range(greatest(2, root // 2), 2 * root + 3)) AS a FROM cells) ORDER BY a * ((n + a - 1) // a), a LIMIT 1),
+walk AS (SELECT rep, place, place AS x, 0 AS step FROM numbered CROSS JOIN range(1, 21) r(rep) UNION ALL {MOVED}),
+paired AS (SELECT w.rep, t.date, v.factor_value, t.forward_return FROM walk w JOIN numbered t ON t.place = w.place JOIN numbered v ON v.place = w.x WHERE w.step > 0 AND w.x < (SELECT n FROM grid)),
+shuffled AS ({spearman('paired', 'factor_value', 'forward_return', 'rep', 'date')}),
+chance AS (SELECT avg(ic) AS placebo_mean, stddev_pop(ic) AS placebo_std FROM (SELECT rep, avg(ic) AS ic FROM shuffled GROUP BY rep)),
+found AS (SELECT *, (SELECT avg(ic) FROM daily) AS true_ic FROM chance),
+scored AS (SELECT *, 2 * (1 - {normal_cdf('abs(true_ic - placebo_mean) / placebo_std')}) AS p_value FROM found)
+SELECT round(true_ic, 6) + 0.0 AS true_ic, round(placebo_mean, 6) + 0.0 AS placebo_mean, round(placebo_std, 6) + 0.0 AS placebo_std, round(p_value, 4) + 0.0 AS p_value, 20::INTEGER AS n_shuffles, p_value < 0.05 AS significant FROM scored""",
+)
 def placebo(spark, sf_dir):
-    return robust.placebo(*momentum(spark, sf_dir), shuffles=20)
+    found = robust.placebo(*momentum(spark, sf_dir), shuffles=20)
+    return rounded(rounded(found, "true_ic", "placebo_mean", "placebo_std"), "p_value", digits=4)
 
 
 # ---- single series --------------------------------------------------------------------------------------------------

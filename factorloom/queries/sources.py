@@ -8,6 +8,7 @@ from ..operators import robust, word_tables
 from ..plans import checks, normalize
 from ..sources import reports, universe
 from . import query
+from .sql import normal_cdf
 
 #: Members of three indexes at four dates, from the suppliers.
 COMPONENTS = """components AS (
@@ -167,22 +168,11 @@ def formula_checked(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), checks.checked(formula).alias("r")).select("id", "r.*")
 
 
-ERFC = (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223)
-
-
-def _cdf_sql(z: str) -> str:
-    """The normal distribution function by the same public approximation."""
-    poly = "0::DOUBLE"
-    for c in ERFC:
-        poly = f"({poly} * t + {c}::DOUBLE)"
-    return f"(SELECT CASE WHEN z > 0 THEN 1 - t * exp(-z * z / 2 + {poly}) / 2 ELSE t * exp(-z * z / 2 + {poly}) / 2 END FROM (SELECT z, 1 / (1 + abs(z) / sqrt(2.0::DOUBLE) / 2) AS t FROM (SELECT {z} AS z)))"
-
-
 @query(
     "robust_deflated",
     f"""WITH s AS (SELECT c_custkey AS id, (c_custkey % 300 - 50) / 100.0::DOUBLE AS sharpe, 1 + c_custkey % 20 AS trials, 20 + c_custkey % 200 AS n FROM customer),
 z AS (SELECT *, sharpe / sqrt((1 + sharpe * sharpe / 2 + sharpe * sharpe / 2) / (n - 1)) AS psr_z FROM s),
-d AS (SELECT id, sharpe, {_cdf_sql('psr_z')} AS psr, {_cdf_sql('psr_z - CASE WHEN trials > 1 THEN sqrt(2 * ln(trials)) ELSE 0 END')} AS dsr FROM z)
+d AS (SELECT id, sharpe, {normal_cdf('psr_z')} AS psr, {normal_cdf('psr_z - CASE WHEN trials > 1 THEN sqrt(2 * ln(trials)) ELSE 0 END')} AS dsr FROM z)
 SELECT id, round(dsr, 6) + 0.0 AS dsr, round(psr, 6) + 0.0 AS psr, round(1 - dsr, 6) + 0.0 AS p_value, dsr < 0.05 AS deflated,
        CASE WHEN sharpe > 0 THEN ceil(0.04::DOUBLE * pow({robust.normal_quantile(0.975)!r}::DOUBLE, 2) / (sharpe * sharpe / 252))::BIGINT ELSE 1000000000 END AS min_obs FROM d""",
 )

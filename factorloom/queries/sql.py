@@ -50,3 +50,19 @@ def spearman(table: str, x: str, y: str, *by: str) -> str:
     return f"""SELECT * FROM (
   SELECT {keys}, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) END AS ic
   FROM (SELECT {keys}, {ranked(x)} AS rx, {ranked(y)} AS ry FROM {table} WHERE {x} IS NOT NULL AND {y} IS NOT NULL) GROUP BY {keys}) WHERE ic IS NOT NULL"""
+
+
+ERFC = (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223)
+
+
+def normal_cdf(z: str) -> str:
+    """The normal distribution function by the same public approximation."""
+    poly = "0::DOUBLE"
+    for c in ERFC:
+        poly = f"({poly} * t + {c}::DOUBLE)"
+    return f"(SELECT CASE WHEN z > 0 THEN 1 - t * exp(-z * z / 2 + {poly}) / 2 ELSE t * exp(-z * z / 2 + {poly}) / 2 END FROM (SELECT z, 1 / (1 + abs(z) / sqrt(2.0::DOUBLE) / 2) AS t FROM (SELECT {z} AS z)))"
+
+
+def drawn(*parts: str) -> str:
+    """A number from 0 to below 2^32 that the parts alone decide."""
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT"

@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from factorloom.errors import PanelError
 from factorloom.operators import backtest, catalog, documents, guards, legacy, metrics, robust
 from factorloom.sources import bars, panel
-from factorloom.errors import PanelError
 
 DAY = dt.date(2024, 1, 1)
 
@@ -200,11 +200,36 @@ def test_text_columns(spark):
     assert "HAITONG" not in clean and "证券研究报告" not in clean and clean.endswith("body")
 
 
-def test_placebo_is_a_permutation(spark):
-    f, returns = factor(spark, dates=7, assets=9)
-    rows = f.select(F.xxhash64("date", "asset").alias("row"), F.explode(F.array(F.lit(1), F.lit(2))).alias("rep"))
-    placed = robust._numbered(rows, F.xxhash64("row", "rep"), 5, "rep").collect()
-    assert sorted((r["rep"], r["place"]) for r in placed) == [(k, n) for k in (1, 2) for n in range(1, 64)]
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 63, 97, 1000])
+def test_placebo_is_a_permutation(spark, n):
+    """Also where the grid has spare cells; replicates and seeds differ."""
+    rows = spark.range(n).withColumn("rep", F.explode(F.array(F.lit(1), F.lit(2))))
+    placed = {s: {k: [] for k in (1, 2)} for s in (7, 8)}
+    for seed, found in placed.items():
+        for r in robust.permuted(rows.withColumn("place", F.col("id")), "place", n, seed, "rep").orderBy("id").collect():
+            found[r["rep"]].append(r["place"])
+    orders = [order for found in placed.values() for order in found.values()]
+    assert all(sorted(order) == list(range(n)) for order in orders)
+    assert n < 63 or len({tuple(order) for order in orders}) == 4
+
+
+def test_grid_has_few_spare_cells():
+    for n in (1, 2, 3, 4, 97, 1009, 39_989, 1_000_003, 10_000_000_019):
+        a, b = robust.grid(n)
+        assert n <= a * b <= n + max(3, 4 * n**0.25) and (n < 10 or 0.1 < a / b < 10)
+
+
+def test_bootstrap_against_numpy(spark):
+    x = np.random.default_rng(9).normal(0.05, 1, size=120)
+    df = frame(spark, [(DAY + dt.timedelta(days=i), float(v)) for i, v in enumerate(x)], "date date, ls_return double")
+    r = np.random.default_rng(1)
+    drawn = [_sharpe(r.choice(x, len(x))) for _ in range(4000)]
+    got = robust.bootstrap_sharpe(df, replicates=4000).first()
+    assert got["n_boot"] == 4000 and got["sharpe_ci_lower"] == pytest.approx(np.quantile(drawn, 0.025), abs=0.4) and got["sharpe_ci_upper"] == pytest.approx(np.quantile(drawn, 0.975), abs=0.4)
+    for few in (df.limit(0), df.limit(1)):
+        assert tuple(robust.bootstrap_sharpe(few, replicates=50).first()) == (0.0, 0.0, 50, 0, False)
+    with pytest.raises(PanelError):
+        robust.overfitting_probability(df, splits=20)
 
 
 def test_placebo_against_numpy(spark):
