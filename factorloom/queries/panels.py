@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import guards
+from ..session import scratch_path
 from ..sources import panel as source
 from ..sources.bars import events_panel, supplier_panel
 from . import query
@@ -92,3 +93,23 @@ SELECT count(*) FILTER (move > 0.3) / count(move)::DOUBLE <= 0.01 AS adjusted, r
 )
 def adjustment_check(spark, sf_dir):
     return guards.adjustment_check(events_panel(spark, sf_dir)).withColumn("jump_share", F.round("jump_share", 6))
+
+
+@query(
+    "panel_cache",
+    f"""WITH {EVENTS_PANEL}, days AS (SELECT DISTINCT date FROM panel WHERE asset IN ('1', '2', '3', '5', '8') AND date <= DATE '2024-01-20')
+SELECT date, asset, close, (SELECT count(*) FROM days WHERE date > DATE '2024-01-12') AS days_added FROM panel WHERE asset IN ('1', '2', '3', '5', '8') AND date BETWEEN DATE '2024-01-08' AND DATE '2024-01-20'""",
+)
+def panel_cache(spark, sf_dir):
+    """Five assets to the twelfth, then to the twentieth: the second read adds the days between alone."""
+    folder, added = scratch_path(spark, "prices"), []
+
+    def read(codes, first, last):
+        found = source.in_universe(events_panel(spark, sf_dir), codes).where(F.col("date").between(first.isoformat(), last.isoformat()) if first.year > 1 else F.col("date") <= last.isoformat())
+        added.append(found.select("date").distinct())
+        return found
+
+    assets = ["8", "1", "2", "3", "5"]
+    source.cached(spark, folder, assets, read, end="2024-01-12")
+    found = source.cached(spark, folder, assets, read, "2024-01-08", "2024-01-20")
+    return found.crossJoin(F.broadcast(added[-1].agg(F.count(F.lit(1)).alias("days_added")))).select("date", "asset", "close", "days_added")

@@ -5,7 +5,10 @@ A panel has one row for each ``(date, asset)``, with ``open, high, low, close, v
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
+import re
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -110,18 +113,59 @@ def load_first(spark: SparkSession, paths: Iterable[str], **options) -> DataFram
     raise PanelError(f"no price file among {list(paths)}")
 
 
-def cached(spark: SparkSession, folder: str, assets: Iterable[str], read: Callable[[list[str]], DataFrame], start: str | None = None, end: str | None = None) -> DataFrame:
-    """Prices of a set of assets from a folder of earlier reads, keyed by the digest of the set: the whole history is read once and written; the date
-    range is cut from what is there. A write that died leaves no ``_SUCCESS`` and is made anew."""
+FIRST_DAY, LAST_DAY = dt.date(1, 1, 1), dt.date(9999, 12, 31)
+_PIECE = re.compile(r"from-(\d{4}-\d{2}-\d{2})-to-(\d{4}-\d{2}-\d{2})")
+
+
+def missing_days(covered: Iterable[tuple[dt.date, dt.date]], start: dt.date, end: dt.date) -> list[tuple[dt.date, dt.date]]:
+    """The parts of ``start`` to ``end`` that no range of ``covered`` holds (both ends in), in order."""
+    out, next_day = [], start
+    for low, high in sorted(covered):
+        if low > end or next_day > end:
+            break
+        if low > next_day:
+            out.append((next_day, low - dt.timedelta(days=1)))
+        if high >= next_day:
+            next_day = high + dt.timedelta(days=1) if high < LAST_DAY else LAST_DAY
+    if next_day <= end:
+        out.append((next_day, end))
+    return out
+
+
+def _within(first: dt.date, last: dt.date) -> Column:
+    return F.col("date").between(*(F.to_date(F.lit(day.isoformat())) for day in (first, last)))
+
+
+def cached(spark: SparkSession, folder: str, assets: Iterable[str], read: Callable[[list[str], dt.date, dt.date], DataFrame], start: str | None = None, end: str | None = None) -> DataFrame:
+    """Prices of a set of assets from a folder of earlier reads. Each piece there is named by the range of days that it covers; only days that no piece covers
+    are read (``read(codes, first, last)``, both days in) and added, so an answer is never short of what was asked.
+
+    Without ``end`` a read covers no day beyond the last that it found, so that later days are asked for again. A write that died leaves a
+    pending folder, which is no piece; one job at a time may write for a set.
+    """
     codes = sorted(set(assets))
-    path = f"{folder.rstrip('/')}/{hashlib.sha256(','.join(codes).encode()).hexdigest()[:24]}.parquet"
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        canonical(read(codes)).write.mode("overwrite").parquet(path)
-    df = spark.read.parquet(path)
-    if start is not None:
-        df = df.where(F.col("date") >= F.to_date(F.lit(start)))
-    return df if end is None else df.where(F.col("date") <= F.to_date(F.lit(end)))
+    home = f"{folder.rstrip('/')}/{hashlib.sha256(','.join(codes).encode()).hexdigest()[:24]}"
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop_path(home).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def pieces() -> dict[str, tuple[dt.date, dt.date]]:
+        names = [x.getPath().getName() for x in fs.listStatus(hadoop_path(home))] if fs.exists(hadoop_path(home)) else []
+        return {n: tuple(map(dt.date.fromisoformat, m.groups())) for n in names if (m := _PIECE.fullmatch(n))}
+
+    first, last = (dt.date.fromisoformat(start) if start else FIRST_DAY), (dt.date.fromisoformat(end) if end else LAST_DAY)
+    for low, high in missing_days(pieces().values(), first, last):
+        pending = f"{home}/pending-{uuid.uuid4().hex[:12]}"
+        found = canonical(read(codes, low, high))
+        found.where(_within(low, high)).write.parquet(pending)
+        if high == LAST_DAY:
+            high = spark.read.parquet(pending).agg(F.max("date")).first()[0] or (low if not pieces() else None)
+        if high is None:
+            fs.delete(hadoop_path(pending), True)  # nothing new after the last piece
+        else:
+            fs.rename(hadoop_path(pending), hadoop_path(f"{home}/from-{low.isoformat()}-to-{high.isoformat()}"))
+    paths = [f"{home}/{name}" for name, (low, high) in sorted(pieces().items()) if low <= last and high >= first]
+    df = spark.read.option("mergeSchema", True).parquet(*(paths or [f"{home}/{min(pieces())}"]))
+    return df.where(_within(first, last))
 
 
 def repeated_keys(df: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ A sink is a table of files ``path, text``, made by Spark however many there are,
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import PanelError
+from ..session import staged
+
 #: Labels of a page and of the index.
 LABELS = (("风格", "style"), ("版本", "version"), ("状态", "status"), ("Universe", "universe"), ("调仓频率", "rebalance_frequency"))
 INDEX_HEAD = "| 因子 | 风格 | 版本 | 状态 | 去重哈希 | 创建时间 |\n|------|------|------|------|----------|----------|"
@@ -40,11 +42,16 @@ def result_files(results: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def wiki_pages(entries: DataFrame) -> DataFrame:
-    """``path, text``: a Markdown page of each catalogue entry."""
+    """``path, text``: a Markdown page of each catalogue entry; what is null leaves its line empty."""
+
+    def own(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+    fields = F.array_join(F.transform("input_fields", lambda f: F.concat(F.lit("- "), f)), "\n")
     lines = [
-        F.concat(F.lit("# "), "name_cn", F.lit(" ("), "name", F.lit(")")), F.lit(""), *[F.concat(F.lit(f"- **{label}**: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for label, c in LABELS],
-        F.concat(F.lit("- **去重哈希**: `"), "dedup_hash", F.lit("`")), F.concat(F.lit("- **创建时间**: "), F.date_format("created_at", "yyyy-MM-dd HH:mm")), F.lit(""),
-        F.lit("## 公式\n\n```"), F.col("formula"), F.lit("```\n\n## 输入字段\n"), F.array_join(F.transform("input_fields", lambda f: F.concat(F.lit("- "), f)), "\n"),
+        F.concat(F.lit("# "), own("name_cn"), F.lit(" ("), own("name"), F.lit(")")), F.lit(""), *[F.concat(F.lit(f"- **{label}**: "), own(c)) for label, c in LABELS],
+        F.concat(F.lit("- **去重哈希**: `"), own("dedup_hash"), F.lit("`")), F.concat(F.lit("- **创建时间**: "), F.coalesce(F.date_format("created_at", "yyyy-MM-dd HH:mm"), F.lit(""))), F.lit(""),
+        F.lit("## 公式\n\n```"), own("formula"), F.lit("```\n\n## 输入字段\n"), F.coalesce(fields, F.lit("")),
         F.lit("\n## 标签\n"), F.when(F.size("tags") > 0, F.array_join("tags", ", ")).otherwise("（无）"), F.lit("\n[← 返回索引](../INDEX.md)\n"),
     ]
     return entries.select(F.concat(F.lit("factors/"), file_name(F.col("name")), F.lit(".md")).alias("path"), F.concat_ws("\n", *lines).alias("text"))
@@ -57,8 +64,13 @@ def index_lines(entries: DataFrame) -> DataFrame:
         F.date_format("created_at", "yyyy-MM-dd HH:mm"),
     ]
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c, F.lit("")) for c in cells]), F.lit(" |"))
-    place = F.row_number().over(Window.orderBy(F.desc("created_at"), "dedup_hash"))  # one short line an entry
-    return entries.select(place.alias("place"), line.alias("line"))
+    # numbered within a day, after all days that are later; the window over days sees one row a day
+    rows = entries.select(F.to_date("created_at").alias("day"), "created_at", "dedup_hash", line.alias("line"))
+    latest_first = Window.orderBy(F.desc_nulls_last("day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy("day").agg(F.count(F.lit(1)).alias("n")).select(F.col("day").alias("of_day"), F.coalesce(F.sum("n").over(latest_first), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("created_at"), "dedup_hash", "line"))
+    placed = rows.withColumn("k", within).join(F.broadcast(days), F.col("day").eqNullSafe(F.col("of_day")))
+    return placed.select((F.col("before") + F.col("k")).cast("int").alias("place"), "line")
 
 
 def index_file(entries: DataFrame) -> DataFrame:
@@ -85,23 +97,45 @@ def overview_file(stats: DataFrame, title: str = "因子库仪表盘") -> DataFr
     return rows.select(F.lit("dashboard.html").alias("path"), text.alias("text"))
 
 
+#: Files beyond which the driver, which names them one by one, refuses; ``write_table`` has no bound.
+MOST_FILES = 20_000
+
+
+def distinct_paths(files: DataFrame) -> DataFrame:
+    """``files`` with each path once: of rows that share one, the first by their text's digest keeps it and the others are numbered before the ending (``a-2.md``)."""
+    k = F.row_number().over(Window.partitionBy("path").orderBy(F.sha2("text", 256)))
+    ending = F.regexp_extract("path", r"(\.[^./]*)?$", 1)
+    numbered = F.concat(F.expr("substring(path, 1, length(path) - length(ending))"), F.lit("-"), F.col("k"), F.col("ending"))
+    return files.withColumns({"k": k, "ending": ending}).withColumn("path", F.when(F.col("k") > 1, numbered).otherwise(F.col("path"))).drop("k", "ending")
+
+
+def write_table(files: DataFrame, folder: str) -> None:
+    """All files as one table ``path, text``, written by the executors: the sink for any number of them."""
+    distinct_paths(files).select("path", "text").write.mode("overwrite").parquet(folder)
+
+
 def write_files(files: DataFrame, folder: str) -> int:
-    """Write each row's text to its path under ``folder``, through Spark's own file system, so that any store will do; their number."""
+    """Write each row's text to its path under ``folder``, through Spark's own file system, so that any store will do; their number.
+
+    Rows that share a path are numbered first; nothing is written if a number's path is taken too, or if there are more than ``MOST_FILES``.
+    """
     spark = files.sparkSession
-    staged = f"{folder.rstrip('/')}/_rows"
+    pending = f"{folder.rstrip('/')}/_rows"
     # as text rows partitioned by path: the executors write; then each part takes its file's name
-    numbered = files.select(F.sha2("path", 256).alias("key"), "path", "text")
-    numbered.select("key", F.col("text").alias("value")).repartition("key").write.mode("overwrite").partitionBy("key").option("lineSep", "\n").text(staged)
+    numbered = staged(distinct_paths(files).select(F.sha2("path", 256).alias("key"), "path", "text"), "report-files")
+    n, different = numbered.agg(F.count(F.lit(1)), F.countDistinct("path")).first()
+    if n > MOST_FILES or different < n:
+        raise PanelError(f"{n} files, {different} of them with a path of their own")
+    numbered.select("key", F.col("text").alias("value")).repartition("key").write.mode("overwrite").partitionBy("key").option("lineSep", "\n").text(pending)
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(folder)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    n = 0
+    parts = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{pending}/key=*/part-*"))
+    part_of = {p.getPath().getParent().getName().removeprefix("key="): p.getPath() for p in parts or []}
     for r in numbered.select("key", "path").toLocalIterator():
-        (part,) = [x.getPath() for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{staged}/key={r['key']}")) if x.getPath().getName().startswith("part-")]
         target = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{r['path']}")
         fs.mkdirs(target.getParent())
         fs.delete(target, False)
-        fs.rename(part, target)
-        n += 1
-    fs.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
+        fs.rename(part_of[r["key"]], target)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(pending), True)
     return n

@@ -308,16 +308,48 @@ def test_universes_that_cannot_be_resolved(spark):
     assert universe.field_names(["市盈率", "x"]) == ["pe_ttm", "x"]
 
 
-def test_prices_are_read_once(spark, tmp_path):
+def test_price_cache_covers_what_is_asked(spark, tmp_path):
     reads = []
 
-    def read(codes):
-        reads.append(codes)
-        return frame(spark, [(DAY + dt.timedelta(days=d), c, 1.0) for d in range(5) for c in codes], "trade_date date, ts_code string, close double")
+    def read(codes, first, last):
+        reads.append((codes, first.day if first.year > 1 else None, last.day if last.year < 9999 else None))
+        rows = [(DAY + dt.timedelta(days=d), c, float(d)) for d in range(9) for c in codes]
+        return frame(spark, [r for r in rows if first <= r[0] <= last], "trade_date date, ts_code string, close double")
 
-    first = panel.cached(spark, str(tmp_path), ["b", "a", "a"], read, "2024-01-02", "2024-01-03")
-    assert first.count() == 4 and panel.cached(spark, str(tmp_path), ["a", "b"], read).count() == 10 and reads == [["a", "b"]]
-    assert panel.cached(spark, str(tmp_path), ["a"], read).count() == 5 and len(reads) == 2
+    def ask(assets, *days):
+        return panel.cached(spark, str(tmp_path), assets, read, *(d and f"2024-01-{d:02}" for d in days))
+
+    assert ask(["b", "a", "a"], 2, 3).count() == 4 and ask(["a", "b"], 1, 9).count() == 18
+    assert reads == [(["a", "b"], 2, 3), (["a", "b"], 1, 1), (["a", "b"], 4, 9)]
+    assert ask(["a", "b"], 3, 5).count() == 6 and len(reads) == 3
+    assert ask(["a"]).count() == 9 and ask(["a"], 8).count() == 2 and reads[3:] == [(["a"], None, None), (["a"], 10, None)]  # later days may have come since
+    assert ask(["c"], 20, 25).count() == 0 and ask(["c"], 20, 25).count() == 0 and len(reads) == 6
+    (tmp_path / "x").mkdir()
+    assert ask(["a", "b"], 1, 9).select("date", "asset").distinct().count() == 18
+
+
+def test_missing_days():
+    d = [DAY + dt.timedelta(days=k) for k in range(10)]
+    assert panel.missing_days([], d[0], d[9]) == [(d[0], d[9])] and panel.missing_days([(d[0], d[9])], d[2], d[5]) == []
+    assert panel.missing_days([(d[6], d[7]), (d[2], d[3]), (d[3], d[4])], d[1], d[9]) == [(d[1], d[1]), (d[5], d[5]), (d[8], d[9])]
+    assert panel.missing_days([(panel.FIRST_DAY, d[3])], panel.FIRST_DAY, panel.LAST_DAY) == [(d[4], panel.LAST_DAY)]
+
+
+def test_report_files_that_share_a_path(spark, tmp_path):
+    from factorloom.sources import reports
+
+    files = frame(spark, [("f/a.md", "1"), ("f/a.md", "2"), ("f/a.md", "2"), ("b", "x"), ("b", "y"), ("c.d/e", "z")], "path string, text string")
+    assert reports.write_files(files, str(tmp_path / "out")) == 6
+    assert sorted(p.relative_to(tmp_path / "out").as_posix() for p in (tmp_path / "out").rglob("*") if p.is_file() and not p.name.startswith((".", "_"))) == ["b", "b-2", "c.d/e", "f/a-2.md", "f/a-3.md", "f/a.md"]
+    assert sorted((tmp_path / "out/f" / n).read_text().strip() for n in ("a.md", "a-2.md", "a-3.md")) == ["1", "2", "2"]
+    with pytest.raises(PanelError):
+        reports.write_files(files.unionByName(frame(spark, [("b-2", "taken")], "path string, text string")), str(tmp_path / "no"))
+    reports.write_table(files, str(tmp_path / "table"))
+    assert spark.read.parquet(str(tmp_path / "table")).select("path").distinct().count() == 6
+    entry = spark.range(1).select(*(F.lit(None).cast("string").alias(c) for c in ("name", "name_cn", "style", "version", "status", "universe", "rebalance_frequency", "formula", "dedup_hash")), F.lit(None).cast("timestamp").alias("created_at"), *(F.lit(None).cast("array<string>").alias(c) for c in ("input_fields", "tags")))
+    page = reports.wiki_pages(entry).first()
+    assert page["path"] == "factors/factor.md" and page["text"].startswith("#  ()\n\n- **风格**: \n") and "- **去重哈希**: ``\n- **创建时间**: \n" in page["text"]
+    assert reports.index_lines(entry).first()["place"] == 1
 
 
 def test_report_files(spark, tmp_path):
