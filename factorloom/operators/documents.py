@@ -451,6 +451,67 @@ def formula_spans(docs: DataFrame) -> DataFrame:
     return lines.withColumn("island", island).groupBy("doc_id", "island").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.count(F.lit(1)).alias("n_lines")).drop("island")
 
 
+#: What is no formula by itself, and what makes a short text one.
+TRIVIAL_FORMULAS = ("(", ")", "((", "))", "...", "…", r"\dots")
+TELLING = r"ES|\\sum|∑|\\leq|≤|\\lambda|w_"
+BOUNDS = ("x0", "y0", "x1", "y1")
+
+
+def is_trivial_formula(latex: Column) -> Column:
+    """Whether a formula says nothing: empty, a lone bracket or dots, or fewer than four characters without a telling name."""
+    bare = F.regexp_replace(F.coalesce(latex, F.lit("")), r"\s+", "")
+    return bare.isin("", *TRIVIAL_FORMULAS) | ((F.length(bare) < 4) & ~latex.rlike(TELLING))
+
+
+def promoted_formulas(blocks: DataFrame) -> DataFrame:
+    """``doc_id, page_num, block_no, piece, type, text, eq_number, x0, y0, x1, y1, confidence``: text blocks cut at their runs of formula lines.
+
+    A run becomes a block of type ``formula`` with its text as LaTeX and the number that it ends with; a trivial one stays text. Text
+    between runs loses its private-use glyphs, and goes if it is blank. Blocks of other types, and texts without formulas, stay whole
+    (piece 0); pieces have their block's bounds and confidence. A null text stays, and reads as empty once merged.
+    """
+    own = ["doc_id", "page_num", "block_no"]
+    cut = (F.col("type") == "text") & (F.coalesce("text", F.lit("")) != "")
+    others = blocks.where(~F.coalesce(cut, F.lit(False))).select(*own, F.lit(0).alias("piece"), "type", "text", F.lit(None).cast("string").alias("eq_number"), *BOUNDS, "confidence")
+    lines = blocks.where(cut).select(*own, *BOUNDS, "confidence", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("formula", is_formula_line(F.col("line")))
+    down = Window.partitionBy(*own).orderBy("n")
+    turns = (F.col("formula") != F.lag("formula").over(down)).cast("int")
+    lines = lines.withColumn("turn", F.coalesce(turns, F.lit(0))).withColumn("piece", F.sum("turn").over(down).cast("int"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+    pieces = lines.groupBy(*own, "piece").agg(F.first("formula").alias("formula"), text.alias("raw"), *(F.first(c).alias(c) for c in (*BOUNDS, "confidence")))
+    pieces = pieces.withColumn("n_pieces", F.count(F.lit(1)).over(Window.partitionBy(*own))).where(F.col("formula") | (F.col("n_pieces") == 1) | (F.trim("raw") != ""))
+    latex = glyphs_to_latex(F.col("raw"))
+    real = F.col("formula") & ~is_trivial_formula(latex)
+    number = F.regexp_extract("raw", r"\(\s*(\d+)\s*\)\s*$", 1)
+    found = pieces.select(
+        *own, "piece", F.when(real, "formula").otherwise("text").alias("type"), F.when(real, latex).otherwise(glyphs_to_unicode(F.col("raw"))).alias("text"),
+        F.when(real & (number != ""), number).alias("eq_number"), *BOUNDS, "confidence",
+    )
+    return others.unionByName(found)
+
+
+def merged_formulas(blocks: DataFrame) -> DataFrame:
+    """Promoted ``blocks`` with each run of formulas of a page as one block, and ``n_blocks``, the number that it was.
+
+    A formula goes on in the next block while that one has no number, or the number of the formula. So a numbered block begins a
+    formula unless the last number before it in the run is its own; that is all that is carried along a run.
+    Texts are joined as lines of one formula, bounds are united (null bounds count for nothing); the first block's number and confidence stay.
+    """
+    page = Window.partitionBy("doc_id", "page_num").orderBy("block_no", "piece")
+    so_far = page.rowsBetween(Window.unboundedPreceding, 0)
+    formula = F.col("type") == "formula"
+    runs = blocks.withColumns({"run": F.count_if(~formula).over(so_far), "new": F.coalesce(~formula | (F.lag("type").over(page) != "formula"), F.lit(True))})
+    before = Window.partitionBy("doc_id", "page_num", "run").orderBy("block_no", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(formula, F.col("eq_number")), ignorenulls=True).over(before)
+    begins = F.col("new") | (F.col("eq_number").isNotNull() & ~F.col("eq_number").eqNullSafe(last))
+    chained = runs.withColumn("begins", begins).withColumn("chain", F.count_if("begins").over(so_far))
+    first = F.min_by(F.struct("block_no", "piece", "type", "eq_number", "confidence"), F.struct("block_no", "piece"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "piece", "text"))), lambda x: x["text"]), r" \\ ")
+    united = [*(F.min(c).alias(c) for c in ("x0", "y0")), *(F.max(c).alias(c) for c in ("x1", "y1"))]
+    merged = chained.groupBy("doc_id", "page_num", "chain").agg(first.alias("f"), text.alias("text"), *united, F.count(F.lit(1)).alias("n_blocks"))
+    return merged.select("doc_id", "page_num", "f.block_no", "f.piece", "f.type", "text", "f.eq_number", *BOUNDS, "f.confidence", "n_blocks")
+
+
 def is_diagram(code: Column) -> Column:
     first = F.trim(F.get(F.split(F.trim(code), "\n"), 0))
     return F.coalesce(_any([first.startswith(d) for d in v.DIAGRAMS]), F.lit(False))
@@ -489,7 +550,7 @@ LAMBDA = "\uf06c"
 
 
 def _glyphs(text: Column, latex: bool) -> Column:
-    bullet = F.trim(text).startswith(LAMBDA) & text.rlike(r"[一-鿿]")
+    bullet = F.ltrim(text, F.lit(" \t\r\n\f\x0b")).startswith(LAMBDA) & text.rlike(r"[一-鿿]")
     out = F.when(bullet, F.replace(text, F.lit(LAMBDA), F.lit("•"))).otherwise(F.replace(text, F.lit(LAMBDA), F.lit("\\lambda" if latex else "λ")))
     for glyph, forms in GLYPHS.items():
         out = F.replace(out, F.lit(glyph), F.lit(forms[latex]))

@@ -21,8 +21,8 @@ from ..functions import frames, ieee
 
 #: Window length where a column stands for it.
 DEFAULT_WINDOW = 20
-#: Share of an exponential average's weight that is left out with the rows before its frame.
-NEGLIGIBLE = 1e-18
+#: What weights of an exponential average fall to within a block of rows, and how many blocks before a row's own still count.
+BLOCK_DECAY, CARRIED = 1e-6, 3
 
 
 @dataclass(frozen=True)
@@ -414,25 +414,43 @@ def rolling_mad(cx, x, n):
 def exponential_average(cx, x, n):
     """Weights (1 - alpha)^age with alpha = 2 / (n + 1), normalised by the weights present; null where x is null.
 
-    Rows whose weight is below ``NEGLIGIBLE`` are outside the frame, which bounds the state on long histories.
+    A decay scan in two levels, at a constant cost for each row whatever n. Blocks hold as many rows as let weights fall to ``BLOCK_DECAY``; within
+    one, sums are scaled so that one running sum serves all its rows. What the ``CARRIED`` blocks before hold is carried from
+    block end to block end; weights below BLOCK_DECAY^CARRIED count for nothing.
     """
     if is_number(x):
         return float(x)
     n = window_length(n, "EMA")
     keep = 1 - 2 / (n + 1)
-    rows = 1 if keep <= 0 else math.ceil(math.log(NEGLIGIBLE) / math.log(keep)) + 1
-    zero = F.struct(F.lit(0.0).alias("value"), F.lit(0.0).alias("weight"))
-
-    def step(acc: Column, item: Column) -> Column:
-        got = item["x"].isNotNull()
-        value = acc["value"] * keep + F.when(got, item["x"]).otherwise(0.0)
-        return F.struct(value.alias("value"), (acc["weight"] * keep + F.when(got, 1.0).otherwise(0.0)).alias("weight"))
-
-    def f(c: Column) -> Column:
-        seen = F.collect_list(F.struct(c.cast("double").alias("x"))).over(frames.last_rows(rows))
-        return F.when(c.isNotNull(), F.aggregate(seen, zero, step, lambda acc: acc["value"] / acc["weight"]))
-
-    return cx.place(f"ema{n}", x, f)
+    if keep <= 0:
+        return x
+    rows = math.ceil(math.log(BLOCK_DECAY) / math.log(keep))
+    name = f"ema{n}"
+
+    def local(c: Column, r: Column) -> Column:
+        within = Window.partitionBy("asset", F.floor(r / rows)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+        scale = F.pow(F.lit(keep), r % rows)
+        value, weight = F.when(c.isNotNull(), c.cast("double") / scale), F.when(c.isNotNull(), 1 / scale)
+        return F.struct(*((F.coalesce(F.sum(v).over(within), F.lit(0.0)) * scale).alias(k) for k, v in (("value", value), ("weight", weight))))
+
+    def with_carry(p: Column, carry: Column, decay: Column) -> Column:
+        return F.struct(*((p[k] + F.coalesce(carry[k], F.lit(0.0)) * decay).alias(k) for k in ("value", "weight")))
+
+    def at_last_end(r: Column, p: Column) -> Column:
+        before = frames.history().rowsBetween(Window.unboundedPreceding, -1)
+        return F.last(F.when(r % rows == rows - 1, p), ignorenulls=True).over(before)
+
+    r = cx.place("row", x, lambda c: F.row_number().over(frames.history()) - 1)
+    part = cx.place_all(f"{name}.part", local, x, r)
+    carry = cx.place_all(f"{name}.carry", at_last_end, r, part)
+    for k in range(1, CARRIED):
+        carry = cx.place_all(f"{name}.carry{k}", lambda r, p, c: at_last_end(r, with_carry(p, c, F.lit(keep**rows))), r, part, carry)
+
+    def f(c: Column, r: Column, p: Column, carried: Column) -> Column:
+        whole = with_carry(p, carried, F.pow(F.lit(keep), r % rows + 1))
+        return F.when(c.isNotNull(), whole["value"] / whole["weight"])
+
+    return cx.place_all(name, f, x, r, part, carry)
 
 
 @operator("WMA", least=2)

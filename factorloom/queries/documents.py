@@ -246,6 +246,46 @@ def formula_spans(spark, sf_dir):
     return d.formula_spans(docs(spark, sf_dir).withColumn("text", F.concat("text", added)))
 
 
+#: Two lines of a document are a block, three blocks a page; most blocks end with a numbered, unnumbered or trivial formula.
+FORMULA_BLOCKS = r"""t AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS s, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+b AS (SELECT doc_id, i // 2 AS block, string_agg(s, chr(10) ORDER BY i) AS text FROM t GROUP BY ALL),
+ended AS (SELECT doc_id, block, (doc_id + block) % 5 AS k, doc_id % 3 + 1 AS number, text FROM b),
+blocks AS (
+  SELECT doc_id, block // 3 + 1 AS page_num, block % 3 AS block_no, 10.0 * block AS y0,
+         text || CASE k WHEN 0 THEN chr(10) || 'ES = a + b*c (' || number || ')' WHEN 1 THEN chr(10) || 'VaR = x - y' WHEN 2 THEN chr(10) || '(3)' WHEN 3 THEN chr(10) || 'ES = wi*Xi + y (' || number || ')' || chr(10) || ' ' ELSE '' END AS text FROM ended)"""
+
+
+@query(
+    "text_formula_blocks",
+    f"""WITH {FORMULA_BLOCKS},
+l AS (SELECT doc_id, page_num, block_no, y0, unnest(string_split(text, chr(10))) AS s, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM blocks),
+c AS (SELECT *, len(regexp_extract_all(s, '[=+\\-*/<>()\\[\\]]')) AS ops, len(regexp_extract_all(s, '[a-zA-Z]')) AS latin FROM l),
+f AS (
+  SELECT *, trim(s) <> '' AND NOT regexp_matches(s, '\\[Table_[A-Za-z0-9_]+\\]') AND NOT regexp_matches(s, '(?i)Tel:|Email:')
+    AND (CASE WHEN regexp_matches(s, 'ES|VaR|CVaR') AND ops > 0 THEN 5 ELSE 0 END) + (CASE WHEN regexp_matches(s, '\\(\\d+\\)\\s*$') THEN 5 ELSE 0 END) + (CASE WHEN length(s) < 50 AND ops > 0 AND latin > 0 THEN least(5, ops) ELSE 0 END) >= 5 AS formula FROM c),
+p AS (SELECT *, sum(CASE WHEN formula <> was THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_num, block_no ORDER BY n) AS piece FROM (SELECT *, lag(formula) OVER (PARTITION BY doc_id, page_num, block_no ORDER BY n) AS was FROM f)),
+g AS (SELECT doc_id, page_num, block_no, piece, bool_and(formula) AS formula, any_value(y0) AS y0, string_agg(s, chr(10) ORDER BY n) AS raw, count(*) OVER (PARTITION BY doc_id, page_num, block_no) AS n FROM p GROUP BY doc_id, page_num, block_no, piece),
+x AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '\\bESi\\b', 'ES_i', 'g'), '\\bXi\\b', 'X_i', 'g'), '\\bwi\\b', 'w_i', 'g'), '\\s+', ' ', 'g')) AS latex FROM g WHERE formula OR n = 1 OR trim(raw) <> ''),
+y AS (SELECT *, formula AND NOT (length(replace(latex, ' ', '')) < 4 AND NOT regexp_matches(latex, 'ES|w_')) AS real, nullif(regexp_extract(raw, '\\(\\s*(\\d+)\\s*\\)\\s*$', 1), '') AS number FROM x),
+r AS (SELECT *, coalesce(NOT real OR NOT lag(real) OVER w, true) AS new, count(*) FILTER (NOT real) OVER w AS run FROM y WINDOW w AS (PARTITION BY doc_id, page_num ORDER BY block_no, piece)),
+e AS (SELECT *, new OR (number IS NOT NULL AND number IS DISTINCT FROM last_value(CASE WHEN real THEN number END IGNORE NULLS) OVER (PARTITION BY doc_id, page_num, run ORDER BY block_no, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS begins FROM r),
+h AS (SELECT *, count(*) FILTER (begins) OVER (PARTITION BY doc_id, page_num ORDER BY block_no, piece) AS chain FROM e)
+SELECT doc_id, page_num, min(block_no) AS block_no, CASE WHEN bool_or(real) THEN 'formula' ELSE 'text' END AS type, string_agg(CASE WHEN real THEN latex ELSE raw END, ' \\\\ ' ORDER BY block_no, piece) AS text,
+       arg_min(CASE WHEN real THEN number END, (block_no, piece)) AS eq_number, min(y0)::DOUBLE AS y0, (max(y0) + 8)::DOUBLE AS y1, count(*) AS n_blocks FROM h GROUP BY doc_id, page_num, chain""",
+)
+def formula_blocks(spark, sf_dir):
+    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "s"))
+    by_block = lines.groupBy("doc_id", F.floor(F.col("i") / 2).alias("block")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), "\n").alias("text"))
+    k, number = (F.col("doc_id") + F.col("block")) % 5, F.col("doc_id") % 3 + 1
+    end = F.when(k == 0, F.concat(F.lit("\nES = a + b*c ("), number, F.lit(")"))).when(k == 1, "\nVaR = x - y").when(k == 2, "\n(3)").when(k == 3, F.concat(F.lit("\nES = wi*Xi + y ("), number, F.lit(")\n "))).otherwise("")
+    y0 = F.lit(10.0) * F.col("block")
+    blocks = by_block.select(
+        "doc_id", (F.floor(F.col("block") / 3) + 1).alias("page_num"), (F.col("block") % 3).alias("block_no"), F.lit("text").alias("type"), F.concat("text", end).alias("text"),
+        F.lit(0.0).alias("x0"), y0.alias("y0"), F.lit(100.0).alias("x1"), (y0 + 8).alias("y1"), F.lit(0.9).alias("confidence"),
+    )
+    return d.merged_formulas(d.promoted_formulas(blocks)).select("doc_id", "page_num", "block_no", "type", "text", "eq_number", "y0", "y1", "n_blocks")
+
+
 @query("text_diagrams", "SELECT p_partkey AS id, p_partkey % 3 < 2 AS valid FROM part")
 def diagrams(spark, sf_dir):
     k = F.col("p_partkey")

@@ -394,3 +394,22 @@ def test_rows_begin_beyond_the_tolerance_of_their_first_word(spark):
     words = frame(spark, [(1, 1, 10.0 * (7 - k), 3.0 * k, 10.0 * (7 - k) + 5, 3.0 * k + 8, str(k)) for k in range(8)] + [(1, 1, 200.0, 0.0, 205.0, 8.0, "tie")] * 2, "doc_id long, page_num int, x0 double, y0 double, x1 double, y1 double, text string")
     rows = [[w["text"] for w in r["words"]] for r in word_tables.rows_of(words).orderBy("row_no").collect()]
     assert rows == [["1", "0", "tie", "tie"], ["3", "2"], ["5", "4"], ["7", "6"]]
+
+
+def test_formula_blocks(spark):
+    rows = [
+        (1, 1, 0, "text", "Text before.\nES = a + b*c (1)\nText after."), (1, 1, 1, "text", "VaR = x - y + ES"), (1, 1, 2, "formula", "f_3"), (1, 1, 3, "table", "| a |"), (1, 1, 4, "text", None), (1, 1, 5, "text", "  "),
+        (1, 2, 0, "text", "ES = a + b*c (1)"), (1, 2, 1, "text", "VaR = x - y"), (1, 2, 2, "text", "ES = d*e + f (1)"), (1, 2, 3, "text", "VaR = x + y\nES = d*e + f (2)"), (1, 2, 4, "text", "(7)"), (1, 2, 5, "text", "VaR = x - y"), (1, 2, 6, "text", "ES = q + r (4)"),
+        (1, 3, 0, "text", " ES = Xi + wi \n\n  中文 item"),
+    ]
+    blocks = frame(spark, [(*r, float(k), float(k), k + 9.0, k + 9.0, 0.5) for k, r in enumerate(rows)], "doc_id int, page_num int, block_no int, type string, text string, x0 double, y0 double, x1 double, y1 double, confidence double")
+    got = documents.merged_formulas(documents.promoted_formulas(blocks)).orderBy("page_num", "block_no", "piece").collect()
+    assert [(r["type"], r["text"], r["eq_number"], r["n_blocks"]) for r in got if r["page_num"] == 1] == [
+        ("text", "Text before.", None, 1), ("formula", "ES = a + b*c (1)", "1", 1), ("text", "Text after.", None, 1), ("formula", r"VaR = x - y + ES \\ f_3", None, 2), ("table", "| a |", None, 1), ("text", "", None, 1), ("text", "  ", None, 1),
+    ]
+    assert [(r["type"], r["text"], r["eq_number"]) for r in got if r["page_num"] == 2] == [
+        ("formula", r"ES = a + b*c (1) \\ VaR = x - y \\ ES = d*e + f (1)", "1"), ("formula", r"VaR = x + y ES = d*e + f (2)", "2"), ("text", "(7)", None), ("formula", "VaR = x - y", None), ("formula", "ES = q + r (4)", "4"),
+    ]
+    assert [(r["y0"], r["y1"]) for r in got if r["n_blocks"] == 3] == [(6.0, 17.0)]
+    assert [(r["type"], r["text"]) for r in got if r["page_num"] == 3][0] == ("formula", " ES = X_i + w_i") and got[-1]["text"].strip().endswith("• 中文 item")
+    assert documents.merged_formulas(documents.promoted_formulas(blocks.limit(0))).count() == 0

@@ -197,3 +197,30 @@ def test_reflection_ends():
     assert reflect(lambda f, u, w: (False, 1.0, "unknown"), "close", "csi300").status == "escalated"
     scores = iter([3.0, 2.0, 1.0])
     assert reflect(lambda f, u, w: (False, next(scores), "data_mismatch"), "close", "csi300").status == "exhausted"
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 20, 250])
+def test_ema_over_long_histories(spark, n):
+    """Blocks of every length (five rows at n = 1 or 2, 1,728 at n = 250), gaps and values far apart, against pandas."""
+    r = np.random.default_rng(n)
+    xs = np.where(r.random(6000) < 0.1, np.nan, r.normal(0, 1, 6000).cumsum() * 10.0 ** r.integers(0, 6, 6000))
+    got = np.array(values(panel(spark, a=[None if math.isnan(x) else float(x) for x in xs], b=[1.0, 2.0, 3.0]), f"EMA(close, {n})"), float)
+    want = pd.Series(xs).ewm(span=n, ignore_na=False).mean().where(~np.isnan(xs))
+    size = pd.Series(np.abs(xs)).ewm(span=n, ignore_na=False).mean()
+    np.testing.assert_allclose(got, want, rtol=1e-9, atol=float(size.max()) * 1e-12, equal_nan=True)
+
+
+def test_ema_costs_the_same_for_any_window(spark):
+    import time
+
+    p = panel(spark, **{f"s{k}": np.random.default_rng(k).normal(size=3000).tolist() for k in range(20)}).cache()
+    p.count()
+
+    def seconds(n):
+        began = time.perf_counter()
+        compute_many(p, {"x": f"EMA(close, {n})"}).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    seconds(20)
+    short, long = (min(seconds(n) for _ in range(2)) for n in (20, 250))
+    assert long < 2 * short + 0.5
