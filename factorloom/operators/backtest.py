@@ -82,20 +82,28 @@ def equity_frame(factor: DataFrame, panel: DataFrame, groups: int = 5, cost_bps:
 def backtest(factor: DataFrame, panel: DataFrame, groups: int = 5, cost_bps: float = 10.0) -> DataFrame:
     """One row: IC mean, deviation and ratio, annual long/short return, Sharpe, drawdown, turnover, the groups' annual returns, and ``n_nonfinite``, the
     number of dates whose return is infinite or undefined (a price of 0): where it is not 0, measures that are 0 may say only that."""
-    returns = forward_returns(panel)
     grouped = quantile_groups(factor, groups)
-    ic = metrics.ic_summary(metrics.rank_ic(factor, returns))
-    by_group = group_returns(grouped, returns)
-    traded = turnover(leg_weights(grouped, groups))
-    net = equity(with_costs(long_short(by_group, groups), traded, cost_bps))
-    drawdown = metrics.max_drawdown(net)
-    sharpe = net.agg(metrics.sharpe("ls_return").alias("sharpe_ratio"), (metrics.mean_or_zero("ls_return") * DAYS).alias("long_short_annual_return"), F.count_if(~ieee.finite(F.col("ls_return"))).alias("n_nonfinite"))
-    mean_turnover = traded.agg(metrics.mean_or_zero("turnover").alias("turnover"))
-    annual = metrics.group_annual_returns(by_group)
-    out = ic
-    for one_row in (sharpe, drawdown, mean_turnover, annual):  # each has one row
-        out = out.crossJoin(F.broadcast(one_row))
-    return out
+    both = grouped.join(forward_returns(panel), ["date", "asset"], "left")
+    ranks = {"x": frames.average_rank(F.when(F.col("forward_return").isNotNull(), F.col("factor_value")), "date"), "y": frames.average_rank(F.col("forward_return"), "date")}
+    ic = ieee.pearson(F.col("x"), F.col("y"))
+    means = [F.avg(F.when(F.col("group") == g, F.col("forward_return"))).alias(f"group{g}") for g in range(groups)]
+    daily = both.withColumns(ranks).groupBy("date").agg(F.when(ieee.finite(ic), ic).alias("ic"), *means)
+    # one row a date from here on: everything else is one pass over these rows in order
+    traded = turnover(leg_weights(grouped, groups)).withColumnRenamed("turnover", "traded")
+    raw = F.col(f"group{groups - 1}") - F.col("group0")  # null unless both legs are there
+    net = daily.join(traded, "date", "left").withColumn("ls_return", raw - F.coalesce("traded", F.lit(0.0)) * F.lit(cost_bps / 1e4))
+    curve = equity(net).withColumn("equity", F.when(F.col("ls_return").isNotNull(), F.col("equity")))
+    high = F.max("equity").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    curve = curve.withColumn("fall", ieee.div(F.col("equity") - high, high))
+    annual = F.array(*[F.struct(F.lit(g).alias("group"), (F.avg(f"group{g}") * DAYS).alias("annual")) for g in range(groups)])
+    deviation = F.coalesce(ieee.zero_unless_finite(F.stddev_samp("ic")), F.lit(0.0))
+    found = curve.agg(
+        metrics.mean_or_zero("ic").alias("ic_mean"), deviation.alias("ic_std"), metrics.sharpe("ls_return").alias("sharpe_ratio"), (metrics.mean_or_zero("ls_return") * DAYS).alias("long_short_annual_return"),
+        F.count_if(F.col("ls_return").isNotNull() & ~ieee.finite(F.col("ls_return"))).alias("n_nonfinite"), F.coalesce(ieee.zero_unless_finite(F.abs(F.min("fall"))), F.lit(0.0)).alias("max_drawdown"),
+        metrics.mean_or_zero("traded").alias("turnover"), F.map_from_entries(F.filter(annual, lambda g: g["annual"].isNotNull())).alias("group_annual_returns"),
+    )
+    ratio = F.when(F.col("ic_std") != 0, F.col("ic_mean") / F.when(F.col("ic_std") != 0, F.col("ic_std"))).otherwise(0.0)
+    return found.select("ic_mean", "ic_std", ratio.alias("ic_ir"), "sharpe_ratio", "long_short_annual_return", "n_nonfinite", "max_drawdown", "turnover", "group_annual_returns")
 
 
 def industry_neutral(factor: DataFrame, industry: str, by_date: bool = True) -> DataFrame:

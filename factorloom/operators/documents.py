@@ -290,7 +290,7 @@ def _scan(f, returns: str):
 
 def number_spans(text: Column) -> Column:
     """Array of ``(value, unit, raw, start, end)``: the same as ``numbers_in``, without Python."""
-    found = match_places(F.coalesce(text, F.lit("")), f"(?iU){NUMBER.pattern}", (1, 2))
+    found = match_places(F.coalesce(text, F.lit("")), f"(?iU){NUMBER.pattern}", (1, 2), needs=r"(?U)\d")
 
     def number(m: Column) -> Column:
         digits, bare = m["g1"], F.lower(F.regexp_replace(m["g2"], r"(?U)\s+", ""))
