@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import catalog
 from ..plans.compiler import compute_long
 from ..sources.bars import events_panel
+from ..session import scratch_path
+from ..sources import store
 from . import query
+from .documents import PAGES, pages
 from .sql import EVENTS_PANEL
 
 FIELDS, OPS = ["close", "volume", "open", "high"], ["Mean", "Std", "Ref", "Ts_Max", "EMA"]
@@ -199,3 +202,42 @@ def redundancy(spark, sf_dir):
     panel = events_panel(spark, sf_dir)
     found = catalog.redundancy(compute_long(panel, NEW), compute_long(panel, KNOWN))
     return found.withColumn("correlation", F.round("correlation", 6))
+
+
+@query(
+    "catalog_store",
+    """WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier),
+one AS (SELECT 'f' || k AS id, 1 AS batch, '1.0.0' AS version, k % 4 AS made FROM s),
+two AS (SELECT 'f' || CASE WHEN k % 7 = 0 THEN k + 100000 ELSE k END AS id, 2 AS batch, '1.0.' || m AS version, m AS made FROM s, range(1, 3) r(m) WHERE k % 3 = 0 OR k % 7 = 0)
+SELECT id, version, made::BIGINT AS made FROM (SELECT * FROM one UNION ALL SELECT * FROM two) QUALIFY row_number() OVER (PARTITION BY id ORDER BY batch DESC, made DESC) = 1""",
+)
+def catalog_store(spark, sf_dir):
+    """All suppliers' entries, then new versions of some and other entries, two rows each; both batches come twice."""
+    k = F.col("s_suppkey")
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    first = suppliers.select(F.concat(F.lit("f"), k).alias("id"), F.lit("1.0.0").alias("version"), (k % 4).cast("long").alias("made"))
+    some = suppliers.where((k % 3 == 0) | (k % 7 == 0)).select(F.when(k % 7 == 0, k + 100_000).otherwise(k).alias("k"), F.explode(F.array(F.lit(1), F.lit(2))).alias("m"))
+    second = some.select(F.concat(F.lit("f"), "k").alias("id"), F.concat(F.lit("1.0."), "m").alias("version"), F.col("m").cast("long").alias("made"))
+    table = store.KeyedTable(spark, scratch_path(spark, "catalogue"), "id", buckets=8)
+    for rows, batch in ((first, "first"), (first, "first"), (second, "second"), (first, "first"), (second, "second")):
+        table.upsert(rows, batch, order="made")
+    return table.read()
+
+
+@query(
+    "page_cache",
+    f"""WITH {PAGES}, changed AS (SELECT doc_id, page_num, CASE WHEN doc_id % 10 = 0 AND page_num = 1 THEN text || ' changed' ELSE text END AS text FROM pages WHERE doc_id % 11 <> 0)
+SELECT doc_id, page_num, len(regexp_extract_all(text, '\\S+'))::BIGINT AS n_words, CASE WHEN text IN (SELECT text FROM pages) THEN 'first' ELSE 'second' END AS run FROM changed""",
+)
+def page_cache(spark, sf_dir):
+    """Words of all pages; then of those that are left, the first pages of some changed: only these are counted again."""
+    table = store.KeyedTable(spark, scratch_path(spark, "pages"), "content_key", buckets=8)
+
+    def counted(run):
+        return lambda contents: contents.select("content_key", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).cast("long").alias("n_words"), F.lit(run).alias("run"))
+
+    before = pages(spark, sf_dir)
+    store.page_results(before, table, counted("first"), "first")
+    text = F.when((F.col("doc_id") % 10 == 0) & (F.col("page_num") == 1), F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    after = before.where("doc_id % 11 <> 0").withColumn("text", text)
+    return store.page_results(after, table, counted("second"), "second").select("doc_id", "page_num", "n_words", "run")

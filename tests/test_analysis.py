@@ -413,3 +413,49 @@ def test_formula_blocks(spark):
     assert [(r["y0"], r["y1"]) for r in got if r["n_blocks"] == 3] == [(6.0, 17.0)]
     assert [(r["type"], r["text"]) for r in got if r["page_num"] == 3][0] == ("formula", " ES = X_i + w_i") and got[-1]["text"].strip().endswith("• 中文 item")
     assert documents.merged_formulas(documents.promoted_formulas(blocks.limit(0))).count() == 0
+
+
+def test_keyed_table(spark, tmp_path):
+    from factorloom.sources.store import KeyedTable, page_results
+
+    schema = "id string, x int, at int"
+    table = KeyedTable(spark, str(tmp_path / "t"), "id", buckets=4)
+    with pytest.raises(PanelError):
+        table.read()
+    assert table.upsert(frame(spark, [("a", 1, 1), ("b", 1, 1), (None, 1, 1), ("a", 2, 0)], schema), "one", "at")
+    before = table.read()
+    assert not table.upsert(frame(spark, [("a", 9, 9)], schema), "one", "at")
+    touched = set(table.manifest()["folders"].values())
+    assert table.upsert(frame(spark, [(None, 5, 5), ("c", 5, 5)], schema), "two", "at") and table.upsert(frame(spark, [], schema), "nothing")
+    assert sorted((r["id"] or "", r["x"]) for r in table.read().collect()) == [("", 5), ("a", 1), ("b", 1), ("c", 5)]
+    assert sorted((r["id"] or "", r["x"]) for r in before.collect()) == [("", 1), ("a", 1), ("b", 1)]  # as of then
+    assert touched & set(table.manifest()["folders"].values())  # the other buckets were not rewritten
+    with pytest.raises(PanelError):
+        table.upsert(frame(spark, [("a", 1)], "id string, y int"), "odd")
+
+    # a job that dies before its manifest changes nothing, and may be run again
+    publish, table._publish = table._publish, lambda manifest: (_ for _ in ()).throw(RuntimeError("killed"))
+    with pytest.raises(RuntimeError):
+        table.upsert(frame(spark, [("a", 7, 7)], schema), "three", "at")
+    assert table.read().count() == 4 and "three" not in table.manifest()["batches"]
+    table._publish = publish
+    assert table.upsert(frame(spark, [("a", 7, 7)], schema), "three", "at") and table.read().where("id = 'a'").first()["x"] == 7
+    stale = table.manifest()
+    with pytest.raises(PanelError):
+        table._publish(stale)  # a second job with the same number
+    assert table.vacuum() > 3 and table.vacuum() == 0 and table.read().count() == 4
+
+    seen = []
+
+    def process(contents):
+        seen.append(sorted(r["text"] or "" for r in contents.collect()))
+        return contents.select("content_key", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+
+    pages = frame(spark, [(k, f"page {k % 20}") for k in range(25)] + [(99, None), (98, "")], "page int, text string")
+    results = KeyedTable(spark, str(tmp_path / "p"), "content_key", buckets=4)
+    assert page_results(pages, results, process, "one").count() == 27
+    changed = pages.where("page < 20").withColumn("text", F.when(F.col("page") < 10, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    again = page_results(changed, results, process, "two").collect()
+    assert len(seen[0]) == 21 and seen[1] == sorted(f"page {k}!" for k in range(10)) and len(again) == 20 and {r["n"] for r in again if r["page"] < 10} == {7}
+    page_results(pages, results, process, "other", settings="v2")
+    assert len(seen[2]) == 21
