@@ -5,12 +5,16 @@ Factors are rows ``id, name, name_cn, formula, fields array<string>, style, stat
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ieee
+from ..session import staged
 
 # Words that mark a style or mechanism, first hit wins, in this order.
 STYLES = (
@@ -103,16 +107,107 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("__k", F.row_number().over(newest)).where("__k = 1").drop("__k")
 
 
+#: Factors of a block: a block pair's moments are six squares of this side.
+GRAM_BLOCK = 256
+
+
+def _scattered(column: pa.Array, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``(pos, x)`` lists as dense rows of ``side`` values, 0 where there is none, and where there is one."""
+    offsets, flat = column.offsets.to_numpy(), column.values
+    first, last = offsets[0], offsets[-1]
+    rows = np.repeat(np.arange(len(column)), np.diff(offsets))
+    pos, x = (flat.field(k).to_numpy()[first:last] for k in (0, 1))
+    dense, there = np.zeros((len(column), side)), np.zeros((len(column), side))
+    dense[rows, pos], there[rows, pos] = x, 1.0
+    return dense, there
+
+
+def _moments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of products of each pair of blocks, from rows sorted by block pair: one pair's sums are held at a time."""
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block[0]], pa.int32()), pa.array([block[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["bi", "bj", "moments"])
+
+    block, total = None, None
+    for batch in batches:
+        bi, bj = batch.column("bi").to_numpy(), batch.column("bj").to_numpy()
+        cuts = np.flatnonzero(np.r_[True, (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]).tolist() if len(bi) else []
+        for lo, hi in zip(cuts, [*cuts[1:], len(bi)]):
+            if (bi[lo], bj[lo]) != block:
+                if block is not None:
+                    yield out()
+                block, total = (bi[lo], bj[lo]), np.zeros((6, GRAM_BLOCK, GRAM_BLOCK))
+            for a in range(lo, hi, 2000):
+                part = batch.slice(a, min(2000, hi - a))
+                (x, mx), (y, my) = (_scattered(part.column(c), GRAM_BLOCK) for c in ("left", "right"))
+                total += np.stack([mx.T @ my, x.T @ my, mx.T @ y, (x * x).T @ my, mx.T @ (y * y), x.T @ y])
+    if block is not None:
+        yield out()
+
+
+def _best_in_block(least_rows: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From parts of block pairs' moments, sorted by pair: of each factor the known one in the block that it correlates with most."""
+
+    def best() -> pa.RecordBatch:
+        n, sx, sy, sxx, syy, sxy = total
+        with np.errstate(all="ignore"):
+            vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+            r = np.abs((sxy - sx * sy / n) / np.sqrt(vx * vy))
+            # what is left of a constant by rounding is no variance
+            defined = (n >= least_rows) & (vx > 1e-14 * sxx) & (vy > 1e-14 * syy) & np.isfinite(r)
+        # ties in all but rounding go to the first known factor
+        r = np.where(defined, np.minimum(np.round(r, 12), 1.0), -1.0)
+        i = np.arange(GRAM_BLOCK) + block[0] * GRAM_BLOCK
+        top = []
+        for skip in (False, True):  # the best, and the best but for that one, which may be the factor itself
+            j = r.argmax(axis=1)
+            top.append((j + block[1] * GRAM_BLOCK, r.max(axis=1), n[np.arange(GRAM_BLOCK), j]))
+            r[np.arange(GRAM_BLOCK), j] = -1.0
+        j, c, k = (np.concatenate(x) for x in zip(*top))
+        keep = c >= 0
+        return pa.RecordBatch.from_arrays([pa.array(np.tile(i, 2)[keep].astype(np.int32)), pa.array(j[keep].astype(np.int32)), pa.array(k[keep].astype(np.int64)), pa.array(c[keep])], ["i", "j", "n", "correlation"])
+
+    block, total = None, None
+    for batch in batches:
+        for bi, bj, moments in zip(*(batch.column(c).to_pylist() for c in ("bi", "bj", "moments"))):
+            if (bi, bj) != block:
+                if block is not None:
+                    yield best()
+                block, total = (bi, bj), np.zeros((6, GRAM_BLOCK, GRAM_BLOCK))
+            total += np.frombuffer(moments).reshape(6, GRAM_BLOCK, GRAM_BLOCK)
+    if block is not None:
+        yield best()
+
+
 def redundancy(values: DataFrame, known: DataFrame, least_rows: int = 10, most: float = 0.7) -> DataFrame:
     """``factor, known_factor, n, correlation, redundant``: of each factor the known one it correlates with most, pooled over dates
-    and assets. ``values`` and ``known``: ``factor, date, asset, factor_value``. All pairs are one grouped job."""
-    left = values.where("factor_value IS NOT NULL")
-    right = known.where("factor_value IS NOT NULL").select("date", "asset", F.col("factor").alias("known_factor"), F.col("factor_value").alias("known_value"))
-    pairs = left.join(right, ["date", "asset"]).where("factor <> known_factor")
-    found = pairs.groupBy("factor", "known_factor").agg(F.count(F.lit(1)).alias("n"), F.abs(ieee.pearson(F.col("factor_value"), F.col("known_value"))).alias("correlation"))
+    and assets. ``values`` and ``known``: ``factor, date, asset, factor_value``, each factor once a date and asset; values that are not finite are left out.
+
+    No pairs of values are formed. Factors are numbered and dealt into blocks; each date and asset has one list of values a block, and a pair of
+    blocks is six matrix products over these rows, summed by task and then by pair. Values are centred first, so that sums of squares lose nothing.
+    """
+    spark = values.sparkSession
+    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        means = rows.groupBy("factor").agg(F.avg("factor_value").alias("mean"))
+        return staged(means.withColumn("k", F.row_number().over(Window.orderBy("factor")) - 1), "factor-numbers")  # one row a factor
+
+    def blocks(rows: DataFrame, numbers: DataFrame, block: str, name: str) -> DataFrame:
+        item = F.struct((F.col("k") % GRAM_BLOCK).alias("pos"), (F.col("factor_value") - F.col("mean")).alias("x"))
+        placed = rows.join(numbers, "factor").select("date", "asset", F.floor(F.col("k") / GRAM_BLOCK).cast("int").alias(block), item.alias("item"))
+        return placed.groupBy("date", "asset", block).agg(F.collect_list("item").alias(name))
+
+    left, right = (df.select("factor", "date", "asset", F.col("factor_value").cast("double").alias("factor_value")).where(ieee.finite(F.col("factor_value"))) for df in (values, known))
+    left_no, right_no = numbered(left), numbered(right)
+    pairs = blocks(left, left_no, "bi", "left").join(blocks(right, right_no, "bj", "right"), ["date", "asset"])
+    share = F.pmod(F.xxhash64("date", "asset"), F.lit(shares))
+    parts = pairs.repartition(shares, "bi", "bj", share).sortWithinPartitions("bi", "bj").select("bi", "bj", "left", "right").mapInArrow(_moments, "bi int, bj int, moments binary")
+    found = parts.repartition(shares, "bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(partial(_best_in_block, least_rows), "i int, j int, n long, correlation double")
+    named = found.join(left_no.select(F.col("k").alias("i"), "factor"), "i").join(right_no.select(F.col("k").alias("j"), F.col("factor").alias("known_factor")), "j").where("factor <> known_factor")
     best = Window.partitionBy("factor").orderBy(F.desc("correlation"), "known_factor")
-    found = found.where((F.col("n") >= least_rows) & F.col("correlation").isNotNull()).withColumn("__k", F.row_number().over(best)).where("__k = 1").drop("__k")
-    return found.withColumn("redundant", F.col("correlation") > most)
+    first = named.withColumn("__k", F.row_number().over(best)).where("__k = 1")
+    return first.select("factor", "known_factor", "n", "correlation", (F.col("correlation") > most).alias("redundant"))
 
 
 def filtered(catalogue: DataFrame, status: str | None = None, style: str | None = None, tags: Sequence[str] = (), broker: str | None = None, reports: DataFrame | None = None) -> DataFrame:

@@ -459,3 +459,33 @@ def test_keyed_table(spark, tmp_path):
     assert len(seen[0]) == 21 and seen[1] == sorted(f"page {k}!" for k in range(10)) and len(again) == 20 and {r["n"] for r in again if r["page"] < 10} == {7}
     page_results(pages, results, process, "other", settings="v2")
     assert len(seen[2]) == 21
+
+
+def test_redundancy_against_pandas(spark):
+    """More factors than a block has, gaps, a constant, large means, and factors that are known by their own name."""
+    import pandas as pd
+
+    r = np.random.default_rng(4)
+    base = r.normal(size=(5, 60))
+    new = {f"n{k:03}": base[k % 5] * (1 + k) + r.normal(size=60) * (k % 7) + 1e6 * (k % 2) for k in range(300)} | {"flat": np.full(60, 3.5), "k1": base[1]}
+    known = {f"k{k}": base[k] for k in range(5)} | {"k9": np.full(60, 0.1), "few": base[2]}
+    gaps = {name: r.random(60) < 0.1 for name in (*new, *known)}
+    gaps["few"][:] = True
+    gaps["few"][:5] = False
+
+    def rows(columns):
+        return [(n, DAY + dt.timedelta(days=i // 6), f"a{i % 6}", None if gaps[n][i] else float(x[i])) for n, x in columns.items() for i in range(60)]
+
+    schema = "factor string, date date, asset string, factor_value double"
+    got = {r["factor"]: r for r in catalog.redundancy(frame(spark, rows(new), schema), frame(spark, rows(known), schema)).collect()}
+    table = pd.DataFrame({**{("new", n): np.where(gaps[n], np.nan, x) for n, x in new.items()}, **{("known", n): np.where(gaps[n], np.nan, x) for n, x in known.items()}})
+    for name in new:
+        each = {k: abs(table["new", name].corr(table["known", k], min_periods=10)) for k in known if k != name and k != "k9"}
+        each = {k: c for k, c in each.items() if c == c}
+        if name == "flat":
+            assert name not in got
+            continue
+        best = max(each, key=each.get)
+        assert got[name]["correlation"] == pytest.approx(each[best], abs=1e-6) and (got[name]["known_factor"] == best or each[got[name]["known_factor"]] == pytest.approx(each[best], abs=1e-6))
+        assert got[name]["n"] == (~gaps[name] & ~gaps[got[name]["known_factor"]]).sum() and got[name]["redundant"] == (got[name]["correlation"] > 0.7)
+    assert got["k1"]["known_factor"] != "k1" and catalog.redundancy(frame(spark, [], schema), frame(spark, rows(known), schema)).count() == 0

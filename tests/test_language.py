@@ -189,6 +189,18 @@ def test_revision_of_universe():
     assert normalize.revise("close", "可转债", "universe_mismatch")[1] == "csi300"
 
 
+@pytest.mark.parametrize(
+    ("formula", "cause", "want"),
+    [
+        ("Mean(volume, 5)", "lookahead_bias", "Ref(Mean(volume, 5), 1)"), ("Ref(close, 5) / open", "lookahead_bias", "Ref(close, 5) / Ref(open, 1)"), ("CSZScore(close)", "formula_error", "Rank(CSZScore(close))"),
+        ("Rank(close)", "formula_error", "Rank(close)"), ("Rank(close)", "data_mismatch", "Rank(close)"), ("Ref(close, 1) / Mean(close, 9)", "parameter_error", "Ref(close, 2) / Mean(close, 9)"), ("close * 0.5", "parameter_error", "close * 0.5"),
+        ("close +", "formula_error", "CSZScore(close)"), ("", "lookahead_bias", "Ref(close, 1)"), ("close", "other", "close"),
+    ],
+)
+def test_revision_works_on_the_tree(formula, cause, want):
+    assert normalize.revise(formula, "csi300", cause)[0] == want
+
+
 def test_reflection_ends():
     from factorloom.plans.reflection import reflect
 
