@@ -176,3 +176,65 @@ def failure_mode(flags: dict[str, Column], status: Column, exit_code: Column) ->
 def proposal(passed: Column, verdict: Column) -> Column:
     """``accept, reject, defer`` from an evaluation and a review's verdict."""
     return F.when(passed & (verdict == "approve"), "accept").when(verdict == "reject", "reject").otherwise("defer")
+
+
+# ---- extracted specifications ---------------------------------------------------------------------------------------
+
+#: Terms of reports and the fields they mean; confidence from which a mapping is trusted, and an extraction.
+DATA_DICTIONARY = {
+    "收盘价": "close", "开盘价": "open", "最高价": "high", "最低价": "low", "成交量": "volume", "成交额": "amount", "换手率": "turnover_rate", "市盈率": "pe_ttm", "市净率": "pb", "收益率": "returns",
+    "到期收益率": "ytm", "YTM": "ytm", "ytm": "ytm", "债性": "ytm", "平价溢价率": "premium_rate", "转股溢价率": "premium_rate", "溢价率": "premium_rate", "债底": "bond_value", "纯债价值": "bond_value",
+    "隐含波动率": "implied_vol", "隐波": "implied_vol", "期权价值": "option_value", "剩余规模": "remaining_size", "转股价": "conversion_price", "绝对价格": "close", "转债价格": "close",
+}
+SURE_MAPPING, SURE_EXTRACTION = 0.8, 0.5
+BRACKETS = {"(": ")", "[": "]", "{": "}"}
+MAPPINGS = "array<struct<report_term:string,canonical_term:string,confidence:double>>"
+
+
+def bracket_warning(formula: Column) -> Column:
+    """What is wrong with a text's brackets, or null: one closes what is not open, or some stay open. A fold over its brackets with those that are due."""
+    due = F.create_map(*[F.lit(x) for pair in BRACKETS.items() for x in pair])
+    start = F.struct(F.lit("").alias("due"), F.lit(False).alias("wrong"))
+
+    def step(s: Column, c: Column) -> Column:
+        opens = c.isin(*BRACKETS)
+        fits = F.substring(s["due"], 1, 1) == c
+        after = F.when(opens, F.concat(F.element_at(due, c), s["due"])).when(fits, F.substring(s["due"], F.lit(2), F.length(s["due"]))).otherwise(s["due"])
+        return F.struct(F.when(s["wrong"], s["due"]).otherwise(after).alias("due"), (s["wrong"] | (~opens & ~fits)).alias("wrong"))
+
+    signs = F.regexp_extract_all(F.coalesce(formula, F.lit("")), F.lit(r"[()\[\]{}]"), F.lit(0))
+    said = F.aggregate(signs, start, step)
+    return F.when(said["wrong"], "mismatched brackets").when(said["due"] != "", "unclosed brackets")
+
+
+def validated_specs(specs: DataFrame) -> DataFrame:
+    """``specs`` (factor_name, formula, description, extraction_confidence, ``input_fields`` of (name, report_name), ``mappings`` of (report_term, canonical_term, confidence))
+    with each mapping's ``tag`` (OK, WARN) and ``note``, warnings at the description's end, and ``problem``, null unless the name or formula is missing.
+
+    Without mappings the input fields are mapped by the data dictionary: by the report's term, else by the field's own name if it is a field; other
+    fields stand for themselves with half confidence. Null arrays and texts count as empty.
+    """
+    terms = F.create_map(*[F.lit(x) for pair in DATA_DICTIONARY.items() for x in pair])
+    fields = sorted(set(DATA_DICTIONARY.values()))
+
+    def tagged(m: Column, note: Column) -> Column:
+        tag = F.when(m["confidence"] >= SURE_MAPPING, "OK").otherwise("WARN")
+        return F.struct(m["report_term"].alias("report_term"), m["canonical_term"].alias("canonical_term"), m["confidence"].alias("confidence"), tag.alias("tag"), note.alias("note"))
+
+    def mapped(f: Column) -> Column:
+        own, meant = F.lower(F.trim(F.coalesce(f["name"], F.lit("")))), F.element_at(terms, F.coalesce(f["report_name"], F.lit("")))
+        known = F.coalesce(meant, F.when(own.isin(*fields), own))
+        term = F.when(F.coalesce(f["report_name"], F.lit("")) != "", f["report_name"]).otherwise(f["name"])
+        one = F.struct(term.alias("report_term"), F.coalesce(known, f["name"]).alias("canonical_term"), F.when(known.isNotNull(), 1.0).otherwise(0.5).alias("confidence"))
+        return tagged(one, F.when(known.isNotNull(), "Auto-mapped").otherwise("Fallback mapping"))
+
+    given = F.coalesce("mappings", F.array().cast(MAPPINGS))
+    by_field = F.coalesce(F.transform("input_fields", mapped), F.array().cast(MAPPINGS.replace("double", "double,tag:string,note:string")))
+    warnings = F.array_compact(F.array(
+        F.concat(F.lit("[WARN] Formula has "), bracket_warning(F.col("formula")), F.lit(".")),
+        F.when(F.coalesce("extraction_confidence", F.lit(0.0)) < SURE_EXTRACTION, "[WARN] Low extraction confidence."),
+    ))
+    description = F.concat_ws("\n", F.coalesce("description", F.lit("")), warnings)
+    problem = F.when(F.coalesce("factor_name", F.lit("")) == "", "no factor name").when(F.coalesce("formula", F.lit("")) == "", "no formula")
+    mappings = F.when(F.size(given) > 0, F.transform(given, lambda m: tagged(m, F.lit(None).cast("string")))).otherwise(by_field)
+    return specs.withColumns({"problem": problem, "description": description, "mappings": mappings})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import guards
+from ..plans.run import run
 from ..session import scratch_path
 from ..sources import panel as source
 from ..sources.bars import events_panel, supplier_panel
@@ -86,6 +87,19 @@ def guard_counts(spark, sf_dir):
     return guards.guard_counts(listed_panel(spark, sf_dir))
 
 
+@query(
+    "run_flags",
+    f"""WITH {GUARDED} SELECT count(*) AS rows_before, count(*) FILTER (dropped_by IS NULL) AS rows_after, count(*) FILTER (dropped_by = 'special') AS special, count(*) FILTER (dropped_by = 'suspended') AS suspended,
+    count(*) FILTER (dropped_by = 'new_listing') AS new_listing, count(*) FILTER (dropped_by = 'limit') AS "limit", count(*) FILTER (dropped_by = 'no_previous_close') AS no_previous_close,
+    'close / Ref(close, 2) - 1' AS formula, false AS formula_fallback, true AS formula_rewritten, true AS universe_fallback FROM marked""",
+)
+def run_flags(spark, sf_dir):
+    """A formula as a report writes it in a pool that is not known: the counts of its guards and what stood in for what."""
+    result, flags = run(listed_panel(spark, sf_dir), "$close ÷ Delay($close, 2) - 1", "nikkei")
+    values = {"rows_before": flags.rows_before, "rows_after": flags.rows_after, **flags.dropped, "formula": flags.formula, "formula_fallback": flags.formula_fallback, "formula_rewritten": flags.formula_rewritten, "universe_fallback": flags.universe_fallback}
+    return result.select(*(F.lit(v).cast("long").alias(k) if type(v) is int else F.lit(v).alias(k) for k, v in values.items()))
+
+
 @query(
     "adjustment_check",
     f"""WITH {EVENTS_PANEL}, moves AS (SELECT abs(close / lag(close) OVER (PARTITION BY asset ORDER BY date) - 1) AS move FROM panel)

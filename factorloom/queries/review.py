@@ -190,3 +190,35 @@ def tickets(spark, sf_dir):
     k = F.col("o_orderkey")
     category = F.when(k % 3 == 0, "entity_merge").when(k % 3 == 1, "layout_reflection").otherwise("odd")
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("id"), legacy.ticket_action(k % 4 != 0, category, k % 7).alias("action"))
+
+
+#: Terms that reports use for a part's fields, one of them not in the dictionary, and brackets of its formula.
+TERMS, ENDS = ("收盘价", "溢价率", "隐波", "某指标", ""), ("close", "(close", "close)", "[close)", "")
+NAMES = ("close", "PB ", "x_field")
+
+
+@query(
+    "review_specs",
+    f"""WITH p AS (SELECT p_partkey AS id, {list(TERMS)}[1 + p_partkey % 5] AS term, {list(NAMES)}[1 + p_partkey % 3] AS name, {list(ENDS)}[1 + p_partkey % 5] AS formula, p_partkey % 10 / 10.0::DOUBLE AS sure, p_partkey % 4 = 0 AS given FROM part),
+d(term, field) AS (VALUES {", ".join(f"('{t}', '{f}')" for t, f in review.DATA_DICTIONARY.items())}),
+m AS (SELECT p.*, coalesce(d.field, CASE WHEN lower(trim(name)) IN (SELECT field FROM d) THEN lower(trim(name)) END) AS known FROM p LEFT JOIN d USING (term)),
+b AS (SELECT *, replace(replace(regexp_replace(formula, '[^()\\[\\]]', '', 'g'), '()', ''), '[]', '') AS rest FROM m)
+SELECT id, CASE WHEN given THEN 'given' WHEN term <> '' THEN term ELSE name END AS report_term, CASE WHEN given THEN 'close' ELSE coalesce(known, name) END AS canonical_term,
+       CASE WHEN given THEN CASE WHEN sure >= 0.8 THEN 'OK' ELSE 'WARN' END WHEN known IS NOT NULL THEN 'OK' ELSE 'WARN' END AS tag, CASE WHEN NOT given THEN CASE WHEN known IS NOT NULL THEN 'Auto-mapped' ELSE 'Fallback mapping' END END AS note,
+       CASE WHEN formula = '' THEN 'no formula' END AS problem,
+       'text' || CASE WHEN rest IN ('(', '[') THEN chr(10) || '[WARN] Formula has unclosed brackets.' WHEN rest <> '' THEN chr(10) || '[WARN] Formula has mismatched brackets.' ELSE '' END
+              || CASE WHEN sure < 0.5 THEN chr(10) || '[WARN] Low extraction confidence.' ELSE '' END AS description FROM b""",
+)
+def specs(spark, sf_dir):
+    k = F.col("p_partkey")
+
+    def pick(items):
+        return F.element_at(F.array(*[F.lit(x) for x in items]), (k % len(items) + 1).cast("int"))
+
+    sure = k % 10 / F.lit(10.0)
+    given = F.struct(F.lit("given").alias("report_term"), F.lit("close").alias("canonical_term"), sure.alias("confidence"))
+    table = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        k.alias("id"), F.col("p_name").alias("factor_name"), pick(ENDS).alias("formula"), F.lit("text").alias("description"), sure.alias("extraction_confidence"),
+        F.array(F.struct(pick(NAMES).alias("name"), pick(TERMS).alias("report_name"))).alias("input_fields"), F.when(k % 4 == 0, F.array(given)).alias("mappings"),
+    )
+    return review.validated_specs(table).select("id", F.explode("mappings").alias("m"), "problem", "description").select("id", "m.report_term", "m.canonical_term", "m.tag", "m.note", "problem", "description")

@@ -489,3 +489,41 @@ def test_redundancy_against_pandas(spark):
         assert got[name]["correlation"] == pytest.approx(each[best], abs=1e-6) and (got[name]["known_factor"] == best or each[got[name]["known_factor"]] == pytest.approx(each[best], abs=1e-6))
         assert got[name]["n"] == (~gaps[name] & ~gaps[got[name]["known_factor"]]).sum() and got[name]["redundant"] == (got[name]["correlation"] > 0.7)
     assert got["k1"]["known_factor"] != "k1" and catalog.redundancy(frame(spark, [], schema), frame(spark, rows(known), schema)).count() == 0
+
+
+def test_run_flags(spark):
+    from factorloom.plans.run import run
+
+    rows = [(DAY + dt.timedelta(days=d), f"{a:06}", 10.0 + a + (d * (a + 1)) % 3 / 10, 100.0 if (d, a) != (4, 1) else 0.0) for d in range(30) for a in range(12)]
+    prices = frame(spark, rows, "date date, asset string, close double, volume double")
+    result, flags = run(prices, "$close ÷ Delay($close, 2) - 1", "csi300")
+    assert flags.formula == "close / Ref(close, 2) - 1" and flags.clean and flags.formula_rewritten
+    assert (flags.rows_before, flags.dropped["suspended"], flags.dropped["no_previous_close"]) == (360, 1, 12) and flags.rows_after == 360 - sum(flags.dropped.values())
+    assert result.count() == 1 and result.first()["n_nonfinite"] == 0
+    _, odd = run(prices, "因子 = 动量", "nikkei", ("momentum",))
+    assert odd.formula_proxy and odd.formula_fallback and odd.universe_fallback and "nikkei" in odd.universe_fallback_reason and not odd.clean
+    _, lacking = run(prices, "Mean(roe, 5)", None)
+    assert lacking.formula_fallback and "return_on_equity" in lacking.formula_fallback_reason
+
+
+def test_brackets_and_specs(spark):
+    from factorloom.operators import review
+
+    def brute(text):
+        stack = []
+        for c in text or "":
+            if c in "([{":
+                stack.append(c)
+            elif c in ")]}":
+                if not stack or "([{".index(stack.pop()) != ")]}".index(c):
+                    return "mismatched brackets"
+        return "unclosed brackets" if stack else None
+
+    r = np.random.default_rng(6)
+    texts = [None, "", "(a[b]{c})", "([)]", "((", "a)b("] + ["".join(r.choice(list("([{)]}ab"), size=r.integers(1, 9))) for _ in range(300)]
+    got = frame(spark, list(enumerate(texts)), "i int, s string").select("i", review.bracket_warning(F.col("s")).alias("w")).orderBy("i").collect()
+    assert [x["w"] for x in got] == [brute(t) for t in texts]
+    schema = "factor_name string, formula string, description string, extraction_confidence double, input_fields array<struct<name:string,report_name:string>>, mappings array<struct<report_term:string,canonical_term:string,confidence:double>>"
+    nulls, own = (review.validated_specs(frame(spark, [row], schema)).first() for row in ((None,) * 6, ("f", "close", "d", 0.9, [(None, None), (" YTM", None), ("c", "债底")], [])))
+    assert nulls["problem"] == "no factor name" and nulls["mappings"] == [] and nulls["description"] == "\n[WARN] Low extraction confidence."
+    assert [(m["canonical_term"], m["tag"]) for m in own["mappings"]] == [(None, "WARN"), ("ytm", "OK"), ("bond_value", "OK")] and own["problem"] is None and own["description"] == "d"
