@@ -21,6 +21,8 @@ from ..functions import frames, ieee
 
 #: Window length where a column stands for it.
 DEFAULT_WINDOW = 20
+#: Rows from which a rolling extreme goes by blocks.
+LONG_WINDOW = 64
 #: What weights of an exponential average fall to within a block of rows, and how many blocks before a row's own still count.
 BLOCK_DECAY, CARRIED = 1e-6, 3
 
@@ -389,8 +391,45 @@ def _of_history(name: str, constant: float | None, f: Callable[[Column], Column]
 operator("Median", least=2)(_of_history("median", None, lambda c: F.percentile(c, F.lit(0.5))))
 operator("Skew", least=2)(_of_history("skew", math.nan, F.skewness))
 operator("Kurt", least=2)(_of_history("kurt", math.nan, F.kurtosis))
-operator("Ts_Max", least=2)(_of_history("tsmax", None, F.max))
-operator("Ts_Min", least=2)(_of_history("tsmin", None, F.min))
+def _extreme(name: str, constant: float | None, frame: Callable[[Column, int], Column], best: Callable[[Column], Column], item: Callable[[Column, Column], Column], found: Callable[[Column, Column, Column], Column]):
+    """A rolling extreme. Short windows are read row by row (``frame``). From ``LONG_WINDOW`` rows on, histories are cut into blocks as long as the window: the last n rows
+    are the end of one block and the beginning of the next, so an extreme is the better of two running ones, whatever n. ``item``: what is compared, of
+    value and row number, NaN above all; ``found``: the result from the best item, the value and the row number."""
+
+    def op(cx, x, n):
+        if is_number(x):
+            return float(x) if constant is None else constant
+        n = window_length(n, name)
+        if n < LONG_WINDOW:
+            return cx.place(f"{name}{n}", x, lambda c: frames.once_full(frame(c, n), n, c))
+        row = cx.place("row", x, lambda c: F.row_number().over(frames.history()) - 1)
+        within = Window.partitionBy("asset", F.floor(row.column / n))
+
+        def up_to(order: Column):
+            return lambda c, r: best(F.when(c.isNotNull(), item(c, r))).over(within.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+
+        head = cx.place_all(f"{name}{n}.head", up_to(F.col("date").asc()), x, row)
+        tail = cx.place_all(f"{name}{n}.tail", up_to(F.col("date").desc()), x, row)
+        present = cx.place("running_count", x, lambda c: F.count(c).over(frames.history().rowsBetween(Window.unboundedPreceding, 0)))
+        before = cx.place_all(f"{name}{n}.before", lambda t: F.lag(t, n - 1).over(frames.history()), tail)
+        earlier = cx.place_all(f"{name}{n}.present", lambda p: F.lag(p, n, 0).over(frames.history()), present)
+
+        def better(c: Column, r: Column, h: Column, b: Column, p: Column, e: Column) -> Column:
+            either = F.array(h, b)  # both hold a value where all n rows do
+            top = F.array_max(either) if best is F.max else F.array_min(either)
+            return F.when((p - e >= n) & (r >= n - 1), found(top, c, r))
+
+        return cx.place_all(f"{name}{n}", better, x, row, head, before, present, earlier)
+
+    return op
+
+
+def _just(c: Column, _: Column) -> Column:
+    return c.cast("double")
+
+
+operator("Ts_Max", least=2)(_extreme("tsmax", None, lambda c, n: F.max(c).over(frames.last_rows(n)), F.max, _just, lambda top, c, r: top))
+operator("Ts_Min", least=2)(_extreme("tsmin", None, lambda c, n: F.min(c).over(frames.last_rows(n)), F.min, _just, lambda top, c, r: top))
 
 
 @operator("Ts_Percentile", least=2, most=3)
@@ -485,8 +524,16 @@ def _of_list(name: str, constant: float, f: Callable[[Column, Column, int], Colu
 #: Share of the last n rows not above the current one: the ordinal rank of the newest among equals.
 operator("Ts_Rank", least=2)(_of_list("tsrank", 0.5, lambda seen, c, n: F.size(F.filter(seen, lambda v: v <= c)) / n))
 #: Rows since the extreme, its first occurrence.
-operator("Ts_ArgMax", least=2)(_of_list("argmax", 0.0, lambda seen, c, n: n - F.array_position(seen, F.array_max(seen))))
-operator("Ts_ArgMin", least=2)(_of_list("argmin", 0.0, lambda seen, c, n: n - F.array_position(seen, F.array_min(seen))))
+def _since(seen_best: Callable[[Column], Column]) -> Callable[[Column, int], Column]:
+    def rows(c: Column, n: int) -> Column:
+        seen = F.collect_list(c.cast("double")).over(frames.last_rows(n))
+        return (n - F.array_position(seen, seen_best(seen))).cast("double")
+
+    return rows
+
+
+operator("Ts_ArgMax", least=2)(_extreme("argmax", 0.0, _since(F.array_max), F.max, lambda c, r: F.struct(c.cast("double").alias("x"), (-r).alias("r")), lambda top, c, r: (r + top["r"]).cast("double")))
+operator("Ts_ArgMin", least=2)(_extreme("argmin", 0.0, _since(F.array_min), F.min, lambda c, r: F.struct(c.cast("double").alias("x"), r.alias("r")), lambda top, c, r: (r - top["r"]).cast("double")))
 
 
 @operator("Corr", "Correlation", least=3)

@@ -236,3 +236,38 @@ def test_ema_costs_the_same_for_any_window(spark):
     seconds(20)
     short, long = (min(seconds(n) for _ in range(2)) for n in (20, 250))
     assert long < 2 * short + 0.5
+
+
+@pytest.mark.parametrize("n", [63, 64, 100, 250])
+def test_rolling_extremes_over_long_windows(spark, n):
+    """By blocks from 64 rows on, against pandas: gaps, ties, NaN, a history shorter than the window, and beside a cross-section of the same column."""
+    r = np.random.default_rng(n)
+    xs = [None if r.random() < 0.004 else math.nan if r.random() < 0.002 else float(x) for x in r.integers(0, 40, 1200)]
+    p = panel(spark, a=xs, b=[1.0, 3.0, 2.0])
+    names = {"Ts_Max": lambda w: np.max(w), "Ts_Min": lambda w: np.nanmin(w), "Ts_ArgMax": lambda w: n - 1 - (np.flatnonzero(np.isnan(w))[0] if np.isnan(w).any() else np.argmax(w)), "Ts_ArgMin": lambda w: n - 1 - np.nanargmin(w)}
+    rows = compute_many(p, {k: f"{k}(close, {n})" for k in names} | {"w": "Winsorize(close, 0.1)"}).orderBy("asset", "date").collect()
+    assert all(r[k] is None for r in rows[1200:] for k in names)
+    for k, f in names.items():
+        for i, row in enumerate(rows[:1200]):
+            window = xs[max(0, i - n + 1) : i + 1]
+            if len(window) < n or any(x is None for x in window):
+                assert row[k] is None, (k, i)
+            else:
+                want = f(np.array(window))
+                assert row[k] == want or (math.isnan(row[k]) and math.isnan(want)), (k, i)
+
+
+def test_long_windows_of_extremes_cost_the_same(spark):
+    import time
+
+    p = panel(spark, **{f"s{k}": np.random.default_rng(k).normal(size=2000).tolist() for k in range(12)}).cache()
+    p.count()
+
+    def seconds(n):
+        began = time.perf_counter()
+        compute_many(p, {"x": f"Ts_Max(close, {n})"}).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    seconds(64)
+    short, long = (min(seconds(n) for _ in range(2)) for n in (64, 1000))
+    assert long < 2 * short + 0.5
