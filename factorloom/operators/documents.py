@@ -154,7 +154,9 @@ def sanitized(text: Column) -> Column:
 
 # ---- chunks ---------------------------------------------------------------------------------------------------------
 
-PAGE_MARK = re.compile(r"(?m)^(?:<!--\s*page\s*:\s*\d+\s*-->|#+\s*page\s+\d+)")
+#: A line that begins a page; only a line feed ends a line.
+PAGE_MARK = r"(?md)^(?:<!--\s*page\s*:\s*\d+\s*-->|#+\s*page\s+\d+)"
+BLANKS = " \t\n\r\x0b\x0c"
 
 
 def hard_split(text: Column, size: int = 10_000, overlap: int = 400) -> Column:
@@ -164,43 +166,42 @@ def hard_split(text: Column, size: int = 10_000, overlap: int = 400) -> Column:
     return F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(size)))
 
 
-def pack(text: str, size: int = 10_000, overlap: int = 400) -> list[str]:
-    """Chunks of a text: its pages (two marks or more) or else its paragraphs, packed up to ``size``; a chunk that does not start
-    the text or follow a hard split begins with the end of the one before."""
-    if not text.strip():
-        return []
-    if len(text) <= size:
-        return [text]
-    marks = [m.start() for m in PAGE_MARK.finditer(text)]
-    if len(marks) >= 2:
-        segments = [text[a:b].strip() for a, b in zip(marks, [*marks[1:], len(text)])]
-    else:
-        segments = [p for p in re.split(r"\n{2,}", text) if p.strip()]
-    out: list[str] = []
-    held = ""
-    for s in filter(None, segments):
-        if len(s) > size:
-            out += [held] if held else []
-            held = ""
-            out += [s[i : i + size] for i in range(0, len(s), max(1, size - overlap))]
-        elif not held:
-            held = s
-        elif len(joined := f"{held}\n\n{s}".strip()) <= size:
-            held = joined
-        else:
-            out.append(held)
-            held = f"{held[-overlap:]}\n\n{s}".strip() if overlap > 0 else s
-    return out + ([held] if held else [])
+def _stripped(text: Column) -> Column:
+    return F.trim(text, F.lit(BLANKS))
 
 
-def chunks(docs: DataFrame, size: int = 10_000, overlap: int = 400) -> DataFrame:
-    """``doc_id, chunk_no, chunk`` of ``doc_id, text``."""
+def segments_of(text: Column) -> Column:
+    """A text's pages, if two marks or more begin one (what stands before the first is no page), or else its paragraphs; none of them blank."""
+    n_marks = F.size(F.regexp_extract_all(text, F.lit(PAGE_MARK), F.lit(0)))
+    cut = F.split(text, PAGE_MARK.replace("^(?:", "(?=^(?:", 1) + ")", -1)
+    pages = F.transform(F.slice(cut, F.greatest(F.size(cut) - n_marks, F.lit(0)) + 1, F.greatest(n_marks, F.lit(1))), _stripped)
+    return F.filter(F.when(n_marks >= 2, pages).otherwise(F.split(text, "\n{2,}", -1)), lambda s: _stripped(s) != "")
+
 
-    @F.pandas_udf("array<string>")
-    def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: pack(t or "", size, overlap))
+def packed(segments: Column, size: int = 10_000, overlap: int = 400) -> Column:
+    """Segments packed up to ``size``: a fold with the chunk that is still open and those that are done. A chunk that neither comes first nor follows a
+    segment that was split for its length begins with the end of the one before."""
+    none = F.array().cast("array<string>")
 
-    return docs.select("doc_id", F.posexplode(packed("text")).alias("chunk_no", "chunk"))
+    def joined(a: Column, b: Column) -> Column:
+        return _stripped(F.concat(a, F.lit("\n\n"), b))
+
+    def add(state: Column, s: Column) -> Column:
+        held, out = state["held"], state["out"]
+        long, empty, fits = F.length(s) > size, held == "", F.length(joined(held, s)) <= size
+        begun = joined(F.right(held, F.lit(overlap)), s) if overlap > 0 else s
+        open_ = F.when(long, "").when(empty, s).when(fits, joined(held, s)).otherwise(begun)
+        done = F.when(empty, out).otherwise(F.concat(out, F.array(held)))
+        return F.struct(open_.alias("held"), F.when(long, F.concat(done, hard_split(s, size, overlap))).when(empty | fits, out).otherwise(done).alias("out"))
+
+    return F.aggregate(segments, F.struct(F.lit("").alias("held"), none.alias("out")), add, lambda s: F.when(s["held"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["held"]))))
+
+
+def chunks(docs: DataFrame, size: int = 10_000, overlap: int = 400) -> DataFrame:
+    """``doc_id, chunk_no, chunk`` of ``doc_id, text``: a text of at most ``size`` characters whole, a longer one packed; null and blank texts have no chunk."""
+    text = F.col("text")
+    found = F.when(_stripped(text) == "", F.array().cast("array<string>")).when(F.length(text) <= size, F.array(text)).otherwise(packed(segments_of(text), size, overlap))
+    return docs.select("doc_id", F.posexplode(found).alias("chunk_no", "chunk"))
 
 
 # ---- numbers and metrics --------------------------------------------------------------------------------------------

@@ -169,12 +169,38 @@ def test_rounded_curve(spark):
 # ---- documents ------------------------------------------------------------------------------------------------------
 
 
-def test_chunks_pack_pages_and_overlap():
-    assert documents.pack("  ") == [] and documents.pack("short") == ["short"]
-    text = "\n".join(f"<!-- page: {i} -->\n" + "x" * 60 for i in range(3))
-    got = documents.pack(text, 100, 10)
-    assert len(got) == 3 and got[1].startswith("x" * 10 + "\n\n<!-- page: 1 -->")
-    assert documents.pack("y" * 25, 10, 2) == ["y" * 10, "y" * 10, "y" * 9, "y"]
+def brute_chunks(text, size, overlap):
+    """Chunks by a plain loop over pages or paragraphs."""
+    import re
+
+    text = text or ""
+    if not text.strip() or len(text) <= size:
+        return [text] if text.strip() else []
+    marks = [m.start() for m in re.finditer(r"(?m)^(?:<!--\s*page\s*:\s*\d+\s*-->|#+\s*page\s+\d+)", text)]
+    parts = [text[i:j].strip() for i, j in zip(marks, [*marks[1:], len(text)])] if len(marks) >= 2 else [p for p in re.split(r"\n{2,}", text) if p.strip()]
+    out, held = [], ""
+    for part in parts:
+        if len(part) > size:
+            out += [held] * bool(held) + [part[i : i + size] for i in range(0, len(part), max(1, size - overlap))]
+            held = ""
+        elif held and len(f"{held}\n\n{part}".strip()) > size:
+            out.append(held)
+            held = f"{held[-overlap:]}\n\n{part}".strip() if overlap else part
+        else:
+            held = f"{held}\n\n{part}".strip() if held else part
+    return out + [held] * bool(held)
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(100, 10), (10, 2), (40, 0), (7, 9)])
+def test_chunks_pack_pages_and_paragraphs(spark, size, overlap):
+    r = np.random.default_rng(size)
+    pieces = ["x" * 60, "word ", "\n", "\n\n", "\n\n\n", "<!-- page: 3 -->\n", "\n## page 4 ", " ", "é中🙂", "\r\n", "y" * 25]
+    texts = [None, "", "  \n ", "short", "y" * 25, "\n".join(f"<!-- page: {i} -->\n" + "x" * 60 for i in range(3)), "head\n# page 1\na\n# page 2\nb" + "z" * 30] + ["".join(r.choice(pieces, size=r.integers(1, 25))) for _ in range(200)]
+    got: dict[int, list] = {}
+    for row in documents.chunks(frame(spark, list(enumerate(texts)), "doc_id int, text string"), size, overlap).orderBy("doc_id", "chunk_no").collect():
+        got.setdefault(row["doc_id"], []).append(row["chunk"])
+    for k, text in enumerate(texts):
+        assert got.get(k, []) == brute_chunks(text, size, overlap), text
 
 
 def test_numbers():
