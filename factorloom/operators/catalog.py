@@ -247,15 +247,26 @@ def template_of(formula: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(formula, r"\b[0-9]+\b", "N"), r"\s+", "")
 
 
-def experience(runs: DataFrame) -> DataFrame:
-    """``key, template, fields, avg_ic, n_successes, report_ids`` of runs ``formula, fields, ic, report_id``, by template and fields."""
+def _patterns(runs: DataFrame) -> DataFrame:
     named = runs.withColumn("template", template_of(F.col("formula"))).withColumn("fields", F.array_sort("fields"))
-    named = named.withColumn("key", short_key(F.col("template"), F.array_join("fields", ",")))
-    return named.groupBy("key").agg(
-        F.min("template").alias("template"), F.min("fields").alias("fields"), F.avg("ic").alias("avg_ic"), F.count(F.lit(1)).alias("n_successes"), F.array_sort(F.collect_set("report_id")).alias("report_ids")
+    return named.withColumn("key", short_key(F.col("template"), F.array_join("fields", ",")))
+
+
+def experience(runs: DataFrame) -> DataFrame:
+    """``key, template, fields, avg_ic, n_successes, n_reports`` of runs ``formula, fields, ic, report_id``, by template and fields. Sums by report come first, so
+    that no task holds the reports of a pattern that very many runs share; ``experience_reports`` has them as rows."""
+    by_report = _patterns(runs).groupBy("key", "report_id").agg(F.min("template").alias("template"), F.min("fields").alias("fields"), F.sum("ic").alias("ic"), F.count("ic").alias("n_ic"), F.count(F.lit(1)).alias("n"))
+    n_ic = F.sum("n_ic")
+    return by_report.groupBy("key").agg(
+        F.min("template").alias("template"), F.min("fields").alias("fields"), (F.sum("ic") / F.when(n_ic > 0, n_ic)).alias("avg_ic"), F.sum("n").alias("n_successes"), F.count("report_id").alias("n_reports")
     )
 
 
+def experience_reports(runs: DataFrame) -> DataFrame:
+    """``key, report_id``: the reports of each pattern of ``experience``, each once."""
+    return _patterns(runs).where("report_id IS NOT NULL").select("key", "report_id").distinct()
+
+
 def similar(patterns: DataFrame, formula: str, fields: Sequence[str], k: int = 5) -> DataFrame:
     """The k patterns most similar to a formula: 0.6 for its template (0.7 of it for a part) and 0.4 for shared fields."""
     mine = F.array(*[F.lit(f) for f in fields]) if fields else F.array().cast("array<string>")

@@ -127,7 +127,15 @@ SELECT {KEY} AS key, template, array_to_string(fields, ',') AS fields, round(avg
 )
 def experience(spark, sf_dir):
     found = catalog.experience(factors(spark, sf_dir))
-    return found.select("key", "template", F.array_join("fields", ",").alias("fields"), F.round("avg_ic", 8).alias("avg_ic"), "n_successes", F.size("report_ids").cast("long").alias("n_reports"))
+    return found.select("key", "template", F.array_join("fields", ",").alias("fields"), F.round("avg_ic", 8).alias("avg_ic"), "n_successes", "n_reports")
+
+
+@query(
+    "catalog_experience_reports",
+    f"""WITH {FACTORS_SQL}, x AS (SELECT {TEMPLATE} AS template, list_sort(fields) AS fields, report_id FROM factors) SELECT DISTINCT {KEY} AS key, report_id FROM x""",
+)
+def experience_reports(spark, sf_dir):
+    return catalog.experience_reports(factors(spark, sf_dir))
 
 
 @query(

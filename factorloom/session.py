@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -28,15 +29,30 @@ def session(app: str = "factorloom", master: str | None = None, **settings: str)
     return builder.getOrCreate()
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the JVM may be gone; the shared folder has its own retention then
+            return
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A fresh path under the folder of ``spark.checkpoint.dir``; under a private folder only where that is unset on a local master (tests)."""
+    """A fresh path under the folder of ``spark.checkpoint.dir``, deleted when the driver ends; under a private folder only where that is unset on a local master (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="factorloom-")
         spark.sparkContext.setCheckpointDir(named)
-    return f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    path = f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    _written.append((spark, path))
+    return path
 
 
 def staged(df: DataFrame, what: str) -> DataFrame:
