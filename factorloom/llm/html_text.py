@@ -9,7 +9,7 @@ prose is spared: the lines of paragraphs, headings, list items, cells and the li
 Lines of menus, headers, footers, sidebars, notices, adverts, forms and comments go by the names of their elements too, as
 not every page has a neighbour. A class or id counts only if the whole of a name says so (``related-posts``, not
 ``related-work``), and ids, which are often but link targets, only on containers. On an ``article`` or ``main`` only words for
-comments count; within one, weaker words (``CONTAINER_MARKS``) make a line suspect, and it goes if a neighbour shares it or if links make up
+comments count; within one, a weaker word (of ``CONTAINER_MARKS``) that stands alone makes a line suspect, and it goes if a neighbour shares it or if links make up
 all of it. A page all of whose lines are marked by class alone keeps them.
 
 The neighbours come from one range sort of small rows (line hashes, no markup), one for each different host and path: each
@@ -104,6 +104,11 @@ def _is_mark(token: str, marks: frozenset[str]) -> bool:
     return marked
 
 
+def _is_topic(token: str) -> bool:
+    """Whether a class or id is one word that an article may well be about; a compound, or ``notice``, says what the element is for."""
+    return len(WORDS.findall(CAMEL.sub("-", token).lower())) == 1 and token.lower() not in ("notice", "notices")
+
+
 def _traits(name: str, attrs: str, inside: int, quoted: bool) -> tuple[int, int]:
     """How surely an element is furniture, and what container it is. ``quoted``: it stands in preformatted text."""
     level = CERTAIN if name in FURNITURE or (name == "header" and inside < MAIN) else 0
@@ -129,7 +134,7 @@ def _traits(name: str, attrs: str, inside: int, quoted: bool) -> tuple[int, int]
                 elif name in ("article", "main"):
                     level = max(level, NAMED_SO * _is_mark(token, REMARKS))
                 elif inside >= MAIN:
-                    level = max(level, NAMED_SO * _is_mark(token, MARKS - {"masthead"}), SUSPECT * _is_mark(token, MARKS | weak - {"header"}))
+                    level = max(level, NAMED_SO * _is_mark(token, MARKS - {"masthead"}), (SUSPECT if _is_topic(token) else NAMED_SO) * _is_mark(token, MARKS | weak - {"header"}))
                 else:
                     level = max(level, NAMED_SO * _is_mark(token, MARKS if kind == "id" and name == "section" else MARKS | weak))
     return level, container
