@@ -7,9 +7,13 @@ seed and its own number alone.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -239,25 +243,43 @@ def grid(n: int) -> tuple[int, int]:
     return a, -(-n // a)
 
 
-def permuted(df: DataFrame, place: str, n: int, *key: str | int, rounds: int = 2) -> DataFrame:
-    """``df`` with ``place`` moved by a bijection of 0 to n - 1 that ``key`` alone decides, so that nothing is sorted and any task can compute its own rows.
+#: A prime below 2^31: squares of what is below it fit a long. Rounds of a bijection, each with two keys.
+PRIME, ROUNDS = 2_147_483_647, 4
 
-    Rows and columns of a grid are shifted in turns, each by a digest of the other and the key, which can be undone, so no two places
-    meet; a place that comes out in a spare cell is moved on until it is in range (there are few such cells, so few steps suffice).
+
+def round_keys(*key: int) -> list[int]:
+    """The keys of each round, from a digest of ``key`` and the round's number."""
+    digests = [hashlib.md5("|".join(map(str, (*key, k))).encode()).hexdigest() for k in range(ROUNDS)]
+    return [int(d[at : at + 8], 16) % PRIME for d in digests for at in (0, 8)]
+
+
+def permuted(df: DataFrame, place: str, n: int, keys: str) -> DataFrame:
+    """``df`` with ``place`` moved by a bijection of 0 to n - 1 that its row's ``keys`` (an array of ``round_keys``) decide, so that nothing is sorted and any task can compute its own rows.
+
+    Rows and columns of a grid are shifted in turns, each by a mixture of the other with two keys, which can be undone, so no two places
+    meet; a place that comes out in a spare cell is moved on until it is in range. All is integer arithmetic over Arrow batches: as columns, the
+    optimizer would repeat the rounds within each other.
     """
     a, b = grid(n)
 
-    def moved(df: DataFrame) -> DataFrame:
-        df = df.withColumns({"__u": F.floor(F.col("__x") / b).cast("long"), "__v": F.col("__x") % b})
-        for k in range(rounds):
-            df = df.withColumn("__u", (F.col("__u") + drawn(*key, 2 * k, "__v")) % a)
-            df = df.withColumn("__v", (F.col("__v") + drawn(*key, 2 * k + 1, "__u")) % b)
-        return df.withColumn("__y", F.col("__u") * b + F.col("__v"))
+    def moved(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+        sides = [x // b, x % b]
+        for r in range(ROUNDS):
+            own, size = r % 2, (a, b)[r % 2]
+            t = (sides[1 - own] + k[:, 2 * r]) % PRIME
+            t = (t * t % PRIME + k[:, 2 * r + 1]) % PRIME
+            sides[own] = (sides[own] + t * t % PRIME) % size
+        return sides[0] * b + sides[1]
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.column(keys).flatten().to_numpy().reshape(-1, 2 * ROUNDS)
+            x = moved(batch.column(place).to_numpy().astype(np.int64), k)
+            while len(spare := np.flatnonzero(x >= n)):
+                x[spare] = moved(x[spare], k[spare])
+            yield pa.RecordBatch.from_arrays([pa.array(x) if name == place else batch.column(name) for name in batch.schema.names], batch.schema.names)
 
-    df = moved(df.withColumn("__x", F.col(place).cast("long"))).withColumn(place, F.col("__y"))
-    for _ in range(a * b - n):
-        df = moved(df.withColumn("__x", F.col(place))).withColumn(place, F.when(F.col(place) < n, F.col(place)).otherwise(F.col("__y")))
-    return df.drop("__x", "__y", "__u", "__v")
+    return df.withColumn(place, F.col(place).cast("long")).mapInArrow(each, df.withColumn(place, F.col(place).cast("long")).schema)
 
 
 def placebo(factor: DataFrame, returns: DataFrame, shuffles: int = 100, seed: int = 42) -> DataFrame:
@@ -267,7 +289,7 @@ def placebo(factor: DataFrame, returns: DataFrame, shuffles: int = 100, seed: in
     rows. Ranks of the returns within dates are the same in every replicate, so they are formed once too. Replicates are groups of one job.
     """
     rows = factor.join(returns, ["date", "asset"]).where("factor_value IS NOT NULL AND forward_return IS NOT NULL")
-    day = Window.partitionBy("date")
+    spark, day = factor.sparkSession, Window.partitionBy("date")
     rows = rows.select("date", "factor_value", frames.average_rank(F.col("forward_return"), "date").alias("y"), F.row_number().over(day.orderBy("asset", "factor_value", "forward_return")).alias("k"))
     rows = staged(rows, "placebo")
     days = rows.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
@@ -281,8 +303,10 @@ def placebo(factor: DataFrame, returns: DataFrame, shuffles: int = 100, seed: in
 
     true_ic = mean_ic(rows).agg(F.coalesce(F.max("ic"), F.lit(0.0)).alias("true_ic"))
     values = numbered.select("place", "factor_value")
-    copies = numbered.select("date", "y", "place", F.explode(F.sequence(F.lit(1), F.lit(shuffles))).alias("rep"))
-    chance = mean_ic(permuted(copies, "place", rows.count(), seed, "rep").join(values, "place"), "rep")
+    replicates = spark.createDataFrame([(k, round_keys(seed, k)) for k in range(1, shuffles + 1)], "rep int, keys array<long>")
+    copies = numbered.select("date", "y", "place").crossJoin(F.broadcast(replicates))  # one short row a replicate
+    paired = permuted(copies, "place", rows.count(), "keys").drop("keys").join(values, "place")
+    chance = mean_ic(paired, "rep")
     found = chance.agg(F.coalesce(F.avg("ic"), F.lit(0.0)).alias("placebo_mean"), F.coalesce(F.stddev_pop("ic"), F.lit(0.0)).alias("placebo_std")).crossJoin(F.broadcast(true_ic))
     z = F.abs(F.col("true_ic") - F.col("placebo_mean")) / F.when(F.col("placebo_std") > 0, F.col("placebo_std"))
     p = F.when(F.col("placebo_std") > 0, 2 * (1 - normal_cdf_column(z))).otherwise(1.0)

@@ -229,12 +229,20 @@ def regimes(spark, sf_dir):
     return rounded(robust.regime_stress(factor.join(returns, ["date", "asset"])), "ic")
 
 
+def _shift(x: str, k: int) -> str:
+    """A round's mixture of a place with its two keys."""
+    t = f"(({x} + k[{2 * k + 1}]) % {robust.PRIME})"
+    u = f"(({t} * {t} % {robust.PRIME} + k[{2 * k + 2}]) % {robust.PRIME})"
+    return f"{u} * {u} % {robust.PRIME}"
+
+
 #: The place of a row in a replicate: rows and columns of the grid shifted in turns.
-MOVED = f"""SELECT rep, place, u2 * b + (v1 + {drawn("42", "rep", "3", "u2")}) % b AS x, step + 1 AS step FROM (
-  SELECT *, (u1 + {drawn("42", "rep", "2", "v1")}) % a AS u2 FROM (
-    SELECT *, (v0 + {drawn("42", "rep", "1", "u1")}) % b AS v1 FROM (
-      SELECT *, (u0 + {drawn("42", "rep", "0", "v0")}) % a AS u1 FROM (
-        SELECT w.*, n, a, b, x // b AS u0, x % b AS v0 FROM walk w CROSS JOIN grid WHERE step = 0 OR x >= n))))"""
+KEYS = ", ".join(f"('0x' || substr(md5(concat_ws('|', '42', rep, '{r}')), {at}, 8))::BIGINT % {robust.PRIME}" for r in range(robust.ROUNDS) for at in (1, 9))
+MOVED = f"""SELECT rep, place, u2 * b + (v1 + {_shift("u2", 3)}) % b AS x, step + 1 AS step FROM (
+  SELECT *, (u1 + {_shift("v1", 2)}) % a AS u2 FROM (
+    SELECT *, (v0 + {_shift("u1", 1)}) % b AS v1 FROM (
+      SELECT *, (u0 + {_shift("v0", 0)}) % a AS u1 FROM (
+        SELECT w.*, n, a, b, k, x // b AS u0, x % b AS v0 FROM walk w JOIN keys USING (rep) CROSS JOIN grid WHERE step = 0 OR x >= n))))"""
 
 
 @query(
@@ -242,6 +250,7 @@ MOVED = f"""SELECT rep, place, u2 * b + (v1 + {drawn("42", "rep", "3", "u2")}) %
     f"""{BASE.replace("WITH", "WITH RECURSIVE", 1)}, {DAILY_IC}, numbered AS (SELECT *, row_number() OVER (ORDER BY date, asset) - 1 AS place FROM joined),
 cells AS (SELECT count(*) AS n, floor(sqrt(count(*)))::BIGINT AS root FROM joined),
 grid AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT n, unnest(range(greatest(2, root // 2), 2 * root + 3)) AS a FROM cells) ORDER BY a * ((n + a - 1) // a), a LIMIT 1),
+keys AS (SELECT rep, [{KEYS}] AS k FROM range(1, 21) r(rep)),
 walk AS (SELECT rep, place, place AS x, 0 AS step FROM numbered CROSS JOIN range(1, 21) r(rep) UNION ALL {MOVED}),
 paired AS (SELECT w.rep, t.date, v.factor_value, t.forward_return FROM walk w JOIN numbered t ON t.place = w.place JOIN numbered v ON v.place = w.x WHERE w.step > 0 AND w.x < (SELECT n FROM grid)),
 shuffled AS ({spearman('paired', 'factor_value', 'forward_return', 'rep', 'date')}),

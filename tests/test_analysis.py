@@ -229,10 +229,10 @@ def test_text_columns(spark):
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 63, 97, 1000])
 def test_placebo_is_a_permutation(spark, n):
     """Also where the grid has spare cells; replicates and seeds differ."""
-    rows = spark.range(n).withColumn("rep", F.explode(F.array(F.lit(1), F.lit(2))))
     placed = {s: {k: [] for k in (1, 2)} for s in (7, 8)}
     for seed, found in placed.items():
-        for r in robust.permuted(rows.withColumn("place", F.col("id")), "place", n, seed, "rep").orderBy("id").collect():
+        keys = frame(spark, [(k, robust.round_keys(seed, k)) for k in (1, 2)], "rep int, keys array<long>")
+        for r in robust.permuted(spark.range(n).crossJoin(keys).withColumn("place", F.col("id")), "place", n, "keys").orderBy("id").collect():
             found[r["rep"]].append(r["place"])
     orders = [order for found in placed.values() for order in found.values()]
     assert all(sorted(order) == list(range(n)) for order in orders)
