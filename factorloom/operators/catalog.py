@@ -107,7 +107,7 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("__k", F.row_number().over(newest)).where("__k = 1").drop("__k")
 
 
-#: Factors of a block: a block pair's moments are six squares of this side.
+#: Factors of a block at most: a block pair's moments are six squares of this side.
 GRAM_BLOCK = 256
 
 
@@ -122,7 +122,7 @@ def _scattered(column: pa.Array, side: int) -> tuple[np.ndarray, np.ndarray]:
     return dense, there
 
 
-def _moments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _moments(side: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of products of each pair of blocks, from rows sorted by block pair: one pair's sums are held at a time."""
 
     def out() -> pa.RecordBatch:
@@ -136,16 +136,16 @@ def _moments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (bi[lo], bj[lo]) != block:
                 if block is not None:
                     yield out()
-                block, total = (bi[lo], bj[lo]), np.zeros((6, GRAM_BLOCK, GRAM_BLOCK))
+                block, total = (bi[lo], bj[lo]), np.zeros((6, side, side))
             for a in range(lo, hi, 2000):
                 part = batch.slice(a, min(2000, hi - a))
-                (x, mx), (y, my) = (_scattered(part.column(c), GRAM_BLOCK) for c in ("left", "right"))
+                (x, mx), (y, my) = (_scattered(part.column(c), side) for c in ("left", "right"))
                 total += np.stack([mx.T @ my, x.T @ my, mx.T @ y, (x * x).T @ my, mx.T @ (y * y), x.T @ y])
     if block is not None:
         yield out()
 
 
-def _best_in_block(least_rows: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _best_in_block(least_rows: int, side: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From parts of block pairs' moments, sorted by pair: of each factor the known one in the block that it correlates with most."""
 
     def best() -> pa.RecordBatch:
@@ -157,12 +157,12 @@ def _best_in_block(least_rows: int, batches: Iterable[pa.RecordBatch]) -> Iterat
             defined = (n >= least_rows) & (vx > 1e-14 * sxx) & (vy > 1e-14 * syy) & np.isfinite(r)
         # ties in all but rounding go to the first known factor
         r = np.where(defined, np.minimum(np.round(r, 12), 1.0), -1.0)
-        i = np.arange(GRAM_BLOCK) + block[0] * GRAM_BLOCK
+        i = np.arange(side) + block[0] * side
         top = []
         for skip in (False, True):  # the best, and the best but for that one, which may be the factor itself
             j = r.argmax(axis=1)
-            top.append((j + block[1] * GRAM_BLOCK, r.max(axis=1), n[np.arange(GRAM_BLOCK), j]))
-            r[np.arange(GRAM_BLOCK), j] = -1.0
+            top.append((j + block[1] * side, r.max(axis=1), n[np.arange(side), j]))
+            r[np.arange(side), j] = -1.0
         j, c, k = (np.concatenate(x) for x in zip(*top))
         keep = c >= 0
         return pa.RecordBatch.from_arrays([pa.array(np.tile(i, 2)[keep].astype(np.int32)), pa.array(j[keep].astype(np.int32)), pa.array(k[keep].astype(np.int64)), pa.array(c[keep])], ["i", "j", "n", "correlation"])
@@ -173,8 +173,8 @@ def _best_in_block(least_rows: int, batches: Iterable[pa.RecordBatch]) -> Iterat
             if (bi, bj) != block:
                 if block is not None:
                     yield best()
-                block, total = (bi, bj), np.zeros((6, GRAM_BLOCK, GRAM_BLOCK))
-            total += np.frombuffer(moments).reshape(6, GRAM_BLOCK, GRAM_BLOCK)
+                block, total = (bi, bj), np.zeros((6, side, side))
+            total += np.frombuffer(moments).reshape(6, side, side)
     if block is not None:
         yield best()
 
@@ -194,16 +194,17 @@ def redundancy(values: DataFrame, known: DataFrame, least_rows: int = 10, most:
         return staged(means.withColumn("k", F.row_number().over(Window.orderBy("factor")) - 1), "factor-numbers")  # one row a factor
 
     def blocks(rows: DataFrame, numbers: DataFrame, block: str, name: str) -> DataFrame:
-        item = F.struct((F.col("k") % GRAM_BLOCK).alias("pos"), (F.col("factor_value") - F.col("mean")).alias("x"))
-        placed = rows.join(numbers, "factor").select("date", "asset", F.floor(F.col("k") / GRAM_BLOCK).cast("int").alias(block), item.alias("item"))
+        item = F.struct((F.col("k") % side).alias("pos"), (F.col("factor_value") - F.col("mean")).alias("x"))
+        placed = rows.join(numbers, "factor").select("date", "asset", F.floor(F.col("k") / side).cast("int").alias(block), item.alias("item"))
         return placed.groupBy("date", "asset", block).agg(F.collect_list("item").alias(name))
 
     left, right = (df.select("factor", "date", "asset", F.col("factor_value").cast("double").alias("factor_value")).where(ieee.finite(F.col("factor_value"))) for df in (values, known))
     left_no, right_no = numbered(left), numbered(right)
+    side = max(1, min(GRAM_BLOCK, max(left_no.count(), right_no.count())))
     pairs = blocks(left, left_no, "bi", "left").join(blocks(right, right_no, "bj", "right"), ["date", "asset"])
     share = F.pmod(F.xxhash64("date", "asset"), F.lit(shares))
-    parts = pairs.repartition(shares, "bi", "bj", share).sortWithinPartitions("bi", "bj").select("bi", "bj", "left", "right").mapInArrow(_moments, "bi int, bj int, moments binary")
-    found = parts.repartition(shares, "bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(partial(_best_in_block, least_rows), "i int, j int, n long, correlation double")
+    parts = pairs.repartition(shares, "bi", "bj", share).sortWithinPartitions("bi", "bj").select("bi", "bj", "left", "right").mapInArrow(partial(_moments, side), "bi int, bj int, moments binary")
+    found = parts.repartition(shares, "bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(partial(_best_in_block, least_rows, side), "i int, j int, n long, correlation double")
     named = found.join(left_no.select(F.col("k").alias("i"), "factor"), "i").join(right_no.select(F.col("k").alias("j"), F.col("factor").alias("known_factor")), "j").where("factor <> known_factor")
     best = Window.partitionBy("factor").orderBy(F.desc("correlation"), "known_factor")
     first = named.withColumn("__k", F.row_number().over(best)).where("__k = 1")
