@@ -21,6 +21,14 @@ def ln(x: Column) -> Column:
     return F.when(x == 0, -INF).when(x < 0, NAN).otherwise(F.log(x))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to ``digits`` decimals as SQL engines round doubles: scaled, rounded with halves away from zero, scaled back. ``F.round`` rounds a double's shortest
+    decimal text instead, so that the two differ where scaling meets a half. What overflows when scaled stays as it is."""
+    x = x.cast("double")
+    scaled = x * F.lit(float(10**digits))
+    return F.when(finite(scaled), F.round(scaled) / F.lit(float(10**digits))).otherwise(x)
+
+
 def power(x: Column, n: Column) -> Column:
     return F.pow(x.cast("double"), n.cast("double"))
 

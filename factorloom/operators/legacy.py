@@ -71,7 +71,7 @@ def rounded_curve(moves: DataFrame, pnl: str, start: float = 100.0, digits: int
 
     def built(block: Column, last: Column) -> Column:
         """The value before the block, and those of its dates."""
-        return F.aggregate(block, F.array(last), lambda acc, x: F.concat(acc, F.array(F.round(F.element_at(acc, -1) * (1 + x["r"]), digits))))
+        return F.aggregate(block, F.array(last), lambda acc, x: F.concat(acc, F.array(ieee.rounded(F.element_at(acc, -1) * (1 + x["r"]), digits))))
 
     # a block's curve ends with what the next one begins with
     curves = F.aggregate(numbers, F.array(F.array(F.lit(float(start)))), lambda acc, b: F.concat(acc, F.array(built(b, F.element_at(F.element_at(acc, -1), -1)))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import ieee
 from ..operators import documents as d
 from ..operators import vocabulary
 from . import query
@@ -33,7 +34,7 @@ SELECT doc_id, round(CASE WHEN solid > 0 THEN cjk / solid::DOUBLE ELSE 0 END, 6)
 )
 def text_quality(spark, sf_dir):
     text = F.concat("text", F.when(F.col("doc_id") % 5 == 0, " 营业收入增长").otherwise(""))
-    return docs(spark, sf_dir).select("doc_id", F.round(d.cjk_ratio(text), 6).alias("cjk_ratio"), d.is_garbled(text).alias("garbled"))
+    return docs(spark, sf_dir).select("doc_id", ieee.rounded(d.cjk_ratio(text), 6).alias("cjk_ratio"), d.is_garbled(text).alias("garbled"))
 
 
 PAGE_CLASS = r"""t AS (SELECT doc_id, trim(coalesce(text, '')) AS text, doc_id % 3 = 0 AS images, doc_id % 4 = 0 AS ocr FROM documents),
@@ -165,7 +166,7 @@ TABLE_SQL = "s AS (SELECT s_suppkey AS k, s_suppkey % 10 AS a, s_suppkey % 7 AS
 SELECT k AS table_id, round(1 - empty * 0.2 - mean / 100 * 0.2, 6) AS score FROM c""",
 )
 def table_score(spark, sf_dir):
-    return tables(spark, sf_dir).select("table_id", F.round(d.table_score(d.table_rows(F.col("text"))), 6).alias("score"))
+    return tables(spark, sf_dir).select("table_id", ieee.rounded(d.table_score(d.table_rows(F.col("text"))), 6).alias("score"))
 
 
 #: Words of the three statements as SQL lists.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import ieee
 from ..plans.compiler import compute, compute_many
 from ..sources.bars import events_panel
 from . import query
@@ -129,7 +130,7 @@ def _register(name: str, formula: str, expr: str) -> None:
     @query(f"factor_{name}", sql)
     def run(spark, sf_dir):
         values = compute(events_panel(spark, sf_dir), formula)
-        return values.withColumn("factor_value", F.round("factor_value", 6) + F.lit(0.0))
+        return values.withColumn("factor_value", ieee.rounded(F.col("factor_value"), 6) + F.lit(0.0))
 
 
 for _name, (_formula, _expr) in OPERATORS.items():
@@ -147,4 +148,4 @@ SELECT date, asset, round(momentum, 6) + 0.0 AS momentum, round(reversal, 6) + 0
 )
 def many(spark, sf_dir):
     wide = compute_many(events_panel(spark, sf_dir), MANY)
-    return wide.select("date", "asset", *[(F.round(n, 6) + F.lit(0.0)).alias(n) for n in MANY])
+    return wide.select("date", "asset", *[(ieee.rounded(F.col(n), 6) + F.lit(0.0)).alias(n) for n in MANY])

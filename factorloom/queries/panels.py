@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import ieee
 from ..operators import guards
 from ..plans.run import run
 from ..session import scratch_path
@@ -15,12 +16,12 @@ from .sql import EVENTS_PANEL, SUPPLIER_PANEL
 
 @query("bars_events", f"WITH {EVENTS_PANEL} SELECT date, asset, open, high, low, close, round(volume, 6) AS volume, amount FROM panel")
 def bars_events(spark, sf_dir):
-    return events_panel(spark, sf_dir).withColumn("volume", F.round("volume", 6))
+    return events_panel(spark, sf_dir).withColumn("volume", ieee.rounded(F.col("volume"), 6))
 
 
 @query("bars_suppliers", f"WITH {SUPPLIER_PANEL} SELECT date, asset, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, volume, amount FROM panel")
 def bars_suppliers(spark, sf_dir):
-    return supplier_panel(spark, sf_dir).withColumns({c: F.round(c, 8) for c in ("open", "high", "low", "close")})
+    return supplier_panel(spark, sf_dir).withColumns({c: ieee.rounded(F.col(c), 8) for c in ("open", "high", "low", "close")})
 
 
 @query("universe_filter", f"WITH {EVENTS_PANEL} SELECT date, asset, close FROM panel WHERE asset IN ('1', '2', '3', '5', '8') AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
@@ -45,7 +46,7 @@ def fundamentals_join(spark, sf_dir):
     later = p.where(F.col("date") >= "1996-01-01").select(F.col("date").alias("trade_date"), F.col("asset").alias("ts_code"))
     fundamentals = later.join(supplier, "ts_code")
     joined = source.with_fundamentals(p, fundamentals, ["market_cap", "pe_ratio"])
-    return joined.select("date", "asset", F.round("close", 8).alias("close"), "market_cap")
+    return joined.select("date", "asset", ieee.rounded(F.col("close"), 8).alias("close"), "market_cap")
 
 
 #: A panel with what guards look at, from the events panel: names, listing dates and states by asset and day.
@@ -106,7 +107,7 @@ def run_flags(spark, sf_dir):
 SELECT count(*) FILTER (move > 0.3) / count(move)::DOUBLE <= 0.01 AS adjusted, round(count(*) FILTER (move > 0.3) / count(move)::DOUBLE, 6) AS jump_share FROM moves""",
 )
 def adjustment_check(spark, sf_dir):
-    return guards.adjustment_check(events_panel(spark, sf_dir)).withColumn("jump_share", F.round("jump_share", 6))
+    return guards.adjustment_check(events_panel(spark, sf_dir)).withColumn("jump_share", ieee.rounded(F.col("jump_share"), 6))
 
 
 @query(

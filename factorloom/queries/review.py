@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import ieee
 from ..operators import legacy, review
 from . import query
 
@@ -44,7 +45,7 @@ def rows(spark, sf_dir):
 
 
 def _round(df, *names):
-    return df.withColumns({n: F.round(n, 6) + F.lit(0.0) for n in names})
+    return df.withColumns({n: ieee.rounded(F.col(n), 6) + F.lit(0.0) for n in names})
 
 
 @query(
@@ -99,7 +100,7 @@ SELECT id, round(s, 4) + 0.0 AS score, CASE WHEN s >= 80 THEN 'A' WHEN s >= 65 T
 def score(spark, sf_dir):
     df = rows(spark, sf_dir)
     points = review.quality_score(F.when(F.col("id") % 3 != 0, (F.col("id") % 10) / F.lit(10.0)), F.when(F.col("id") % 4 != 0, (F.col("id") % 11) / F.lit(11.0)))
-    return df.select("id", (F.round(points, 4) + F.lit(0.0)).alias("score"), review.grade(points).alias("grade"))
+    return df.select("id", (ieee.rounded(points, 4) + F.lit(0.0)).alias("score"), review.grade(points).alias("grade"))
 
 
 @query(
@@ -111,7 +112,7 @@ SELECT id, round(drop_ratio, 6) + 0.0 AS drop_ratio, CASE WHEN drop_ratio > 0.5
 def decay(spark, sf_dir):
     k = F.col("c_custkey")
     ratio, status = review.decay((k % 21 - 5) / F.lit(100.0), (k % 17 - 6) / F.lit(100.0))
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("id"), (F.round(ratio, 6) + F.lit(0.0)).alias("drop_ratio"), status.alias("status"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("id"), (ieee.rounded(ratio, 6) + F.lit(0.0)).alias("drop_ratio"), status.alias("status"))
 
 
 @query("review_elite", f"WITH {COMPARED_SQL} SELECT id, passed AND coalesce(abs(delta_ic_mean) <= 0.015, true) AS elite FROM c")

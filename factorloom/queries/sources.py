@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import ieee
 from ..operators import robust, word_tables
 from ..plans import checks, normalize
 from ..sources import reports, universe
@@ -181,4 +182,4 @@ def robust_deflated(spark, sf_dir):
     sharpe = (k % 300 - 50) / F.lit(100.0)
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("id"), robust.deflated_sharpe_columns(sharpe, 1 + k % 20, 20 + k % 200).alias("r"), robust.min_backtest_column(sharpe).alias("min_obs"))
     out = rows.select("id", "r.*", "min_obs")
-    return out.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("dsr", "psr", "p_value")})
+    return out.withColumns({c: ieee.rounded(F.col(c), 6) + F.lit(0.0) for c in ("dsr", "psr", "p_value")})
