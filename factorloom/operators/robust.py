@@ -172,10 +172,11 @@ def drawn(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def bootstrap_sharpe(returns: DataFrame, column: str = "ls_return", replicates: int = 2000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+def bootstrap_sharpe(returns: DataFrame, column: str = "ls_return", replicates: int = 2000, alpha: float = 0.05, seed: int = 42, none_is_zero: bool = True) -> DataFrame:
     """One row ``sharpe_ci_lower, sharpe_ci_upper, n_boot, n_dropped, significant``. Draw k of a replicate is the row whose number a digest of
     ``(seed, replicate, k)`` names, so draws need no generator and no order; they are joined to the numbered series, one row a date, and
-    summed by replicate. Returns that are not finite have no place in a mean; they are dropped and counted. Without two rows every Sharpe ratio is 0."""
+    summed by replicate. Returns that are not finite have no place in a mean; they are dropped and counted. Without two rows every Sharpe ratio is 0;
+    with ``none_is_zero=False`` a series without finite returns has no replicates (``n_boot`` 0) and null bounds instead."""
     spark = returns.sparkSession
     value = F.col(column).cast("double")
     series = returns.where(value.isNotNull()).select("date", value.alias("r"))
@@ -185,11 +186,15 @@ def bootstrap_sharpe(returns: DataFrame, column: str = "ls_return", replicates:
     draws = every.where("n > 0").select("replicate", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).select("replicate", (drawn(seed, "replicate", "k") % F.col("n")).alias("i"))
     deviation = F.stddev_samp("r")
     drawn_sharpe = draws.join(finite, "i").groupBy("replicate").agg(F.when(deviation > 0, F.avg("r") / F.when(deviation > 0, deviation) * math.sqrt(DAYS)).otherwise(0.0).alias("sharpe"))
-    each = every.join(drawn_sharpe, "replicate", "left").select(F.coalesce("sharpe", F.lit(0.0)).alias("sharpe"), "n_dropped")
+    each = every.join(drawn_sharpe, "replicate", "left").select(F.coalesce("sharpe", F.lit(0.0)).alias("sharpe"), "n", "n_dropped")
     bounds = each.agg(
         F.percentile("sharpe", F.lit(alpha / 2)).alias("sharpe_ci_lower"), F.percentile("sharpe", F.lit(1 - alpha / 2)).alias("sharpe_ci_upper"), F.count(F.lit(1)).alias("n_boot"),
-        F.max("n_dropped").alias("n_dropped"),
+        F.max("n_dropped").alias("n_dropped"), F.max("n").alias("n"),
     )
+    if not none_is_zero:
+        some = F.col("n") > 0
+        bounds = bounds.withColumns({"n_boot": F.when(some, F.col("n_boot")).otherwise(0), **{c: F.when(some, F.col(c)) for c in ("sharpe_ci_lower", "sharpe_ci_upper")}})
+    bounds = bounds.drop("n")
     return bounds.withColumn("significant", F.col("sharpe_ci_lower") > 0)
 
 
