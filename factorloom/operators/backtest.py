@@ -6,11 +6,12 @@ has one row a date, a few thousand at most, so windows over all dates run in one
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import frames, ieee
-from . import metrics
 
 DAYS = 252
 
@@ -79,9 +80,11 @@ def equity_frame(factor: DataFrame, panel: DataFrame, groups: int = 5, cost_bps:
     return equity(with_costs(legs, turnover(leg_weights(grouped, groups)), cost_bps))
 
 
-def backtest(factor: DataFrame, panel: DataFrame, groups: int = 5, cost_bps: float = 10.0) -> DataFrame:
+def backtest(factor: DataFrame, panel: DataFrame, groups: int = 5, cost_bps: float = 10.0, undefined_is_zero: bool = True) -> DataFrame:
     """One row: IC mean, deviation and ratio, annual long/short return, Sharpe, drawdown, turnover, the groups' annual returns, and ``n_nonfinite``, the
-    number of dates whose return is infinite or undefined (a price of 0): where it is not 0, measures that are 0 may say only that."""
+    number of dates whose return is infinite or undefined (a price of 0): where it is not 0, measures that are 0 may say only that.
+
+    With ``undefined_is_zero=False`` measures are what the returns make them: infinite or NaN where a return is, null where there is nothing to measure."""
     grouped = quantile_groups(factor, groups)
     both = grouped.join(forward_returns(panel), ["date", "asset"], "left")
     ranks = {"x": frames.average_rank(F.when(F.col("forward_return").isNotNull(), F.col("factor_value")), "date"), "y": frames.average_rank(F.col("forward_return"), "date")}
@@ -96,14 +99,19 @@ def backtest(factor: DataFrame, panel: DataFrame, groups: int = 5, cost_bps: flo
     high = F.max("equity").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
     curve = curve.withColumn("fall", ieee.div(F.col("equity") - high, high))
     annual = F.array(*[F.struct(F.lit(g).alias("group"), (F.avg(f"group{g}") * DAYS).alias("annual")) for g in range(groups)])
-    deviation = F.coalesce(ieee.zero_unless_finite(F.stddev_samp("ic")), F.lit(0.0))
+
+    def told(c):
+        return F.coalesce(ieee.zero_unless_finite(c), F.lit(0.0)) if undefined_is_zero else c
+
+    def ratio(mean, deviation):
+        return F.coalesce(ieee.zero_unless_finite(mean / F.when(deviation > 0, deviation)), F.lit(0.0)) if undefined_is_zero else ieee.div(mean, deviation)
+
     found = curve.agg(
-        metrics.mean_or_zero("ic").alias("ic_mean"), deviation.alias("ic_std"), metrics.sharpe("ls_return").alias("sharpe_ratio"), (metrics.mean_or_zero("ls_return") * DAYS).alias("long_short_annual_return"),
-        F.count_if(F.col("ls_return").isNotNull() & ~ieee.finite(F.col("ls_return"))).alias("n_nonfinite"), F.coalesce(ieee.zero_unless_finite(F.abs(F.min("fall"))), F.lit(0.0)).alias("max_drawdown"),
-        metrics.mean_or_zero("traded").alias("turnover"), F.map_from_entries(F.filter(annual, lambda g: g["annual"].isNotNull())).alias("group_annual_returns"),
+        told(F.avg("ic")).alias("ic_mean"), told(F.stddev_samp("ic")).alias("ic_std"), (ratio(F.avg("ls_return"), F.stddev_samp("ls_return")) * math.sqrt(DAYS)).alias("sharpe_ratio"), (told(F.avg("ls_return")) * DAYS).alias("long_short_annual_return"),
+        F.count_if(F.col("ls_return").isNotNull() & ~ieee.finite(F.col("ls_return"))).alias("n_nonfinite"), told(F.abs(F.min("fall"))).alias("max_drawdown"),
+        told(F.avg("traded")).alias("turnover"), F.map_from_entries(F.filter(annual, lambda g: g["annual"].isNotNull())).alias("group_annual_returns"),
     )
-    ratio = F.when(F.col("ic_std") != 0, F.col("ic_mean") / F.when(F.col("ic_std") != 0, F.col("ic_std"))).otherwise(0.0)
-    return found.select("ic_mean", "ic_std", ratio.alias("ic_ir"), "sharpe_ratio", "long_short_annual_return", "n_nonfinite", "max_drawdown", "turnover", "group_annual_returns")
+    return found.select("ic_mean", "ic_std", ratio(F.col("ic_mean"), F.col("ic_std")).alias("ic_ir"), "sharpe_ratio", "long_short_annual_return", "n_nonfinite", "max_drawdown", "turnover", "group_annual_returns")
 
 
 def industry_neutral(factor: DataFrame, industry: str, by_date: bool = True) -> DataFrame:
