@@ -107,19 +107,20 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("__k", F.row_number().over(newest)).where("__k = 1").drop("__k")
 
 
-#: Factors of a block at most: a block pair's moments are six squares of this side.
+#: Factors of a block at most: a block pair's moments are seven squares of this side.
 GRAM_BLOCK = 256
 
 
-def _scattered(column: pa.Array, side: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``(pos, x)`` lists as dense rows of ``side`` values, 0 where there is none, and where there is one."""
+def _scattered(column: pa.Array, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``(pos, x)`` lists as dense rows of ``side`` values, 0 where there is none or NaN, where there is one, and where it is NaN."""
     offsets, flat = column.offsets.to_numpy(), column.values
     first, last = offsets[0], offsets[-1]
     rows = np.repeat(np.arange(len(column)), np.diff(offsets))
     pos, x = (flat.field(k).to_numpy()[first:last] for k in (0, 1))
-    dense, there = np.zeros((len(column), side)), np.zeros((len(column), side))
-    dense[rows, pos], there[rows, pos] = x, 1.0
-    return dense, there
+    dense, there, odd = (np.zeros((len(column), side)) for _ in range(3))
+    none = np.isnan(x)
+    dense[rows, pos], there[rows, pos], odd[rows, pos] = np.where(none, 0.0, x), 1.0, none
+    return dense, there, odd
 
 
 def _moments(side: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,27 +137,29 @@ def _moments(side: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Record
             if (bi[lo], bj[lo]) != block:
                 if block is not None:
                     yield out()
-                block, total = (bi[lo], bj[lo]), np.zeros((6, side, side))
+                block, total = (bi[lo], bj[lo]), np.zeros((7, side, side))
             for a in range(lo, hi, 2000):
                 part = batch.slice(a, min(2000, hi - a))
-                (x, mx), (y, my) = (_scattered(part.column(c), side) for c in ("left", "right"))
-                total += np.stack([mx.T @ my, x.T @ my, mx.T @ y, (x * x).T @ my, mx.T @ (y * y), x.T @ y])
+                (x, mx, ox), (y, my, oy) = (_scattered(part.column(c), side) for c in ("left", "right"))
+                total[:6] += np.stack([mx.T @ my, x.T @ my, mx.T @ y, (x * x).T @ my, mx.T @ (y * y), x.T @ y])
+                if ox.any() or oy.any():
+                    total[6] += ox.T @ my + mx.T @ oy
     if block is not None:
         yield out()
 
 
-def _best_in_block(least_rows: int, side: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From parts of block pairs' moments, sorted by pair: of each factor the known one in the block that it correlates with most."""
+def _best_in_block(least_rows: int, side: int, undefined: bool, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From parts of block pairs' moments, sorted by pair: of each factor the known one in the block that it correlates with most; with ``undefined`` a correlation of NaN is more than any number."""
 
     def best() -> pa.RecordBatch:
-        n, sx, sy, sxx, syy, sxy = total
+        n, sx, sy, sxx, syy, sxy, odd = total
         with np.errstate(all="ignore"):
             vx, vy = sxx - sx * sx / n, syy - sy * sy / n
             r = np.abs((sxy - sx * sy / n) / np.sqrt(vx * vy))
             # what is left of a constant by rounding is no variance
-            defined = (n >= least_rows) & (vx > 1e-14 * sxx) & (vy > 1e-14 * syy) & np.isfinite(r)
+            defined = (n >= least_rows) & (vx > 1e-14 * sxx) & (vy > 1e-14 * syy) & np.isfinite(r) & (odd == 0)
         # ties in all but rounding go to the first known factor
-        r = np.where(defined, np.minimum(np.round(r, 12), 1.0), -1.0)
+        r = np.where(defined, np.minimum(np.round(r, 12), 1.0), np.where(undefined & (n >= least_rows), 2.0, -1.0))
         i = np.arange(side) + block[0] * side
         top = []
         for skip in (False, True):  # the best, and the best but for that one, which may be the factor itself
@@ -165,6 +168,7 @@ def _best_in_block(least_rows: int, side: int, batches: Iterable[pa.RecordBatch]
             r[np.arange(side), j] = -1.0
         j, c, k = (np.concatenate(x) for x in zip(*top))
         keep = c >= 0
+        c = np.where(c > 1, np.nan, c)
         return pa.RecordBatch.from_arrays([pa.array(np.tile(i, 2)[keep].astype(np.int32)), pa.array(j[keep].astype(np.int32)), pa.array(k[keep].astype(np.int64)), pa.array(c[keep])], ["i", "j", "n", "correlation"])
 
     block, total = None, None
@@ -173,15 +177,17 @@ def _best_in_block(least_rows: int, side: int, batches: Iterable[pa.RecordBatch]
             if (bi, bj) != block:
                 if block is not None:
                     yield best()
-                block, total = (bi, bj), np.zeros((6, side, side))
-            total += np.frombuffer(moments).reshape(6, side, side)
+                block, total = (bi, bj), np.zeros((7, side, side))
+            total += np.frombuffer(moments).reshape(7, side, side)
     if block is not None:
         yield best()
 
 
-def redundancy(values: DataFrame, known: DataFrame, least_rows: int = 10, most: float = 0.7) -> DataFrame:
+def redundancy(values: DataFrame, known: DataFrame, least_rows: int = 10, most: float = 0.7, undefined: bool = False) -> DataFrame:
     """``factor, known_factor, n, correlation, redundant``: of each factor the known one it correlates with most, pooled over dates
-    and assets. ``values`` and ``known``: ``factor, date, asset, factor_value``, each factor once a date and asset; values that are not finite are left out.
+    and assets. ``values`` and ``known``: ``factor, date, asset, factor_value``, each factor once a date and asset; values that are not finite are left out, and so are undefined correlations (of constants).
+
+    With ``undefined`` they count as in SQL: a value that is not finite makes each correlation NaN that it takes part in, and NaN, being more than any number, comes first and is redundant.
 
     No pairs of values are formed. Factors are numbered and dealt into blocks; each date and asset has one list of values a block, and a pair of
     blocks is six matrix products over these rows, summed by task and then by pair. Values are centred first, so that sums of squares lose nothing.
@@ -190,21 +196,21 @@ def redundancy(values: DataFrame, known: DataFrame, least_rows: int = 10, most:
     shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def numbered(rows: DataFrame) -> DataFrame:
-        means = rows.groupBy("factor").agg(F.avg("factor_value").alias("mean"))
+        means = rows.groupBy("factor").agg(F.coalesce(F.avg(F.when(ieee.finite(F.col("factor_value")), F.col("factor_value"))), F.lit(0.0)).alias("mean"))
         return staged(means.withColumn("k", F.row_number().over(Window.orderBy("factor")) - 1), "factor-numbers")  # one row a factor
 
     def blocks(rows: DataFrame, numbers: DataFrame, block: str, name: str) -> DataFrame:
-        item = F.struct((F.col("k") % side).alias("pos"), (F.col("factor_value") - F.col("mean")).alias("x"))
+        item = F.struct((F.col("k") % side).alias("pos"), F.when(ieee.finite(F.col("factor_value")), F.col("factor_value") - F.col("mean")).otherwise(float("nan")).alias("x"))
         placed = rows.join(numbers, "factor").select("date", "asset", F.floor(F.col("k") / side).cast("int").alias(block), item.alias("item"))
         return placed.groupBy("date", "asset", block).agg(F.collect_list("item").alias(name))
 
-    left, right = (df.select("factor", "date", "asset", F.col("factor_value").cast("double").alias("factor_value")).where(ieee.finite(F.col("factor_value"))) for df in (values, known))
+    left, right = (df.select("factor", "date", "asset", F.col("factor_value").cast("double").alias("factor_value")).where(F.col("factor_value").isNotNull() if undefined else ieee.finite(F.col("factor_value"))) for df in (values, known))
     left_no, right_no = numbered(left), numbered(right)
     side = max(1, min(GRAM_BLOCK, max(left_no.count(), right_no.count())))
     pairs = blocks(left, left_no, "bi", "left").join(blocks(right, right_no, "bj", "right"), ["date", "asset"])
     share = F.pmod(F.xxhash64("date", "asset"), F.lit(shares))
     parts = pairs.repartition(shares, "bi", "bj", share).sortWithinPartitions("bi", "bj").select("bi", "bj", "left", "right").mapInArrow(partial(_moments, side), "bi int, bj int, moments binary")
-    found = parts.repartition(shares, "bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(partial(_best_in_block, least_rows, side), "i int, j int, n long, correlation double")
+    found = parts.repartition(shares, "bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(partial(_best_in_block, least_rows, side, undefined), "i int, j int, n long, correlation double")
     named = found.join(left_no.select(F.col("k").alias("i"), "factor"), "i").join(right_no.select(F.col("k").alias("j"), F.col("factor").alias("known_factor")), "j").where("factor <> known_factor")
     best = Window.partitionBy("factor").orderBy(F.desc("correlation"), "known_factor")
     first = named.withColumn("__k", F.row_number().over(best)).where("__k = 1")
