@@ -1,7 +1,7 @@
 """Tables from word boxes: words of a page fall into rows by height, runs of rows of several words are regions, gaps that line up cut a region into columns.
 
-All is windows and grouped sums over (document, page), so words move once. A page is a group: its words' heights are ranked by a
-window, and its row starts are found by following each word's successor, the first word further below than the tolerance.
+A page is a group: its words come together once, sorted by height, and all else is worked out from that array, so nothing is moved, sorted
+or written again but the finished tables, which are numbered by page.
 
 Cases
 -----
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..functions.matches import bound
 
 #: Points within which words share a row, gaps that may part columns, distance within which gaps line up.
 ROW_TOLERANCE, LEAST_GAP, GAP_RADIUS = 4.0, 8.0, 8.0
@@ -27,83 +27,96 @@ PAGE = ("doc_id", "page_num")
 BOX = ("x0", "y0", "x1", "y1")
 
 
+def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once: as the one item of an exploded array, which the optimizer copies into no later filter or lambda."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
+def _page_rows(words: DataFrame, tolerance: float) -> DataFrame:
+    """``doc_id, page_num, rows``: a page's rows from top to bottom, each an array of words from left to right."""
+    boxes = words.select(*PAGE, *(F.col(c).cast("double").alias(c) for c in BOX), "text").where(F.trim("text") != "").dropna(subset=list(BOX))
+    word = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("middle"), *BOX, "text")
+    pages = boxes.groupBy(*PAGE).agg(F.array_sort(F.collect_list(word)).alias("words")).where(F.size("words") >= LEAST_WORDS)
+    start = F.struct(F.lit(None).cast("double").alias("reach"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def follow(state: Column, w: Column) -> Column:
+        begins = state["reach"].isNull() | (w["middle"] > state["reach"])
+        starts = F.when(begins, F.concat(state["starts"], F.array(state["at"]))).otherwise(state["starts"])
+        return F.struct(F.when(begins, w["middle"] + F.lit(float(tolerance))).otherwise(state["reach"]).alias("reach"), (state["at"] + 1).alias("at"), starts.alias("starts"))
+
+    starts = _held(pages, "starts", F.aggregate("words", start, follow, lambda s: s["starts"]))
+
+    def row(a: Column, k: Column) -> Column:
+        b = F.coalesce(F.get("starts", k + 1), F.size("words"))
+        return F.array_sort(F.transform(F.slice("words", a + 1, b - a), lambda w, j: F.struct(w["x0"].alias("x0"), (a + j).alias("left"), *(w[c].alias(c) for c in (*BOX[1:], "text")))))
+
+    return _held(starts, "rows", F.transform("starts", row)).select(*PAGE, "rows")
+
+
 def rows_of(words: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
     """``doc_id, page_num, row_no, words``: rows from top to bottom, each an array of words from left to right.
 
     A row begins with its highest word and holds the words whose middles are at most ``tolerance`` below that one's.
     """
-    boxes = words.select(*PAGE, *(F.col(c).cast("double").alias(c) for c in BOX), "text").where(F.trim("text") != "").dropna(subset=list(BOX))
-    middle = ((F.col("y0") + F.col("y1")) / 2).alias("middle")
-    page = Window.partitionBy(*PAGE)
-    down = page.orderBy("middle", "x0", *BOX[1:], "text")
-    reach = F.expr(f"count(*) OVER (PARTITION BY {', '.join(PAGE)} ORDER BY middle RANGE BETWEEN UNBOUNDED PRECEDING AND {float(tolerance)!r}D FOLLOWING)")
-    placed = boxes.select("*", middle).select("*", (F.row_number().over(down) - 1).alias("left"), reach.cast("int").alias("next"), F.count(F.lit(1)).over(page).alias("n"))
-    word = F.struct("left", "next", *BOX, "text")
-    pages = placed.where(F.col("n") >= LEAST_WORDS).groupBy(*PAGE).agg(F.array_sort(F.collect_list(word)).alias("words"))
-    start = F.struct(F.lit(0).alias("due"), F.array().cast("array<int>").alias("starts"))
+    return _page_rows(words, tolerance).select(*PAGE, F.posexplode("rows").alias("row_no", "words"))
 
-    def follow(state: Column, w: Column) -> Column:
-        begins = w["left"] == state["due"]
-        return F.struct(F.when(begins, w["next"]).otherwise(state["due"]).alias("due"), F.when(begins, F.concat(state["starts"], F.array(w["left"]))).otherwise(state["starts"]).alias("starts"))
-
-    starts = pages.withColumn("starts", F.aggregate("words", start, follow, lambda s: s["starts"]))
-    cut = starts.select(*PAGE, "words", F.posexplode("starts").alias("row_no", "a"), F.col("starts"))
-    b = F.coalesce(F.get("starts", F.col("row_no") + 1), F.size("words"))
-    return cut.select(*PAGE, "row_no", F.array_sort(F.transform(F.slice("words", F.col("a") + 1, b - F.col("a")), lambda w: F.struct(w["x0"].alias("x0"), w["left"].alias("left"), *(w[c].alias(c) for c in (*BOX[1:], "text"))))).alias("words"))
-
-
-def regions_of(rows: DataFrame) -> DataFrame:
-    """``rows`` of several words with ``region``, the number of lone words above on the page, and the region's ``n_rows`` and ``place`` in it; regions of too few rows go."""
-    above = Window.partitionBy(*PAGE).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    lone = F.size("words") < 2
-    marked = rows.withColumn("region", F.sum(lone.cast("int")).over(above)).where(~lone)
-    region = Window.partitionBy(*PAGE, "region")
-    placed = marked.withColumns({"n_rows": F.count(F.lit(1)).over(region), "place": F.row_number().over(region.orderBy("row_no"))})
-    return placed.where(F.col("n_rows") >= LEAST_ROWS)
-
-
-def cuts_of(regions: DataFrame, least_gap: float = LEAST_GAP) -> DataFrame:
-    """``doc_id, page_num, region, cuts``: places between columns, means of gaps' middles that line up in a quarter of the rows, two at least."""
-    pairs = F.arrays_zip(F.slice("words", 1, F.size("words") - 1).alias("a"), F.slice("words", 2, F.size("words")).alias("b"))
-    wide = F.filter(pairs, lambda p: p["b"]["x0"] - p["a"]["x1"] >= least_gap)
-    gaps = regions.select(*PAGE, "region", "n_rows", F.explode(F.transform(wide, lambda p: (p["a"]["x1"] + p["b"]["x0"]) / 2)).alias("gap"))
-    along = Window.partitionBy(*PAGE, "region").orderBy("gap")
-    apart = F.coalesce(F.col("gap") - F.lag("gap").over(along) >= GAP_RADIUS, F.lit(False)).cast("int")
-    islands = gaps.withColumn("apart", apart).withColumn("island", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    support = islands.groupBy(*PAGE, "region", "island").agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("cut"), F.first("n_rows").alias("n_rows"))
-    lined_up = support.where(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("n_rows") / 4)))
-    return lined_up.groupBy(*PAGE, "region").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
-
-
-def cells_of(regions: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``regions`` with ``width`` and ``cells``: a word's column is the one that its middle falls into; ``width`` leaves out columns at the end that are empty in all rows, down to two."""
-    column = F.transform("words", lambda w: F.struct(F.size(F.filter("cuts", lambda c: c < (w["x0"] + w["x1"]) / 2)).alias("k"), w["text"].alias("text")))
-    placed = regions.join(cuts, [*PAGE, "region"]).withColumn("placed", column).withColumn("most", F.array_max("placed.k"))
-    wide = placed.withColumn("width", F.greatest(F.max("most").over(Window.partitionBy(*PAGE, "region")) + 1, F.lit(2)))
-    cells = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.array_join(F.transform(F.filter("placed", lambda w: w["k"] == k), lambda w: w["text"]), " "))
-    bounds = [*(F.array_min(f"words.{c}").alias(c) for c in ("x0", "y0")), *(F.array_max(f"words.{c}").alias(c) for c in ("x1", "y1"))]
-    return wide.select(*PAGE, "region", "n_rows", "place", "width", *bounds, cells.alias("cells"))
+
+def _regions(rows: Column) -> Column:
+    """Runs of rows of several words, without those of too few rows."""
+    lone = F.filter(F.transform(rows, lambda r, i: F.when(F.size(r) < 2, i)), lambda i: i.isNotNull())
+    return bound(F.concat(F.array(F.lit(-1)), lone, F.array(F.size(rows))), lambda ends: F.filter(
+        F.transform(F.sequence(F.lit(0), F.size(ends) - 2), lambda k: F.slice(rows, F.get(ends, k) + 2, F.get(ends, k + 1) - F.get(ends, k) - 1)), lambda r: F.size(r) >= LEAST_ROWS
+    ))
+
+
+def _cuts(rows: Column, least_gap: float) -> Column:
+    """Places between columns: means of gaps' middles that line up in a quarter of the rows, two at least."""
+
+    def gaps_of(r: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(r, 1, F.size(r) - 1).alias("a"), F.slice(r, 2, F.size(r)).alias("b"))
+        return F.transform(F.filter(pairs, lambda p: p["b"]["x0"] - p["a"]["x1"] >= least_gap), lambda p: (p["a"]["x1"] + p["b"]["x0"]) / 2)
+
+    def islands(gaps: Column) -> Column:
+        begins = F.filter(F.transform(gaps, lambda g, i: F.when((i == 0) | (g - F.get(gaps, i - 1) >= GAP_RADIUS), i)), lambda i: i.isNotNull())
+        return bound(begins, lambda at: F.transform(at, lambda a, k: F.slice(gaps, a + 1, F.coalesce(F.get(at, k + 1), F.size(gaps)) - a)))
+
+    lined_up = bound(F.array_sort(F.flatten(F.transform(rows, gaps_of))), lambda gaps: F.filter(islands(gaps), lambda i: F.size(i) >= F.greatest(F.lit(2), F.floor(F.size(rows) / 4))))
+    return F.transform(lined_up, lambda i: F.aggregate(i, F.lit(0.0), lambda s, g: s + g) / F.size(i))
 
 
 def tables(words: DataFrame, tolerance: float = ROW_TOLERANCE, least_gap: float = LEAST_GAP) -> DataFrame:
     """``doc_id, page_num, table_no, x0, y0, x1, y1, table`` of the words ``doc_id, page_num, x0, y0, x1, y1, text``: each region with enough columns and numbers, as a pipe table.
 
-    Rows at a region's beginning with ``CAPTION_CELLS`` cells or fewer are captions and no part of the table, unless fewer than ``LEAST_ROWS`` rows were left.
+    A word's column is the one that its middle falls into; columns at the end that are empty in all rows go, down to two. Rows at a region's beginning with
+    ``CAPTION_CELLS`` cells or fewer are captions and no part of the table, unless fewer than ``LEAST_ROWS`` rows were left.
     """
-    regions = staged(regions_of(rows_of(words, tolerance)), "word-rows")
-    grid = cells_of(regions, cuts_of(regions, least_gap))
-    filled = F.filter("cells", lambda c: c != "")
-    grid = grid.withColumns({"filled": F.size(filled), "numeric": F.size(F.filter("cells", lambda c: c.rlike(r"\p{Nd}")))})
-    region = Window.partitionBy(*PAGE, "region")
-    captions = F.least(F.coalesce(F.min(F.when(F.col("filled") > CAPTION_CELLS, F.col("place"))).over(region) - 1, F.col("n_rows")), F.col("n_rows") - LEAST_ROWS)
-    line = F.concat(F.lit("| "), F.array_join("cells", " | "), F.lit(" |"))
-    grid = grid.withColumn("body", F.col("place") > captions).withColumn("line", F.when(F.col("body"), F.struct("place", line.alias("line"))))
-    found = grid.groupBy(*PAGE, "region").agg(
-        *(F.min(c).alias(c) for c in ("x0", "y0")), *(F.max(c).alias(c) for c in ("x1", "y1")), F.first("width").alias("width"), F.array_sort(F.collect_list("line")).alias("lines"),
-        F.sum(F.when(F.col("body"), F.col("filled"))).alias("filled"), F.sum(F.when(F.col("body"), F.col("numeric"))).alias("numeric"),
-    )
-    good = found.where((F.col("width") >= LEAST_COLUMNS) & (F.col("filled") > 0) & (F.col("numeric") >= NUMERIC_SHARE * F.col("filled")))
+    regions = _page_rows(words, tolerance).select(*PAGE, F.posexplode(_regions(F.col("rows"))).alias("region", "rows"))
+    cut = _held(regions, "cuts", _cuts(F.col("rows"), least_gap)).where(F.size("cuts") > 0)
+
+    def placed(w: Column) -> Column:
+        return F.struct(F.size(F.filter("cuts", lambda c: c < (w["x0"] + w["x1"]) / 2)).alias("k"), w["text"].alias("text"))
+
+    def bounds(c: str, extreme) -> Column:
+        return extreme(F.transform("rows", lambda r: extreme(F.transform(r, lambda w: w[c])))).alias(c)
+
+    grid = _held(cut, "placed", F.transform("rows", lambda r: F.transform(r, placed)))
+    grid = grid.select(*PAGE, "region", bounds("x0", F.array_min), bounds("y0", F.array_min), bounds("x1", F.array_max), bounds("y1", F.array_max), "placed")
+    most = F.array_max(F.transform("placed", lambda r: F.array_max(F.transform(r, lambda w: w["k"]))))
+    grid = _held(grid, "width", F.greatest(most + 1, F.lit(2)))
+
+    def cells(r: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.array_join(F.transform(F.filter(r, lambda w: w["k"] == k), lambda w: w["text"]), " "))
+
+    grid = _held(grid, "cells", F.transform("placed", cells)).drop("placed")
+    n_rows = F.size("cells")
+    wide = F.filter(F.transform("cells", lambda r, i: F.when(F.size(F.filter(r, lambda c: c != "")) > CAPTION_CELLS, i)), lambda i: i.isNotNull())
+    captions = F.least(F.coalesce(F.get(wide, F.lit(0)), n_rows), n_rows - LEAST_ROWS)
+    grid = _held(_held(grid, "captions", captions), "cells", F.slice("cells", F.col("captions") + 1, n_rows - F.col("captions"))).drop("captions")
+    flat = F.flatten("cells")
+    filled, numeric = F.size(F.filter(flat, lambda c: c != "")), F.size(F.filter(flat, lambda c: c.rlike(r"\p{Nd}")))
+    good = grid.where((F.col("width") >= LEAST_COLUMNS) & (filled > 0) & (numeric >= NUMERIC_SHARE * filled))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("width")), " | "), F.lit(" |"))
-    text = F.array_join(F.concat(F.array(F.col("lines")[0]["line"], rule), F.slice("lines.line", 2, F.size("lines"))), "\n")
+    lines = F.transform("cells", lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |")))
+    found = good.select(*PAGE, "region", *BOX, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.size("cells"))), "\n").alias("table"))
     number = (F.row_number().over(Window.partitionBy(*PAGE).orderBy("region")) - 1).alias("table_no")
-    return good.select(*PAGE, number, *BOX, text.alias("table"))
+    return found.select(*PAGE, number, *BOX, "table")
