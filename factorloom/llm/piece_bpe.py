@@ -7,7 +7,8 @@ are then recovered backwards from the end, each piece leading to the prefix befo
 
 A text is escaped (a space mark before it and for each space in it) and cut into units where no piece can reach across: before a
 run of space marks, and around characters that no piece of two or more characters has. A unit's ids do not depend on what
-stands around it, so those of short units are cached within bounds. Characters outside the vocabulary become byte pieces.
+stands around it, so those of short units are cached within bounds. A text is first cut at its space marks alone, since most
+words are one unit; only words that the cache lacks are looked at further. Characters outside the vocabulary become byte pieces.
 
 Compatible pairs are found by merging the pair's own characters, of which there are few, and are kept within bounds as well. The
 rule needs a vocabulary in which the two-piece test decides; ``PieceCodec`` covers merge-type models with
@@ -25,12 +26,16 @@ from __future__ import annotations
 
 import codecs
 import gc
+import math
+import re
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice, pairwise
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -38,14 +43,23 @@ from .bpe import DECODED, IDS, _schema, _with
 from .common import text_or_empty
 
 MARK = "▁"
-#: Units and pairs kept by a worker, and the longest unit that is kept.
-CACHE_UNITS = 300_000
+#: Units (half of them new, half those before) and pairs kept by a worker, and the longest unit that is kept.
+CACHE_UNITS = 600_000
 CACHE_PAIRS = 300_000
 CACHED_LENGTH = 40
-#: Units of text handled at a time.
+#: Words or units of text handled at a time.
 GROUP_UNITS = 200_000
 #: Rows handled at a time.
 SLICE_ROWS = 500
+#: Runs of space marks with what follows them.
+WORDS = re.compile(f"{MARK}+[^{MARK}]*+")
+
+
+def _groups(pattern: re.Pattern, text: str) -> Iterator[list[str]]:
+    """All matches in ``text``, ``GROUP_UNITS`` at a time."""
+    found = map(itemgetter(0), pattern.finditer(text))
+    while run := list(islice(found, GROUP_UNITS)):
+        yield run
 
 
 def _one_each(error: UnicodeError) -> tuple[str, int]:
@@ -73,31 +87,32 @@ class PieceCodec:
         if len(self.byte) != 256 or any(MARK in p.strip(MARK) for p in self.id):
             raise ValueError("needs a model with byte fallback, whose pieces have space marks at their beginning alone")
         self.raw = {model.unk_id(): self.unknown.encode()} | {i: p.replace(MARK, " ").encode() for i, p in self.piece.items()} | {i: bytes([b]) for b, i in self.byte.items()}
-        self.length = {i: len(p) for i, p in self.piece.items()}
+        self.length = [len(self.piece.get(i, "")) for i in ids]
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id.items():
             self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         merging = sorted({c for p in self.id if len(p) > 1 for c in p} - {MARK})
-        inside = "".join(map(regex.escape, merging))
-        self.units = regex.compile(f"{MARK}+[{inside}]*+|[{inside}]++|[^{inside}{MARK}]")
+        inside = "".join(map(re.escape, merging))
+        self.units = re.compile(f"{MARK}+[{inside}]*+|[{inside}]++|[^{inside}{MARK}]")
         self.whole = {i for i, p in self.piece.items() if self._merged(p) == [p]}
         self.pairs: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _merged(self, text: str) -> list[str]:
         """The few characters of one piece or of two, merged best score first, leftmost first among equals."""
-        parts = list(text)
-        while True:
-            best = None
-            for k in range(len(parts) - 1):
-                s = self.score.get(parts[k] + parts[k + 1])
-                if s is not None and (best is None or s > best[0]):
-                    best = s, k
-            if best is None:
-                return parts
-            k = best[1]
+        parts, score, none = list(text), self.score.get, -math.inf
+        scores = [score(a + b, none) for a, b in pairwise(parts)]
+        while scores and (best := max(scores)) > none:
+            k = scores.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del scores[k]
+            if k:
+                scores[k - 1] = score(parts[k - 1] + parts[k], none)
+            if k < len(scores):
+                scores[k] = score(parts[k] + parts[k + 1], none)
+        return parts
 
     def _compatible(self, left: int, right: int) -> bool:
         key = left << 20 | right
@@ -106,7 +121,7 @@ class PieceCodec:
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
             a, b = self.piece[left], self.piece[right]
-            known = self.pairs[key] = self._merged(a + b) == [a, b]
+            known = self.pairs[key] = self.id.get(a + b) not in self.whole and self._merged(a + b) == [a, b]
         return known
 
     def _bytes_of(self, char: str) -> list[int]:
@@ -115,60 +130,70 @@ class PieceCodec:
     def table(self, unit: str) -> list[int]:
         """The last piece of each prefix of ``unit``, whose characters are all in the vocabulary: one for each length from 1."""
         last = [0] * len(unit)
-        length, whole = self.length, self.whole
+        length, whole, pairs = self.length, self.whole, self.pairs
         for at, piece in self.automaton.iter(unit):
             if last[at]:
                 continue  # the one last piece of this prefix is known
             before = at - length[piece]
-            if piece in whole if before < 0 else self._compatible(last[before], piece):
+            if before < 0:
+                fits = piece in whole
+            elif (fits := pairs.get(last[before] << 20 | piece)) is None:
+                fits = self._compatible(last[before], piece)
+            if fits:
                 last[at] = piece
         return last
 
     def unit_ids(self, unit: str) -> list[int]:
         if len(unit) == 1:
             return [self.id[unit]] if unit in self.id else self._bytes_of(unit)
-        last = self.table(unit)
+        last, length = self.table(unit), self.length
         out, at = [], len(unit) - 1
         while at >= 0:
             piece = last[at]
             out.append(piece)
-            at -= self.length[piece]
+            at -= length[piece]
         return out[::-1]
 
     def _escaped(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
 
+    def _unit(self, unit: str) -> bytes:
+        """Ids of a unit, int32, from the cache or, if it is short, into it. When the cache is half full, what was not asked for since the last time goes."""
+        ids = self.cache.get(unit)
+        if ids is None:
+            ids = self.older.get(unit) or array("i", self.unit_ids(unit)).tobytes()
+            if len(unit) <= CACHED_LENGTH:
+                if len(self.cache) >= CACHE_UNITS // 2:
+                    self.cache, self.older = {}, self.cache
+                self.cache[unit] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word, whose units are cached, though not the word if it has several."""
+        if self.units.fullmatch(word):
+            return self._unit(word)
+        return b"".join([b"".join(map(self._unit, run)) for run in _groups(self.units, word)])
+
     def encode_all(self, texts: Iterable[str]) -> list[np.ndarray]:
         """Ids of each text, int32."""
-        cache, out = self.cache, []
-        end = np.array(self.end, np.int32).tobytes()
+        out, end = [], array("i", self.end).tobytes()
         for text in texts:
-            found, ids = self.units.finditer(self._escaped(text)), []
-            while True:
-                run = [m.group() for _, m in zip(range(GROUP_UNITS), found)]
-                if not run:
-                    break
-                new = [u for u in set(run) if u not in cache]
-                if len(cache) + len(new) > CACHE_UNITS:
-                    cache.clear()
-                    new = list(set(run))
-                fresh = {u: np.array(self.unit_ids(u), np.int32).tobytes() for u in new}
-                long = {u: x for u, x in fresh.items() if len(u) > CACHED_LENGTH}
-                cache.update((u, x) for u, x in fresh.items() if u not in long)
-                ids.append(b"".join([long.get(u) or cache[u] for u in run] if long else map(cache.__getitem__, run)))
+            cached = self.cache.get
+            ids = [b"".join([cached(word) or self._word(word) for word in run]) for run in _groups(WORDS, self._escaped(text))]
             out.append(np.frombuffer(b"".join([*ids, end]), np.int32))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; the dummy prefix goes, control ids have no text but end a run of byte pieces, the unknown id has the model's mark."""
-        runs: list[list[bytes]] = [[]]
-        for raw in map(self.raw.get, ids.tolist()):
-            if raw is None:
-                runs.append([])
-            else:
-                runs[-1].append(raw)
-        text = "".join([b"".join(run).decode("utf-8", "factorloom-one-each") for run in runs])
-        shown = next((i for i in ids.tolist() if i in self.raw), None)
+        listed = ids.tolist()
+        raws = [*map(self.raw.get, listed), None]
+        runs, start = [], 0
+        while start < len(raws):
+            stop = raws.index(None, start)
+            runs.append(b"".join(raws[start:stop]).decode("utf-8", "factorloom-one-each"))
+            start = stop + 1
+        text = "".join(runs)
+        shown = next((i for i in listed if i in self.raw), None)
         return text[1:] if shown in self.piece and text.startswith(" ") else text
 
 

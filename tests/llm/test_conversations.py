@@ -263,6 +263,17 @@ def test_piece_caches_can_be_full(monkeypatch, library):
     assert [x.tolist() for x in codec.encode_all(texts)] == library.encode(texts, add_eos=True)
 
 
+def test_frequent_units_stay_cached(monkeypatch, library):
+    """New units push out those not asked for again, while a frequent one is encoded once; words of several units, and runs of spaces, are cut as before."""
+    monkeypatch.setattr(piece_bpe, "CACHE_UNITS", 10)
+    codec, encoded = piece_bpe.PieceCodec(PIECE_BPE), []
+    unit_ids = codec.unit_ids
+    monkeypatch.setattr(codec, "unit_ids", lambda unit: encoded.append(unit) or unit_ids(unit))
+    texts = [f"often word{k}" for k in range(60)] + ["often\n\nthen  中 ▁ 文x  ", "x\ty " * 3]
+    assert [x.tolist() for x in codec.encode_all(texts)] == library.encode(texts, add_eos=True)
+    assert encoded.count("▁often") == 1 and len(codec.cache) + len(codec.older) <= 10
+
+
 def test_piece_rows(spark, library):
     docs = spark.createDataFrame([(1, None, "k", 1), (2, "", "k", 1), (3, "word " * 60_000, "k", 1), (4, "Same.", "k", 1), (4, "Same.", "k", 1), (None, "中é\U0001f600", "k", 1)], "doc_id long, text string, ids string, decoded int")
     for r in piece_bpe.encode_decode(docs, PIECE_BPE).collect():
