@@ -442,7 +442,8 @@ def is_formula_line(line: Column) -> Column:
     score = private * 3 + F.when(line.rlike("ES|VaR|CVaR") & ((operators > 0) | (private > 0)), 5).otherwise(0) + F.when(line.rlike(r"\(\d+\)\s*$"), 5).otherwise(0)
     score = score + F.when((n < 50) & ((operators > 0) | (private > 0)) & (latin > 0), F.least(F.lit(5), operators + private)).otherwise(0)
     score = score - F.when((n > 30) & (cjk > n * 0.5) & (operators == 0) & (private == 0), 10).otherwise(0)
-    return F.coalesce((F.trim(line) != "") & ~rejected & (score >= 5), F.lit(False))
+    found = F.coalesce((F.trim(line) != "") & ~rejected & (score >= 5), F.lit(False))
+    return F.when(line.rlike(r"[=+\-*/<>()\[\]\ue000-\uf8ff]"), found).otherwise(False)  # no other line has points
 
 
 def formula_spans(docs: DataFrame) -> DataFrame:
@@ -481,12 +482,13 @@ def promoted_formulas(blocks: DataFrame) -> DataFrame:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
     pieces = lines.groupBy(*own, "piece").agg(F.first("formula").alias("formula"), text.alias("raw"), *(F.first(c).alias(c) for c in (*BOUNDS, "confidence")))
     pieces = pieces.withColumn("n_pieces", F.count(F.lit(1)).over(Window.partitionBy(*own))).where(F.col("formula") | (F.col("n_pieces") == 1) | (F.trim("raw") != ""))
-    latex = glyphs_to_latex(F.col("raw"))
-    real = F.col("formula") & ~is_trivial_formula(latex)
-    number = F.regexp_extract("raw", r"\(\s*(\d+)\s*\)\s*$", 1)
+    # each in a column of its own: as expressions they would be written out, and reckoned, wherever they are named
+    pieces = pieces.withColumn("latex", F.when(F.col("formula"), glyphs_to_latex(F.col("raw"))))
+    pieces = pieces.withColumn("real", F.col("formula") & ~is_trivial_formula(F.col("latex")))
+    pieces = pieces.withColumn("number", F.when(F.col("real"), F.regexp_extract("raw", r"\(\s*(\d+)\s*\)\s*$", 1)))
     found = pieces.select(
-        *own, "piece", F.when(real, "formula").otherwise("text").alias("type"), F.when(real, latex).otherwise(glyphs_to_unicode(F.col("raw"))).alias("text"),
-        F.when(real & (number != ""), number).alias("eq_number"), *BOUNDS, "confidence",
+        *own, "piece", F.when(F.col("real"), "formula").otherwise("text").alias("type"), F.when(F.col("real"), F.col("latex")).otherwise(glyphs_to_unicode(F.col("raw"))).alias("text"),
+        F.when(F.col("number") != "", F.col("number")).alias("eq_number"), *BOUNDS, "confidence",
     )
     return others.unionByName(found)
 
@@ -555,7 +557,7 @@ def _glyphs(text: Column, latex: bool) -> Column:
     out = F.when(bullet, F.replace(text, F.lit(LAMBDA), F.lit("•"))).otherwise(F.replace(text, F.lit(LAMBDA), F.lit("\\lambda" if latex else "λ")))
     for glyph, forms in GLYPHS.items():
         out = F.replace(out, F.lit(glyph), F.lit(forms[latex]))
-    return out
+    return F.when(text.rlike(r"[\uf000-\uf0ff]"), out).otherwise(text)  # all glyphs, lambda too, are in this range
 
 
 def glyphs_to_unicode(text: Column) -> Column:

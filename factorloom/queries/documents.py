@@ -275,13 +275,14 @@ SELECT doc_id, page_num, min(block_no) AS block_no, CASE WHEN bool_or(real) THEN
        arg_min(CASE WHEN real THEN number END, (block_no, piece)) AS eq_number, min(y0)::DOUBLE AS y0, (max(y0) + 8)::DOUBLE AS y1, count(*) AS n_blocks FROM h GROUP BY doc_id, page_num, chain""",
 )
 def formula_blocks(spark, sf_dir):
-    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "s"))
-    by_block = lines.groupBy("doc_id", F.floor(F.col("i") / 2).alias("block")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), "\n").alias("text"))
+    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "s")).withColumn("block", F.floor(F.col("i") / 2))
+    lines = lines.withColumn("page_num", F.floor(F.col("block") / 3) + 1).repartition("doc_id", "page_num")  # texts move once: blocks, pieces and runs stay within a page
+    by_block = lines.groupBy("doc_id", "page_num", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), "\n").alias("text"))
     k, number = (F.col("doc_id") + F.col("block")) % 5, F.col("doc_id") % 3 + 1
     end = F.when(k == 0, F.concat(F.lit("\nES = a + b*c ("), number, F.lit(")"))).when(k == 1, "\nVaR = x - y").when(k == 2, "\n(3)").when(k == 3, F.concat(F.lit("\nES = wi*Xi + y ("), number, F.lit(")\n "))).otherwise("")
     y0 = F.lit(10.0) * F.col("block")
     blocks = by_block.select(
-        "doc_id", (F.floor(F.col("block") / 3) + 1).alias("page_num"), (F.col("block") % 3).alias("block_no"), F.lit("text").alias("type"), F.concat("text", end).alias("text"),
+        "doc_id", "page_num", (F.col("block") % 3).alias("block_no"), F.lit("text").alias("type"), F.concat("text", end).alias("text"),
         F.lit(0.0).alias("x0"), y0.alias("y0"), F.lit(100.0).alias("x1"), (y0 + 8).alias("y1"), F.lit(0.9).alias("confidence"),
     )
     return d.merged_formulas(d.promoted_formulas(blocks)).select("doc_id", "page_num", "block_no", "type", "text", "eq_number", "y0", "y1", "n_blocks")
